@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, sharding, simhash
+from . import chat, decontaminate, packing, sharding, simhash, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             chat.op1_chat_formatting,
+            packing.op3_packing,
+            token_files.op5_token_files,
             simhash.op6_simhash_near_dedup,
             decontaminate.op8_decontamination,
             sharding.op9_sharding,
