@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, sharding, simhash, token_files
+from . import chat, decontaminate, langid, packing, quality, sharding, simhash, token_files, toxicity
 
 
 def queries() -> dict:
@@ -10,11 +10,14 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             chat.op1_chat_formatting,
+            quality.op2_quality_rules,
             packing.op3_packing,
             token_files.op5_token_files,
             simhash.op6_simhash_near_dedup,
+            langid.op7_language_id,
             decontaminate.op8_decontamination,
             sharding.op9_sharding,
+            toxicity.op10_toxicity,
         )
     }
 
