@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, packing, quality, sharding, simhash, token_files, toxicity
+from . import chat, decontaminate, html_text, langid, packing, quality, sharding, simhash, token_files, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
             chat.op1_chat_formatting,
             quality.op2_quality_rules,
             packing.op3_packing,
+            html_text.op4_html_extraction,
             token_files.op5_token_files,
             simhash.op6_simhash_near_dedup,
             langid.op7_language_id,
