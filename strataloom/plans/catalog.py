@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
+from .registry import QUERIES, SQL
+
+for _name in ("scalars", "filters", "joins", "aggregates", "ranking", "sets", "composites", "checks", "inputs"):
+    import_module(f"{__package__}.{_name}")
 
 
 def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
