@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, fresh_path, shared_folder, stored  # noqa: F401
+
 #: Rows in an Arrow batch. A batch of the longest documents stays at a few
 #: dozen MB in a Python worker.
 BATCH_ROWS = 256
@@ -17,9 +17,6 @@ BATCH_ROWS = 256
 #: White space in the sense of the word pattern ``[^\x20\x09-\x0D]+``.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
-_own_folder: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,46 +26,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session (tests) may lack the setting; it gets a folder of its
-    own.  A cluster without the setting is an error, because a machine-local
-    folder would lose rows.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="strataloom-"))
-    return f"file://{_own_folder[0]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Unlike ``checkpoint()`` it computes the plan a single time, keeps columns
-    compressed, and survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strataloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a ``stored`` table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/strataloom-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def fresh(base: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has (case-insensitively)."""
     taken = {c.lower() for df in frames for c in df.columns}

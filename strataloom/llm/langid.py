@@ -47,7 +47,7 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.nda
     text), and whether each text has a letter.
     """
     low = [(t or "").lower() for t in texts]
-    # Four spaces end a text, so that no gram reaches the next one's letters.
+    # Spaces end a text; grams that start in the last of them are set to bucket 0.
     raw = np.frombuffer("".join([f" {t}    " for t in low]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     lengths = np.fromiter((len(t) + 5 for t in low), dtype=np.int64, count=len(low))
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -64,6 +64,7 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.nda
     keep |= ends
     chars = np.where(letter, raw, 32).astype(np.uint32)[keep]
     starts = np.concatenate(([0], np.cumsum(np.add.reduceat(keep, first, dtype=np.int64))[:-1])) if len(low) else np.empty(0, np.int64)
+    stops = np.append(starts[1:], len(chars)) if len(low) else starts
     has = np.logical_or.reduceat(letter, first) if len(low) else np.empty(0, bool)
     out, h = [], np.zeros(len(chars), dtype=np.uint32)
     padded = np.concatenate((chars, np.full(max(ORDERS), 32, dtype=np.uint32)))
@@ -71,7 +72,10 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.nda
         h = (h ^ padded[n - 1 : n - 1 + len(chars)]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if n in ORDERS:
-            out.append((h & np.uint32(BUCKETS - 1)).astype(np.int32))
+            grams_n = (h & np.uint32(BUCKETS - 1)).astype(np.int32)
+            for j in range(1, n):  # these would reach into the next text
+                grams_n[stops - j] = 0
+            out.append(grams_n)
     return out, starts, has
 
 

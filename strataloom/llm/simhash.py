@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ._common import append_columns, bounded_batches, fresh, stored, table
-from ._components import components
 
 SHINGLE = 3
 SEED = 42

@@ -16,15 +16,13 @@ folder, ``parts``, has the global number of the first id of each part.
 from __future__ import annotations
 
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, shared_folder, table
+from ._common import bounded_batches, fresh_path, table
 from ._tokens import encoder, public_path
 
 WIDTH = 8
@@ -188,6 +186,6 @@ def tokens_at(spark: SparkSession, path: str, places: list[int]) -> dict[int, in
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/strataloom-tokens-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_path("byte_bpe_50k.json"))
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
