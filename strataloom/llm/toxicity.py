@@ -157,13 +157,15 @@ def train(docs: DataFrame, toxic_ids: DataFrame, prior: float, positives: int =
     Null texts count as empty.  None if no positive is left.
     """
     bounded_batches(docs.sparkSession)
-    known = toxic_ids.select("doc_id").distinct()
-    marked = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").select(F.lit(1).alias("y"), "doc_id", "text")
-    n_pos, n_all = marked.select("doc_id").count(), docs.select("doc_id").count()
+    known = toxic_ids.select("doc_id").where("doc_id is not null").distinct()
+    n_pos, n_all = known.count(), docs.select("doc_id").count()
     if not n_pos:
         return None
-    rest = docs.select(F.lit(0).alias("y"), "doc_id", "text")
-    sample = _thinned(marked, n_pos, positives).unionByName(_thinned(rest, n_all, unlabelled)).select("y", "text")
+    # The ids are thinned before they meet the texts: at most about ``positives``
+    # of them are broadcast, whatever the input, and no text is shuffled.
+    marked = docs.select("doc_id", "text").join(F.broadcast(_thinned(known, n_pos, positives)), "doc_id", "left_semi").select(F.lit(1).alias("y"), "text")
+    rest = _thinned(docs.select("doc_id", "text"), n_all, unlabelled).select(F.lit(0).alias("y"), "text")
+    sample = marked.unionByName(rest)
 
     def count(batches):
         sums = np.zeros((2, BUCKETS), dtype=np.int32)
