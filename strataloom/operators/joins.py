@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from ..storage import stored
 
 #: Vectors per block side: a product of two blocks takes 8 MB.
 BLOCK = 1024
@@ -156,37 +157,36 @@ def max_similarity(df: DataFrame, named: DataFrame, vector: str, digits: int | N
 def spatial_knn(points: DataFrame, k: int, cell: float, key: str, group: str, x: str = "x", y: str = "y") -> DataFrame:
     """(group, id, neighbour, d2, rank): the k nearest points of the group, self left out.
 
-    Points meet in grid cells of side ``cell``.  A result is final when k points
-    lie within the ring that has been searched; rings widen for the rest, so the
-    result is exact wherever the points lie.  Ties go to the smaller id.
+    Points meet in the 3 x 3 grid cells of side ``cell`` around them, which hold
+    everything within one side.  Points whose k-th neighbour is farther than that
+    go on with a grid of twice the side, so the result is exact wherever the
+    points lie, and a few far ones cost a few rounds.  Ties go to the smaller id.
     """
-    own = points.select(
-        F.col(group).alias("group"), F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-        F.floor(F.col(x) / cell).alias("cx"), F.floor(F.col(y) / cell).alias("cy"),
-    )
-    sizes = own.groupBy("group").agg(F.count("*").alias("n"), F.max("cx").alias("x1"), F.min("cx").alias("x0"), F.max("cy").alias("y1"), F.min("cy").alias("y0"))
-    span = own.select("group").distinct().join(sizes, "group").agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 0
-    others = own.select("group", F.col("id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("cx").alias("gx"), F.col("cy").alias("gy"))
-    open_, done, r = own, None, 1
+    own = points.select(F.col(group).alias("group"), F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    sizes = own.groupBy("group").agg((F.count("*") - 1).alias("others"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
+    widest = sizes.agg(F.max("span")).first()[0] or 0.0
+    near = F.sequence(F.lit(-1), F.lit(1))
     w = Window.partitionBy("group", "id").orderBy("d2", "neighbour")
+    open_, done, side = own, None, float(cell)
     while True:
-        offsets = F.sequence(F.lit(-r), F.lit(r))
-        reach = open_.select("*", F.explode(offsets).alias("dx")).select("*", F.explode(offsets).alias("dy"))
-        reach = reach.withColumns({"gx": F.col("cx") + F.col("dx"), "gy": F.col("cy") + F.col("dy")})
-        met = reach.join(others, ["group", "gx", "gy"]).where(F.col("id") != F.col("neighbour"))
-        d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-        ranked = met.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("group", "id", "neighbour", "d2", "rank")
-        # Anything outside the searched square is at least r cells away.
-        sure = ranked.groupBy("group", "id").agg(F.max("d2").alias("far"), F.count("*").alias("n")).join(sizes.select("group", F.col("n").alias("all")), "group")
-        sure = sure.where(((F.col("n") == k) & (F.col("far") <= float(r * cell) ** 2)) | (F.col("n") == F.col("all") - 1)).select("group", "id")
-        part = ranked if r > span else ranked.join(sure, ["group", "id"], "left_semi")
-        done = part if done is None else done.unionByName(part)
-        if r > span:
+        cells = own.select("group", F.col("id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+        reach = open_.select("*", F.explode(F.transform(near, lambda i: F.floor(F.col("x") / side) + i)).alias("cx"))
+        reach = reach.select("*", F.explode(F.transform(near, lambda i: F.floor(F.col("y") / side) + i)).alias("cy"))
+        met = reach.join(cells, ["group", "cx", "cy"]).where(F.col("id") != F.col("neighbour"))
+        dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
+        ranked = met.select("group", "id", "neighbour", (dx * dx + dy * dy).alias("d2")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        last = side > widest
+        if not last:
+            top = ranked.groupBy("group", "id").agg(F.max("d2").alias("far"), F.count("*").alias("n")).join(sizes, "group")
+            # Whatever was not met is farther than one side.
+            sure = top.where((F.col("far") <= side * side) & ((F.col("n") == k) | (F.col("n") == F.col("others")))).select("group", "id")
+            sure = stored(sure, "spatial")
+            ranked = ranked.join(sure, ["group", "id"], "left_semi")
+            open_ = open_.join(sure, ["group", "id"], "left_anti")
+        done = ranked if done is None else done.unionByName(ranked)
+        if last or open_.isEmpty():
             return done
-        open_ = open_.join(sure, ["group", "id"], "left_anti")
-        if open_.isEmpty():
-            return done
-        r *= 2
+        side *= 2
 
 
 def grid_mean(cells: DataFrame, group: str, row: str, col: str, value: str) -> DataFrame:
