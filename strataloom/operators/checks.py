@@ -137,4 +137,7 @@ def to_schema(df: DataFrame, ddl: str) -> DataFrame:
     """Exactly these columns in this order and type; an error on a missing column or a lossy type."""
     from pyspark.sql.types import _parse_datatype_string
 
-    return df.to(_parse_datatype_string(ddl))
+    schema = _parse_datatype_string(ddl)
+    if missing := [f.name for f in schema if f.name not in df.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    return df.to(schema)

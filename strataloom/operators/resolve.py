@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,10 +147,12 @@ def tag(df: DataFrame, key: str, text: str, terms: DataFrame, longest: int) -> D
     """
     words = F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ")
     base = df.select(key, words.alias("_w"))
-    runs = None
-    for n in range(1, longest + 1):
-        r = base.where(F.size("_w") >= n).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))).alias("position", "form"))
-        runs = r if runs is None else runs.unionByName(r)
+
+    def runs_of(n: int) -> DataFrame:
+        forms = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return base.where(F.size("_w") >= n).select(key, F.posexplode(forms).alias("position", "form"))
+
+    runs = reduce(lambda a, b: a.unionByName(b), [runs_of(n) for n in range(1, longest + 1)])
     hits = runs.join(terms, "form")
     spread = hits.where("expansion is not null").groupBy(key, F.col("expansion").alias("form"), "label").agg(F.min("position").alias("position"))
     return hits.select(key, "position", "form", "label").unionByName(spread.select(key, "position", "form", "label")).distinct()

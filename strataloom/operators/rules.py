@@ -100,11 +100,11 @@ def alias_normalize(df: DataFrame, key: str, text: str, aliases: DataFrame, defa
     """
     words = F.split(F.col(text), " ")
     longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
-    runs = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        for n in range(1, longest + 1)
-    ]
-    usable = [F.when(F.size(words) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    usable = [F.when(F.size(words) >= n, runs_of(n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
     found = (
         df.select(key, text, F.explode(F.array_distinct(F.concat(*usable))).alias("alias"))
         .join(aliases, "alias")
