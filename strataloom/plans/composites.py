@@ -241,9 +241,9 @@ def c19(t):
 
 @query(
     "c20_route",
-    """WITH s AS (SELECT l_suppkey AS slide, [l_quantity / 10, l_discount * 20, l_tax * 30 + 0.001] AS v FROM lineitem), e AS (SELECT slide, list_transform(v, lambda x: exp(x - list_max(v))) AS e, CASE list_min(v) WHEN v[3] THEN 3 WHEN v[2] THEN 2 ELSE 1 END AS out FROM s),
-p AS (SELECT slide, e, out, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e), w AS (SELECT slide, p, i, p[i + 1] AS pi, CASE WHEN i + 1 <> out THEN e[i + 1] / (list_sum(e) - e[out]) ELSE 0 END AS w FROM p, unnest(range(0, 3)) AS t(i))
-SELECT slide, i::INT AS expert, round(avg(pi), 6) AS prob, round(avg(w), 6) AS weight, round(avg((pi = list_max(p))::INT::DOUBLE), 6) AS top1, round(avg((w > 0)::INT::DOUBLE), 6) AS topk FROM w GROUP BY ALL""",
+    """WITH s AS (SELECT l_suppkey AS slide, [l_quantity / 10, l_discount * 20, l_tax * 30 + 0.001] AS v FROM lineitem), e AS (SELECT slide, list_transform(v, lambda x: exp(x - list_max(v))) AS e, CASE list_min(v) WHEN v[3] THEN 3 WHEN v[2] THEN 2 ELSE 1 END AS out, list_position(v, list_max(v)) AS top FROM s),
+p AS (SELECT slide, e, out, top, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e), w AS (SELECT slide, top, i, p[i + 1] AS pi, CASE WHEN i + 1 <> out THEN e[i + 1] / (list_sum(e) - e[out]) ELSE 0 END AS w FROM p, unnest(range(0, 3)) AS t(i))
+SELECT slide, i::INT AS expert, round(avg(pi), 6) AS prob, round(avg(w), 6) AS weight, round(avg((i + 1 = top)::INT::DOUBLE), 6) AS top1, round(avg((w > 0)::INT::DOUBLE), 6) AS topk FROM w GROUP BY ALL""",
 )
 def c20(t):
     v = F.array(F.col("l_quantity") / 10, F.col("l_discount") * 20, F.col("l_tax") * 30 + 0.001)
