@@ -152,3 +152,101 @@ def s25(t):
 def p19(t):
     t.region.write.parquet(path := fresh_path(t.spark, "cache"))
     return files.cache_stats(t.spark, path).select((F.col("entries") > 0).cast("int").alias("ok"))
+
+
+def _bank(t):
+    """Parts as concepts: three tiers by size, two prompts each."""
+    from ..sources.bank import Bank
+
+    tier = F.when(F.col("p_size") < 20, "H1").when(F.col("p_size") < 40, "H2").otherwise("H3")
+    null = F.lit(None).cast("string")
+    c = t.part.select(
+        F.format_string("%s-%05d", tier, F.col("p_partkey")).alias("concept_id"), F.col("p_name").alias("concept_name"), tier.alias("tier"), F.col("p_type").alias("category"), null.alias("subcategory"),
+        F.col("p_brand").alias("source"), F.lit("own").alias("provenance"), F.col("p_brand").alias("organ"), F.when(F.col("p_size") % 5 != 0, "cell").alias("level"), F.col("p_type").alias("concept_type"),
+    )
+    p = c.select("concept_id", "concept_name", "tier", F.explode(F.array(F.lit("human"), F.lit("mouse"))).alias("species"), F.col("concept_name").alias("prompt_text"), F.lit("shared").alias("species_status"))
+    return Bank(c, p)
+
+
+@query("s02_empty_table", "SELECT 0::BIGINT AS n, 8 AS columns")
+def s02(t):
+    files.write_table(t.spark.createDataFrame([], files.RAW_CONCEPTS), path := fresh_path(t.spark, "empty"), files.RAW_CONCEPTS)
+    df = files.read_typed(t.spark, path, files.RAW_CONCEPTS)
+    return df.agg(F.count("*").alias("n")).withColumn("columns", F.lit(len(df.columns)))
+
+
+@query("s04_bank_round_trip", "SELECT CASE WHEN p_size < 20 THEN 'H1' WHEN p_size < 40 THEN 'H2' ELSE 'H3' END AS tier, count(*) AS concepts, 2 * count(*) AS prompts, 'own' AS provenance FROM part GROUP BY ALL")
+def s04(t):
+    from ..sources.bank import read_bank
+
+    _bank(t).write(path := fresh_path(t.spark, "bank"))
+    bank = read_bank(t.spark, path, ["human", "mouse"])
+    prompts = bank.prompts.groupBy("tier").agg(F.count("*").alias("prompts"))
+    return bank.concepts.groupBy("tier").agg(F.count("*").alias("concepts")).join(prompts, "tier").join(bank.provenance())
+
+
+@query("s04b_bank_row_rules", "SELECT 'organ and level' AS rule, count(*) AS n FROM part WHERE p_size < 20 AND p_size % 5 = 0")
+def s04b(t):
+    found = _bank(t).row_violations({"H1": "H1", "H2": "H2", "H3": "H3"}, ["cell", "tissue"], "H1", ["H2"])
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("s06_tsv_bank", "SELECT CASE WHEN n_nationkey < 12 THEN 'low' ELSE 'high' END AS tier, count(*) AS concepts, count(*) FILTER (n_nationkey % 2 = 0) AS organs, count(*) AS prompts FROM nation GROUP BY ALL")
+def s06(t):
+    from ..sources.bank import load_tsv_bank
+
+    ids = F.format_string("%s-%04d", F.when(F.col("n_nationkey") < 12, "LO").otherwise("HI"), F.col("n_nationkey"))
+    a = t.nation.where("n_nationkey < 12").select(ids.alias("concept_id"), F.col("n_name").alias("concept_name"), F.when(F.col("n_nationkey") % 2 == 0, "x").otherwise(" ").alias("organ"))
+    b = t.nation.where("n_nationkey >= 12").select(ids.alias("concept_id"), F.col("n_name").alias("concept_name"), F.when(F.col("n_nationkey") % 2 == 0, "y").otherwise("").alias("organ"), F.lit("k").alias("category"))
+    p = t.nation.select(ids.alias("concept_id"), F.col("n_name").alias("concept_name"), F.lit("human").alias("species"), F.lit("text").alias("prompt_text"), F.lit("old").alias("species_status"))
+    paths = [fresh_path(t.spark, x) for x in ("a", "b", "p")]
+    for df, path in zip((a, b, p), paths):
+        df.write.option("emptyValue", "").csv(path, sep="\t", header=True)
+    bank = load_tsv_bank(t.spark, paths[:2], paths[2], {"LO": "low", "HI": "high"}, {"old": "shared"})
+    prompts = bank.prompts.where("species_status = 'shared'").groupBy("tier").agg(F.count("*").alias("prompts"))
+    return bank.concepts.groupBy("tier").agg(F.count("*").alias("concepts"), F.count("organ").alias("organs")).join(prompts, "tier")
+
+
+@query("s24_idempotent_sink", "SELECT count(*) AS n FROM region")
+def s24(t):
+    path = fresh_path(t.spark, "once")
+    files.write_table(t.region, path)
+    files.write_table(t.nation, path, mode="ignore")
+    return t.spark.read.parquet(path).agg(F.count("*").alias("n"))
+
+
+@query("s26_report", "SELECT 5 AS body_rows, true AS has_title")
+def s26(t):
+    text = files.report("Coverage", {"regions": t.region.orderBy("r_regionkey")})
+    df = t.spark.createDataFrame([(text,)], "text string").select(F.explode(F.split("text", "\n")).alias("line"))
+    return df.agg((F.count_if(F.col("line").startswith("| ")) - 1).cast("int").alias("body_rows"), (F.count_if(F.col("line") == "# Coverage") == 1).alias("has_title"))
+
+
+@query("d14_hash_manifest", "SELECT 'hash' AS rule, 'gone.txt' AS key, 'missing' AS detail")
+def d14(t):
+    from ..operators.checks import hash_mismatches
+
+    t.region.select("r_name").coalesce(1).write.text(path := fresh_path(t.spark, "hashed"))
+    read = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    manifest = read.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return hash_mismatches(read, manifest.unionByName(t.spark.createDataFrame([("gone.txt", "00")], "name string, sha256 string")))
+
+
+@query("p12_thresholds_with_defaults", "SELECT lang AS tier, CASE WHEN lang = 'en' THEN 0.6 ELSE 0.55 END::DOUBLE AS keep, 0.35::DOUBLE AS \"drop\" FROM documents GROUP BY 1")
+def p12(t):
+    t.spark.createDataFrame([("en", 0.6, None)], "tier string, keep double, drop double").write.parquet(path := fresh_path(t.spark, "thresholds"))
+    saved = files.read_typed(t.spark, path, "tier string, keep double, drop double")
+    tiers = t.documents.select(F.col("lang").alias("tier")).distinct()
+    return tiers.join(saved, "tier", "left").select("tier", F.coalesce("keep", F.lit(0.55)).alias("keep"), F.coalesce("drop", F.lit(0.35)).alias("drop"))
+
+
+@query("p26_alias_dictionary", "SELECT alias, min_by(value, priority) AS value FROM (SELECT lower(n_name) AS alias, n_name AS value, 1 AS priority FROM nation UNION ALL SELECT 'nation_3', 'override', 2 UNION ALL SELECT 'extra', 'literal', 2) GROUP BY 1")
+def p26(t):
+    table = t.nation.select(F.lower("n_name").alias("alias"), F.col("n_name").alias("value"), F.lit(1).alias("priority"))
+    literals = t.spark.createDataFrame([("nation_3", "override", 2), ("extra", "literal", 2)], "alias string, value string, priority int")
+    return table.unionByName(literals).groupBy("alias").agg(F.min_by("value", "priority").alias("value"))
+
+
+@query("p29_prompt_coverage", "SELECT tier, count(*) AS prompts, count(DISTINCT concept_id) AS concepts FROM (SELECT CASE WHEN p_size < 20 THEN 'H1' WHEN p_size < 40 THEN 'H2' ELSE 'H3' END AS tier, p_partkey AS concept_id FROM part, range(2)) GROUP BY 1")
+def p29(t):
+    return _bank(t).prompts.groupBy("tier").agg(F.count("*").alias("prompts"), F.count_distinct("concept_id").alias("concepts"))
