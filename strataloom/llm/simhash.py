@@ -210,18 +210,23 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Among rows that repeat that id and fingerprint the one with the smallest
     text stays (null first).  The columns are those of ``docs``.
     """
-    fp, place = fresh("fp", docs), fresh("place", docs)
-    marked = stored(with_fingerprint(docs, text, fp, shingle), "marked")
-    groups = _label(marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")), distance)
+    fp, place, key = fresh("fp", docs), fresh("place", docs), fresh("key", docs)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    prints = stored(with_fingerprint(own, "text", "fp", shingle).select("doc_id", "fp"), "prints")
+    groups = _label(prints, distance)
+
+    def joined(i, f):
+        return F.concat_ws(" ", F.coalesce(i.cast("string"), F.lit("\x00")), f.cast("string"))
+
     # min(struct) is combined on the map side, so a large group stays spread out.
-    keep = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "fp")).alias("w")).select(
-        F.col("w.doc_id").alias("_k_id"), F.col("w.fp").alias("_k_fp")
-    )
-    keep = keep.toDF(fresh("_k_id", docs), fresh("_k_fp", docs))
-    a, b = keep.columns
-    kept = marked.join(keep, F.col(doc_id).eqNullSafe(F.col(a)) & (F.col(fp) == F.col(b)), "left_semi")
+    keep = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "fp")).alias("w"))
+    keep = keep.select(joined(F.col("w.doc_id"), F.col("w.fp")).alias(key))
+    # Texts move once: fingerprints are made again rather than kept with them,
+    # and the join and the choice among repeated rows share one key.
+    marked = with_fingerprint(docs, text, fp, shingle).withColumn(key, joined(F.col(doc_id), F.col(fp)))
     return (
-        kept.withColumn(place, F.row_number().over(Window.partitionBy(doc_id, fp).orderBy(F.col(text).asc_nulls_first())))
+        marked.join(keep, key, "left_semi")
+        .withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())))
         .where(F.col(place) == 1)
         .select(*docs.columns)
     )
