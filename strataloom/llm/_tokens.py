@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Remembered pieces per generation; two generations are kept.
-CACHE = 400_000
+CACHE = 700_000
 
 # Cuts that no pre-token of the byte-level pattern crosses: before a single
 # space or line end between two non-spaces, and after such a line end.
