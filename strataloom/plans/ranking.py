@@ -49,15 +49,15 @@ _V = "[l_quantity / 10, l_discount * 20, l_tax * 30]"
 
 @query(
     "w07_top2_in_row",
-    f"""WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, i, {_V}[i + 1] AS x FROM lineitem, unnest(range(0, 3)) AS t(i)),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY x DESC, i) AS r FROM u)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(i) FILTER (r = 1)::INT AS first, max(i) FILTER (r = 2)::INT AS second FROM r GROUP BY ALL""",
+    f"""WITH u AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, i, {_V}[i + 1] AS x FROM lineitem, unnest(range(0, 3)) AS t(i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax ORDER BY x DESC, i) AS r FROM u)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, max(i) FILTER (r = 1)::INT AS first, max(i) FILTER (r = 2)::INT AS second FROM r GROUP BY ALL""",
 )
 def w07(t):
     v = F.array(F.col("l_quantity") / 10, F.col("l_discount") * 20, F.col("l_tax") * 30)
     keyed = F.array_sort(F.transform(v, lambda x, i: F.struct((-x).alias("m"), i.alias("i"))))
-    rows = t.lineitem.dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", keyed[0].i.alias("first"), keyed[1].i.alias("second"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
+    return t.lineitem.select(*keys).distinct().select(*keys, keyed[0].i.alias("first"), keyed[1].i.alias("second"))
 
 
 @query(
