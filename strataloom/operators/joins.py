@@ -154,17 +154,22 @@ def max_similarity(df: DataFrame, named: DataFrame, vector: str, digits: int | N
     return df.withColumn("_best", best).withColumn("name", F.col("_best.name")).withColumn("sim", -F.col("_best.m")).drop("_best")
 
 
-def spatial_knn(points: DataFrame, k: int, cell: float, key: str, group: str, x: str = "x", y: str = "y") -> DataFrame:
+def spatial_knn(points: DataFrame, k: int, cell: float | None, key: str, group: str, x: str = "x", y: str = "y") -> DataFrame:
     """(group, id, neighbour, d2, rank): the k nearest points of the group, self left out.
 
     Points meet in the 3 x 3 grid cells of side ``cell`` around them, which hold
     everything within one side.  Points whose k-th neighbour is farther than that
     go on with a grid of twice the side, so the result is exact wherever the
     points lie, and a few far ones cost a few rounds.  Ties go to the smaller id.
+    With ``cell`` None a cell holds about k points of the largest group were they
+    spread evenly, so the candidates of a point do not grow with the table.
     """
     own = points.select(F.col(group).alias("group"), F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     sizes = own.groupBy("group").agg((F.count("*") - 1).alias("others"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
-    widest = sizes.agg(F.max("span")).first()[0] or 0.0
+    widest, most = sizes.agg(F.max("span"), F.max("others")).first()
+    widest = widest or 0.0
+    if cell is None:
+        cell = widest * (k / max(most or 0, k)) ** 0.5 or 1.0
     near = F.sequence(F.lit(-1), F.lit(1))
     w = Window.partitionBy("group", "id").orderBy("d2", "neighbour")
     open_, done, side = own, None, float(cell)
