@@ -74,6 +74,24 @@ def p04(t):
     return a.join(b, F.col("a.p_name") == F.col("b.p_name")).where(F.col("a.p_partkey") < F.col("b.p_partkey")).where(ok).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 
+@query(
+    "p04_merge_predicate_all",
+    """WITH p AS (SELECT p_partkey, p_name, p_size, p_brand, list_distinct([p_type, p_brand, split_part(p_name, ' ', 1)]) AS items FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey
+WHERE 1.0 - abs(a.p_size - b.p_size) / 50.0 >= 0.8 AND (NOT (starts_with(a.p_brand, 'Brand#1') AND starts_with(b.p_brand, 'Brand#1')) OR len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) >= 0.4)""",
+)
+def p04_all(t):
+    p = t.part.select("p_partkey", "p_name", "p_size", "p_brand", F.array_distinct(F.array("p_type", "p_brand", F.split("p_name", " ")[0])).alias("items"))
+    # A similarity of 0.8 is at most 10 sizes apart, so only rows of these sizes meet, each two once: b has the size of a or a larger one.
+    a = p.withColumn("size", F.explode(F.sequence("p_size", F.col("p_size") + 10))).alias("a")
+    b = p.withColumn("size", F.col("p_size")).alias("b")
+    sim = 1.0 - F.abs(F.col("a.p_size") - F.col("b.p_size")) / 50.0
+    ok = sets.may_merge(sim, 0.8, F.col("a.p_brand"), F.col("b.p_brand"), "Brand#1", F.col("a.items"), F.col("b.items"), 0.4)
+    met = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.size") == F.col("b.size")))
+    met = met.where((F.col("a.p_size") < F.col("b.p_size")) | (F.col("a.p_partkey") < F.col("b.p_partkey"))).where(ok)
+    return met.select(F.least("a.p_partkey", "b.p_partkey").alias("a"), F.greatest("a.p_partkey", "b.p_partkey").alias("b"))
+
+
 @query("p08_label_vocabulary", "SELECT DISTINCT x AS label FROM (SELECT lang AS x FROM documents UNION ALL SELECT c_mktsegment FROM customer) ORDER BY 1")
 def p08(t):
     return t.documents.select(F.col("lang").alias("label")).union(t.customer.select("c_mktsegment")).distinct().orderBy("label")

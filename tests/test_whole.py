@@ -20,3 +20,18 @@ def test_spatial_knn_all(spark, tmp_path):
     rows = run(spark, "j13_spatial_knn_all", tmp_path, events=df)
     assert len(rows) == len(want)
     assert {(r["group"], r["id"], r["neighbour"], r["d2"], r["rank"]) for r in rows} == want
+
+
+def test_merge_predicate_all(spark, tmp_path):
+    parts = [(i, ["red ring", "hot bolt"][i % 2], i * 7 % 30, f"Brand#{i * 5 % 23}", ["SMALL", "LARGE", "ECONOMY"][i % 3]) for i in range(250, 420)]
+    df = spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_brand string, p_type string")
+    want = set()
+    for i, name, size, brand, kind in parts:
+        for j, name2, size2, brand2, kind2 in parts:
+            x, y = {kind, brand, name.split()[0]}, {kind2, brand2, name2.split()[0]}
+            both = brand.startswith("Brand#1") and brand2.startswith("Brand#1")
+            if i < j and name == name2 and abs(size - size2) <= 10 and (not both or len(x & y) / len(x | y) >= 0.4):
+                want.add((i, j))
+    rows = run(spark, "p04_merge_predicate_all", tmp_path, part=df)
+    assert len(rows) == len(want) and {(r["a"], r["b"]) for r in rows} == want
+    assert any(a >= 300 for a, _ in want)
