@@ -21,6 +21,11 @@ def t03(t):
     return sets.difference(t.documents.where("doc_id % 2 = 0"), t.labels, "doc_id")
 
 
+@query("t03_set_difference_all", "(SELECT doc_id, 'extra' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))")
+def t03_all(t):
+    return sets.difference(t.documents, t.labels, "doc_id")
+
+
 @query(
     "t04_bank_diff",
     """WITH a AS (SELECT lower(text[1:12]) AS key, min(lang) AS before FROM documents WHERE source IN ('src0', 'src1') GROUP BY 1), b AS (SELECT lower(text[1:12]) AS key, min(lang) AS after FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1)
@@ -31,6 +36,19 @@ def t04(t):
     return sets.attribute_diff(d.where("source in ('src0', 'src1')"), d.where("source in ('src1', 'src2')"), key, "lang")
 
 
+_HALF = "ascii(right(coalesce(source, ''), 1)) % 2"
+
+
+@query(
+    "t04_bank_diff_all",
+    f"""WITH d AS (SELECT sha256(lower(text)) AS key, lang, {_HALF} AS half FROM documents), a AS (SELECT key, min(lang) AS before FROM d WHERE half = 0 GROUP BY 1), b AS (SELECT key, min(lang) AS after FROM d WHERE half <> 0 GROUP BY 1)
+SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'lost' WHEN a.key IS NULL THEN 'gained' ELSE 'changed' END AS change, before, after FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR before IS DISTINCT FROM after""",
+)
+def t04_all(t):
+    d, key = t.documents.withColumn("half", F.expr(_HALF)), F.sha2(F.lower("text"), 256)
+    return sets.attribute_diff(d.where("half = 0"), d.where("half <> 0"), key, "lang")
+
+
 @query("t05_disjoint", "SELECT a.s AS a, b.s AS b, (SELECT count(*) FROM documents WHERE (doc_id % 3) || '' = a.s AND (doc_id % 3) || '' = b.s) AS n FROM (VALUES ('0'), ('1'), ('2')) a(s), (VALUES ('0'), ('1'), ('2')) b(s) WHERE a.s < b.s")
 def t05(t):
     return sets.overlaps({str(i): t.documents.where(F.col("doc_id") % 3 == i) for i in range(3)}, "doc_id")

@@ -35,3 +35,20 @@ def test_merge_predicate_all(spark, tmp_path):
     rows = run(spark, "p04_merge_predicate_all", tmp_path, part=df)
     assert len(rows) == len(want) and {(r["a"], r["b"]) for r in rows} == want
     assert any(a >= 300 for a, _ in want)
+
+
+def test_bank_diff_all(spark, tmp_path):
+    import hashlib
+
+    head = "the same twelve letters "
+    docs = [(0, head + "a", "en", "src4"), (1, head + "B", "de", "src5"), (2, head + "b", "de", "src6"), (3, head + "c", "en", "src18"), (4, head + "C", "fr", "src19"), (5, "", "en", "other")]
+    rows = run(spark, "t04_bank_diff_all", tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
+    key = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = {(key(head + "a"), "lost", "en", None), (key(head + "c"), "changed", "en", "fr"), (key(""), "lost", "en", None)}
+    assert {tuple(r) for r in rows} == want
+
+
+def test_set_difference_all(spark, tmp_path):
+    docs, labels = spark.createDataFrame([(i,) for i in (1, 2, 3)], "doc_id long"), spark.createDataFrame([(i,) for i in (3, 4, 5)], "doc_id long")
+    rows = run(spark, "t03_set_difference_all", tmp_path, documents=docs, labels=labels)
+    assert {tuple(r) for r in rows} == {(1, "extra"), (2, "extra"), (4, "missing"), (5, "missing")}
