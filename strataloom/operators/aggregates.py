@@ -81,18 +81,23 @@ def merge_cluster(df: DataFrame, cluster: str, key: str, label: str, synonyms: s
     return text.join(lists, cluster, "left").select(cluster, "id", "label", F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"), "definition")
 
 
-def mentions(df: DataFrame, form: str, normal: str, tier: str, doc: str, order: str, least: int, most_ids: int) -> DataFrame:
-    """Mentions to entities: (normal, tier, n, label, forms, doc_ids).
+def mentions(df: DataFrame, form: str, normal: str, tier: str, doc: str, order: str, least: int, most_ids: int, query: str | None = None) -> DataFrame:
+    """Mentions to entities: (normal, tier, n, label, forms, doc_ids), and queries with ``query``.
 
     Entities with fewer than ``least`` mentions are dropped.  The label is the
     most frequent form, then the shortest, then the first seen; ``doc_ids`` are
     the first distinct ones seen, at most ``most_ids``.  Mentions with a null
-    key are not counted.
+    key are not counted.  ``queries`` is the sorted union of the names in ``query``
+    over all mentions; names are few.
     """
     rows = df.where(F.col(normal).isNotNull())
-    forms = rows.groupBy(normal, tier, form).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    forms = rows.groupBy(normal, tier, form, *([query] if query else [])).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    union = []
+    if query:
+        forms = forms.groupBy(normal, tier, form).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.collect_set(query).alias("_names"))
+        union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("_names")))).alias("queries")]
     per = forms.groupBy(normal, tier).agg(
-        F.sum("n").alias("n"), F.min_by(form, F.struct(-F.col("n"), F.length(form), F.col("first"))).alias("label"), F.count("*").alias("forms")
+        F.sum("n").alias("n"), F.min_by(form, F.struct(-F.col("n"), F.length(form), F.col("first"))).alias("label"), F.count("*").alias("forms"), *union
     ).where(F.col("n") >= least)
     docs = rows.groupBy(normal, tier, doc).agg(F.min(order).alias("first"))
     w = Window.partitionBy(normal, tier).orderBy("first", doc)

@@ -52,3 +52,11 @@ def test_set_difference_all(spark, tmp_path):
     docs, labels = spark.createDataFrame([(i,) for i in (1, 2, 3)], "doc_id long"), spark.createDataFrame([(i,) for i in (3, 4, 5)], "doc_id long")
     rows = run(spark, "t03_set_difference_all", tmp_path, documents=docs, labels=labels)
     assert {tuple(r) for r in rows} == {(1, "extra"), (2, "extra"), (4, "missing"), (5, "missing")}
+
+
+def test_mentions_all(spark, tmp_path):
+    filler = " ".join(f"w{i}" for i in range(150))
+    docs = [(0, f"{filler} Late", "en", "src1"), (1, f"late {filler}  LATE", "en", "src0"), (2, "x late", "en", "src1"), (3, "Late", "en", "src2"), (4, "late", "fr", "src3")]
+    rows = run(spark, "a11_mentions_all", tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
+    # Late and late are as frequent and as long; Late at word 151 of document 0 comes before document 1.
+    assert [tuple(r[c] for c in ("k", "lang", "n", "label", "forms", "ids", "queries")) for r in rows] == [("late", "en", 5, "Late", 3, "0,1,2,3", "src0,src1,src2")]
