@@ -60,3 +60,12 @@ def test_mentions_all(spark, tmp_path):
     rows = run(spark, "a11_mentions_all", tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
     # Late and late are as frequent and as long; Late at word 151 of document 0 comes before document 1.
     assert [tuple(r[c] for c in ("k", "lang", "n", "label", "forms", "ids", "queries")) for r in rows] == [("late", "en", 5, "Late", 3, "0,1,2,3", "src0,src1,src2")]
+
+
+def test_deleted_lines_are_those_the_pairing_removes():
+    from strataloom.llm.html_text import main_text
+
+    article = [("menu", True, False), ("outside", False, False), ("own", False, True), ("common", False, True)]
+    assert main_text(article, [1, 2, 3, 4], [1, 2, 4]) == ("own common", 0)
+    plain = [("menu", True, False), ("own", False, False), ("common", False, False)]
+    assert main_text(plain, [1, 3, 4], [1, 4]) == ("own", 1)
