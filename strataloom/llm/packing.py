@@ -119,8 +119,34 @@ class Packer:
         self.waiting = [pieces[i] for i in live]
 
 
+def segments(text: str | None, spans: list) -> tuple[list[str], list[bool]]:
+    """The text cut where loss begins or ends, and whether each part bears loss.
+
+    Spans are (begin, end) in characters; they may touch or overlap.
+    """
+    text = text or ""
+    parts, loss, at = [], [], 0
+    for begin, end in sorted((s["begin"], s["end"]) for s in spans):
+        begin, end = max(begin, at), min(end, len(text))
+        if begin >= end:
+            continue
+        if begin > at:
+            parts.append(text[at:begin])
+            loss.append(False)
+        if loss and loss[-1]:
+            parts[-1] += text[begin:end]
+        else:
+            parts.append(text[begin:end])
+            loss.append(True)
+        at = end
+    if at < len(text):
+        parts.append(text[at:])
+        loss.append(False)
+    return parts, loss
+
+
 def pack(
-    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", limits: Limits | None = None
+    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", limits: Limits | None = None, loss_spans: str | None = None
 ) -> DataFrame:
     """Pieces of tokenised documents, placed in sequences.
 
@@ -132,10 +158,17 @@ def pack(
     they occur; ids may be null; no rows give no pieces; other columns are
     ignored.  Sequence numbers are unique, not consecutive (the upper bits are
     the task's number).
+
+    ``loss_spans`` is a column of array<struct<begin, end>>: the characters that
+    bear loss.  Such a text is encoded part by part, cut where loss begins or
+    ends; the end id bears loss if the last part does.  A null array, like no
+    column, means that every token bears loss.
     """
     bounded_batches(docs.sparkSession)
     limits = limits or Limits()
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    spans = [F.transform(loss_spans, lambda s: F.struct(s["begin"].cast("long").alias("begin"), s["end"].cast("long").alias("end"))).alias("spans")] if loss_spans else []
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *spans)
+    masked = bool(spans)
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -170,9 +203,14 @@ def pack(
         for b in batches:
             doc_type = b.schema.field(0).type
             full = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                ids = np.concatenate((ids, end))
-                full += packer.add(Piece(doc, 0, ids, len(ids)))
+            texts = b.column(1).to_pylist()
+            cut = [s if s is None else segments(x, s) for x, s in zip(texts, b.column(2).to_pylist())] if masked else [None] * len(texts)
+            found = iter(enc.encode([part for x, c in zip(texts, cut) for part in ([x] if c is None else c[0])]))
+            for doc, c in zip(b.column(0).to_pylist(), cut):
+                parts = [next(found) for _ in range(1 if c is None else len(c[0]))]
+                ids = np.concatenate((*parts, end))
+                loss = None if c is None else np.repeat([*c[1], bool(c[1] and c[1][-1])], [*map(len, parts), 1])
+                full += packer.add(Piece(doc, 0, ids, len(ids), loss))
             yield from rows(full)
         if doc_type is not None:
             yield from rows(packer.pack())
