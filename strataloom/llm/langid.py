@@ -93,8 +93,9 @@ class Model:
         orders, first, has = grams(texts)
         total = np.zeros((len(texts), len(self.classes)))
         for g in orders:
-            for i in range(0, len(g), 1 << 20):  # bounded temporary
-                part = self.table[g[i : i + (1 << 20)]]
+            step = max(1, (CLASSES << 20) // max(CLASSES, len(self.classes)))
+            for i in range(0, len(g), step):  # bounded temporary
+                part = self.table[g[i : i + step]]
                 at = np.searchsorted(first, i, side="right") - 1
                 stop = np.searchsorted(first, i + len(part), side="left")
                 cuts = np.maximum(first[at:stop] - i, 0)
@@ -113,15 +114,23 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", doc_id:
 
     Rows with a null label or text are not used.  A class with more than
     ``rows_per_class`` rows is thinned by a hash of the id to about that many;
-    each class then weighs the same.  None if no row is left.
+    each class then weighs the same.  Every label is a class; they are counted
+    ``classes`` at a time, so a task's counts are bounded.  The table takes
+    256 KB a class.  None if no row is left.
     """
     bounded_batches(labelled.sparkSession)
     own = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id")
     )
-    sizes = own.groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes).collect()
+    sizes = sorted(own.groupBy("label").count().collect())
     if not sizes:
         return None
+    blocks = [_count(own, sizes[i : i + classes], rows_per_class) for i in range(0, len(sizes), classes)]
+    return Model([name for names, _ in blocks for name in names], np.concatenate([counts for _, counts in blocks], axis=1) if len(blocks) > 1 else blocks[0][1])
+
+
+def _count(own: DataFrame, sizes: list, rows_per_class: int) -> tuple[list[str], np.ndarray]:
+    """Labels and their n-gram counts, (buckets, labels)."""
     names = sorted(r.label for r in sizes)
     number = {name: i for i, name in enumerate(names)}
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.label, min(1.0, rows_per_class / r["count"]))])
@@ -143,7 +152,7 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", doc_id:
     total = np.zeros(len(names) * BUCKETS)
     cells = sample.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
-    return Model(names, total.reshape(len(names), BUCKETS).T)
+    return names, total.reshape(len(names), BUCKETS).T
 
 
 def predict(docs: DataFrame, model: Model | None, lang: str, score: str, text: str = "text") -> DataFrame:

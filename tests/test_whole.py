@@ -104,3 +104,14 @@ def test_segments():
     assert segments("abcdef", span((3, 5), (1, 3))) == (["a", "bcde", "f"], [False, True, False])
     assert segments("abc", span((0, 9), (1, 2))) == (["abc"], [True])
     assert segments("abc", []) == (["abc"], [False]) and segments(None, span((0, 1))) == ([], [])
+
+
+def test_every_label_is_a_class(spark):
+    from strataloom.llm import langid
+
+    words = {"aa": "lorem ipsum dolor", "bb": "schnell grüße straße", "cc": "zyx wvu tsr", "dd": "kappa omega sigma", "ee": "один два три"}
+    docs = spark.createDataFrame([(i * 10 + j, w, lang) for i, (lang, w) in enumerate(words.items()) for j in range(8 - i)], "doc_id long, text string, lang string")
+    one, cut = langid.train(docs), langid.train(docs, classes=2)
+    assert one.classes == cut.classes == sorted(words)
+    assert (one.table == cut.table).all()
+    assert cut.predict(list(words.values()))[0] == list(words)
