@@ -103,6 +103,15 @@ def a09(t):
     return ag.pick_canonical(d, "cluster", "doc_id", "label", "source", ["src3", "src0", "src7"])
 
 
+@query(
+    "a09_pick_canonical_all",
+    f"SELECT cluster, id, label FROM (SELECT n_chars % 50 AS cluster, doc_id AS id, text AS label, row_number() OVER (PARTITION BY n_chars % 50 ORDER BY {_PRIO}, length(text), doc_id) AS r FROM documents) WHERE r = 1",
+)
+def a09_all(t):
+    d = t.documents.select((F.col("n_chars") % 50).alias("cluster"), "doc_id", F.col("text").alias("label"), "source")
+    return ag.pick_canonical(d, "cluster", "doc_id", "label", "source", ["src3", "src0", "src7"])
+
+
 @query(
     "a10_merge_cluster",
     f"""WITH d AS (SELECT p_size AS cluster, p_partkey AS id, p_name AS label, p_brand || ' ' || p_type AS def, [upper(p_name), p_type] AS syn FROM part),

@@ -115,3 +115,10 @@ def test_every_label_is_a_class(spark):
     assert one.classes == cut.classes == sorted(words)
     assert (one.table == cut.table).all()
     assert cut.predict(list(words.values()))[0] == list(words)
+
+
+def test_pick_canonical_all(spark, tmp_path):
+    head = "twenty equal letters "
+    docs = [(0, head + "and a long end", "src3", 100), (1, head + "short", "src3", 100), (2, "x", "src1", 100), (3, head + "b", "src1", 101), (4, head + "a", "src2", 101)]
+    rows = run(spark, "a09_pick_canonical_all", tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long"))
+    assert {tuple(r) for r in rows} == {(0, 1, head + "short"), (1, 3, head + "b")}
