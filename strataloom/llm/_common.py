@@ -3,27 +3,61 @@
 from __future__ import annotations
 
 import itertools
+import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, fresh_path, shared_folder, stored  # noqa: F401
 
-#: Rows in an Arrow batch. A batch of the longest documents stays at a few
-#: dozen MB in a Python worker.
-BATCH_ROWS = 256
+#: UTF-8 bytes of text, and rows, that an operator works on at a time.
+SLICE_BYTES = 2 << 20
+SLICE_ROWS = 4096
+#: Characters of a long text that are worked on at a time.
+PART = 1 << 20
 
 #: White space in the sense of the word pattern ``[^\x20\x09-\x0D]+``.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
+_SPACE = re.compile(f"[{ASCII_SPACE}]")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches, *texts: int, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS):
+    """The batches cut so that a piece has about ``limit`` bytes in the columns ``texts``.
+
+    Spark fills a batch up to ``spark.sql.execution.arrow.maxBytesPerBatch`` (64
+    MB); an operator's own arrays are many times its texts, so it takes less at
+    a time.  A row is never cut: a longer text is a piece of its own.
+    """
+    for b in batches:
+        size = np.zeros(b.num_rows, dtype=np.int64)
+        for i in texts:
+            size += pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
+            stop = max(at + 1, min(stop, at + rows))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def text_parts(text: str | None, size: int = PART):
+    """The text in parts of about ``size`` characters, cut before white space.
+
+    The parts put together are the text.  A word that is longer than ``size``
+    stays whole; a null text is one empty part.
+    """
+    text, at = text or "", 0
+    while len(text) - at > size and (m := _SPACE.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 def fresh(base: str, *frames: DataFrame) -> str:
@@ -43,3 +77,7 @@ def append_columns(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [*batch.columns, *columns.values()], names=[*batch.schema.names, *columns]
     )
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Nothing: ``slices`` bounds what an operator holds."""

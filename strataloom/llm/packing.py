@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, table
+from ._common import slices, table
 from ._tokens import encoder, public_path
 
 PIECES = "doc_id {id}, start bigint, ids binary, length bigint, loss_tokens bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -98,7 +98,8 @@ class Packer:
                 fits = live[(t[live] <= room) & (x[live] <= loss) & ~taken[live]]
                 if not len(fits):
                     break
-                score = t[fits] * (room / lim.tokens**2) + x[fits] * (loss / lim.loss**2)  # a segment each: the same for all
+                # Shares of the limits, demand times what is left; each piece is one segment.
+                score = t[fits] * (room / lim.tokens**2) + x[fits] * (loss / lim.loss**2) + slots / lim.segments**2
                 i = fits[int(score.argmax())]
                 chosen.append(pieces[i])
                 taken[i] = True
@@ -107,7 +108,7 @@ class Packer:
             if slots and room >= lim.least and len(live):
                 # None fits whole: cut one whose two parts are both worth keeping.
                 long = live[t[live] >= room + lim.least]
-                for i in long[np.argsort(-t[long], kind="stable")][:8]:
+                for i in long[np.argsort(-t[long], kind="stable")]:
                     front, rest = pieces[i].cut(room)
                     if front.demand()[1] <= loss:
                         chosen.append(front)
@@ -146,7 +147,7 @@ def segments(text: str | None, spans: list) -> tuple[list[str], list[bool]]:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", limits: Limits | None = None, loss_spans: str | None = None
+    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", limits: Limits | None = None, loss_spans: str | None = None, special_as_text: bool = False,
 ) -> DataFrame:
     """Pieces of tokenised documents, placed in sequences.
 
@@ -164,7 +165,6 @@ def pack(
     ends; the end id bears loss if the last part does.  A null array, like no
     column, means that every token bears loss.
     """
-    bounded_batches(docs.sparkSession)
     limits = limits or Limits()
     spans = [F.transform(loss_spans, lambda s: F.struct(s["begin"].cast("long").alias("begin"), s["end"].cast("long").alias("end"))).alias("spans")] if loss_spans else []
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *spans)
@@ -172,7 +172,7 @@ def pack(
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         packer = Packer(limits)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         end = np.array([end_id], dtype=enc.dtype)
@@ -200,7 +200,7 @@ def pack(
             names = ["doc_id", "start", "ids", "length", "loss_tokens", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-        for b in batches:
+        for b in slices(batches, 1):
             doc_type = b.schema.field(0).type
             full = []
             texts = b.column(1).to_pylist()

@@ -22,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, fresh_path, table
+from ._common import fresh_path, slices, table
 from ._tokens import encoder, public_path
 
 WIDTH = 8
 BLOCK = 512
 MAGIC = b"DAC1"
+#: Documents in a segment at most.
+SEGMENT_ROWS = 1024
 
 
 class Code:
@@ -80,6 +82,19 @@ class Code:
     def slice(self, start: int, stop: int) -> np.ndarray:
         return self.take(np.arange(start, stop))
 
+    def all(self) -> np.ndarray:
+        """Every value in order; level after level needs no ranks."""
+        out, live = np.zeros(self.n, dtype=np.uint64), None
+        for k, (chunk, bits, _) in enumerate(self.levels):
+            part = chunk.astype(np.uint64) << np.uint64(WIDTH * k)
+            on = np.unpackbits(bits, count=len(chunk), bitorder="little").view(bool)
+            if live is None:
+                out, live = part, np.flatnonzero(on)
+            else:
+                out[live] |= part
+                live = live[on]
+        return out
+
     def to_bytes(self) -> bytes:
         head = [MAGIC, np.array([self.n, len(self.levels), *[len(c) for c, _, _ in self.levels]], dtype="<u8").tobytes()]
         return b"".join(head + [a.tobytes() for level in self.levels for a in level])
@@ -101,16 +116,18 @@ class Code:
         return cls(levels, n)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", special_as_text: bool = False) -> None:
     """Write the ids of all documents, in ascending order of doc_id, under ``path``.
 
     A document is the ids of its text and ``end_id``; null and empty texts are
     the end id alone.  Null ids come first; documents with one id are ordered by
     text.  Repeated rows are written as often as they occur.  No rows give empty
-    folders.  Other columns are ignored.
+    folders.  Other columns are ignored.  A segment holds documents of about
+    ``SLICE_BYTES`` of text, or one longer document, so its code is bounded by
+    that.  Strings of the tokenizer's added tokens become those tokens, as the
+    library has it, or ordinary text with ``special_as_text``.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     # The hash lets a repeated id spread over several ranges.
@@ -121,20 +138,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
     schema = f"part int, segment int, part_start bigint, n_tokens bigint, doc_ids array<{kind}>, lengths array<bigint>, code binary"
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        end = np.array([end_id], dtype=enc.dtype)
         done = 0
-        for segment, b in enumerate(x for x in batches if x.num_rows):
-            ids = [np.concatenate((x, end)) for x in enc.encode(b.column(1).to_pylist())]
-            lengths = [len(x) for x in ids]
+        for segment, b in enumerate(slices(batches, 1, rows=SEGMENT_ROWS)):
+            flat, counts = enc.encode_flat(b.column(1).to_pylist())
+            ids = np.full(len(flat) + len(counts), end_id, dtype=enc.dtype)
+            ids[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
             row = {
-                "part": [part], "segment": [segment], "part_start": [done], "n_tokens": [sum(lengths)], "doc_ids": [b.column(0).to_pylist()],
-                "lengths": [lengths], "code": [Code.of(np.concatenate(ids)).to_bytes()],
+                "part": [part], "segment": [segment], "part_start": [done], "n_tokens": [len(ids)], "doc_ids": [b.column(0).to_pylist()],
+                "lengths": [counts + 1], "code": [Code.of(ids).to_bytes()],
             }
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(b.schema.field(0).type), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds)], names=list(row))
-            done += sum(lengths)
+            done += len(ids)
 
     ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(f"{path}/segments")
     # One number per task that wrote: as many as there are parts, not documents.
@@ -154,7 +171,6 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document read back from the files."""
-    bounded_batches(spark)
     segments = _segments(spark, path).select("start", "doc_ids", "lengths", "code")
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
 
@@ -163,7 +179,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for start, doc_ids, lengths, raw in zip(*(b.column(i) for i in range(4))):
                 code, n = Code.from_bytes(raw.as_py()), np.array(lengths.as_py(), dtype=np.int64)
                 first = np.concatenate(([0], np.cumsum(n)[:-1]))
-                values = code.slice(0, code.n).astype("<u4")
+                values = code.all().astype("<u4")
                 ids = [values[a : a + m].tobytes() for a, m in zip(first.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids.as_py(), b.schema.field(1).type.value_type), pa.array(first + start.as_py()), pa.array(n), pa.array(ids, pa.binary())],
@@ -174,18 +190,47 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_at(spark: SparkSession, path: str, places: list[int]) -> dict[int, int]:
-    """The ids at these global places; only the segments that hold them are read."""
-    found = {}
-    segments = _segments(spark, path)
-    for place in sorted(set(places)):
-        hit = segments.where((F.col("start") <= place) & (F.col("start") + F.col("n_tokens") > place)).select("start", "code").first()
-        if hit is None:
-            raise IndexError(place)
-        found[place] = int(Code.from_bytes(hit.code).take(np.array([place - hit.start]))[0])
-    return found
+    """The ids at these global places; only the segments that hold them are decoded.
+
+    One job for all places: ``parts`` says which parts hold them, and
+    the part is compared with a stored column, so other parts' files are skipped;
+    only the codes of segments that are hit are sent.
+    """
+    wanted = sorted(set(places))
+    parts = sorted(tuple(r) for r in spark.read.parquet(f"{path}/parts").collect())
+    hit, at = [], 0
+    for part, first, n in parts:
+        while at < len(wanted) and wanted[at] < first + n:
+            if wanted[at] < first:
+                break
+            hit.append((part, wanted[at] - first, wanted[at]))
+            at += 1
+    if at < len(wanted):
+        raise IndexError(wanted[at])
+    if not hit:
+        return {}
+    segments = spark.read.parquet(f"{path}/segments").where(F.col("part").isin(sorted({p for p, _, _ in hit})))
+    asked = F.broadcast(spark.createDataFrame(hit, "part int, place bigint, at bigint"))
+    # As many rows as places were asked for.
+    inside = (F.col("place") >= F.col("part_start")) & (F.col("place") < F.col("part_start") + F.col("n_tokens"))
+    found = segments.join(asked, "part").where(inside).groupBy("part", "segment").agg(F.first("code").alias("code"), F.collect_list(F.struct("at", F.col("place") - F.col("part_start"))).alias("asked"))
+
+    def run(batches):
+        for b in batches:
+            for raw, these in zip(b.column(2), b.column(3).to_pylist()):
+                at, place = zip(*(x.values() for x in these))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(Code.from_bytes(raw.as_py()).take(np.array(place)).astype(np.int64))], names=["at", "id"])
+
+    return {r.at: r.id for r in found.mapInArrow(run, "at bigint, id bigint").collect()}
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written as token files and read back.
+
+    Null and empty texts are the end id alone; repeated rows are separate
+    documents; ids are in the order of doc_id, ties by text; an empty table gives
+    no rows; long texts are encoded in parts.
+    """
     path = fresh_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_path("byte_bpe_50k.json"))
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
