@@ -79,3 +79,17 @@ def per_unit(metrics: DataFrame, unit: str) -> DataFrame:
         F.count_if(F.col("constant_target")).alias("constant_target"),
         F.count_if(F.col("constant_pred")).alias("constant_pred"),
     )
+
+
+def evaluate(rows: DataFrame, settings: list[str], unit: str, item: str, pred: str, target: str, mask: str) -> DataFrame:
+    """Per run settings: the metrics of all units (micro errors, mean and median correlation, counts).
+
+    A row is one cell of one run; every combination of ``settings`` is a run.
+    """
+    whole = F.struct(*settings, F.col(unit).alias("_unit"))
+    units = per_unit(masked_metrics(rows.withColumn("_run", whole), "_run", item, pred, target, mask), "_run")
+    n = F.sum("n")
+    return units.groupBy(*[F.col(f"_run.{s}").alias(s) for s in settings]).agg(
+        n.alias("n"), (F.sum("sse") / F.nullif(n, F.lit(0))).alias("mse"), F.sqrt(F.sum("sse") / F.nullif(n, F.lit(0))).alias("rmse"), (F.sum("sae") / F.nullif(n, F.lit(0))).alias("mae"),
+        F.avg("mean_pcc").alias("mean_pcc"), F.median("mean_pcc").alias("median_pcc"), F.count("*").alias("units"),
+    )

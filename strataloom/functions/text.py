@@ -159,6 +159,24 @@ def hash_of_map(m: Column, leave_out: Sequence[str] = ()) -> Column:
     return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(e.key, F.lit("="), e.value)), "&"), 256)
 
 
+def request_key(url: Column, params: Column, leave_out: Sequence[str] = ()) -> Column:
+    """sha256 of a URL and its parameters in key order, secrets left out."""
+    entries = F.array_sort(F.map_entries(F.map_filter(params, lambda k, v: ~k.isin(*leave_out))))
+    return F.sha2(F.concat(url, F.lit("?"), F.array_join(F.transform(entries, lambda e: F.concat(e.key, F.lit("="), e.value)), "&")), 256)
+
+
+def first_items(items: Column, most: int = 5, restyle: bool = False, separator: str = ", ") -> Column:
+    """The first items as one text; ``restyle`` gives each a capital (ASCII) and small letters."""
+
+    def styled(x: Column) -> Column:
+        # Only ASCII capitals: engines differ in the capital of a sharp s.
+        head = F.when(x.rlike("^[a-z]"), F.upper(F.substring(x, 1, 1))).otherwise(F.substring(x, 1, 1))
+        return F.concat(head, F.lower(F.substr(x, F.lit(2))))
+
+    first = F.slice(items, 1, most)
+    return F.array_join(F.transform(first, styled) if restyle else first, separator)
+
+
 def seed_of(seed: int, key: Column) -> Column:
     """First 8 bytes of sha256("seed|key"), little-endian, modulo 2^63 - 1."""
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), key), 256)

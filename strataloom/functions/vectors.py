@@ -14,14 +14,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _given(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
+
+    A lambda computes everything in it for every element, what it does not
+    depend on too; a value that is the element of an array of one is computed
+    before the lambda begins.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
 def normalize(v: Column) -> Column:
     """Unit length; the zero vector stays zero."""
-    n = norm(v)
-    return F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    return _given(norm(v), lambda n: F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -43,21 +52,27 @@ def two_view(a: Column, b: Column) -> Column:
     return normalize(add(a, b))
 
 
+def _shares(e: Column) -> Column:
+    """Non-negative entries divided by their sum."""
+    return _given(e, lambda e: _given(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total)))
+
+
 def softmax(v: Column) -> Column:
-    top = F.array_max(as_double(v))
-    e = F.transform(as_double(v), lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    return _shares(_given(F.array_max(as_double(v)), lambda top: F.transform(as_double(v), lambda x: F.exp(x - top))))
 
 
 def top_k_softmax(v: Column, k: int) -> Column:
     """Softmax over the k largest entries, 0 elsewhere; ties to the lower index."""
     keyed = F.transform(as_double(v), lambda x, i: F.struct((-x).alias("m"), i.alias("i")))
-    chosen = F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s.i)
-    top = F.array_max(as_double(v))
-    e = F.transform(as_double(v), lambda x, i: F.when(F.array_contains(chosen, i), F.exp(x - top)).otherwise(F.lit(0.0)))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    # The last of the chosen in the order (descending entry, index): all up to it are chosen.
+    last = _given(F.array_sort(keyed), lambda order: F.get(order, F.least(F.lit(k), F.size(order)) - 1))
+
+    def chosen(bound):
+        return F.transform(
+            as_double(v), lambda x, i: F.when((-x < bound.last.m) | ((-x == bound.last.m) & (i <= bound.last.i)), F.exp(x - bound.top)).otherwise(F.lit(0.0))
+        )
+
+    return _shares(_given(F.struct(last.alias("last"), F.array_max(as_double(v)).alias("top")), chosen))
 
 
 def guided_step(x: Column, cond: Column, free: Column, guidance: float, h: float) -> Column:

@@ -1,9 +1,9 @@
 """Joins by similarity and by place, and checked lookups.
 
-Vector joins are exact.  Both sides are cut into blocks by a hash of the id, as
-many as their sizes ask for; every pair of blocks is one small matrix product,
-and only the best or the sufficient pairs leave it.  No pair table is built, and
-nothing is broadcast.
+Vector joins are exact.  Both sides of a group are cut into blocks by a hash of
+the id, as many as the group's own sizes ask for; a task walks every pair of
+blocks in tiles, each a small matrix product, and only the best or the sufficient
+pairs leave it.  No pair table is built.
 """
 
 from __future__ import annotations
@@ -18,15 +18,18 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..storage import stored
 
-#: Vectors per block side: a product of two blocks takes 8 MB.
-BLOCK = 1024
+#: Vectors per block side, which a task holds, and per side of a tile: a product takes 32 MB.
+BLOCK = 16_384
+TILE = 2048
+#: Groups whose sizes may be broadcast (about 50 bytes each).
+BROADCAST_GROUPS = 200_000
 
 
 def lookup_one(df: DataFrame, key: str, value) -> DataFrame:
     """The rows with this key; an error when the query runs and there is none."""
-    hit = df.where(F.col(key) == F.lit(value))
+    hit = df.where(F.col(key) == F.lit(value)).withColumn("_ok", F.lit(1))
     n = hit.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > 0, 1).otherwise(F.raise_error(F.lit(f"no row with {key} = {value}"))).alias("_ok"))
-    return n.join(hit, F.col("_ok") == 1, "left").drop("_ok")
+    return n.join(hit, "_ok", "left").drop("_ok")
 
 
 def _unit(rows) -> np.ndarray:
@@ -44,12 +47,22 @@ def _side(df: DataFrame, key: Column, vector: Column, group: Column | None, attr
     ).where("v is not null")
 
 
-def _blocked(left: DataFrame, right: DataFrame, search, schema: str, block: int) -> DataFrame:
-    """``search(left block, right block)`` over all block pairs of equal groups."""
-    n_left, n_right = (max(1, math.ceil(x.count() / block)) for x in (left, right))
-    own = [x.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")) for x, n in ((left, n_left), (right, n_right))]
-    a = own[0].select("*", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("j"))
-    b = own[1].select("*", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("i"), F.col("b").alias("j"))
+def _blocked(left: DataFrame, right: DataFrame, search, schema: str, block: int, half: bool = False) -> DataFrame:
+    """``search(left block, right block)`` over all block pairs of equal groups.
+
+    A group of few rows is one pair of blocks, whatever the table's size.  With
+    ``half`` both sides are the same table, and of two mirrored pairs of blocks
+    one is searched.
+    """
+    sizes = [x.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for x, n in ((left, "nl"), (right, "nr"))]
+    grid = stored(sizes[0].join(sizes[1], "g"), "grid")
+    if grid.count() <= BROADCAST_GROUPS:
+        grid = F.broadcast(grid)
+    a, b = (x.join(grid, "g") for x in (left, right))
+    own = F.pmod(F.xxhash64("id"), F.col("nl")).cast("int")
+    a = a.select("g", "id", "a", "v", own.alias("i"), F.explode(F.sequence(own if half else F.lit(0), F.col("nr") - 1)).alias("j"))
+    other = F.pmod(F.xxhash64("id"), F.col("nr")).cast("int")
+    b = b.select("g", "id", "a", "v", F.explode(F.sequence(F.lit(0), other if half else F.col("nl") - 1)).alias("i"), other.alias("j"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
@@ -59,6 +72,14 @@ def _blocked(left: DataFrame, right: DataFrame, search, schema: str, block: int)
     return a.groupBy("g", "i", "j").cogroup(b.groupBy("g", "i", "j")).applyInPandas(run, schema)
 
 
+def _tiles(x: pd.DataFrame, y: pd.DataFrame):
+    """(rows of x, rows of y, similarities), tile after tile; y in order within x."""
+    p, q = _unit(x["v"]), _unit(y["v"])
+    for i in range(0, len(p), TILE):
+        for j in range(0, len(q), TILE):
+            yield slice(i, i + TILE), slice(j, j + TILE), p[i : i + TILE] @ q[j : j + TILE].T
+
+
 def knn(
     left: DataFrame, right: DataFrame, k: int, key: str, vector: str, right_key: str | None = None, right_vector: str | None = None,
     group: str | None = None, differ: str | None = None, include_self: bool = False, block: int = BLOCK,
@@ -67,24 +88,32 @@ def knn(
 
     Cosine similarity in double; ties go to the smaller neighbour id.  With
     ``group`` only rows of the same group meet; with ``differ`` only rows that
-    differ in that column.  Rows with a null vector take no part; a zero vector
-    has similarity 0 to all.
+    differ in that column.  Rows with a null vector or group take no part; a
+    zero vector has similarity 0 to all.
     """
     a = _side(left, F.col(key), F.col(vector), F.col(group) if group else None, F.col(differ) if differ else None)
     b = _side(right, F.col(right_key or key), F.col(right_vector or vector), F.col(group) if group else None, F.col(differ) if differ else None)
 
     def search(x, y):
         y = y.sort_values("id", kind="stable")
-        sim = _unit(x["v"]) @ _unit(y["v"]).T
-        ids, others = x["id"].to_numpy(), y["id"].to_numpy()
-        if not include_self:
-            sim[ids[:, None] == others[None, :]] = -np.inf
-        if differ:
-            sim[x["a"].to_numpy()[:, None] == y["a"].to_numpy()[None, :]] = -np.inf
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        s = np.take_along_axis(sim, best, axis=1).ravel()
-        out = pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "neighbour": others[best].ravel(), "sim": s})
-        return out[np.isfinite(s)]
+        ids, others, mine, theirs = x["id"].to_numpy(), y["id"].to_numpy(), x["a"].to_numpy(), y["a"].to_numpy()
+        out, best = [], None
+        for r, c, sim in _tiles(x, y):
+            if not include_self:
+                sim[ids[r, None] == others[None, c]] = -np.inf
+            if differ:
+                sim[mine[r, None] == theirs[None, c]] = -np.inf
+            # The k best of the tiles so far, which come in the order of neighbour ids.
+            at = np.broadcast_to(np.arange(len(others))[c], sim.shape)
+            if c.start:
+                sim, at = np.concatenate((best[0], sim), axis=1), np.concatenate((best[1], at), axis=1)
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(sim, top, axis=1), np.take_along_axis(at, top, axis=1)
+            if c.stop >= len(others):
+                s = best[0].ravel()
+                part = pd.DataFrame({"id": np.repeat(ids[r], top.shape[1]), "neighbour": others[best[1]].ravel(), "sim": s})
+                out.append(part[np.isfinite(s)])
+        return pd.concat(out)
 
     local = _blocked(a, b, search, "id long, neighbour long, sim double", block)
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
@@ -97,24 +126,68 @@ def threshold_pairs(
 ) -> DataFrame:
     """(a, b, sim) for all pairs with cosine similarity of at least ``least``.
 
-    ``unordered`` keeps a < b, for a self-join.  Rows with the same id never pair
-    with themselves in that case.
+    ``unordered`` is for a self-join (both sides the same table): each pair once,
+    a < b, none with itself.  The result is all pairs; where only their
+    components matter, ``threshold_stars`` has no more rows than the tables.
     """
     x = _side(left, F.col(key), F.col(vector), F.col(group) if group else None, F.col(differ) if differ else None)
     y = _side(right, F.col(right_key or key), F.col(right_vector or vector), F.col(group) if group else None, F.col(differ) if differ else None)
 
     def search(p, q):
-        sim = _unit(p["v"]) @ _unit(q["v"]).T
+        ids, others, mine, theirs = p["id"].to_numpy(), q["id"].to_numpy(), p["a"].to_numpy(), q["a"].to_numpy()
+        within = unordered and p["i"].iloc[0] == p["j"].iloc[0]
+        out = []
+        for r, c, sim in _tiles(p, q):
+            ok = sim >= least
+            if within:
+                ok &= ids[r, None] < others[None, c]
+            elif unordered:
+                ok &= ids[r, None] != others[None, c]
+            if differ:
+                ok &= mine[r, None] != theirs[None, c]
+            i, j = np.nonzero(ok)
+            a, b = ids[r][i], others[c][j]
+            out.append(pd.DataFrame({"a": np.minimum(a, b) if unordered else a, "b": np.maximum(a, b) if unordered else b, "sim": sim[i, j]}))
+        return pd.concat(out)
+
+    return _blocked(x, y, search, "a long, b long, sim double", block, half=unordered)
+
+
+def threshold_stars(df: DataFrame, least: float, key: str, vector: str, group: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(src, dst) edges with the connected components of all pairs of at least ``least``.
+
+    In every pair of blocks each row points to the smallest id that it is linked
+    with there, over any number of steps; pairs are never written.
+    """
+    left, right = (_side(df, F.col(key), F.col(vector), F.col(group) if group else None, None) for _ in range(2))
+
+    def search(p, q):
+        same = p["i"].iloc[0] == p["j"].iloc[0]
         ids, others = p["id"].to_numpy(), q["id"].to_numpy()
-        ok = sim >= least
-        if unordered:
-            ok &= ids[:, None] < others[None, :]
-        if differ:
-            ok &= p["a"].to_numpy()[:, None] != q["a"].to_numpy()[None, :]
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"a": ids[i], "b": others[j], "sim": sim[i, j]})
-
-    return _blocked(x, y, search, "a long, b long, sim double", block)
+        if same:  # one block on both sides: rows in one order
+            p, q, ids, others = (*(t.sort_values("id", kind="stable") for t in (p, q)), np.sort(ids), np.sort(others))
+        a, b = ids.copy(), ids if same else others.copy()
+        b = a if same else b  # with one block, both sides share their labels
+        changed = True
+        while changed:
+            changed = False
+            for r, c, sim in _tiles(p, q):
+                ok, most = sim >= least, np.iinfo(np.int64).max
+                while True:
+                    low = np.minimum(a[r], np.where(ok, b[None, c], most).min(axis=1))
+                    a_new = bool((low < a[r]).any())
+                    a[r] = low
+                    low = np.minimum(b[c], np.where(ok, a[r, None], most).min(axis=0))
+                    b_new = bool((low < b[c]).any())
+                    b[c] = low
+                    if not a_new and not b_new:
+                        break
+                    changed = True
+        src, dst = (ids, a) if same else (np.concatenate((ids, others)), np.concatenate((a, b)))
+        far = src != dst
+        return pd.DataFrame({"src": src[far], "dst": dst[far]})
+
+    return _blocked(left, right, search, "src long, dst long", block, half=True)
 
 
 def knn_agreement(df: DataFrame, k: int, key: str, vector: str, label: str) -> DataFrame:

@@ -50,3 +50,13 @@ def clean_view(
     for s, species in wanted_species.items():
         out = out.where((F.col("embedding_set") != s) | (F.col("species") == species))
     return out
+
+
+def dropped_ids(df: DataFrame, key: str, group: list[Column], order: list[Column]) -> DataFrame:
+    """The ids that deduplication drops: all of a group but the first in this order."""
+    return dedup_mapping(df, key, group, order).select(F.col("dropped").alias(key))
+
+
+def view_rows(df: DataFrame, flag: str) -> DataFrame:
+    """The rows whose flag is true; all rows if the table has no such column."""
+    return df.where(F.coalesce(F.col(flag), F.lit(False))) if flag in df.columns else df

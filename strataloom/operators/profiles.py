@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions import vectors as vx
+from ..storage import stored
 from . import ranking
 from .joins import ordered_pairs
 
+#: Profiles in a block, and profiles (one vector a group) that may be broadcast.
+PROFILES = 256
+BROADCAST_PROFILES = 4096
+
 
 def contrastive_scores(members: DataFrame, group: str, score: str, key: str, vector: str, concepts: DataFrame, concept: str, k: int) -> DataFrame:
     """(group, concept, score, rank): cosine of concepts with what sets a group apart.
@@ -23,9 +30,13 @@ def contrastive_scores(members: DataFrame, group: str, score: str, key: str, vec
     a = vx.centroid(top, group, "_u", unit=False).withColumnRenamed("centroid", "_top")
     b = vx.centroid(unit, group, "_u", unit=False).withColumnRenamed("centroid", "_all")
     profile = a.join(b, group).select(group, vx.normalize(vx.subtract(F.col("_top"), F.col("_all"))).alias("_p"))
-    by_group = profile.select(group, F.posexplode("_p").alias("pos", "x"))
-    by_concept = concepts.select(concept, F.posexplode(vx.normalize(F.col(vector))).alias("pos", "y"))
-    s = by_concept.join(by_group, "pos").groupBy(group, concept).agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("score"))
+    # The profiles are the queries, in blocks of ``PROFILES``; a concept meets each block once.
+    profile = stored(profile.where("_p is not null"), "profiles")
+    n = profile.count()
+    blocks = profile.groupBy(F.pmod(F.xxhash64(group), F.lit(max(1, math.ceil(n / PROFILES)))).alias("_b")).agg(F.collect_list(F.struct(group, "_p")).alias("_ps"))
+    own = concepts.select(concept, vx.normalize(F.col(vector)).alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, math.ceil(n / PROFILES)) - 1).cast("long"))).alias("_b")).where("_c is not null")
+    met = own.join(F.broadcast(blocks) if n <= BROADCAST_PROFILES else blocks, "_b").select(concept, "_c", F.explode("_ps").alias("_p"))
+    s = met.select(F.col(f"_p.{group}").alias(group), concept, F.round(vx.dot(F.col("_c"), F.col("_p._p")), 9).alias("score"))
     return ranking.ranked(s, [group], [F.desc("score"), F.col(concept)])
 
 

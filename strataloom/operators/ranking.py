@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     """1-based place within the group; ``order`` should end in an id."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def positions(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
+    """0-based place in the order of the whole table; ``order`` should end in an id.
+
+    Rows are sorted in ranges, and each range begins where the ones before it
+    end: a number per range goes through the driver, and no task has all rows.
+    """
+    ordered = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_at", 33).cast("int")
+    first, starts = 0, []
+    for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts.append((r.part, first))
+        first += r.n
+    # A row per range, so the broadcast grows with the partitions only.
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _first bigint"))
+    place = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn("_part", part).join(starts, "_part").withColumn(out, place).drop("_part", "_first", "_at")
+
+
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
     return ranked(df, group, order, out).where(F.col(out) <= n)
 

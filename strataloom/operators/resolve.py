@@ -21,11 +21,14 @@ def resolve(df: DataFrame, key: str, vector: str, tier: str, least: float, merge
     their connected components, named by the smallest id.  This is single
     linkage at a fixed threshold.
     """
-    edges = jo.threshold_pairs(df, df, least, key, vector, group=tier, unordered=True)
-    if mergeable is not None:
+    if mergeable is None:  # only the components of the links matter
+        edges = jo.threshold_stars(df, least, key, vector, group=tier)
+    else:
         a, b = df.alias("left"), df.alias("right")
-        edges = edges.join(a, F.col("a") == F.col(f"left.{key}")).join(b, F.col("b") == F.col(f"right.{key}")).where(mergeable).select("a", "b")
-    found = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        edges = jo.threshold_pairs(df, df, least, key, vector, group=tier, unordered=True)
+        edges = edges.join(a, F.col("a") == F.col(f"left.{key}")).join(b, F.col("b") == F.col(f"right.{key}")).where(mergeable)
+        edges = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = components(edges)
     own = df.select(F.col(key).cast("long").alias("node"))
     return own.join(found, "node", "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("cluster"))
 
@@ -90,6 +93,17 @@ def adjudicate(df: DataFrame, key: str, decision: str, decisions: DataFrame, pro
     return out.withColumn("verdict", verdict).drop("_keep", "_probe")
 
 
+def without_adjudicator(df: DataFrame, decision: str, fail: bool = False) -> DataFrame:
+    """What is left when nothing can be asked: ambiguous rows go, the rest is marked skipped.
+
+    ``fail`` makes that an error instead.  Rows with a null decision stay.
+    """
+    if fail:
+        raise RuntimeError("the adjudicator cannot be reached")
+    left = df.where(~F.coalesce(F.col(decision) == "ambiguous", F.lit(False)))
+    return left.withColumns({"answer": F.lit("skipped"), "confidence": F.lit("skipped"), "reason": F.lit(""), "probe": F.lit(False)})
+
+
 def greedy_match(pairs: DataFrame, left: str = "a", right: str = "b", sim: str = "sim") -> DataFrame:
     """One-to-one matching that sequential greedy by (sim, a, b) descending finds.
 

@@ -96,18 +96,9 @@ _PRIO = "CASE source WHEN 'src3' THEN 1 WHEN 'src0' THEN 2 WHEN 'src7' THEN 3 EL
 
 @query(
     "a09_pick_canonical",
-    f"SELECT cluster, id, label FROM (SELECT n_chars % 50 AS cluster, doc_id AS id, text[1:20] AS label, row_number() OVER (PARTITION BY n_chars % 50 ORDER BY {_PRIO}, length(text[1:20]), doc_id) AS r FROM documents) WHERE r = 1",
-)
-def a09(t):
-    d = t.documents.select((F.col("n_chars") % 50).alias("cluster"), "doc_id", F.substring("text", 1, 20).alias("label"), "source")
-    return ag.pick_canonical(d, "cluster", "doc_id", "label", "source", ["src3", "src0", "src7"])
-
-
-@query(
-    "a09_pick_canonical_all",
     f"SELECT cluster, id, label FROM (SELECT n_chars % 50 AS cluster, doc_id AS id, text AS label, row_number() OVER (PARTITION BY n_chars % 50 ORDER BY {_PRIO}, length(text), doc_id) AS r FROM documents) WHERE r = 1",
 )
-def a09_all(t):
+def a09(t):
     d = t.documents.select((F.col("n_chars") % 50).alias("cluster"), "doc_id", F.col("text").alias("label"), "source")
     return ag.pick_canonical(d, "cluster", "doc_id", "label", "source", ["src3", "src0", "src7"])
 
@@ -129,24 +120,6 @@ def a10(t):
 
 @query(
     "a11_mentions",
-    """WITH w AS (SELECT doc_id, i, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[i] AS form, lang FROM documents, unnest(range(1, 31)) AS t(i)),
-m AS (SELECT doc_id, doc_id * 100 + i AS pos, form, lower(form) AS k, lang FROM w WHERE form IS NOT NULL AND form <> ''),
-f AS (SELECT k, lang, form, count(*) AS n, min(pos) AS first FROM m GROUP BY ALL),
-p AS (SELECT k, lang, sum(n)::BIGINT AS n, count(*) AS forms FROM f GROUP BY ALL HAVING sum(n) >= 5),
-l AS (SELECT k, lang, form AS label FROM (SELECT *, row_number() OVER (PARTITION BY k, lang ORDER BY n DESC, length(form), first) AS r FROM f) WHERE r = 1),
-d AS (SELECT k, lang, doc_id, min(pos) AS first FROM m GROUP BY ALL),
-i AS (SELECT k, lang, string_agg(doc_id, ',' ORDER BY first) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY k, lang ORDER BY first, doc_id) AS r FROM d) WHERE r <= 10 GROUP BY ALL)
-SELECT k, lang, n, label, forms, ids FROM p JOIN l USING (k, lang) JOIN i USING (k, lang)""",
-)
-def a11(t):
-    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 30)
-    m = t.documents.select("doc_id", "lang", F.posexplode(words).alias("i", "form")).where("form <> ''")
-    m = m.select("doc_id", "lang", "form", F.lower("form").alias("k"), (F.col("doc_id") * 100 + F.col("i") + 1).alias("pos"))
-    return ag.mentions(m, "form", "k", "lang", "doc_id", "pos", 5, 10).select("k", "lang", "n", "label", "forms", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("ids"))
-
-
-@query(
-    "a11_mentions_all",
     """WITH t AS (SELECT doc_id, lang, source, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS words FROM documents),
 w AS (SELECT doc_id, lang, source, unnest(words) AS form, generate_subscripts(words, 1) AS i FROM t),
 m AS (SELECT doc_id, (doc_id, i) AS pos, form, lower(form) AS k, lang, source FROM w WHERE form <> ''),
@@ -158,7 +131,7 @@ i AS (SELECT k, lang, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM (SELEC
 q AS (SELECT k, lang, string_agg(source, ',' ORDER BY source) AS queries FROM (SELECT DISTINCT k, lang, source FROM m) GROUP BY ALL)
 SELECT k, lang, n, label, forms, ids, queries FROM p JOIN l USING (k, lang) JOIN i USING (k, lang) JOIN q USING (k, lang)""",
 )
-def a11_all(t):
+def a11(t):
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     m = t.documents.select("doc_id", "lang", "source", F.posexplode(words).alias("i", "form")).where("form <> ''")
     # (doc_id, i) as one long, which aggregates by hash; what would not fit is an error.

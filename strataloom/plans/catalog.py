@@ -7,7 +7,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-for _name in ("scalars", "filters", "joins", "aggregates", "ranking", "sets", "composites", "checks", "inputs"):
+for _name in ("scalars", "filters", "joins", "aggregates", "ranking", "sets", "composites", "checks", "inputs", "runs"):
     import_module(f"{__package__}.{_name}")
 
 

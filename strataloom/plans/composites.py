@@ -13,12 +13,19 @@ _SIM = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 _UNIT = "list_transform(embedding::double[], lambda x: x / sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y))))"
 
 
-@query("c01_label_embedding", "SELECT p_name, md5(p_name) AS h FROM (SELECT DISTINCT p_name FROM part)")
+_BYTES = ", ".join(f"('0x' || substr(h, {2 * i + 1}, 2))::INT - 127.5" for i in range(16))
+
+
+@query(
+    "c01_label_embedding",
+    f"""WITH e AS (SELECT DISTINCT p_name, sha256(p_name) AS h FROM part), v AS (SELECT p_name, [{_BYTES}]::DOUBLE[] AS v FROM e)
+SELECT p_name, i::INT AS i, round(v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS x FROM v, unnest(range(1, 17)) AS t(i)""",
+)
 def c01(t):
-    from ..sources.embedding import HashEmbedder, embed
+    from ..sources.embedding import DigestEmbedder, embed
 
-    out = embed(t.part.select("p_name").distinct(), "p_name", HashEmbedder(16))
-    return out.where(F.abs(vx.norm(F.col("embedding")) - 1) < 1e-6).select("p_name", F.md5(F.col("p_name").cast("binary")).alias("h"))
+    out = embed(t.part.select("p_name").distinct(), "p_name", DigestEmbedder(16))
+    return out.select("p_name", F.posexplode("embedding").alias("i", "x")).select("p_name", (F.col("i") + 1).alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query(
@@ -119,24 +126,47 @@ def _halves(t):
     return e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
 
 
-@query("c10_greedy_match")
+_HALVES = "l AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0), r AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1)"
+_PAIR = f"SELECT a.vec_id AS a, b.vec_id AS b, round({_SIM}, 6) AS sim FROM l a JOIN r b"
+
+
+def _greedy(name: str, pairs: str) -> str:
+    """Recursive SQL for sequential greedy: of the pairs in order, each is taken if both its ends are free."""
+    return f"""{name}_o AS (SELECT a, b, sim, row_number() OVER (ORDER BY sim DESC, a DESC, b DESC) AS n FROM ({pairs})),
+{name}_g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS sim
+ UNION ALL SELECT o.n, CASE WHEN free THEN list_concat(g.used, [o.a, o.b]) ELSE g.used END, CASE WHEN free THEN o.a END, CASE WHEN free THEN o.b END, CASE WHEN free THEN o.sim END
+ FROM {name}_g g JOIN (SELECT *, true AS t FROM {name}_o) o ON o.n = g.n + 1, LATERAL (SELECT NOT list_contains(g.used, o.a) AND NOT list_contains(g.used, o.b) AS free) f),
+{name} AS (SELECT a, b, sim FROM {name}_g WHERE a IS NOT NULL)"""
+
+
+_WITHIN = _greedy("w", f"{_PAIR} ON a.label = b.label WHERE {_SIM} >= 0.25")
+_ACROSS = _greedy("x", f"{_PAIR} ON a.label <> b.label WHERE {_SIM} >= 0.32 AND a.vec_id NOT IN (SELECT a FROM w) AND b.vec_id NOT IN (SELECT b FROM w)")
+_PHASES = f"WITH RECURSIVE {_HALVES}, {_WITHIN}, {_ACROSS}, m AS (SELECT a, b, sim, 'within' AS phase FROM w UNION ALL SELECT a, b, sim, 'across' FROM x)"
+
+
+@query("c10_greedy_match", f"WITH RECURSIVE {_HALVES}, {_greedy('w', f'{_PAIR} ON a.label = b.label WHERE {_SIM} >= 0.2')} SELECT * FROM w")
 def c10(t):
     left, right = _halves(t)
     pairs = jo.threshold_pairs(left, right, 0.2, "vec_id", "embedding", group="label").withColumn("sim", F.round("sim", 6))
     return resolve.greedy_match(pairs)
 
 
-@query("c11_two_phase_match")
+@query("c11_two_phase_match", _PHASES + " SELECT * FROM m")
 def c11(t):
     left, right = _halves(t)
     return resolve.two_phase_match(left, right, "vec_id", "embedding", "label", 0.25, 0.32, 6)
 
 
-@query("c12_merge_banks")
+@query(
+    "c12_merge_banks",
+    _PHASES
+    + """, b AS (SELECT vec_id, label, 'reference' AS bank, CASE WHEN vec_id IN (SELECT a FROM m) THEN 'matched' ELSE 'reference_only' END AS status FROM l
+UNION ALL SELECT vec_id, label, 'candidate', CASE WHEN vec_id IN (SELECT b FROM m) THEN 'matched' ELSE 'novel' END FROM r) SELECT bank, vec_id, label, status FROM b""",
+)
 def c12(t):
     left, right = _halves(t)
     m = resolve.two_phase_match(left, right, "vec_id", "embedding", "label", 0.25, 0.32, 6)
-    return resolve.merge_banks(left, right, m, "vec_id").groupBy("bank", "label", "status").agg(F.count("*").alias("n"))
+    return resolve.merge_banks(left, right, m, "vec_id").select("bank", "vec_id", "label", "status")
 
 
 @query(

@@ -1,20 +1,23 @@
 """Sources and sinks (S) on the driver tables, by round trips through files."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions import vectors as vx
 from ..sources import files, markup
-from ..storage import fresh_path
+from ..storage import fresh_path, stored
 from .registry import query
 
 
-@query("s01_typed_round_trip", "SELECT doc_id::VARCHAR AS source_id, lang AS candidate_tier, 2 AS n FROM documents")
+@query("s01_typed_round_trip", "SELECT doc_id::VARCHAR AS source_id, lang AS candidate_tier, 2 AS n, sha256(text) AS label FROM documents")
 def s01(t):
     raw = t.documents.select(
-        F.col("source").alias("source_name"), F.col("doc_id").cast("string").alias("source_id"), F.substring("text", 1, 20).alias("preferred_label"), F.array("source", "lang").alias("synonyms"),
+        F.col("source").alias("source_name"), F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("preferred_label"), F.array("source", "lang").alias("synonyms"),
         F.lit(None).cast("string").alias("definition"), F.array().cast("array<string>").alias("parent_ids"), F.col("lang").alias("candidate_tier"), F.create_map().cast("map<string,string>").alias("extra"),
     )
     files.write_table(raw, path := fresh_path(t.spark, "raw"), files.RAW_CONCEPTS)
-    return files.read_typed(t.spark, path, files.RAW_CONCEPTS).select("source_id", "candidate_tier", F.size("synonyms").alias("n"))
+    return files.read_typed(t.spark, path, files.RAW_CONCEPTS).select("source_id", "candidate_tier", F.size("synonyms").alias("n"), F.sha2("preferred_label", 256).alias("label"))
 
 
 @query("s03_concatenate_present", "SELECT count(*) AS n FROM nation")
@@ -46,11 +49,12 @@ def s09(t):
     return runs.select(F.regexp_replace("run", "^run=method_", "").alias("run"), "n", F.round("mse", 6).alias("mse"))
 
 
-@query("s10_vectors_with_sidecar", "SELECT count(*) AS n, 64 AS d FROM embeddings")
+@query("s10_vectors_with_sidecar", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 5) AS total, (SELECT count(*) FROM embeddings) AS n_rows, 64 AS d FROM embeddings")
 def s10(t):
-    record = files.write_with_sidecar(t.embeddings.select("vec_id", "embedding"), path := fresh_path(t.spark, "vectors"), "embedding")
-    back = t.spark.read.parquet(path)
-    return back.agg(F.count("*").alias("n")).withColumn("d", F.lit(record["D"]))
+    files.write_with_sidecar(t.embeddings.select("vec_id", "embedding"), path := fresh_path(t.spark, "vectors"), "embedding")
+    side = t.spark.read.schema("D int, n_rows bigint, created_at timestamp").json(f"{path}.json").where("created_at is not null").first()
+    total = F.aggregate(vx.as_double(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
+    return t.spark.read.parquet(path).select("vec_id", F.round(total, 5).alias("total"), F.lit(side.n_rows).alias("n_rows"), F.lit(side.D).alias("d"))
 
 
 @query("s12_log_parse", "SELECT event_id, event_type, value FROM events WHERE event_type <> 'view'")
@@ -97,7 +101,7 @@ def s15(t):
 
 @query("s15b_markup_extract", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS link FROM pages")
 def s15b(t):
-    return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<a href="([^"]*)"', 1).alias("link"))
+    return t.pages.select("page_id", markup.element(F.col("html"), "title").alias("title"), markup.attribute(F.col("html"), "a", "href").alias("link"))
 
 
 @query("s16_ontology_json", "SELECT 'http://x/' || p_partkey AS source_id, p_name AS preferred_label, 1 AS n_synonyms, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS definition FROM part WHERE p_partkey % 9 <> 0")
@@ -117,20 +121,25 @@ def s19(t):
 @query("s20_cache_key", "SELECT page_id, sha256(split_part(url, '?', 1) || '?page=1&ref=a') AS key FROM pages")
 def s20(t):
     params = F.create_map(*map(F.lit, ("ref", "a", "apikey", "secret", "page", "1")))
-    entries = F.array_sort(F.map_entries(F.map_filter(params, lambda k, v: k != "apikey")))
-    query_text = F.array_join(F.transform(entries, lambda e: F.concat(e.key, F.lit("="), e.value)), "&")
-    return t.pages.select("page_id", F.sha2(F.concat(F.split("url", r"\?")[0], F.lit("?"), query_text), 256).alias("key"))
+    return t.pages.select("page_id", tx.request_key(F.split("url", r"\?")[0], params, ["apikey"]).alias("key"))
 
 
-@query("s21_cache_miss_antijoin", "SELECT count(DISTINCT text) AS all_texts, count(DISTINCT CASE WHEN text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN text END) AS encoded FROM documents")
+@query(
+    "s21_cache_miss_antijoin",
+    """WITH d AS (SELECT sha256(text) AS text_hash, bool_or(doc_id % 2 = 0) AS cached FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT text_hash, NOT cached AS encoded, round((('0x' || substr(text_hash, 1, 2))::INT - 127.5) / (('0x' || substr(text_hash, 3, 2))::INT - 127.5), 2) AS ratio FROM d""",
+)
 def s21(t):
-    from ..sources.embedding import HashEmbedder, cached_embed, embed
+    from ..sources.embedding import DigestEmbedder, cached_embed, embed
 
-    e = HashEmbedder(8)
-    half = t.documents.where("doc_id % 2 = 0").select("text").distinct()
-    cache = embed(half, "text", e).select(F.sha2("text", 256).alias("text_hash"), "embedding")
+    e = DigestEmbedder(8)
+    # Half of the texts are in the cache already; only the others are encoded.
+    half = t.documents.where("doc_id % 2 = 0 and text is not null").select("text").distinct()
+    cache = stored(embed(half, "text", e).select(F.sha2("text", 256).alias("text_hash"), "embedding"), "cache")
     vectors, new = cached_embed(t.documents, "text", cache, e)
-    return vectors.agg(F.count("*").alias("all_texts")).join(new.agg(F.count("*").alias("encoded")))
+    asked = new.select("text_hash", F.lit(True).alias("encoded"))
+    ratio = F.element_at("embedding", 1).cast("double") / F.element_at("embedding", 2).cast("double")
+    return vectors.join(asked, "text_hash", "left").select("text_hash", F.coalesce("encoded", F.lit(False)).alias("encoded"), F.round(ratio, 2).alias("ratio"))
 
 
 @query("s23_split_files", "SELECT CASE WHEN n_nationkey < 20 THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM nation GROUP BY 1")
@@ -148,10 +157,15 @@ def s25(t):
     return t.spark.read.parquet(path)
 
 
-@query("p19_cache_stats", "SELECT 1 AS ok")
+@query("p19_cache_stats", "SELECT count(*) AS entries, sum(octet_length(encode(n_name)) + 1)::BIGINT AS bytes, 0 AS after FROM nation")
 def p19(t):
-    t.region.write.parquet(path := fresh_path(t.spark, "cache"))
-    return files.cache_stats(t.spark, path).select((F.col("entries") > 0).cast("int").alias("ok"))
+    names = [(r.n_nationkey, r.n_name) for r in t.nation.select("n_nationkey", "n_name").collect()]
+    folder = fresh_path(t.spark, "cache")
+    for k, name in names:  # one entry a request, as a cache of replies has them
+        files.write_text(t.spark, f"{folder}/{k % 3}/{k}.txt", name + "\n")
+    stats = stored(files.cache_stats(t.spark, folder), "stats")
+    files.invalidate(t.spark, folder)
+    return stats.withColumn("after", F.lit(int(files.exists(t.spark, folder))))
 
 
 def _bank(t):
@@ -168,11 +182,16 @@ def _bank(t):
     return Bank(c, p)
 
 
-@query("s02_empty_table", "SELECT 0::BIGINT AS n, 8 AS columns")
+_RAW = "source_name string, source_id string, preferred_label string, synonyms array<string>, definition string, parent_ids array<string>, candidate_tier string, extra map<string,string>"
+
+
+@query("s02_empty_table", "SELECT split_part(c, ' ', 1) AS name, split_part(c, ' ', 2) AS kind, 0::BIGINT AS n FROM (SELECT unnest(string_split('" + _RAW + "', ', ')) AS c)")
 def s02(t):
     files.write_table(t.spark.createDataFrame([], files.RAW_CONCEPTS), path := fresh_path(t.spark, "empty"), files.RAW_CONCEPTS)
     df = files.read_typed(t.spark, path, files.RAW_CONCEPTS)
-    return df.agg(F.count("*").alias("n")).withColumn("columns", F.lit(len(df.columns)))
+    n = df.count()  # the schema is that of the file, read without one
+    found = t.spark.read.parquet(path).schema.fields
+    return t.spark.createDataFrame([(f.name, f.dataType.simpleString(), n) for f in found], "name string, kind string, n bigint")
 
 
 @query("s04_bank_round_trip", "SELECT CASE WHEN p_size < 20 THEN 'H1' WHEN p_size < 40 THEN 'H2' ELSE 'H3' END AS tier, count(*) AS concepts, 2 * count(*) AS prompts, 'own' AS provenance FROM part GROUP BY ALL")
@@ -207,19 +226,28 @@ def s06(t):
     return bank.concepts.groupBy("tier").agg(F.count("*").alias("concepts"), F.count("organ").alias("organs")).join(prompts, "tier")
 
 
-@query("s24_idempotent_sink", "SELECT count(*) AS n FROM region")
+@query("s24_idempotent_sink", "SELECT r_regionkey AS k, r_name AS name, true AS refused FROM region")
 def s24(t):
     path = fresh_path(t.spark, "once")
     files.write_table(t.region, path)
     files.write_table(t.nation, path, mode="ignore")
-    return t.spark.read.parquet(path).agg(F.count("*").alias("n"))
+    try:
+        files.write_table(t.nation, path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return t.spark.read.parquet(path).select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"), F.lit(refused).alias("refused"))
 
 
-@query("s26_report", "SELECT 5 AS body_rows, true AS has_title")
+@query(
+    "s26_report",
+    """SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation WHERE n_nationkey < 20 UNION ALL SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region
+UNION ALL SELECT unnest(['# Coverage', '## regions', '## nations', '| r_regionkey | r_name |', '| n_nationkey | n_name |', '|---|---|', '|---|---|', '(the first 20 rows)'])""",
+)
 def s26(t):
-    text = files.report("Coverage", {"regions": t.region.orderBy("r_regionkey")})
-    df = t.spark.createDataFrame([(text,)], "text string").select(F.explode(F.split("text", "\n")).alias("line"))
-    return df.agg((F.count_if(F.col("line").startswith("| ")) - 1).cast("int").alias("body_rows"), (F.count_if(F.col("line") == "# Coverage") == 1).alias("has_title"))
+    tables = {"regions": t.region.orderBy("r_regionkey").select("r_regionkey", "r_name"), "nations": t.nation.orderBy("n_nationkey").select("n_nationkey", "n_name")}
+    files.write_text(t.spark, path := fresh_path(t.spark, "report") + ".md", files.report("Coverage", tables, 20))
+    return t.spark.read.text(path).select(F.col("value").alias("line")).where("line <> ''")
 
 
 @query("d14_hash_manifest", "SELECT 'hash' AS rule, 'gone.txt' AS key, 'missing' AS detail")

@@ -100,28 +100,13 @@ def j12(t):
     return jo.knn_agreement(t.embeddings, 10, "vec_id", "embedding", "label").select("id", F.round("agreement", 6).alias("agreement"))
 
 
-_POINTS = "SELECT event_type AS g, event_id AS id, (event_id * 7919 % 1009)::DOUBLE AS x, (user_id * 104729 % 997)::DOUBLE AS y FROM events WHERE event_id < 600"
-
-
 @query(
     "j13_spatial_knn",
-    f"""WITH p AS ({_POINTS}), d AS (SELECT a.g, a.id, b.id AS neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id)
-SELECT g AS "group", id, neighbour, d2, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY d2, neighbour) AS r FROM d) WHERE r <= 5""",
-)
-def j13(t):
-    p = t.events.where("event_id < 600").select(
-        F.col("event_type").alias("g"), F.col("event_id").alias("id"), (F.col("event_id") * 7919 % 1009).cast("double").alias("x"), (F.col("user_id") * 104729 % 997).cast("double").alias("y")
-    )
-    return jo.spatial_knn(p, 5, 100.0, "id", "g").withColumn("rank", F.col("rank").cast("long"))
-
-
-@query(
-    "j13_spatial_knn_all",
     """WITH p AS (SELECT event_type AS g, event_id AS id, (event_id * 7919 % 1009)::DOUBLE AS x, (user_id * 104729 % 997)::DOUBLE AS y FROM events),
 d AS (SELECT a.g, a.id, b.id AS neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id)
 SELECT g AS "group", id, neighbour, d2, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY d2, neighbour) AS r FROM d) WHERE r <= 5""",
 )
-def j13_all(t):
+def j13(t):
     p = t.events.select(
         F.col("event_type").alias("g"), F.col("event_id").alias("id"), (F.col("event_id") * 7919 % 1009).cast("double").alias("x"), (F.col("user_id") * 104729 % 997).cast("double").alias("y")
     )

@@ -96,13 +96,8 @@ def x08(t):
 
 @query("x09_first_items", "SELECT doc_id, array_to_string(list_transform(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:5], lambda x: CASE WHEN regexp_matches(x, '^[a-z]') THEN upper(x[1]) ELSE x[1] END || lower(x[2:])), ', ') AS head FROM documents")
 def x09(t):
-    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 5)
-    # Only ASCII capitals: engines differ in the capital of a sharp s.
-    def head(x):
-        return F.when(x.rlike("^[a-z]"), F.upper(F.substring(x, 1, 1))).otherwise(F.substring(x, 1, 1))
-
-    restyled = F.transform(words, lambda x: F.concat(head(x), F.lower(F.substr(x, F.lit(2)))))
-    return t.documents.select("doc_id", F.array_join(restyled, ", ").alias("head"))
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    return t.documents.select("doc_id", tx.first_items(words, 5, restyle=True).alias("head"))
 
 
 @query("x10_id_number", "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)', 1)::BIGINT AS n FROM customer")

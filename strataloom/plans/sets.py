@@ -16,35 +16,20 @@ def t02(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
 
 
-@query("t03_set_difference", "(SELECT doc_id, 'extra' AS side FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0))")
+@query("t03_set_difference", "(SELECT doc_id, 'extra' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))")
 def t03(t):
-    return sets.difference(t.documents.where("doc_id % 2 = 0"), t.labels, "doc_id")
-
-
-@query("t03_set_difference_all", "(SELECT doc_id, 'extra' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))")
-def t03_all(t):
     return sets.difference(t.documents, t.labels, "doc_id")
 
 
-@query(
-    "t04_bank_diff",
-    """WITH a AS (SELECT lower(text[1:12]) AS key, min(lang) AS before FROM documents WHERE source IN ('src0', 'src1') GROUP BY 1), b AS (SELECT lower(text[1:12]) AS key, min(lang) AS after FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1)
-SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'lost' WHEN a.key IS NULL THEN 'gained' ELSE 'changed' END AS change, before, after FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR before IS DISTINCT FROM after""",
-)
-def t04(t):
-    d, key = t.documents, F.lower(F.substring("text", 1, 12))
-    return sets.attribute_diff(d.where("source in ('src0', 'src1')"), d.where("source in ('src1', 'src2')"), key, "lang")
-
-
 _HALF = "ascii(right(coalesce(source, ''), 1)) % 2"
 
 
 @query(
-    "t04_bank_diff_all",
+    "t04_bank_diff",
     f"""WITH d AS (SELECT sha256(lower(text)) AS key, lang, {_HALF} AS half FROM documents), a AS (SELECT key, min(lang) AS before FROM d WHERE half = 0 GROUP BY 1), b AS (SELECT key, min(lang) AS after FROM d WHERE half <> 0 GROUP BY 1)
 SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'lost' WHEN a.key IS NULL THEN 'gained' ELSE 'changed' END AS change, before, after FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR before IS DISTINCT FROM after""",
 )
-def t04_all(t):
+def t04(t):
     d, key = t.documents.withColumn("half", F.expr(_HALF)), F.sha2(F.lower("text"), 256)
     return sets.attribute_diff(d.where("half = 0"), d.where("half <> 0"), key, "lang")
 
@@ -76,38 +61,27 @@ def t08(t):
     return sets.drop_category(t.documents.select("doc_id", "lang"), prompts, "doc_id", "lang", "fr")[2]
 
 
-_TOK = "SELECT p_partkey, p_name, p_size, p_brand, list_distinct([p_type, p_brand, split_part(p_name, ' ', 1)]) AS items FROM part WHERE p_partkey < 300"
-
-
 @query(
     "p04_merge_predicate",
-    f"""WITH p AS ({_TOK}) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey
-WHERE 1.0 - abs(a.p_size - b.p_size) / 50.0 >= 0.8 AND (NOT (starts_with(a.p_brand, 'Brand#1') AND starts_with(b.p_brand, 'Brand#1')) OR len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) >= 0.4)""",
+    """WITH p AS (SELECT p_partkey, p_name, p_size, p_brand, p_type, list_distinct([p_type, p_brand, split_part(p_name, ' ', 1)]) AS items FROM part),
+m AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey
+WHERE 1.0 - abs(a.p_size - b.p_size) / 50.0 >= 0.8 AND (NOT (starts_with(a.p_brand, 'Brand#1') AND starts_with(b.p_brand, 'Brand#1')) OR len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) >= 0.4))
+SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_size, p_brand, p_type) AS class, (SELECT count(*) FROM m WHERE m.a = p.p_partkey) AS n_links FROM p""",
 )
 def p04(t):
-    p = t.part.where("p_partkey < 300").select("p_partkey", "p_name", "p_size", "p_brand", F.array_distinct(F.array("p_type", "p_brand", F.split("p_name", " ")[0])).alias("items"))
-    a, b = p.alias("a"), p.alias("b")
-    sim = 1.0 - F.abs(F.col("a.p_size") - F.col("b.p_size")) / 50.0
-    ok = sets.may_merge(sim, 0.8, F.col("a.p_brand"), F.col("b.p_brand"), "Brand#1", F.col("a.items"), F.col("b.items"), 0.4)
-    return a.join(b, F.col("a.p_name") == F.col("b.p_name")).where(F.col("a.p_partkey") < F.col("b.p_partkey")).where(ok).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
-
-
-@query(
-    "p04_merge_predicate_all",
-    """WITH p AS (SELECT p_partkey, p_name, p_size, p_brand, list_distinct([p_type, p_brand, split_part(p_name, ' ', 1)]) AS items FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey
-WHERE 1.0 - abs(a.p_size - b.p_size) / 50.0 >= 0.8 AND (NOT (starts_with(a.p_brand, 'Brand#1') AND starts_with(b.p_brand, 'Brand#1')) OR len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) >= 0.4)""",
-)
-def p04_all(t):
-    p = t.part.select("p_partkey", "p_name", "p_size", "p_brand", F.array_distinct(F.array("p_type", "p_brand", F.split("p_name", " ")[0])).alias("items"))
-    # A similarity of 0.8 is at most 10 sizes apart, so only rows of these sizes meet, each two once: b has the size of a or a larger one.
-    a = p.withColumn("size", F.explode(F.sequence("p_size", F.col("p_size") + 10))).alias("a")
-    b = p.withColumn("size", F.col("p_size")).alias("b")
+    # Equal parts are one class with a weight: links are found between classes, and copies are never paired.
+    content = ["p_name", "p_size", "p_brand", "p_type"]
+    c = t.part.groupBy(*content).agg(F.min("p_partkey").alias("class"), F.count("*").alias("n"))
+    c = c.withColumn("items", F.array_distinct(F.array("p_type", "p_brand", F.split("p_name", " ")[0])))
+    # A similarity of 0.8 is at most 10 sizes apart, so only classes of these sizes meet.
+    a = c.withColumn("size", F.explode(F.sequence(F.col("p_size") - 10, F.col("p_size") + 10))).alias("a")
+    b = c.withColumn("size", F.col("p_size")).alias("b")
     sim = 1.0 - F.abs(F.col("a.p_size") - F.col("b.p_size")) / 50.0
     ok = sets.may_merge(sim, 0.8, F.col("a.p_brand"), F.col("b.p_brand"), "Brand#1", F.col("a.items"), F.col("b.items"), 0.4)
-    met = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.size") == F.col("b.size")))
-    met = met.where((F.col("a.p_size") < F.col("b.p_size")) | (F.col("a.p_partkey") < F.col("b.p_partkey"))).where(ok)
-    return met.select(F.least("a.p_partkey", "b.p_partkey").alias("a"), F.greatest("a.p_partkey", "b.p_partkey").alias("b"))
+    met = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.size") == F.col("b.size"))).where(ok)
+    links = met.groupBy(F.col("a.class").alias("class")).agg((F.sum("b.n") - 1).alias("n_links"))
+    rows = t.part.join(c.select(*content, "class"), content).join(links, "class")
+    return rows.select("p_partkey", "class", "n_links")
 
 
 @query("p08_label_vocabulary", "SELECT DISTINCT x AS label FROM (SELECT lang AS x FROM documents UNION ALL SELECT c_mktsegment FROM customer) ORDER BY 1")

@@ -56,6 +56,39 @@ def read_bank(spark: SparkSession, path: str, species: list[str] | None = None)
     return bank
 
 
+def _concept_rows(df: DataFrame, given: dict[str, Column], provenance: str) -> DataFrame:
+    from ..functions.text import blank_to_null
+
+    names = [x.split()[0] for x in files.CONCEPTS.split(", ")]
+    own = {n: blank_to_null(F.col(n)) if n in df.columns else F.lit(None).cast("string") for n in names}
+    own |= {"provenance": F.lit(provenance)} | given
+    return df.select(*[own[n].cast("string").alias(n) for n in names])
+
+
+def tiered_concepts(df: DataFrame, tier: str, provenance: str = "reference") -> DataFrame:
+    """Concepts of one tier from all-string rows with organ and level; they have no type."""
+    return _concept_rows(df, {"tier": F.lit(tier), "concept_type": F.lit(None)}, provenance)
+
+
+def typed_concepts(df: DataFrame, tier_by_type: dict[str, str], provenance: str = "reference") -> DataFrame:
+    """Concepts whose type says the tier, an unknown type being an error; they have no organ or level."""
+    from ..functions.text import map_or_fail
+
+    return _concept_rows(df, {"tier": map_or_fail(F.col("concept_type"), tier_by_type), "organ": F.lit(None), "level": F.lit(None)}, provenance)
+
+
+def prompt_rows(df: DataFrame, tiers: list[str], species: list[str], statuses: list[str]) -> DataFrame:
+    """Prompts from all-string rows (``hierarchy`` is the tier); values that are not listed are an error."""
+    from ..functions.text import map_or_fail
+
+    def one_of(column: str, values: list[str]) -> Column:
+        return map_or_fail(F.col(column), {v: v for v in values})
+
+    return df.select(
+        "concept_id", "concept_name", one_of("hierarchy", tiers).alias("tier"), one_of("species", species).alias("species"), "prompt_text", one_of("species_status", statuses).alias("species_status")
+    )
+
+
 def load_tsv_bank(spark: SparkSession, concept_files: list[str], prompt_file: str, tier_by_prefix: dict[str, str], legacy_status: dict[str, str]) -> Bank:
     """Concepts of several TSV files (columns may differ) and prompts of one.
 

@@ -31,6 +31,17 @@ class HashEmbedder:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+class DigestEmbedder:
+    """Unit vectors from the bytes of sha256, which SQL can compute as well."""
+
+    def __init__(self, dim: int = 8):
+        self.dim = dim
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        m = np.array([list(hashlib.sha256(t.encode()).digest()[: self.dim]) for t in texts], dtype=np.float64).reshape(-1, self.dim) - 127.5
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
     """Adds the vector of each text; a null text has a null vector."""
 

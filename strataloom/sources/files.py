@@ -82,10 +82,7 @@ def write_with_sidecar(df: DataFrame, path: str, vector: str, mode: str = "error
     if row.d != row.d0:
         raise ValueError("vectors of different dimensions")
     record = {"D": row.d, "n_rows": row.n, "created_at": datetime.now(timezone.utc).isoformat()}
-    fs, p = _filesystem(spark, f"{path.rstrip('/')}.json")
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps(record).encode()))
-    out.close()
+    write_text(spark, f"{path.rstrip('/')}.json", json.dumps(record))
     return record
 
 
@@ -107,17 +104,54 @@ def write_gene_sets(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write beside the target, then rename: readers see all or nothing."""
+    """Write beside the target, then rename; what was there is put back if that fails.
+
+    The old table is set aside and deleted only after the new one stands, so no
+    crash loses data: one that comes between the two renames leaves the old
+    table under ``path.before`` and the new one under ``path.staged``, and the
+    next call goes on from there.  Readers in that moment find no table, never
+    half of one.  Concurrent publishers of one path are the caller's to keep apart.
+    """
     spark = df.sparkSession
     fs, target = _filesystem(spark, path)
+    staged, before = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}") for x in ("staged", "before"))
+    if fs.exists(before) and not fs.exists(target) and not fs.rename(before, target):  # a crash between renames
+        raise OSError(f"could not restore {path}")
     if fs.exists(target) and not overwrite:
         raise FileExistsError(path)
-    staged = f"{path.rstrip('/')}.staged"
-    df.write.mode("overwrite").parquet(staged)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), target):
+    df.write.mode("overwrite").parquet(staged.toString())
+    fs.delete(before, True)
+    old = fs.exists(target)
+    if old and not fs.rename(target, before):
+        raise OSError(f"could not set {path} aside")
+    if not fs.rename(staged, target):
+        if old:
+            fs.rename(before, target)
         raise OSError(f"could not publish {path}")
+    fs.delete(before, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any store that Spark knows; it replaces an older one."""
+    fs, p = _filesystem(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_vectors(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:
+    """(position, id, vector) of a vector table: the rows of a matrix in the order of the id.
+
+    Rows of another dimension than the first's are an error; null vectors have
+    no row.  The matrix stays a table: positions are given without gathering it.
+    """
+    from ..operators.ranking import positions
+
+    rows = spark.read.parquet(path).select(F.col(key).alias("id"), F.col(vector).alias("vector")).where("vector is not null")
+    d = rows.select(F.size("vector").alias("d")).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).first()
+    if d.lo != d.hi:
+        raise ValueError(f"vectors of dimensions {d.lo} to {d.hi}")
+    return positions(rows, [F.col("id")], "position").select("position", "id", "vector")
 
 
 def read_splits(spark: SparkSession, files: dict[str, str]) -> DataFrame:
@@ -132,6 +166,12 @@ def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).agg(F.count("*").alias("entries"), F.sum("length").alias("bytes"))
 
 
+def invalidate(spark: SparkSession, folder: str, entry: str | None = None) -> bool:
+    """Delete an entry of a cache folder, or all of it; whether there was one."""
+    fs, p = _filesystem(spark, f"{folder}/{entry}" if entry else folder)
+    return fs.delete(p, True)
+
+
 def report(title: str, tables: dict[str, DataFrame], rows: int = 50) -> str:
     """Markdown of small summary tables; longer ones are cut at ``rows`` and say so."""
     out = [f"# {title}"]

@@ -16,6 +16,16 @@ ARTICLE = (
 CLASS = "struct<`@id`:string,prefLabel:string,synonym:array<string>,definition:array<string>,parents:array<struct<`@id`:string>>>"
 
 
+def element(markup: Column, name: str) -> Column:
+    """The text of the first element of this name that holds text only; empty if there is none."""
+    return F.regexp_extract(markup, rf"<{name}(?:\s[^>]*)?>([^<]*)</{name}>", 1)
+
+
+def attribute(markup: Column, name: str, key: str) -> Column:
+    """The value of this (double-quoted) attribute where an element of this name first has it."""
+    return F.regexp_extract(markup, rf'<{name}(?:\s[^>]*)?\s{key}="([^"]*)"', 1)
+
+
 def search_results(df: DataFrame, xml: str) -> DataFrame:
     """Adds count, ids, web_env, query_key and error of a search reply."""
     def text(path: str) -> Column:
