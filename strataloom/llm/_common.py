@@ -77,7 +77,3 @@ def append_columns(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [*batch.columns, *columns.values()], names=[*batch.schema.names, *columns]
     )
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Nothing: ``slices`` bounds what an operator holds."""

@@ -14,15 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import append_columns, bounded_batches, fresh, remainder, table
+from ._common import PART, append_columns, fresh, remainder, slices, table, text_parts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
 #: Training rows per class at most (in expectation): a hash of the id selects them.
 ROWS_PER_CLASS = 5_000
-#: Classes at most: the most frequent ones. 256 x 65,536 floats are 64 MB.
-CLASSES = 256
+#: Labels counted in one pass: a task's counts take 512 KB a label.
+CLASSES = 64
+#: Bytes of the table's rows that are gathered at a time.
+GATHER = 32 << 20
+#: Characters that are worked on at a time (about 60 bytes of arrays each).
+GROUP = 1 << 19
 #: n-grams that a text's evidence counts for at most, so that scores of long
 #: texts stay comparable.
 EVIDENCE = 50.0
@@ -79,6 +83,25 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.nda
     return out, starts, has
 
 
+def pieces_of(texts: list[str | None], part: int = PART, group: int = GROUP):
+    """(pieces, numbers of their texts) of about ``group`` characters at a time.
+
+    Texts longer than ``part`` are cut before white space; the n-grams of the
+    parts are those of the text but for a border at each cut.
+    """
+    pieces, owner, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in text_parts(text, part):
+            if pieces and size + len(piece) > group:
+                yield pieces, owner
+                pieces, owner, size = [], [], 0
+            pieces.append(piece)
+            owner.append(i)
+            size += len(piece)
+    if pieces:
+        yield pieces, owner
+
+
 class Model:
     """Classes and their log probabilities, (buckets, classes) float32."""
 
@@ -88,19 +111,25 @@ class Model:
         self.table = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        if not texts:
+        """The best class and its posterior for each text; "und" and 0 without a letter."""
+        total, n = np.zeros((len(texts), len(self.classes))), np.zeros(len(texts))
+        has = np.zeros(len(texts), dtype=bool)
+        step = max(1, GATHER // (4 * len(self.classes)))
+        for pieces, owner in pieces_of(texts):
+            orders, first, letters = grams(pieces)
+            sums = np.zeros((len(pieces), len(self.classes)))
+            for g in orders:
+                for i in range(0, len(g), step):  # bounded temporary
+                    part = self.table[g[i : i + step]]
+                    at = np.searchsorted(first, i, side="right") - 1
+                    stop = np.searchsorted(first, i + len(part), side="left")
+                    cuts = np.maximum(first[at:stop] - i, 0)
+                    sums[at:stop] += np.add.reduceat(part, cuts, axis=0, dtype=np.float64)
+            np.add.at(total, owner, sums)
+            np.add.at(n, owner, np.diff(np.concatenate((first, [len(orders[0])]))) * len(orders))
+            np.logical_or.at(has, owner, letters)
+        if not len(texts):
             return [], np.empty(0)
-        orders, first, has = grams(texts)
-        total = np.zeros((len(texts), len(self.classes)))
-        for g in orders:
-            step = max(1, (CLASSES << 20) // max(CLASSES, len(self.classes)))
-            for i in range(0, len(g), step):  # bounded temporary
-                part = self.table[g[i : i + step]]
-                at = np.searchsorted(first, i, side="right") - 1
-                stop = np.searchsorted(first, i + len(part), side="left")
-                cuts = np.maximum(first[at:stop] - i, 0)
-                total[at:stop] += np.add.reduceat(part, cuts, axis=0, dtype=np.float64)
-        n = np.diff(np.concatenate((first, [len(orders[0])]))) * len(orders)
         z = total * (np.minimum(n, EVIDENCE) / n)[:, None]
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -116,9 +145,10 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", doc_id:
     ``rows_per_class`` rows is thinned by a hash of the id to about that many;
     each class then weighs the same.  Every label is a class; they are counted
     ``classes`` at a time, so a task's counts are bounded.  The table takes
-    256 KB a class.  None if no row is left.
+    256 KB a class.  Repeated rows count as often as they occur; empty texts add
+    nothing but a border; a null id is drawn like any other.  None if no row is
+    left, as with an empty table.
     """
-    bounded_batches(labelled.sparkSession)
     own = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id")
     )
@@ -139,13 +169,13 @@ def _count(own: DataFrame, sizes: list, rows_per_class: int) -> tuple[list[str],
 
     def count(batches):
         sums = np.zeros((len(names), BUCKETS), dtype=np.int64)
-        for b in batches:
-            orders, first, _ = grams(b.column(1).to_pylist())
-            if not len(first):
-                continue
-            whose = np.repeat([number[x] for x in b.column(0).to_pylist()], np.diff(np.concatenate((first, [len(orders[0])]))))
-            for g in orders:
-                sums += np.bincount(whose * BUCKETS + g, minlength=len(names) * BUCKETS).reshape(sums.shape)
+        for b in slices(batches, 1):
+            labels = np.array([number[x] for x in b.column(0).to_pylist()])
+            for pieces, owner in pieces_of(b.column(1).to_pylist()):
+                orders, first, _ = grams(pieces)
+                whose = np.repeat(labels[owner], np.diff(np.concatenate((first, [len(orders[0])]))))
+                for g in orders:
+                    sums += np.bincount(whose * BUCKETS + g, minlength=len(names) * BUCKETS).reshape(sums.shape)
         which, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(which * BUCKETS + bucket), pa.array(sums[which, bucket])], names=["cell", "n"])
 
@@ -159,11 +189,10 @@ def predict(docs: DataFrame, model: Model | None, lang: str, score: str, text: s
     """``docs`` with the predicted label and its score (0 to 1) as two more columns.
 
     Null texts and texts without a letter are "und" with score 0, and so is all
-    without a model.  Ties go to the alphabetically first label.  Rows and
-    other columns stay as they are.
+    without a model.  Ties go to the alphabetically first label.  Rows, repeated
+    ones too, and other columns stay as they are; no rows give no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast((model.classes, model.table) if model else None)
     index = docs.columns.index(text)
 
@@ -171,7 +200,7 @@ def predict(docs: DataFrame, model: Model | None, lang: str, score: str, text: s
         m = Model.__new__(Model)
         if shipped.value:
             m.classes, m.table = shipped.value
-        for b in batches:
+        for b in slices(batches, index):
             texts = b.column(index).to_pylist()
             names, scores = m.predict(texts) if shipped.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield append_columns(b, **{lang: pa.array(names, pa.string()), score: pa.array(scores, pa.float64())})
@@ -184,7 +213,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5, label: str = "lang", te
     """The rows of ``docs`` whose language is found with at least this score.
 
     The model learns from the labels of ``docs`` itself.  Without any label
-    nothing can be told, and nothing is rejected but texts without a letter.
+    nothing can be told, and nothing is rejected but texts without a letter
+    (null and empty ones too).  A null label or id does not matter for a row's
+    own fate; repeated rows share theirs; no rows give no rows.
     """
     model = train(docs, label, text, doc_id)
     lang, score = fresh("lang_pred", docs), fresh("lang_score", docs)
@@ -194,6 +225,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5, label: str = "lang", te
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the labels that are not held out.
+
+    Null and empty texts, and texts without a letter, are "und" with score 0; a
+    null id is not held out; repeated rows stay; an empty table gives no rows;
+    whole texts are scored, long ones in parts.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = train(docs.where(~held_out))

@@ -16,16 +16,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, append_columns, bounded_batches, fresh, stored, table
+from ._common import ASCII_SPACE, append_columns, fresh, slices, stored, table
 
 RISK = 0.02
 ERROR = 0.05
 #: Cutoffs tried: GRID, GRID - 1, ... in GRID-ths.
 GRID = 100
+#: Words beyond which a text's windows are compared as numbers.
+LONG = 200_000
 SYMBOLS = "#*$%&|<>"
 #: Where a signal starts to count, and where it is as bad as can be.
 SCALES = {"symbols": (0.05, 1.0), "repeats": (0.1, 0.5), "lines": (0.1, 0.8), "upper": (0.2, 1.0)}
@@ -34,6 +37,34 @@ KIND = pa.struct([(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols"
 KIND_SQL = "struct<" + ",".join(f"{f.name}:bigint" for f in KIND) + ">"
 
 
+def repeated_words(words: list[bytes]) -> int:
+    """Words in a window of three that occurs twice or more."""
+    if len(words) <= 3:
+        return 0
+    if len(words) > LONG:  # numbers for words keep a very long text small
+        names: dict[bytes, int] = {}
+        ids = np.fromiter((names.setdefault(w, len(names)) for w in words), dtype=np.int64, count=len(words))
+        pair = np.unique(ids[:-1] * len(names) + ids[1:], return_inverse=True)[1]
+        _, which, n = np.unique(pair[:-1] * len(names) + ids[2:], return_inverse=True, return_counts=True)
+        twice = n[which] > 1
+        hit = np.zeros(len(words), dtype=bool)
+        for j in range(3):
+            hit[j : j + len(twice)] |= twice
+        return int(hit.sum())
+    triples = list(zip(words, words[1:], words[2:]))
+    if len(set(triples)) == len(triples):
+        return 0
+    once, twice, repeats = set(), set(), 0
+    for t in triples:
+        (twice if t in once else once).add(t)
+    covered = -1  # last word counted
+    for i, t in enumerate(triples):
+        if t in twice:
+            repeats += i + 2 - max(covered, i - 1)
+            covered = i + 2
+    return repeats
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """The counts of one text, in the order of ``KIND``."""
     if not text:
@@ -43,29 +74,17 @@ def measure(text: str | None) -> tuple[int, ...]:
     spaces = sum(map(text.count, ASCII_SPACE))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x.strip(ASCII_SPACE)]
-    repeats = 0
-    if n > 3:
-        triples = list(zip(raw, raw[1:], raw[2:]))
-        once, twice = set(), set()
-        if len(set(triples)) < len(triples):
-            for t in triples:
-                (twice if t in once else once).add(t)
-            covered = -1  # last word counted
-            for i, t in enumerate(triples):
-                if t in twice:
-                    repeats += i + 2 - max(covered, i - 1)
-                    covered = i + 2
+    repeats = repeated_words(raw)
     upper = sum(map(bytes.isupper, raw))
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeats, len(lines), upper
 
 
 def with_signals(docs: DataFrame, column: str, text: str = "text") -> DataFrame:
     """``docs`` with the counts of its whole texts as one more struct column."""
-    bounded_batches(docs.sparkSession)
     index = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, index):
             rows = [measure(t) for t in b.column(index).to_pylist()]
             fields = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(KIND))]
             yield append_columns(b, **{column: pa.StructArray.from_arrays(fields, fields=list(KIND))})
@@ -115,17 +134,25 @@ def cutoff(rejected: list[int], n: int, risk: float, error: float) -> int | None
     return best
 
 
+def stratum_key(column: str | None) -> Column:
+    """A text per stratum; null is one of its own, apart from the empty text."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit("null")) if column else F.lit("all")
+
+
 def calibrate(scores: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """(stratum, n_good, cutoff) from ``scores`` (doc_id, stratum, bad) and labels.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); other and null values do
-    not count, and a repeated id counts once, as good if any of its labels is.
+    not count, and a repeated id counts once, as good if any of its labels is,
+    and with the worst badness of its rows: trials must not depend on each other.
+    Null ids are no trials.
     Texts that fail the base rules should not be in ``scores``: they are not
     this rule's to reject.
     """
     good = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     # One row per stratum and badness: at most GRID + 1 rows for a stratum.
-    counts = stored(scores.join(good, "doc_id", "left_semi").groupBy("stratum", "bad").agg(F.count("*").alias("n")), "calibration")
+    trials = scores.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("bad", "stratum")).alias("t")).select("t.*")
+    counts = stored(trials.groupBy("stratum", "bad").agg(F.count("*").alias("n")), "calibration")
     strata = counts.select("stratum").distinct().count()
     level = error / max(1, strata)
 
@@ -149,7 +176,7 @@ def judge(docs: DataFrame, labels: DataFrame, signals: str, kept: str, doc_id: s
     """
     measured = stored(with_signals(docs, signals, text), "signals")
     s = F.col(f"`{signals}`")
-    group = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
+    group = stratum_key(stratum)
     scores = measured.where(~base_failed(s)).select(F.col(doc_id).alias("doc_id"), group.alias("stratum"), badness(s).alias("bad"))
     cut, key = fresh("cutoff", measured), fresh("stratum_key", measured)
     found = calibrate(scores, labels, risk, error).where("cutoff is not null").select(F.col("stratum").alias(key), F.col("cutoff").alias(cut))
@@ -159,20 +186,28 @@ def judge(docs: DataFrame, labels: DataFrame, signals: str, kept: str, doc_id: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
+    """The rows of ``docs`` that are kept, with the columns of ``docs``.
+
+    Null and empty texts go, for they have no words; repeated rows share their
+    fate; null ids and strata are judged like any other; no rows give no rows.
+    """
     signals, kept = fresh("signals", docs), fresh("kept", docs)
     return judge(docs, labels, signals, kept, **options).where(F.col(kept)).select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict; strata are languages.
+
+    Null and empty texts have no words and fail; repeated rows stay; an empty
+    table gives no rows; whole texts are counted, however long.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    bounded_batches(spark)
     # The text itself is not needed after its counts.
     measured = stored(with_signals(docs, "s").select("doc_id", "lang", "s"), "signals")
-    scores = measured.where(~base_failed(F.col("s"))).select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), badness(F.col("s")).alias("bad"))
+    scores = measured.where(~base_failed(F.col("s"))).select("doc_id", stratum_key("lang").alias("stratum"), badness(F.col("s")).alias("bad"))
     found = calibrate(scores, table(spark, sf_dir, "labels"))
     failed = base_failed(F.col("s"))
-    return measured.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(found, "stratum", "left").select(
+    return measured.withColumn("stratum", stratum_key("lang")).join(found, "stratum", "left").select(
         "doc_id",
         *[F.col(f"s.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import append_columns, bounded_batches, fresh, stored, table
+from ._common import PART, append_columns, fresh, slices, stored, table, text_parts
 
 SHINGLE = 3
 SEED = 42
@@ -37,58 +37,83 @@ GROUP = 4096
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprints(texts: list[str | None], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """A uint64 per text: bit set if set in over half of the shingle hashes."""
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    for i, text in enumerate(texts):
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            continue
-        if len(words) <= shingle:
-            hashes.append(digest(b" ".join(words), seed))
-            counts[i] = 1
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-shingle])).tolist()
-        stops = (ends[shingle - 1 :] - 1).tolist()
-        hashes += [digest(joined[a:b], seed) for a, b in zip(starts, stops)]
-        counts[i] = len(starts)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    h = np.array(hashes, dtype=np.uint64)
-    n = counts[full]
-    # Eight bit counters share a word; runs of 255 shingles cannot overflow one.
-    first = np.concatenate(([0], np.cumsum(n)[:-1]))
-    runs = -(-n // 255)
+def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> list[int]:
+    """The hash of each shingle of at least ``shingle`` words."""
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-shingle])).tolist()
+    stops = (ends[shingle - 1 :] - 1).tolist()
+    return [digest(joined[a:b], seed) for a, b in zip(starts, stops)]
+
+
+def bit_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set in each run of hashes; no run is empty.
+
+    Eight bit counters share a word; runs of 255 hashes cannot overflow one.
+    """
+    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    runs = -(-counts // 255)
     run_first = np.concatenate(([0], np.cumsum(runs)[:-1]))
     within = np.arange(runs.sum()) - np.repeat(run_first, runs)
     at = np.repeat(first, runs) + 255 * within
-    value = np.zeros(len(full), dtype=np.uint64)
+    out = np.empty((len(counts), 64), dtype=np.int64)
     for j in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(j)) & _LANES, at)
-        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), run_first, axis=0)
-        for lane in range(8):
-            value |= (2 * ones[:, lane] > n).astype(np.uint64) << np.uint64(8 * lane + j)
-    out[full] = value
+        lanes = np.add.reduceat((hashes >> np.uint64(j)) & _LANES, at)
+        out[:, j::8] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), run_first, axis=0)
     return out
 
 
+def fingerprints(texts: list[str | None], shingle: int = SHINGLE, seed: int = SEED, part: int = PART) -> np.ndarray:
+    """A uint64 per text: bit set if set in over half of the shingle hashes.
+
+    A long text is hashed in parts of ``part`` characters, each with the last
+    words of the one before; counts of bits are added up.
+    """
+    ones, total = np.zeros((len(texts), 64), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    hashes: list[int] = []
+    owner, counts = [], []
+
+    def flush():
+        if hashes:
+            n = np.array(counts)
+            np.add.at(ones, owner, bit_counts(np.array(hashes, dtype=np.uint64), n))
+            np.add.at(total, owner, n)
+            for x in (hashes, owner, counts):
+                x.clear()
+
+    for i, text in enumerate(texts):
+        carry: list[bytes] = []
+        shingled = False
+        for piece in text_parts(text, part):
+            words = carry + piece.encode("utf-8", "surrogatepass").lower().split()
+            if len(words) >= shingle:
+                found = shingle_hashes(words, shingle, seed)
+                hashes += found
+                owner.append(i)
+                counts.append(len(found))
+                shingled = True
+            carry = words[-(shingle - 1) :] if shingle > 1 else []
+            if len(hashes) > part:
+                flush()
+        if carry and not shingled:  # fewer words than a shingle
+            hashes.append(xxhash.xxh64_intdigest(b" ".join(carry), seed))
+            owner.append(i)
+            counts.append(1)
+    flush()
+    # Bit j of byte l is column 8 l + j.
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
 def with_fingerprint(docs: DataFrame, text: str, column: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``docs`` and the fingerprint as a (signed) long.
 
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer words than a
     shingle are one shingle; no words (null, empty) give zero.
     """
-    bounded_batches(docs.sparkSession)
     index = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, index):
             yield append_columns(b, **{column: pa.array(fingerprints(b.column(index).to_pylist(), shingle, seed).view(np.int64))})
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(column)).schema)
@@ -151,7 +176,6 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, gro
     The edges have the connected components of the full graph; they are not all
     of its pairs.
     """
-    bounded_batches(prints.sparkSession)
     masks = block_masks(blocks, distance)
     keys = prints.select(
         "fp",
@@ -233,5 +257,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document.
+
+    Null and empty texts have fingerprint zero and are linked like any other;
+    repeated rows stay; an empty table gives no rows; long texts are hashed in
+    parts.
+    """
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import append_columns, bounded_batches, remainder, table
+from ._common import PART, append_columns, remainder, slices, table, text_parts
 
 BUCKETS = 1 << 20
 #: Rows to learn from at most (in expectation), chosen by a hash of the id.
@@ -45,10 +45,22 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (f"w {w}", *(f"p {w[:n]}" for n in PREFIXES if len(w) >= n))]
 
 
+def tokens_of(text: str | None) -> set[str]:
+    """The distinct tokens of a whole text; a long one is split in parts."""
+    if not text:
+        return set()
+    if len(text) <= PART:
+        return set(text.split())
+    out: set[str] = set()
+    for part in text_parts(text):
+        out.update(part.split())
+    return out
+
+
 def document(text: str | None) -> dict[int, int]:
     """Feature -> number of distinct tokens that have it."""
     out: dict[int, int] = {}
-    for token in set((text or "").split()):
+    for token in tokens_of(text):
         for f in features(token):
             out[f] = out.get(f, 0) + 1
     return out
@@ -126,7 +138,7 @@ class Model:
         out = np.empty(len(texts))
         get = cache.get
         for i, text in enumerate(texts):
-            tokens = set((text or "").split())
+            tokens = tokens_of(text)
             values = list(map(get, tokens))
             if None in values:
                 if len(cache) > CACHE:
@@ -154,9 +166,10 @@ def _thinned(df: DataFrame, n: int, most: int) -> DataFrame:
 def train(docs: DataFrame, toxic_ids: DataFrame, prior: float, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """Learn from ``docs`` (doc_id, text) and the ids of confirmed toxic rows.
 
-    Null texts count as empty.  None if no positive is left.
+    Null texts count as empty; null ids and ids without a text are not used;
+    repeated rows count as often as they occur.  None if no positive is left, as
+    with an empty table.  ``prior`` is the share of toxic texts.
     """
-    bounded_batches(docs.sparkSession)
     known = toxic_ids.select("doc_id").where("doc_id is not null").distinct()
     n_pos, n_all = known.count(), docs.select("doc_id").count()
     if not n_pos:
@@ -170,7 +183,7 @@ def train(docs: DataFrame, toxic_ids: DataFrame, prior: float, positives: int =
     def count(batches):
         sums = np.zeros((2, BUCKETS), dtype=np.int32)
         seen = [0, 0]
-        for b in batches:
+        for b in slices(batches, 1):
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sums[y, list(document(text))] += 1
                 seen[y] += 1
@@ -191,7 +204,7 @@ def train(docs: DataFrame, toxic_ids: DataFrame, prior: float, positives: int =
     place = {b: i for i, b in enumerate(chosen.tolist())}
 
     def project(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             kept = [{place[f]: c for f, c in document(t).items() if f in place} for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([sorted(k) for k in kept], pa.list_(pa.int32())), pa.array([[k[f] for f in sorted(k)] for k in kept], pa.list_(pa.int32()))],
@@ -217,17 +230,17 @@ def score(docs: DataFrame, model: Model | None, column: str = "score", text: str
     """``docs`` with a score from 0 to 1 as one more column.
 
     Null and empty texts have the score of no evidence; without a model all
-    scores are 0.  Rows and other columns stay as they are.
+    scores are 0.  Rows, repeated ones too, and other columns stay as they are;
+    no rows give no rows.  Scores of equal texts are equal.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     index = docs.columns.index(text)
 
     def run(batches):
         cache: dict[str, float] = {}
         m = shipped.value
-        for b in batches:
+        for b in slices(batches, index):
             texts = b.column(index).to_pylist()
             yield append_columns(b, **{column: pa.array(m.score(texts, cache) if m else np.zeros(len(texts)), pa.float64())})
 
@@ -235,6 +248,13 @@ def score(docs: DataFrame, model: Model | None, column: str = "score", text: str
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learnt from the labels that are not held out.
+
+    The class prior is the share of toxic rows among the labelled ones, and at
+    least 0.01 and at most 0.9: with a prior of 0 or 1 there is no risk to learn
+    from.  Null and empty texts have the score of no evidence; a null id is not
+    held out; repeated rows stay; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     # Labels of held-out rows are never read; the rows' texts are not learnt from either.
