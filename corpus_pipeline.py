@@ -3,6 +3,8 @@
 Every stage works on all that its predecessor kept, and all but the last return
 the columns of ``documents``.  A stage's result is written as Parquet and read
 again before the next one begins, so a lost executor costs at most one stage.
+An empty table stays empty through all stages, and so does what a stage leaves
+of it; rows with null ids are documents like any other.
 """
 
 from __future__ import annotations
@@ -14,27 +16,45 @@ from strataloom.llm._common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the risk-controlled cutoff stay."""
+    """Documents that pass the base rules and the risk-controlled cutoff stay.
+
+    Null, empty and short texts go; repeated rows share their fate.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised stay."""
+    """Documents whose language is recognised stay.
+
+    Texts without a letter go, null and empty ones too; without any label in
+    ``lang`` all others stay; repeated rows share their fate.
+    """
     return langid.keep_identified(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays.
+
+    All empty texts are one group; of rows that repeat an id and a fingerprint
+    one stays.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any word window of the benchmark stay."""
+    """Documents without any word window of the benchmark stay.
+
+    Null and empty texts have none; repeated rows share their fate.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    A null or empty text is its end id alone; repeated rows are packed as often
+    as they occur.
+    """
     return packing.packed_documents(docs)
 
 
