@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import stats as st
 from ..functions import text as tx
 from ..functions import vectors as vx
-from .joins import ordered_pairs
+from ..storage import stored
+from . import joins as jo
+from . import ranking
 
 
 def coverage(rows: DataFrame, group: str, key: str, is_left: Column, is_right: Column, sim: Column) -> DataFrame:
@@ -19,28 +21,46 @@ def coverage(rows: DataFrame, group: str, key: str, is_left: Column, is_right: C
     both = is_left & is_right
     left, matched = F.count_distinct(F.when(is_left, F.col(key))), F.count_distinct(F.when(both, F.col(key)))
     right = F.count_distinct(F.when(is_right, F.col(key)))
-    return rows.groupBy(group).agg(
+    out = rows.groupBy(group).agg(
         left.alias("n_left"), right.alias("n_right"), matched.alias("n_matched"),
         F.count_distinct(F.when(is_left & ~is_right, F.col(key))).alias("only_left"),
         F.count_distinct(F.when(is_right & ~is_left, F.col(key))).alias("only_right"),
         F.coalesce(F.avg(F.when(both, sim)), F.lit(0.0)).alias("mean_sim"),
-        F.coalesce(F.median(F.when(both, sim)), F.lit(0.0)).alias("median_sim"),
         F.coalesce(F.try_divide(matched, left), F.lit(0.0)).alias("recall"),
     )
+    median = ranking.quantiles(rows.select(group, F.when(both, sim).alias("_s")), [group], "_s", {"median_sim": 0.5})
+    return ranking._with(out, median.withColumn("median_sim", F.coalesce("median_sim", F.lit(0.0))), [group])
 
 
 def quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
     """Exact p25, p50, p75 and p90 with linear interpolation, 0 for a group of nulls."""
-    return df.groupBy(group).agg(*[F.coalesce(F.percentile(value, p / 100), F.lit(0.0)).alias(f"p{p}") for p in (25, 50, 75, 90)])
+    names = {f"p{p}": p / 100 for p in (25, 50, 75, 90)}
+    return ranking.quantiles(df, [group], value, names).select(group, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
 
 
 def pairwise_percentile(df: DataFrame, group: str, key: str, vector: str, p: float) -> DataFrame:
-    """Percentile of the cosine similarities of all pairs of a group.
+    """(group, p, n_pairs): exact percentile of the cosine similarities of all pairs of a group.
 
-    The result needs every pair; give it groups of calibration size.
+    No pair is written: blocks of products count similarities in bins, and a
+    second pass keeps only those of the bins in which the percentile lies.
+    Groups of fewer than two rows have no row.
     """
-    pairs = ordered_pairs(df, [group], key, [vector])
-    return pairs.groupBy(group).agg(F.percentile(vx.cosine(F.col(f"{vector}_a"), F.col(f"{vector}_b")), p).alias("p"), F.count("*").alias("n_pairs"))
+    counts = jo.similarity_counts(df, key, vector, group).groupBy("g", "bin").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "bins")
+    w = Window.partitionBy("g").orderBy("bin")  # at most ``BINS`` rows a group
+    placed = counts.withColumn("before", F.sum("n").over(w) - F.col("n"))
+    total = counts.groupBy("g").agg(F.sum("n").alias("n_pairs")).withColumn("at", (F.col("n_pairs") - 1) * F.lit(p))
+    asked = placed.join(total, "g").where((F.ceil("at") >= F.col("before")) & (F.floor("at") < F.col("before") + F.col("n")))
+    asked = stored(asked.select("g", "bin", "before", "at", "n_pairs"), "asked")
+    wanted = {g: sorted(bins) for g, bins in asked.groupBy("g").agg(F.collect_list("bin")).collect()}  # a bin or two a group
+    values = jo.similarity_values(df, key, vector, group, wanted)
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("sim")) - 1
+    start = asked.groupBy("g").agg(F.min("before").alias("before"), F.first("at").alias("at"), F.first("n_pairs").alias("n_pairs"))
+    rows = values.withColumn("r", rank).join(start, "g").withColumn("r", F.col("r") + F.col("before"))
+    low, high = (F.max(F.when(F.col("r") == f("at"), F.col("sim"))) for f in (F.floor, F.ceil))
+    out = rows.groupBy("g", "n_pairs", "at").agg((low + (high - low) * (F.col("at") - F.floor("at"))).alias("p"))
+    names = df.select(F.col(group), F.col(group).cast("string").alias("g")).distinct()
+    return names.join(out, "g").select(group, "p", "n_pairs")
 
 
 def medoid_centroid(df: DataFrame, group: str, key: str, vector: str, k: int) -> DataFrame:
@@ -113,20 +133,21 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def summary(df: DataFrame, keys: list[str], value: str, thresholds: list[float]) -> DataFrame:
     """mean, sd, median, min, max and counts above thresholds."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), st.sample_sd(F.col(value)).alias("sd"), F.median(value).alias("median"),
+    out = df.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), st.sample_sd(F.col(value)).alias("sd"),
         F.min(value).alias("min"), F.max(value).alias("max"),
         *[F.count_if(F.col(value) > x).alias(f"above_{str(x).replace('.', '_')}") for x in thresholds],
     )
+    return ranking._with(out, ranking.quantiles(df, keys, value, {"median": 0.5}), keys)
 
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """mean, population sd, RMS, share of zeros, quantiles, min, max."""
     v = F.col(value).cast("double")
-    return df.groupBy(*keys).agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.sqrt(F.avg(v * v)).alias("rms"), F.avg((v == 0).cast("double")).alias("zeros"),
-        *[F.percentile(v, q / 100).alias(f"q{q}") for q in (50, 90, 95, 99)], F.min(v).alias("min"), F.max(v).alias("max"),
-    )
+    out = df.groupBy(*keys).agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.sqrt(F.avg(v * v)).alias("rms"), F.avg((v == 0).cast("double")).alias("zeros"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    return ranking._with(out, ranking.quantiles(df, keys, value, {f"q{q}": q / 100 for q in (50, 90, 95, 99)}), keys)
 
 
 def dominant(df: DataFrame, group: str, member: str, value: str) -> DataFrame:
@@ -141,11 +162,12 @@ def dominant(df: DataFrame, group: str, member: str, value: str) -> DataFrame:
 def share_and_rank(df: DataFrame, key: str, error: str, n: str, score: str) -> DataFrame:
     """Share of the total squared error, rank by worst error, rank by best score.
 
-    One row per unit of evaluation; the table is ranked as a whole.
+    The table is ranked as a whole, in ranges of the values.
     """
-    total = df.agg(F.sum(F.col(error) * F.col(n)).alias("_t"))
+    total = df.agg(F.sum(F.col(error) * F.col(n)).alias("_t"))  # one row
     out = df.join(total).withColumn("share", F.col(error) * F.col(n) / F.col("_t")).drop("_t")
-    return out.withColumn("error_rank", F.rank().over(Window.orderBy(F.desc(error)))).withColumn("score_rank", F.rank().over(Window.orderBy(F.desc(score))))
+    out = ranking.spread_tied_rank(out, [], error, "error_rank", average=False, descending=True)
+    return ranking.spread_tied_rank(out, [], score, "score_rank", average=False, descending=True)
 
 
 def load_balance(df: DataFrame, expert: str, prob: str, dispatched: str) -> DataFrame:

@@ -190,6 +190,46 @@ def threshold_stars(df: DataFrame, least: float, key: str, vector: str, group: s
     return _blocked(left, right, search, "src long, dst long", block, half=True)
 
 
+#: Bins of similarities from -1 to 1.
+BINS = 1 << 16
+
+
+def _bins(sim: np.ndarray) -> np.ndarray:
+    return np.clip(((sim + 1) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
+
+
+def _each_pair(df: DataFrame, key: str, vector: str, group: str, found, schema: str, block: int = BLOCK) -> DataFrame:
+    """``found(group, similarities)`` frames over the tiles of all unordered pairs of each group."""
+    left, right = (_side(df, F.col(key), F.col(vector), F.col(group), None) for _ in range(2))
+
+    def search(p, q):
+        same, g = p["i"].iloc[0] == p["j"].iloc[0], p["g"].iloc[0]
+        ids, others = p["id"].to_numpy(), q["id"].to_numpy()
+        return pd.concat([found(g, sim[ids[r, None] < others[None, c]] if same else sim.ravel()) for r, c, sim in _tiles(p, q)])
+
+    return _blocked(left, right, search, schema, block, half=True)
+
+
+def similarity_counts(df: DataFrame, key: str, vector: str, group: str) -> DataFrame:
+    """(g, bin, n): how many pairs of a group have a similarity in the bin; ids are unique."""
+
+    def found(g, sim):
+        bins, n = np.unique(_bins(sim), return_counts=True)
+        return pd.DataFrame({"g": [g] * len(bins), "bin": bins, "n": n})
+
+    return _each_pair(df, key, vector, group, found, "g string, bin long, n long")
+
+
+def similarity_values(df: DataFrame, key: str, vector: str, group: str, wanted: dict[str, list[int]]) -> DataFrame:
+    """(g, sim) of the pairs whose similarity is in a wanted bin of their group."""
+
+    def found(g, sim):
+        sim = sim[np.isin(_bins(sim), wanted.get(g, []))]
+        return pd.DataFrame({"g": [g] * len(sim), "sim": sim})
+
+    return _each_pair(df, key, vector, group, found, "g string, sim double")
+
+
 def knn_agreement(df: DataFrame, k: int, key: str, vector: str, label: str) -> DataFrame:
     """(id, agreement): share of the k nearest neighbours with the own label."""
     labels = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"))
@@ -260,7 +300,7 @@ def spatial_knn(points: DataFrame, k: int, cell: float | None, key: str, group:
             sure = top.where((F.col("far") <= side * side) & ((F.col("n") == k) | (F.col("n") == F.col("others")))).select("group", "id")
             sure = stored(sure, "spatial")
             ranked = ranked.join(sure, ["group", "id"], "left_semi")
-            open_ = open_.join(sure, ["group", "id"], "left_anti")
+            open_ = stored(open_.join(sure, ["group", "id"], "left_anti"), "open")
         done = ranked if done is None else done.unionByName(ranked)
         if last or open_.isEmpty():
             return done
@@ -296,8 +336,18 @@ def ordered_pairs(df: DataFrame, group: list[str], key: str, keep: list[str]) ->
 
 
 def leaks(df: DataFrame, key: str, split: str, attributes: list[str]) -> DataFrame:
-    """(a, b, split_a, split_b): rows equal in all attributes across splits; nulls never match."""
-    return ordered_pairs(df, attributes, key, [split]).where(F.col(f"{split}_a") != F.col(f"{split}_b")).select("a", "b", f"{split}_a", f"{split}_b")
+    """(key, split, class, n_links): rows that are equal in all attributes to rows of another split.
+
+    class is the smallest key of the equal rows, n_links the number of equal rows
+    in other splits; pairs are not written, so a content that a third of all
+    rows share costs no more than others.  Nulls never match; rows without a
+    link have no row.
+    """
+    known = df.where(" and ".join(f"`{a}` is not null" for a in [*attributes, split]))
+    per = known.groupBy(*attributes, split).agg(F.count("*").alias("_own"), F.min(key).alias("_least"))
+    whole = per.groupBy(*attributes).agg(F.sum("_own").alias("_all"), F.min("_least").alias("class"), F.count("*").alias("_splits")).where("_splits > 1")
+    shared = per.join(whole, attributes).select(*attributes, split, "class", (F.col("_all") - F.col("_own")).alias("n_links"))
+    return known.join(shared, [*attributes, split]).select(key, split, "class", "n_links")
 
 
 def same_order(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -31,6 +31,60 @@ def positions(df: DataFrame, order: list[Column], out: str = "position") -> Data
     return ordered.withColumn("_part", part).join(starts, "_part").withColumn(out, place).drop("_part", "_first", "_at")
 
 
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, nulls equal, with the keys once."""
+    renamed = right.select(*[F.col(f"`{k}`").alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    return left.join(renamed, cond).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def spread_rank(df: DataFrame, group: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """1-based place within the group, for groups of any size: ``ranked`` sorts a group in one task.
+
+    Rows are sorted once by group and order in ranges; a group's places begin
+    after the rows of the groups before it.
+    """
+    if not group:
+        return positions(df, order, out).withColumn(out, F.col(out) + 1)
+    p = positions(df, [*[F.col(f"`{g}`") for g in group], *order], "_p")
+    first = p.groupBy(*group).agg(F.min("_p").alias("_first"))
+    return _with(p, first, group).withColumn(out, F.col("_p") - F.col("_first") + 1).drop("_p", "_first")
+
+
+def spread_tied_rank(df: DataFrame, group: list[str], value: str, out: str = "rank", average: bool = True, descending: bool = False) -> DataFrame:
+    """Place by one value, where equal values share the mean of their places or the first of them."""
+    order = F.desc(value) if descending else F.asc(value)
+    p = spread_rank(df, group, [order], "_place")
+    tied = p.groupBy(*group, value).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    place = F.col("_first") + (F.col("_n") - 1) / 2.0 if average else F.col("_first")
+    return _with(p, tied, [*group, value]).withColumn(out, place).drop("_place", "_first", "_n")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation per group: ``shares`` maps names to 0..1.
+
+    ``percentile`` keeps a group's distinct values in one task.  Here rows are
+    sorted in ranges and the two rows around each quantile are picked by their
+    place.  Nulls do not count; a group of nulls has null quantiles.
+    """
+    kept = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    p = positions(kept.where("_v is not null"), [*[F.col(f"`{k}`") for k in keys], F.col("_v")], "_p")
+    groups = p.groupBy(*keys).agg(F.min("_p").alias("_first"), F.count("*").alias("_n"))
+    asked = groups.select(*keys, "_first", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in shares.items()])).alias("a"))
+    at = F.col("_first") + (F.col("_n") - 1) * F.col("a.q")
+    asked = asked.select(*keys, F.col("a.name").alias("_name"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("_p"), (at - F.floor(at)).alias("_part"), F.floor(at).alias("_low"))
+    # A row per quantile side and group meets one row of the table.
+    met = asked.distinct().join(p.select("_p", "_v"), "_p")
+    low, high = (F.max(F.when(F.col("_p") == x, F.col("_v"))) for x in (F.col("_low"), F.col("_low") + 1))
+    value_of = low + F.coalesce((high - low) * F.first("_part"), F.lit(0.0))
+    each = met.groupBy(*keys, "_name").agg(value_of.alias("_q"))
+    wide = each.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in shares])
+    every = df.select(*keys).distinct()
+    renamed = wide.select(*[F.col(f"`{k}`").alias(f"_r{i}") for i, k in enumerate(keys)], *shares)
+    cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    return every.join(renamed, cond, "left").select(*keys, *shares)
+
+
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
     return ranked(df, group, order, out).where(F.col(out) <= n)
 
@@ -80,6 +134,5 @@ def gaps(df: DataFrame, group: list[str], number: str, first: int = 1) -> DataFr
 
 
 def batches(df: DataFrame, group: list[str], order: list[Column], size: int, out: str = "batch") -> DataFrame:
-    """0-based batch numbers of ``size`` consecutive rows of a group."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn(out, F.floor((n - 1) / size).cast("long"))
+    """0-based batch numbers of ``size`` consecutive rows of a group of any size."""
+    return spread_rank(df, group, order, "_n").withColumn(out, F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")

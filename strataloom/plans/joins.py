@@ -134,7 +134,7 @@ _SPLIT = "CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END"
 @query(
     "j16_cross_split_leak",
     f"""WITH d AS (SELECT doc_id, {_SPLIT} AS split, sha256(text) AS h, lang FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b, a.split AS split_a, b.split AS split_b FROM d a JOIN d b ON a.h = b.h AND a.lang = b.lang AND a.doc_id < b.doc_id AND a.split <> b.split""",
+SELECT doc_id, split, class, n_links FROM (SELECT doc_id, split, min(doc_id) OVER (PARTITION BY h, lang) AS class, count(*) OVER (PARTITION BY h, lang) - count(*) OVER (PARTITION BY h, lang, split) AS n_links FROM d WHERE h IS NOT NULL AND lang IS NOT NULL) WHERE n_links > 0""",
 )
 def j16(t):
     d = t.documents.select("doc_id", F.expr(_SPLIT).alias("split"), F.sha2("text", 256).alias("h"), "lang")

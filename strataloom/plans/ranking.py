@@ -9,12 +9,12 @@ from .registry import query
 
 @query("w01_row_number", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events")
 def w01(t):
-    return ranking.ranked(t.events, ["event_type"], [F.desc("value"), F.col("event_id")]).select("event_type", "event_id", F.col("rank").cast("long").alias("rank"))
+    return ranking.spread_rank(t.events, ["event_type"], [F.desc("value"), F.col("event_id")]).select("event_type", "event_id", "rank")
 
 
 @query("w02_avg_rank", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rank FROM events")
 def w02(t):
-    return t.events.select("event_id", st.average_rank(F.col("value"), F.col("event_type")).alias("rank"))
+    return ranking.spread_tied_rank(t.events, ["event_type"], "value").select("event_id", "rank")
 
 
 @query("w03_topn", "SELECT p_type, p_partkey, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 5")
