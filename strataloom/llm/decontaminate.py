@@ -31,8 +31,8 @@ from ._common import fresh, slices, stored, table
 
 WINDOW = 10
 GRAM = 5
-#: The broadcast bit map has 16 bits a fingerprint, but never more than 32 MB.
-MOST_BITS = 28
+#: The broadcast bit map has 32 bits or more a window of the benchmark, but never more than 32 MB.
+LEAST_BITS, MOST_BITS = 20, 28
 #: Contaminated texts whose keys may be broadcast (48 bytes each).
 BROADCAST_KEYS = 1 << 18
 #: Bytes of a long text that are worked on at a time.
@@ -195,10 +195,14 @@ def fingerprints(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
 
 
 def bit_map(windows: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """The hashes of the benchmark as a bit map in uint64: bounded by ``most_bits``, whatever their number."""
-    bits = int(min(most_bits, max(10, (16 * windows.count()).bit_length())))
-    place = F.shiftrightunsigned("gram", 64 - bits)
-    cells = windows.groupBy(F.shiftrightunsigned(place, 6).alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 as int)))").alias("bits")).toArrow()
+    """The hashes of the benchmark as a bit map in uint64: bounded by ``most_bits``, whatever their number.
+
+    A hash sets two bits, told by its upper bits and by lower ones.
+    """
+    bits = int(min(most_bits, max(LEAST_BITS, (32 * windows.count()).bit_length())))
+    place = F.explode(F.array(F.shiftrightunsigned("gram", 64 - bits), F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << bits) - 1))))
+    bit = F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))")
+    cells = windows.select(place.alias("place")).groupBy(F.shiftrightunsigned("place", 6).alias("cell")).agg(bit.alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[cells.column(0).to_numpy()] = cells.column(1).to_numpy().view(np.uint64)
     return out
@@ -211,16 +215,22 @@ def _scan(docs: DataFrame, windows: DataFrame, text: str, keep: list[str], windo
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.sha2(F.col(text), 256)).alias(key), F.col(text).alias(fresh("text_of", docs)))
     lengths = sorted(r.words for r in windows.select("words").distinct().collect())  # at most ``window`` numbers
     cells = bit_map(windows, most_bits)
-    shift = np.uint64(64 - (len(cells).bit_length() - 1 + 6))
+    bits = len(cells).bit_length() - 1 + 6
+    shift, mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
     shipped = spark.sparkContext.broadcast(cells)
 
     def run(batches):
         cells = shipped.value
 
-        def passes(h):
-            place = h >> shift
+        def is_set(place):
             return (cells[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
+        def passes(h):
+            out = is_set(h >> shift)
+            hit = np.flatnonzero(out)
+            out[hit] = is_set((h[hit] >> np.uint64(8)) & mask)
+            return out
+
         index = len(keep) + 1
         for b in slices(batches, index, limit=PART // 2):
             pieces, owner, before = [], [], []
