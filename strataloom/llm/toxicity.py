@@ -11,6 +11,11 @@ loss l is
 instead.  Features are words and word beginnings, so that unseen endings of a
 known stem count; the few thousand that are most over-represented among
 positives are kept, which makes ordinary words weigh nothing.
+
+A long text meets some of these by chance.  What clean texts collect per distinct
+token (unlabelled texts below the operating point) is taken off a text's sum, and
+beyond ``TYPICAL`` times the usual length the rest is divided by the
+square root of the excess, as chance grows with it.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ PREFIXES = (4, 5, 6)
 EVIDENCE = 25.0
 RATIO = 4.0
 THRESHOLD = 0.3
+#: Texts of more than so many times the mean number of distinct tokens count as long.
+TYPICAL = 4.0
 #: Words that a worker remembers the weight of.
 CACHE = 300_000
 
@@ -125,17 +132,28 @@ def operating_point(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
     return float(at[i] if i == 0 else (at[i - 1] + at[i]) / 2)
 
 
+def background(sums: np.ndarray, tokens: np.ndarray, limit: float) -> float:
+    """What unlabelled texts with a sum below ``limit`` collect per distinct token."""
+    clean = sums < limit
+    return max(0.0, float(sums[clean].sum() / max(1.0, tokens[clean].sum())))
+
+
 class Model:
-    def __init__(self, chosen: np.ndarray, weights: np.ndarray):
+    """A linear scorer: bias + (sum of weights - slope x tokens), the latter scaled for long texts."""
+
+    def __init__(self, chosen: np.ndarray, weights: np.ndarray, slope: float = 0.0, typical: float = np.inf):
         self.of = dict(zip(chosen.tolist(), weights[:-1].tolist()))
-        self.bias = float(weights[-1])
+        self.bias, self.slope, self.typical = float(weights[-1]), slope, typical
+
+    def evidence(self, sums: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return (sums - self.slope * tokens) / np.sqrt(np.maximum(1.0, tokens / self.typical))
 
     def word(self, token: str) -> float:
         of = self.of
         return sum(of.get(f, 0.0) for f in features(token))
 
     def score(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
-        out = np.empty(len(texts))
+        out, sizes = np.empty(len(texts)), np.empty(len(texts))
         get = cache.get
         for i, text in enumerate(texts):
             tokens = tokens_of(text)
@@ -147,8 +165,8 @@ class Model:
                     if v is None:
                         values[j] = cache[t] = self.word(t)
             # The order of a set differs between processes; an exact sum does not.
-            out[i] = self.bias + np.float64(_exact(values))
-        return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
+            out[i], sizes[i] = _exact(values), len(tokens)
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.evidence(out, sizes), -50, 50)))
 
 
 def _exact(values: list[float]) -> float:
@@ -205,25 +223,33 @@ def train(docs: DataFrame, toxic_ids: DataFrame, prior: float, positives: int =
 
     def project(batches):
         for b in slices(batches, 1):
-            kept = [{place[f]: c for f, c in document(t).items() if f in place} for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            kept = [{place[f]: c for f, c in document(t).items() if f in place} for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([sorted(k) for k in kept], pa.list_(pa.int32())), pa.array([[k[f] for f in sorted(k)] for k in kept], pa.list_(pa.int32()))],
-                names=["y", "cols", "vals"],
+                [
+                    b.column(0), pa.array([sorted(k) for k in kept], pa.list_(pa.int32())), pa.array([[k[f] for f in sorted(k)] for k in kept], pa.list_(pa.int32())),
+                    pa.array([len(tokens_of(t)) for t in texts], pa.int64()),
+                ],
+                names=["y", "cols", "vals", "tokens"],
             )
 
     # At most positives + unlabelled short rows. Sorted: sums do not depend on tasks.
-    found = sorted((r.y, r.cols, r.vals) for r in sample.mapInArrow(project, "y int, cols array<int>, vals array<int>").collect())
-    rows, cols, vals, sizes = [], [], [], []
+    found = sorted((r.y, r.cols, r.vals, r.tokens) for r in sample.mapInArrow(project, "y int, cols array<int>, vals array<int>, tokens bigint").collect())
+    rows, cols, vals, sizes, tokens = [], [], [], [], []
     for y in (1, 0):
-        own = [(c, v) for k, c, v in found if k == y]
+        own = [x for x in found if x[0] == y]
         sizes.append(len(own))
-        rows.append(np.repeat(np.arange(len(own)), [len(c) for c, _ in own]))
-        cols.append(np.array([x for c, _ in own for x in c], dtype=np.int64))
-        vals.append(np.array([x for _, v in own for x in v], dtype=np.float64))
+        rows.append(np.repeat(np.arange(len(own)), [len(x[1]) for x in own]))
+        cols.append(np.array([c for x in own for c in x[1]], dtype=np.int64))
+        vals.append(np.array([v for x in own for v in x[2]], dtype=np.float64))
+        tokens.append(np.array([x[3] for x in own], dtype=np.float64))
     weights = fit(rows, cols, vals, sizes, len(chosen), prior)
-    reached = [weights[-1] + np.bincount(r, weights[c] * v, minlength=n) for r, c, v, n in zip(rows, cols, vals, sizes)]
-    weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - operating_point(*reached, prior)
-    return Model(chosen, weights)
+    sums = [np.bincount(r, weights[c] * v, minlength=n) for r, c, v, n in zip(rows, cols, vals, sizes)]
+    slope = background(sums[1], tokens[1], operating_point(*sums, prior))
+    model = Model(chosen, weights, slope, max(1.0, TYPICAL * tokens[1].mean()))
+    reached = [model.bias + model.evidence(x, n) for x, n in zip(sums, tokens)]
+    model.bias += np.log(THRESHOLD / (1 - THRESHOLD)) - operating_point(*reached, prior)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, column: str = "score", text: str = "text") -> DataFrame:

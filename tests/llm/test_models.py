@@ -78,7 +78,7 @@ def test_long_texts_in_parts():
     text = "the cat and the dog " * 400
     want, old = model.predict([text, "short"]), langid.pieces_of
     try:
-        langid.pieces_of = lambda texts: old(texts, part=500, group=700)
+        langid.pieces_of = lambda texts: old(texts, part=2000, group=3000)
         got = model.predict([text, "short"])
     finally:
         langid.pieces_of = old
@@ -176,14 +176,23 @@ def test_toxicity_scores_by_brute_force(spark, make_docs):
 
 
 def test_long_clean_texts_stay_clean(spark):
-    """Hundreds of clean documents in one text have no score of a toxic one."""
+    """Many clean documents in one text have no score of a toxic one, and toxic ones in a row still do."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("toxic is not null")
-    train = docs.where(remainder("doc_id", 4) != 2)
-    model = toxicity.train(train.select("doc_id", "text"), labels.where((remainder("doc_id", 4) != 2) & (labels.toxic == 1)), 0.05)
-    clean = [r.text for r in docs.join(labels.where((remainder("doc_id", 4) == 2) & (labels.toxic == 0)), "doc_id").select("text").collect() if r.text]
-    whole = [" ".join(clean[i::20]) for i in range(20)]
-    assert min(map(len, whole)) > 20_000 and (model.score(whole, {}) >= toxicity.THRESHOLD).mean() <= 0.1
+    held_out = remainder("doc_id", 4) == 2
+    model = toxicity.train(docs.where(~held_out).select("doc_id", "text"), labels.where(~held_out & (labels.toxic == 1)), 0.11)
+    texts = {y: [r.text for r in docs.join(labels.where(held_out & (labels.toxic == y)), "doc_id").select("text").collect() if r.text] for y in (0, 1)}
+    clean = [t for t, s in zip(texts[0], model.score(texts[0], {})) if s < toxicity.THRESHOLD]
+    for n in (10, 40):
+        whole = [" ".join(clean[i : i + n]) for i in range(0, len(clean) - n, n)]
+        assert (model.score(whole, {}) >= toxicity.THRESHOLD).mean() <= 0.1
+    toxic = [" ".join(texts[1][i : i + 10]) for i in range(0, len(texts[1]) - 10, 10)]
+    assert (model.score(toxic, {}) >= toxicity.THRESHOLD).mean() >= 0.9
+
+
+def test_background_is_that_of_clean_texts():
+    sums, n = np.array([9.0] * 30 + [4.0] * 60), np.array([100.0] * 30 + [200.0] * 60)
+    assert abs(toxicity.background(sums, n, 5.0) - 0.02) < 1e-12 and toxicity.background(sums, n, 0.0) == 0
 
 
 def test_operating_point_splits():
