@@ -72,7 +72,10 @@ def render(turns: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Text of a conversation to an array of (role, text, raw, ok), deterministically."""
+    """Text of a conversation to an array of (role, text, raw, start, ok), deterministically.
+
+    ``raw`` is the text as it stands, ``start`` its place (0-based code points).
+    """
     pieces = F.split(formatted, TURN_END + "\n", -1)
     pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
@@ -84,12 +87,25 @@ def parse(formatted: Column) -> Column:
             _role_of(F.substring(rest, F.lit(1), cut - 1)).alias("role"),
             unescape(raw).alias("text"),
             raw.alias("raw"),
+            (F.length(p) - F.length(raw)).cast("long").alias("start"),
             (p.startswith(TURN_START) & (cut > 0) & ~raw.contains(TURN_END) & ~raw.contains(TURN_START)).alias("ok"),
         )
 
     return F.transform(pieces, turn)
 
 
+def spans_of(turns: Column, role: Column) -> Column:
+    """The places in the whole conversation of the parsed turns of this role."""
+    none = F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)")
+
+    def add(acc: Column, t: Column) -> Column:
+        own = F.struct((acc.at + t.start).alias("start"), F.length(t.raw).cast("long").alias("length"))
+        after = acc.at + t.start + F.length(t.raw) + len(TURN_END) + 1
+        return F.struct(after.alias("at"), F.when(t.role == role, F.concat(acc.spans, F.array(own))).otherwise(acc.spans).alias("spans"))
+
+    return F.aggregate(turns, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), add, lambda acc: acc.spans)
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, parsed turns, loss spans.
 
@@ -105,18 +121,20 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
     Result: conv_id, formatted string, turns array<struct<role,text>> (read back
     from ``formatted``), loss_spans array<struct<start,length>> (0-based code
-    points of ``formatted``, of the rendered texts of ``loss_role``),
-    n_escaped int.
+    points of ``formatted``, of the texts of ``loss_role`` as the parser found
+    them there), n_escaped int.
     """
+    # Rows without a conversation must not all meet in one.
     own = turns.select(
         F.col("conv_id"),
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(
             F.col("turn").alias("turn"),
             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
             F.coalesce(F.col("text"), F.lit("")).alias("text"),
         ).alias("item"),
     )
-    grouped = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("item")).alias("source"))
+    grouped = own.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("item")).alias("source"))
 
     raw = F.transform("source", lambda s: F.struct(_role_tag(s.role).alias("tag"), s.text.alias("body")))
     first = grouped.withColumn("seen", parse(render(raw)))
@@ -152,34 +170,11 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         F.raise_error(F.concat(F.lit("conversation does not read back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
     )
 
-    # Span starts are running sums of turn lengths.
-    spans = F.aggregate(
-        "rendered",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans")),
-        lambda acc, r: F.struct(
-            (acc.at + len(TURN_START) + F.length(r.tag) + len(ROLE_END) + F.length(r.body) + len(TURN_END) + 1).alias("at"),
-            F.when(
-                r.tag == F.lit(loss_role.capitalize() if loss_role in ROLES else loss_role),
-                F.concat(
-                    acc.spans,
-                    F.array(
-                        F.struct(
-                            (acc.at + len(TURN_START) + F.length(r.tag) + len(ROLE_END)).alias("start"),
-                            F.length(r.body).cast("long").alias("length"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc.spans)
-            .alias("spans"),
-        ),
-        lambda acc: acc.spans,
-    )
     return third.select(
         "conv_id",
         checked.alias("formatted"),
         F.transform("back", lambda b: F.struct(b.role.alias("role"), b.text.alias("text"))).alias("turns"),
-        spans.alias("loss_spans"),
+        spans_of(F.col("back"), F.lit(loss_role)).alias("loss_spans"),
         F.size(F.filter("rendered", lambda r: r.escaped)).alias("n_escaped"),
     )
 
@@ -220,9 +215,9 @@ _ROLE_TAG_SQL = """CASE WHEN role IN ('system', 'user', 'assistant') THEN upper(
 ORACLE_SQL = {
     "op1_chat_formatting": f"""
 WITH rows_ AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok', NULL
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok', NULL
 ), marked AS (
   SELECT *, contains(text, '</turn>') OR contains(text, '### ') OR contains(text, '\\b')
             OR contains(text, '\\e') OR contains(text, '\\h') AS conflict,
@@ -237,5 +232,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(4 + length(tag) + 2 + length(body) + 8)::BIGINT AS formatted_chars,
        count(*) FILTER (body <> text)::BIGINT AS n_escaped
-FROM bodies GROUP BY conv_id""",
+FROM bodies GROUP BY conv_id, alone""",
 }

@@ -1,7 +1,9 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strataloom.llm.chat import format_conversations, op1_chat_formatting
 
@@ -32,6 +34,27 @@ def test_nulls_ties_and_order(spark):
     assert got[None][0] == [("user", "x")]
 
 
+def test_rows_without_a_conversation_are_apart(spark):
+    rows = [(None, i % 2, "user", f"t{i % 3}") for i in range(40)] + [(1, 0, "user", "x")]
+    got = format_conversations(spark.createDataFrame(rows, ROWS).repartition(3)).collect()
+    assert len(got) == 41 and all(len(r.turns) == 1 for r in got)
+
+
+@pytest.mark.parametrize("role", ["a: b", "Assistant", "back\\slash", "assistant"])
+def test_loss_of_any_role(spark, role):
+    rows = [(1, i, r, f"text {i} é\U0001f600 </turn>") for i, r in enumerate(["user", role, "Assistant", "assistant", role])]
+    df = spark.createDataFrame(rows, ROWS).withColumns({"alone": F.lit(1), "source": F.lit("s"), "back": F.lit(2)})
+    r = format_conversations(df, role).first()
+    spans = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
+    assert spans == [f"text {i} é\U0001f600 \\e" for i, x in enumerate(rows) if x[2] == role]
+
+
+def test_a_very_long_text(spark):
+    text = "word ### </turn> " * 300_000
+    r = format_conversations(spark.createDataFrame([(1, 0, "assistant", text)], ROWS)).first()
+    assert r.turns[0].text == text and len(r.loss_spans) == 1
+
+
 def test_empty_table(spark):
     assert format_conversations(spark.createDataFrame([], ROWS)).count() == 0
 
