@@ -59,8 +59,8 @@ def pairwise_percentile(df: DataFrame, group: str, key: str, vector: str, p: flo
     rows = values.withColumn("r", rank).join(start, "g").withColumn("r", F.col("r") + F.col("before"))
     low, high = (F.max(F.when(F.col("r") == f("at"), F.col("sim"))) for f in (F.floor, F.ceil))
     out = rows.groupBy("g", "n_pairs", "at").agg((low + (high - low) * (F.col("at") - F.floor("at"))).alias("p"))
-    names = df.select(F.col(group), F.col(group).cast("string").alias("g")).distinct()
-    return names.join(out, "g").select(group, "p", "n_pairs")
+    names = df.select(F.col(group).alias("_key"), F.col(group).cast("string").alias("g")).distinct()
+    return names.join(out, "g").select(F.col("_key").alias(group), "p", "n_pairs")
 
 
 def medoid_centroid(df: DataFrame, group: str, key: str, vector: str, k: int) -> DataFrame:

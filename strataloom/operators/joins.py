@@ -205,7 +205,8 @@ def _each_pair(df: DataFrame, key: str, vector: str, group: str, found, schema:
     def search(p, q):
         same, g = p["i"].iloc[0] == p["j"].iloc[0], p["g"].iloc[0]
         ids, others = p["id"].to_numpy(), q["id"].to_numpy()
-        return pd.concat([found(g, sim[ids[r, None] < others[None, c]] if same else sim.ravel()) for r, c, sim in _tiles(p, q)])
+        out = pd.concat([found(g, sim[ids[r, None] < others[None, c]] if same else sim.ravel()) for r, c, sim in _tiles(p, q)], ignore_index=True)
+        return out.assign(g=pd.Series([g] * len(out), dtype=object))
 
     return _blocked(left, right, search, schema, block, half=True)
 
@@ -215,7 +216,7 @@ def similarity_counts(df: DataFrame, key: str, vector: str, group: str) -> DataF
 
     def found(g, sim):
         bins, n = np.unique(_bins(sim), return_counts=True)
-        return pd.DataFrame({"g": [g] * len(bins), "bin": bins, "n": n})
+        return pd.DataFrame({"bin": bins, "n": n})
 
     return _each_pair(df, key, vector, group, found, "g string, bin long, n long")
 
@@ -225,7 +226,7 @@ def similarity_values(df: DataFrame, key: str, vector: str, group: str, wanted:
 
     def found(g, sim):
         sim = sim[np.isin(_bins(sim), wanted.get(g, []))]
-        return pd.DataFrame({"g": [g] * len(sim), "sim": sim})
+        return pd.DataFrame({"sim": sim})
 
     return _each_pair(df, key, vector, group, found, "g string, sim double")
 
