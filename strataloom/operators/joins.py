@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..storage import stored
+from .ranking import positions
 
 #: Vectors per block side, which a task holds, and per side of a tile: a product takes 32 MB.
 BLOCK = 16_384
 TILE = 2048
+#: Centroids that are written into an expression.
+INLINE = 1000
 #: Groups whose sizes may be broadcast (about 50 bytes each).
 BROADCAST_GROUPS = 200_000
 
@@ -248,16 +251,21 @@ def vote(near: DataFrame, labels: DataFrame, id_: str = "id") -> DataFrame:
     return counts.groupBy(id_).agg(F.min_by(F.struct("label", "n"), F.struct(-F.col("n"), "label")).alias("w")).select(id_, F.col("w.label").alias("winner"), F.col("w.n").alias("votes"))
 
 
-def max_similarity(df: DataFrame, named: DataFrame, vector: str, digits: int | None = None) -> DataFrame:
-    """Adds name and sim of the most similar of a few named centroids.
+def max_similarity(df: DataFrame, named: DataFrame, vector: str, digits: int | None = None, inline: int = INLINE) -> DataFrame:
+    """Adds name and sim of the most similar of named centroids.
 
-    The centroids are collected into the expression: the table is one of
-    classes, not of data, and more than 1,000 rows are refused.  Ties go to the
-    smallest name.
+    Up to ``inline`` centroids are collected into the expression; more are a
+    table that ``knn`` meets in blocks.  Ties go to the smallest name.  There,
+    ``digits`` rounds the result and not what is compared.
     """
-    rows = sorted((r.name, [float(x) for x in r.centroid]) for r in named.select("name", "centroid").limit(1001).collect())
-    if len(rows) > 1000:
-        raise ValueError("more than 1,000 centroids: use knn()")
+    rows = sorted((r.name, [float(x) for x in r.centroid]) for r in named.select("name", "centroid").limit(inline + 1).collect())
+    if len(rows) > inline:
+        own = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        table = positions(named.select("name", "centroid"), [F.col("name")], "_place")  # in the order of names
+        near = knn(own, table, 1, "_row", vector, "_place", "centroid", include_self=True)
+        sim = F.round("sim", digits) if digits is not None else F.col("sim")
+        best = near.join(table.select(F.col("_place").alias("neighbour"), "name"), "neighbour").select(F.col("id").alias("_row"), "name", sim.alias("sim"))
+        return own.join(best, "_row", "left").drop("_row")
     v = F.col(vector)
 
     def sim(c):

@@ -19,7 +19,7 @@ _BYTES = ", ".join(f"('0x' || substr(h, {2 * i + 1}, 2))::INT - 127.5" for i in
 @query(
     "c01_label_embedding",
     f"""WITH e AS (SELECT DISTINCT p_name, sha256(p_name) AS h FROM part), v AS (SELECT p_name, [{_BYTES}]::DOUBLE[] AS v FROM e)
-SELECT p_name, i::INT AS i, round(v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS x FROM v, unnest(range(1, 17)) AS t(i)""",
+SELECT p_name, i::INT AS i, round((v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))))::FLOAT::DOUBLE, 5) AS x FROM v, unnest(range(1, 17)) AS t(i)""",
 )
 def c01(t):
     from ..sources.embedding import DigestEmbedder, embed

@@ -243,7 +243,7 @@ def p25(t):
 _BYTES = ", ".join(f"('0x' || substr(h, {2 * i + 1}, 2))::INT - 127.5" for i in range(8))
 
 
-@query("p27_batched_encoding", f"WITH e AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, [{_BYTES}]::DOUBLE[] AS v FROM e) SELECT doc_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS first, round(v[8] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS last FROM v")
+@query("p27_batched_encoding", f"WITH e AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, [{_BYTES}]::DOUBLE[] AS v FROM e) SELECT doc_id, round((v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))))::FLOAT::DOUBLE, 5) AS first, round((v[8] / sqrt(list_sum(list_transform(v, lambda x: x * x))))::FLOAT::DOUBLE, 5) AS last FROM v")
 def p27(t):
     from ..sources.embedding import DigestEmbedder, embed
 

@@ -100,3 +100,12 @@ def test_profiles_in_blocks(spark, monkeypatch):
         out = profiles.contrastive_scores(df, "g", "s", "id", "v", concepts, "c", 2)
         results.append(sorted((r.g, r.c, round(r.score, 6), r["rank"]) for r in out.collect()))
     assert results[0] == results[1] and len(results[0]) == 180
+
+
+def test_many_centroids_are_a_table(spark):
+    m = rows(6, 40, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(99, None)], "id long, v array<double>")
+    named = spark.createDataFrame([(f"n{i:02}", v.tolist()) for i, v in enumerate(rows(7, 12, 3))], "name string, centroid array<double>")
+    few, many = ({r.id: (r.name, round(r.sim, 9)) for r in joins.max_similarity(df, named, "v", inline=n).collect() if r.id != 99} for n in (1000, 5))
+    assert few == many and len(few) == 40
+    assert joins.max_similarity(df, named, "v", inline=5).count() == 41
