@@ -19,6 +19,10 @@ SLICE_ROWS = 4096
 #: Characters of a long text that are worked on at a time.
 PART = 1 << 20
 
+#: Bytes of an Arrow batch: it is held several times over on its way through a task.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 #: White space in the sense of the word pattern ``[^\x20\x09-\x0D]+``.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 _SPACE = re.compile(f"[{ASCII_SPACE}]")
@@ -28,12 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` where the session still has Spark's default of 64 MB.
+
+    The setting is read when a plan runs, after an operator has returned, so it
+    stays in the session; a value that the caller has chosen is left alone.
+    """
+    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def slices(batches, *texts: int, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS):
     """The batches cut so that a piece has about ``limit`` bytes in the columns ``texts``.
 
-    Spark fills a batch up to ``spark.sql.execution.arrow.maxBytesPerBatch`` (64
-    MB); an operator's own arrays are many times its texts, so it takes less at
-    a time.  A row is never cut: a longer text is a piece of its own.
+    A batch has as many bytes as the session allows; an operator's own arrays
+    are many times its texts, so it takes less at a time.  A row is never cut: a
+    longer text is a piece of its own.
     """
     for b in batches:
         size = np.zeros(b.num_rows, dtype=np.int64)

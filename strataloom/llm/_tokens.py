@@ -23,12 +23,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Remembered pieces per generation; two generations are kept.
-CACHE = 700_000
+CACHE = 500_000
 #: Longest piece that is remembered.
 LONGEST = 64
 #: Characters of a text that are cut at a time, and of texts that are looked up together.
 PART = 1 << 20
-GROUP = 3 << 20
+GROUP = 2 << 20
 
 # Cuts that no pre-token of the byte-level pattern crosses: before a single
 # space or line end between two non-spaces, and after such a line end.

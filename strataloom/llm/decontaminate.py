@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, slices, stored, table
+from ._common import fresh, slices, small_batches, stored, table
 
 WINDOW = 10
 GRAM = 5
@@ -211,6 +211,7 @@ def bit_map(windows: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
 def _scan(docs: DataFrame, windows: DataFrame, text: str, keep: list[str], window: int, gram: int, most_bits: int) -> tuple[DataFrame, str, str, str]:
     """The columns ``keep`` with a key of the text, its number of words and its candidate windows."""
     spark = docs.sparkSession
+    small_batches(spark)
     key, n_words, found = (fresh(x, docs) for x in ("text_key", "n_words", "candidates"))
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.sha2(F.col(text), 256)).alias(key), F.col(text).alias(fresh("text_of", docs)))
     lengths = sorted(r.words for r in windows.select("words").distinct().collect())  # at most ``window`` numbers

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PART, append_columns, fresh, remainder, slices, table, text_parts
+from ._common import PART, append_columns, fresh, remainder, slices, small_batches, table, text_parts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -149,6 +149,7 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", doc_id:
     nothing but a border; a null id is drawn like any other.  None if no row is
     left, as with an empty table.
     """
+    small_batches(labelled.sparkSession)
     own = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id")
     )
@@ -193,6 +194,7 @@ def predict(docs: DataFrame, model: Model | None, lang: str, score: str, text: s
     ones too, and other columns stay as they are; no rows give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast((model.classes, model.table) if model else None)
     index = docs.columns.index(text)
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices, table
+from ._common import slices, small_batches, table
 from ._tokens import encoder, public_path
 
 PIECES = "doc_id {id}, start bigint, ids binary, length bigint, loss_tokens bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -165,6 +165,7 @@ def pack(
     ends; the end id bears loss if the last part does.  A null array, like no
     column, means that every token bears loss.
     """
+    small_batches(docs.sparkSession)
     limits = limits or Limits()
     spans = [F.transform(loss_spans, lambda s: F.struct(s["begin"].cast("long").alias("begin"), s["end"].cast("long").alias("end"))).alias("spans")] if loss_spans else []
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *spans)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, append_columns, fresh, slices, stored, table
+from ._common import ASCII_SPACE, append_columns, fresh, slices, small_batches, stored, table
 
 RISK = 0.02
 ERROR = 0.05
@@ -81,6 +81,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def with_signals(docs: DataFrame, column: str, text: str = "text") -> DataFrame:
     """``docs`` with the counts of its whole texts as one more struct column."""
+    small_batches(docs.sparkSession)
     index = docs.columns.index(text)
 
     def run(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import PART, append_columns, fresh, slices, stored, table, text_parts
+from ._common import PART, append_columns, fresh, slices, small_batches, stored, table, text_parts
 
 SHINGLE = 3
 SEED = 42
@@ -110,6 +110,7 @@ def with_fingerprint(docs: DataFrame, text: str, column: str, shingle: int = SHI
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer words than a
     shingle are one shingle; no words (null, empty) give zero.
     """
+    small_batches(docs.sparkSession)
     index = docs.columns.index(text)
 
     def run(batches):

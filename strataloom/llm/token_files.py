@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, slices, table
+from ._common import fresh_path, slices, small_batches, table
 from ._tokens import encoder, public_path
 
 WIDTH = 8
@@ -128,6 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
     library has it, or ordinary text with ``special_as_text``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     # The hash lets a repeated id spread over several ranges.

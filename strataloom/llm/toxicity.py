@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PART, append_columns, remainder, slices, table, text_parts
+from ._common import PART, append_columns, remainder, slices, small_batches, table, text_parts
 
 BUCKETS = 1 << 20
 #: Rows to learn from at most (in expectation), chosen by a hash of the id.
@@ -188,6 +188,7 @@ def train(docs: DataFrame, toxic_ids: DataFrame, prior: float, positives: int =
     repeated rows count as often as they occur.  None if no positive is left, as
     with an empty table.  ``prior`` is the share of toxic texts.
     """
+    small_batches(docs.sparkSession)
     known = toxic_ids.select("doc_id").where("doc_id is not null").distinct()
     n_pos, n_all = known.count(), docs.select("doc_id").count()
     if not n_pos:
@@ -260,6 +261,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "score", text: str
     no rows give no rows.  Scores of equal texts are equal.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     index = docs.columns.index(text)
 
