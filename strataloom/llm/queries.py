@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, langid, packing, quality, sharding, simhash, token_files, toxicity
+from . import chat, decontaminate, html_text, langid, packing, quality, sharding, simhash, spelling, token_files, toxicity
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
             decontaminate.op8_decontamination,
             sharding.op9_sharding,
             toxicity.op10_toxicity,
+            spelling.op11_spelling_variants,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**chat.ORACLE_SQL, **decontaminate.ORACLE_SQL}
+    return {**chat.ORACLE_SQL, **decontaminate.ORACLE_SQL, **spelling.ORACLE_SQL}
