@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, langid, packing, quality, sharding, simhash, spelling, token_files, toxicity
+from . import best_fit, chat, decontaminate, html_text, langid, packing, phrases, quality, sharding, simhash, spelling, token_files, toxicity
 
 
 def queries() -> dict:
@@ -20,9 +20,11 @@ def queries() -> dict:
             sharding.op9_sharding,
             toxicity.op10_toxicity,
             spelling.op11_spelling_variants,
+            best_fit.op12_best_fit_packing,
+            phrases.op13_phrase_collocations,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**chat.ORACLE_SQL, **decontaminate.ORACLE_SQL, **spelling.ORACLE_SQL}
+    return {**chat.ORACLE_SQL, **decontaminate.ORACLE_SQL, **phrases.ORACLE_SQL, **spelling.ORACLE_SQL}
