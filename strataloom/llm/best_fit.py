@@ -1,13 +1,16 @@
 """Best-fit packing in bulk-synchronous rounds.
 
-A round sorts unplaced documents by size and open gaps by room into one range
-order.  A sweep reads a range upwards and gives each gap the largest document
-below it that no smaller gap has taken, which is each document's smallest free
-gap (its successor).  Documents and gaps that a range leaves over are numbered,
-and the numbers of the ranges, a few per range, tell which meet across ranges.
-Then rooms shrink and the next round begins.  New sequences are gaps of full
-size.  What a round decides is stored in the shared folder, so a lost executor
-costs a part of one round.
+Documents come in classes of falling size, each at most half as large as the one
+before.  A round sorts the unplaced documents of a class by size and the open
+gaps by room into one range order; a gap that surely holds several documents
+offers as many places.  A sweep reads a range upwards and gives each place the
+largest document below it that no smaller one has taken, which is each
+document's smallest free place (its successor).  Documents and places that a
+range leaves over are numbered, and the numbers of the ranges, two per range,
+tell which meet across ranges.  Then rooms shrink, and the class goes on until
+all its documents lie somewhere.  A round opens as many sequences as the
+documents need that will find no place.  What it decides is stored in the shared
+folder, so a lost executor costs a part of one round.
 """
 
 from __future__ import annotations
@@ -17,22 +20,21 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import slices, small_batches, stored, table
 from ._tokens import encoder, public_path
 
 CAPACITY = 2048
-#: Documents and gaps of a range.
-RANGE_ROWS = 100_000
-#: Documents of at most a 32nd of a sequence travel in bundles of at most a 16th,
-#: so a sequence takes few rounds to fill; bundles that fit nowhere are opened.
-TINY, BUNDLE = 32, 16
+#: Documents and places of a range.
+RANGE_ROWS = 200_000
+#: Classes of documents: all below the last halving are one.
+CLASSES = 6
 #: Bytes of ids in a batch that a task passes on.
 BATCH = 4 << 20
 
-STATE = "item bigint, size bigint, bin bigint, room bigint, part int, place bigint"
+STATE = "item bigint, size bigint, bin bigint, slot bigint, part int, place bigint"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str, capacity: int, special_as_text: bool) -> DataFrame:
@@ -72,46 +74,53 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str,
     return own.mapInArrow(run, f"item bigint, doc_id {kind}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint")
 
 
-def bundles(items: DataFrame, capacity: int) -> DataFrame:
-    """(bundle, item, size, before): tiny items put together as they are read; bundles have negative numbers."""
-    limit = capacity // BUNDLE
-
-    def run(batches):
-        bundle, filled = None, 0
-        for b in batches:
-            out = []
-            for item, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if bundle is None or filled + size > limit:
-                    bundle, filled = -1 - item, 0
-                out.append((bundle, item, size, filled))
-                filled += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["bundle", "item", "size", "before"])
-
-    tiny = items.where(F.col("size") <= capacity // TINY).select("item", "size")
-    return tiny.mapInArrow(run, "bundle bigint, item bigint, size bigint, before bigint")
-
-
 def sweep(rows, part: int):
-    """Match sorted (value, is gap, number) rows; a gap takes the nearest free document below it.
+    """Match sorted (value, is place, number, slot) rows; a place takes the nearest free document below it.
 
-    Yields (item, size, bin, room, part, place): pairs, and what is left over
-    with its place among the documents or gaps that are left of this part.
+    Yields (item, size, bin, slot, part, place): pairs, and what is left over
+    with its number among the documents or places that are left of this part.
     """
     free: list[tuple[int, int]] = []
     closed = 0
-    for value, gap, number in rows:
+    for value, gap, number, slot in rows:
         if not gap:
             free.append((number, value))
         elif free:
             item, size = free.pop()
-            yield item, size, number, value, None, None
+            yield item, size, number, slot, None, None
         else:
-            yield None, None, number, value, part, closed
+            yield None, None, number, slot, part, closed
             closed += 1
     for place, (item, size) in enumerate(free):
         yield item, size, None, None, part, place
 
 
+def left_over(sizes: dict[int, int], places: dict[int, int]) -> dict[int, int]:
+    """The sizes of the documents that a round leaves without a place: the sweep on numbers per value."""
+    free: list[list[int]] = []
+    for value in sorted({*sizes, *places}):
+        if value in sizes:
+            free.append([value, sizes[value]])
+        n = places.get(value, 0)
+        while n and free:
+            k = min(n, free[-1][1])
+            n, free[-1][1] = n - k, free[-1][1] - k
+            if not free[-1][1]:
+                free.pop()
+    return dict(free)
+
+
+def offered(rooms: dict[int, int], largest: int, most: int) -> dict[int, int]:
+    """Places by value of gaps by room: as many as surely hold documents of ``largest``, at most ``most`` a gap."""
+    out: dict[int, int] = {}
+    for room, n in rooms.items():
+        k = max(1, min(room // largest, most))
+        for value, m in ((largest, (k - 1) * n), (room - (k - 1) * largest, n)):
+            if m:
+                out[value] = out.get(value, 0) + m
+    return out
+
+
 def across(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     """How leftovers of parts meet: ``left`` has the numbers of documents and of gaps by part.
 
@@ -135,16 +144,22 @@ def across(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, i
     return out
 
 
-def _round(docs: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
-    """Documents and gaps after one round: (item, size, bin, room), either side null if it is alone."""
+def _slots(gaps: DataFrame, largest: int, most: int) -> DataFrame:
+    """(value, gap, number, slot): the places of (bin, room) as ``offered`` counts them."""
+    k = F.greatest(F.lit(1).cast("long"), F.least(F.floor(F.col("room") / largest), F.lit(most).cast("long")))
+    each = gaps.select("bin", "room", k.alias("k")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("slot"))
+    value = F.when(F.col("slot") < F.col("k") - 1, F.lit(largest)).otherwise(F.col("room") - (F.col("k") - 1) * largest)
+    return each.select(value.cast("long").alias("value"), F.lit(1).alias("gap"), F.col("bin").alias("number"), "slot")
+
+
+def _round(docs: DataFrame, slots: DataFrame, rows: int) -> DataFrame:
+    """(item, size, bin, slot) after one round; bin and slot are null for documents without a place."""
     spark = docs.sparkSession
-    both = docs.select(F.col("size").alias("value"), F.lit(0).alias("gap"), F.col("item").alias("number")).unionByName(
-        gaps.select(F.col("room").alias("value"), F.lit(1).alias("gap"), F.col("bin").alias("number"))
-    )
-    order = ["value", "gap", "number"]
+    both = docs.select(F.col("size").alias("value"), F.lit(0).alias("gap"), F.col("item").alias("number"), F.lit(0).cast("long").alias("slot")).unionByName(slots)
+    order = ["value", "gap", "number", "slot"]
     ranged = both.repartitionByRange(max(1, -(-rows // RANGE_ROWS)), *order).sortWithinPartitions(*order)
     types = [pa.int64()] * 4 + [pa.int32(), pa.int64()]
-    names = ["item", "size", "bin", "room", "part", "place"]
+    names = ["item", "size", "bin", "slot", "part", "place"]
 
     def run(batches):
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
@@ -159,104 +174,77 @@ def _round(docs: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     swept = stored(ranged.mapInArrow(run, STATE), "best-fit-sweep")
+    found = swept.where("item is not null").select("item", "size", "bin", "slot")
+    if rows <= RANGE_ROWS:  # one range leaves nothing that could meet
+        return found
     # Two numbers a range.
     left = {r.part: (r.docs, r.gaps) for r in swept.where("part is not null").groupBy("part").agg(F.count("item").alias("docs"), F.count("bin").alias("gaps")).collect()}
     meet = across(left)
     if not meet:
-        return swept.select("item", "size", "bin", "room")
+        return found
     base = np.cumsum([0] + [m[4] for m in meet]).tolist()
-    gap_runs = spark.createDataFrame([(g, a, a + n, b - a) for (g, a, _, _, n), b in zip(meet, base)], "part int, first bigint, stop bigint, shift bigint")
-    doc_runs = spark.createDataFrame([(d, a, a + n, b + a + n - 1) for (_, _, d, a, n), b in zip(meet, base)], "part int, first bigint, stop bigint, shift bigint")
-    inside = (F.col("place") >= F.col("first")) & (F.col("place") < F.col("stop"))
+    gap_runs = spark.createDataFrame([(g, a, a + n, b - a) for (g, a, _, _, n), b in zip(meet, base)], "of int, first bigint, stop bigint, shift bigint")
+    doc_runs = spark.createDataFrame([(d, a, a + n, b + a + n - 1) for (_, _, d, a, n), b in zip(meet, base)], "of int, first bigint, stop bigint, shift bigint")
+    inside = (F.col("part") == F.col("of")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("stop"))
     # At most two runs a range: broadcast whatever the number of documents.
     alone = swept.where("part is not null")
-    free = alone.where("item is not null").join(F.broadcast(doc_runs.withColumnRenamed("part", "of")), (F.col("part") == F.col("of")) & inside, "left")
-    open_ = alone.where("bin is not null").join(F.broadcast(gap_runs.withColumnRenamed("part", "of")), (F.col("part") == F.col("of")) & inside, "left")
-    free = free.select("item", "size", (F.col("shift") - F.col("place")).alias("pair"))
-    open_ = open_.select("bin", "room", (F.col("shift") + F.col("place")).alias("pair"))
-    none = F.lit(None).cast("long")
-    pairs = free.where("pair is not null").join(open_.where("pair is not null"), "pair").select("item", "size", "bin", "room")
-    return stored(
-        swept.where("part is null").select("item", "size", "bin", "room")
-        .unionByName(pairs)
-        .unionByName(free.where("pair is null").select("item", "size", none.alias("bin"), none.alias("room")))
-        .unionByName(open_.where("pair is null").select(none.alias("item"), none.alias("size"), "bin", "room")),
-        "best-fit-round",
-    )
-
-
-def _sizes(docs: DataFrame, gaps: DataFrame | None) -> tuple[dict[int, int], dict[int, int], int]:
-    """How many documents have each size and how many gaps each room, and the tokens in bundles.
-
-    At most three numbers a token of capacity, whatever the number of documents.
-    """
-    rows = docs.select(F.when(F.col("item") < 0, 2).otherwise(0).alias("kind"), F.col("size").alias("value"))
-    if gaps is not None:
-        rows = rows.unionByName(gaps.select(F.lit(1).alias("kind"), F.col("room").alias("value")))
-    sizes, rooms, bundled = {}, {}, 0
-    for r in rows.groupBy("kind", "value").count().collect():
-        if r.kind == 1:
-            rooms[r.value] = r["count"]
-        else:
-            sizes[r.value] = sizes.get(r.value, 0) + r["count"]
-            bundled += r["count"] * (r.kind == 2)
-    return sizes, rooms, bundled
+    free = alone.where("item is not null").join(F.broadcast(doc_runs), inside, "left").select("item", "size", (F.col("shift") - F.col("place")).alias("pair"))
+    open_ = alone.where("bin is not null").join(F.broadcast(gap_runs), inside).select("bin", "slot", (F.col("shift") + F.col("place")).alias("pair"))
+    pairs = free.join(open_, "pair", "left").select("item", "size", "bin", "slot")
+    return stored(swept.where("part is null").select("item", "size", "bin", "slot").unionByName(pairs), "best-fit-round")
 
 
-def new_sequences(sizes: dict[int, int], rooms: dict[int, int], capacity: int) -> int:
-    """How many sequences the next round has to open.
-
-    As many as all tokens need beyond the open room, as the documents need that
-    fit no gap, and as there are among these of more than half a sequence.
-    """
-    largest = max(rooms, default=0)
-    tokens = sum(s * n for s, n in sizes.items()) - sum(r * n for r, n in rooms.items())
-    unfit = {s: n for s, n in sizes.items() if s > largest}
-    return max(0, -(-tokens // capacity), -(-sum(s * n for s, n in unfit.items()) // capacity), sum(n for s, n in unfit.items() if 2 * s > capacity))
+def _counts(df: DataFrame, value: str) -> dict[int, int]:
+    """How many rows have each size or room: at most a number a token of capacity, whatever the rows."""
+    return {r[0]: r[1] for r in df.groupBy(value).count().collect()}
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(item, sequence_id, offset): items of (item, size) placed in sequences of at most ``capacity``.
 
-    ``item`` is a distinct number of at least 0, ``size`` is from 1 to
-    ``capacity``.  Offsets of a sequence are gapless from 0.  No items give no
-    rows; equal sizes are told apart by number.
+    ``item`` is a distinct number, ``size`` is from 1 to ``capacity``.  Offsets of
+    a sequence are gapless from 0.  No items give no rows; equal sizes are told
+    apart by number.
     """
     spark = items.sparkSession
     items = items.select("item", F.col("size").cast("long").alias("size"))
-    tied = stored(bundles(items, capacity), "best-fit-bundles")
-    docs = items.where(F.col("size") > capacity // TINY).unionByName(tied.groupBy(F.col("bundle").alias("item")).agg(F.sum("size").alias("size")))
-    docs, gaps, next_bin = stored(docs, "best-fit-items"), None, 0
-    placed: list[DataFrame] = []
-    while True:
-        sizes, rooms, bundled = _sizes(docs, gaps)
-        if not sizes:
-            break
-        least = 1 if bundled else min(sizes)  # smaller gaps can take nothing any more
-        rooms = {r: n for r, n in rooms.items() if r >= least}
-        new = new_sequences(sizes, rooms, capacity)
-        if new and bundled and gaps is not None and max(sizes) <= capacity // BUNDLE:
-            # Only small ones are left and some fit nowhere: open the bundles first.
-            loose = docs.where("item < 0").select(F.col("item").alias("bundle")).join(tied, "bundle").select("item", "size")
-            docs = stored(docs.where("item >= 0").unionByName(loose), "best-fit-items")
-            continue
-        fresh = spark.range(next_bin, next_bin + new).select(F.col("id").alias("bin"), F.lit(capacity).cast("long").alias("room"))
-        next_bin += new
-        gaps = fresh if gaps is None else gaps.where(F.col("room") >= least).unionByName(fresh)
-        rows = sum(sizes.values()) + sum(rooms.values()) + new
-        state = _round(docs, gaps, rows)
-        pairs = state.where("item is not null and bin is not null")
-        placed.append(pairs.select("item", F.col("bin").alias("sequence_id"), (F.lit(capacity) - F.col("room")).alias("offset")))
-        docs = state.where("bin is null").select("item", "size")
-        rest = F.when(F.col("item").isNull(), F.col("room")).otherwise(F.col("room") - F.col("size"))
-        gaps = state.where("bin is not null").select("bin", rest.alias("room")).where("room > 0")
+    all_sizes = _counts(items, "size")
+    gaps, rooms, next_bin, placed = None, {}, 0, None
+    bounds = [capacity >> i for i in range(CLASSES)] + [0]
+    for upper, lower in zip(bounds, bounds[1:]):
+        sizes = {s: n for s, n in all_sizes.items() if lower < s <= upper}
+        docs = items.where((F.col("size") > lower) & (F.col("size") <= upper))
+        while sizes:
+            largest, least = max(sizes), min(sizes)
+            fit = {r: n for r, n in rooms.items() if r >= least}
+            # Gaps offer no more places than documents are there to take them.
+            most = -(-sum(sizes.values()) // max(1, sum(fit.values())))
+            places = offered(fit, largest, most)
+            left = left_over(sizes, places)
+            new = max(-(-sum(s * n for s, n in left.items()) // capacity), sum(n for s, n in left.items() if 2 * s > capacity))
+            fresh = spark.range(next_bin, next_bin + new).select(F.col("id").alias("bin"), F.lit(capacity).cast("long").alias("room"))
+            next_bin += new
+            slots = _slots(fresh, largest, capacity)
+            for value, n in offered({capacity: new} if new else {}, largest, capacity).items():
+                places[value] = places.get(value, 0) + n
+            if gaps is not None:
+                slots = _slots(gaps.where(F.col("room") >= least), largest, most).unionByName(slots)
+            state = _round(docs, slots, sum(sizes.values()) + sum(places.values()))
+            pairs = state.where("bin is not null").withColumn("turn", F.lit(len(placed) if placed else 0))
+            placed = [*(placed or []), pairs]
+            taken = pairs.groupBy("bin").agg(F.sum("size").alias("taken"))
+            before = fresh if gaps is None else gaps.unionByName(fresh)
+            gaps = stored(before.join(taken, "bin", "left").select("bin", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")).where("room > 0"), "best-fit-gaps")
+            rooms = _counts(gaps, "room")
+            docs, sizes = state.where("bin is null").select("item", "size"), left_over(sizes, places)
     if not placed:
         return items.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
-    members = tied.select("bundle", F.col("item").alias("member"), "before").join(out.where("item < 0").withColumnRenamed("item", "bundle"), "bundle")
-    return out.where("item >= 0").unionByName(members.select(F.col("member").alias("item"), "sequence_id", (F.col("offset") + F.col("before")).alias("offset")))
+    # A sequence has at most ``capacity`` items.
+    w = Window.partitionBy("bin").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    return out.select("item", F.col("bin").alias("sequence_id"), F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:

@@ -41,7 +41,7 @@ def placed(spark, sizes, capacity):
 
 
 def naive_matching(docs, gaps):
-    """Documents from the largest take the smallest free gap that holds them."""
+    """Documents from the largest take the smallest free place that holds them."""
     free, out = sorted(gaps, key=lambda g: (g[1], g[0])), {}
     for item, size in sorted(docs, key=lambda d: (-d[1], -d[0])):
         g = next((g for g in free if g[1] >= size), None)
@@ -58,13 +58,25 @@ def test_a_round_is_the_sequential_matching(spark, monkeypatch, rows):
     for n, m in ((12, 9), (5, 14)):
         docs = [(i, rng.randint(1, 12)) for i in range(n)]
         gaps = [(i, rng.randint(1, 12)) for i in range(m)]
-        state = bf._round(spark.createDataFrame(docs, "item long, size long"), spark.createDataFrame(gaps, "bin long, room long"), n + m).collect()
-        got = {r["item"]: r.bin for r in state if r["item"] is not None and r.bin is not None}
-        rooms = dict(gaps)
+        slots = bf._slots(spark.createDataFrame(gaps, "bin long, room long"), 13, 1)
+        state = bf._round(spark.createDataFrame(docs, "item long, size long"), slots, n + m).collect()
+        got = {r["item"]: r.bin for r in state if r.bin is not None}
+        rooms, sizes = dict(gaps), dict(docs)
         want = naive_matching(docs, gaps)
-        assert Counter((dict(docs)[i], rooms[b]) for i, b in got.items()) == Counter((dict(docs)[i], rooms[b]) for i, b in want.items())
-        assert sorted(r["item"] for r in state if r["item"] is not None) == list(range(n))
-        assert sorted(r.bin for r in state if r.bin is not None) == list(range(m))
+        assert Counter((sizes[i], rooms[b]) for i, b in got.items()) == Counter((sizes[i], rooms[b]) for i, b in want.items())
+        assert sorted(r["item"] for r in state) == list(range(n)) and len(set(got.values())) == len(got)
+        left = bf.left_over(Counter(sizes.values()), Counter(rooms.values()))
+        assert Counter(left) == Counter(sizes[i] for i in sizes if i not in want)
+
+
+def test_places(spark):
+    gaps = [(0, 10), (1, 3), (2, 7), (3, 10)]
+    for most in (1, 2, 9):
+        slots = bf._slots(spark.createDataFrame(gaps, "bin long, room long"), 4, most).collect()
+        assert Counter(r.value for r in slots) == Counter(bf.offered(Counter(r for _, r in gaps), 4, most))
+        for b, room in gaps:
+            own = [r.value for r in slots if r.number == b]
+            assert sum(own) == room and len(own) == max(1, min(room // 4, most)) and min(own) >= min(4, room)
 
 
 def test_runs_meet_like_brackets():
