@@ -3,8 +3,10 @@
 Clusters whose average similarity reaches a threshold can only merge if some
 pair of them reaches it, so every average-linkage cluster lies within one
 connected component of the pairs at that threshold.  Components are found by
-blocked products and star steps over the whole table; the merging itself then
-runs component by component.
+blocked products and star steps over the whole table.  Small ones are merged in
+one task each; in larger ones all clusters that are each other's nearest merge
+at once, round by round.  Average linkage is reducible (a merged cluster is no
+nearer to a third than the nearer of its two was), so both give the same.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from ..storage import stored
 from . import joins as jo
 from .components import components
+from .density import ends
 
-#: Distinct vectors of a component that are merged by average linkage.
-MOST = 8_000
+#: Clusters of a component that are merged in one task: their similarities take 32 MB.
+IN_TASK = 2_000
 
 
 def merge_average(vectors: np.ndarray, weights: np.ndarray, least: float) -> np.ndarray:
@@ -52,15 +56,52 @@ def merge_average(vectors: np.ndarray, weights: np.ndarray, least: float) -> np.
     return cluster
 
 
-def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: str | None = None, most: int = MOST) -> DataFrame:
-    """(id, cluster, average): clusters of rows, named by their smallest id.
+def nearest(clusters: DataFrame) -> DataFrame:
+    """(rep, sim, lo, hi): the nearest other cluster of the part for each of (rep, part, v, n).
 
-    Cosine similarity; rows of different groups never meet.  Equal vectors are
-    one with a weight, so copies neither cost nor change anything.  A component
-    of more than ``most`` distinct vectors stays whole: its rows have ``average``
-    false, for they are joined by links at the threshold and not by averages.
-    Rows with a null vector, group or id have no row in the result; a zero
-    vector is a cluster of its own.
+    ``v`` is the mean of the cluster's unit vectors, so the product of two is the
+    average similarity.  Equal similarities are ordered by the pair's ids.
+    """
+    side = clusters.select(F.col("rep").alias("id"), F.col("part").cast("string").alias("g"), F.lit("").alias("a"), "v")
+
+    def search(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        same = p["i"].iloc[0] == p["j"].iloc[0]
+        p, q = (t.sort_values("id", kind="stable") for t in (p, q))
+        ids = [t["id"].to_numpy() for t in (p, q)]
+        x, y = (np.array([np.asarray(v) for v in t["v"]]) for t in (p, q))
+        best, to = [np.full(len(t), -np.inf) for t in ids], [np.zeros(len(t), dtype=np.int64) for t in ids]
+        for i in range(0, len(x), jo.TILE):
+            for j in range(0, len(y), jo.TILE):
+                r, c = slice(i, i + jo.TILE), slice(j, j + jo.TILE)
+                sim = x[r] @ y[c].T
+                if same:
+                    sim[ids[0][r, None] >= ids[1][None, c]] = -np.inf
+                for side, here, axis, first in ((0, r, 1, j), (1, c, 0, i)):
+                    at = sim.argmax(axis=axis)
+                    top = np.take_along_axis(sim, np.expand_dims(at, axis), axis).squeeze(axis)
+                    new = top > best[side][here]
+                    best[side][here] = np.where(new, top, best[side][here])
+                    to[side][here] = np.where(new, at + first, to[side][here])
+        out = []
+        for side in (0, 1):
+            k = np.flatnonzero(np.isfinite(best[side]))
+            a, b = ids[side][k], ids[1 - side][to[side][k]]
+            out.append(pd.DataFrame({"rep": a, "sim": best[side][k], "lo": np.minimum(a, b), "hi": np.maximum(a, b)}))
+        return pd.concat(out)
+
+    found = jo._blocked(side, side, search, "rep long, sim double, lo long, hi long", jo.BLOCK, half=True)
+    return found.groupBy("rep").agg(F.min(F.struct((-F.col("sim")).alias("less"), "lo", "hi")).alias("e")).select("rep", (-F.col("e.less")).alias("sim"), "e.lo", "e.hi")
+
+
+def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: str | None = None, in_task: int = IN_TASK) -> DataFrame:
+    """(id, cluster): clusters of rows, named by their smallest id.
+
+    The two closest clusters merge while their average cosine similarity is at
+    least ``least``; rows of different groups never meet.  Equal vectors are one
+    with a weight, so copies neither cost nor change anything.  Components of
+    more than ``in_task`` distinct vectors merge in rounds until they are that
+    small, with the same result.  Rows with a null vector, group or id have no
+    row in the result; a zero vector is a cluster of its own.
     """
     if not least > 0:
         raise ValueError("least must be above 0")
@@ -69,19 +110,38 @@ def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: s
     ).where("id is not null and g is not null and u is not null")
     # Rounded, so that copies computed in another order are copies; named by the smallest id.
     distinct = own.groupBy("g", F.transform("u", lambda x: F.round(x, 12)).alias("v")).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    distinct = stored(distinct, "distinct-vectors")
     found = components(jo.threshold_stars(distinct, least - 1e-9, "rep", "v", group="g"))
-    parts = distinct.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("part", F.coalesce("label", "rep")).drop("label")
-    sizes = parts.groupBy("part").agg(F.count("*").alias("m"))
-    sized = parts.join(sizes, "part")
+    live = distinct.join(found.select(F.col("node").alias("rep"), F.col("label").alias("part")), "rep").select("rep", "part", "v", "n")
+    live = stored(live, "clusters")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
         number = merge_average(np.array([np.asarray(v) for v in pdf["v"]]), pdf["n"].to_numpy(), least)
-        return pd.DataFrame({"g": pdf["g"], "v": pdf["v"], "cluster": pdf["rep"].to_numpy()[number], "average": True})
+        reps = pdf["rep"].to_numpy()
+        return pd.DataFrame({"node": reps, "target": reps[number]}).query("node != target")
 
-    kind = "g string, v array<double>, cluster long, average boolean"
-    small = sized.where((F.col("m") > 1) & (F.col("m") <= most)).groupBy("part").applyInPandas(run, kind)
-    rest = sized.where((F.col("m") == 1) | (F.col("m") > most)).select("g", "v", F.col("part").alias("cluster"), (F.col("m") == 1).alias("average"))
-    named = small.unionByName(rest)
+    links = None
+    while not live.isEmpty():
+        sizes = live.groupBy("part").agg(F.count("*").alias("m"))
+        sized = live.join(sizes, "part")
+        small = sized.where(F.col("m") <= in_task).select("rep", "part", "v", "n").groupBy("part").applyInPandas(run, "node long, target long")
+        large = stored(sized.where(F.col("m") > in_task).select("rep", "part", "v", "n"), "clusters")
+        near = stored(nearest(large).where(F.col("sim") >= least - 1e-12), "nearest")
+        # Clusters that are each other's nearest merge; those without a near one are done.
+        pairs = near.groupBy("lo", "hi").agg(F.count("*").alias("k")).where("k = 2").select("lo", "hi")
+        merged = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("target"))
+        new = stored(small.unionByName(merged), "merged")
+        links = new if links is None else links.unionByName(new)
+        going = large.join(near.select("rep"), "rep", "left_semi").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
+        total = F.sum("n")
+        mean = going.select(F.coalesce("target", "rep").alias("rep"), "part", "n", F.posexplode("v").alias("i", "x"))
+        mean = mean.groupBy("rep", "part", "i").agg((F.sum(F.col("x") * F.col("n")) / total).alias("x"), total.alias("n"))
+        live = stored(mean.groupBy("rep", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"), F.max("n").alias("n")), "clusters")
+    named = distinct.select("g", "v", "rep")
+    if links is not None:
+        named = named.join(ends(links).withColumnRenamed("node", "rep"), "rep", "left").select("g", "v", F.coalesce("target", "rep").alias("cluster"))
+    else:
+        named = named.withColumnRenamed("rep", "cluster")
     rows = own.select("id", "g", F.transform("u", lambda x: F.round(x, 12)).alias("v"))
-    return rows.join(named, ["g", "v"]).select("id", "cluster", "average")
+    return rows.join(named, ["g", "v"]).select("id", "cluster")

@@ -19,8 +19,10 @@ from ..functions import vectors as vx
 from ..storage import stored
 from .ranking import positions
 
-#: Vectors per block side, which a task holds, and per side of a tile: a product takes 32 MB.
+#: Vectors per block side, which a task holds, their bytes as doubles, and vectors
+#: per side of a tile: a product takes 32 MB.
 BLOCK = 16_384
+BLOCK_BYTES = 16 << 20
 TILE = 2048
 #: Centroids that are written into an expression.
 INLINE = 1000
@@ -53,19 +55,23 @@ def _side(df: DataFrame, key: Column, vector: Column, group: Column | None, attr
 def _blocked(left: DataFrame, right: DataFrame, search, schema: str, block: int, half: bool = False) -> DataFrame:
     """``search(left block, right block)`` over all block pairs of equal groups.
 
-    A group of few rows is one pair of blocks, whatever the table's size.  With
-    ``half`` both sides are the same table, and of two mirrored pairs of blocks
-    one is searched.
+    A group of few rows is one pair of blocks, whatever the table's size; a block
+    has at most ``block`` rows and ``BLOCK_BYTES``.  With ``half`` both sides are
+    the same table, and of two mirrored pairs of blocks one is searched.  The
+    sides have columns g, id, a, v and any others that the search reads.
     """
-    sizes = [x.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for x, n in ((left, "nl"), (right, "nr"))]
+    if half:  # columns of their own, for one table on both sides
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    most = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES // 8) / F.greatest(F.lit(1), F.max(F.size("v"))))))
+    sizes = [x.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias(n)) for x, n in ((left, "nl"), (right, "nr"))]
     grid = stored(sizes[0].join(sizes[1], "g"), "grid")
     if grid.count() <= BROADCAST_GROUPS:
         grid = F.broadcast(grid)
     a, b = (x.join(grid, "g") for x in (left, right))
     own = F.pmod(F.xxhash64("id"), F.col("nl")).cast("int")
-    a = a.select("g", "id", "a", "v", own.alias("i"), F.explode(F.sequence(own if half else F.lit(0), F.col("nr") - 1)).alias("j"))
+    a = a.select(*left.columns, own.alias("i"), F.explode(F.sequence(own if half else F.lit(0), F.col("nr") - 1)).alias("j"))
     other = F.pmod(F.xxhash64("id"), F.col("nr")).cast("int")
-    b = b.select("g", "id", "a", "v", F.explode(F.sequence(F.lit(0), other if half else F.col("nl") - 1)).alias("i"), other.alias("j"))
+    b = b.select(*right.columns, F.explode(F.sequence(F.lit(0), other if half else F.col("nl") - 1)).alias("i"), other.alias("j"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions import vectors as vx
-from ..operators import cluster, lexicon, resolve
+from ..operators import cluster, density, lexicon, resolve
 from ..sources import bank, files, markup, remote, runs
 from ..storage import fresh_path
 from .registry import query
@@ -280,6 +280,11 @@ def d18(t):
     return t.spark.createDataFrame([(k, outcome(v)) for k, v in cases.items()], "name string, outcome string")
 
 
+@query("c03_density_clusters")
+def c03_density(t):
+    return density.density_clusters(t.embeddings, "vec_id", "embedding", 5, group="label", dims=16, above=100)
+
+
 @query("c03_average_linkage")
 def c03(t):
     return cluster.average_linkage(t.embeddings, "vec_id", "embedding", 0.2, "label")

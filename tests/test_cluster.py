@@ -38,7 +38,6 @@ def test_average_linkage(spark, seed, least):
     df = spark.createDataFrame(data, "id long, v array<double>, g string").repartition(4)
     got = {}
     for r in cluster.average_linkage(df, "id", "v", least, "g").collect():
-        assert r.average
         got.setdefault(r.cluster, set()).add(r.id)
     assert all(c == min(ids) for c, ids in got.items())
     want = {frozenset({101})}
@@ -49,12 +48,17 @@ def test_average_linkage(spark, seed, least):
     assert cluster.average_linkage(df.limit(0), "id", "v", least, "g").count() == 0
 
 
-def test_a_component_beyond_the_bound_stays_whole(spark):
-    v = [[float(np.cos(x)), float(np.sin(x))] for x in np.linspace(0, 1.5, 16)]
+@pytest.mark.parametrize("in_task", [0, 6])
+def test_rounds_give_what_one_task_gives(spark, in_task):
+    v = [[float(np.cos(x)), float(np.sin(x))] for x in np.random.default_rng(4).uniform(0, 6, 40)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
-    whole = cluster.average_linkage(df, "id", "v", 0.99, most=5).collect()
-    assert {(r.cluster, r.average) for r in whole} == {(0, False)}
-    assert len({r.cluster for r in cluster.average_linkage(df, "id", "v", 0.99).collect()}) > 1
+    for least in (0.95,):
+        want = {tuple(r) for r in cluster.average_linkage(df, "id", "v", least).collect()}
+        assert {tuple(r) for r in cluster.average_linkage(df, "id", "v", least, in_task=in_task).collect()} == want
+        groups = {}
+        for i, c in want:
+            groups.setdefault(c, set()).add(i)
+        assert {frozenset(x) for x in groups.values()} == naive(np.array(v), least)
 
 
 @pytest.mark.parametrize("block", [3, 10, 1000])
