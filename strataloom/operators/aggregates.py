@@ -101,29 +101,35 @@ def merge_cluster(df: DataFrame, cluster: str, key: str, label: str, synonyms: s
     return text.join(lists, cluster, "left").select(cluster, "id", "label", F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"), "definition")
 
 
-def mentions(df: DataFrame, form: str, normal: str, tier: str, doc: str, order: str, least: int, most_ids: int, query: str | None = None) -> DataFrame:
-    """Mentions to entities: (normal, tier, n, label, forms, doc_ids), and queries with ``query``.
-
-    Entities with fewer than ``least`` mentions are dropped.  The label is the
-    most frequent form, then the shortest, then the first seen; ``doc_ids`` are
-    the first distinct ones seen, at most ``most_ids``.  Mentions with a null
-    key are not counted.  ``queries`` is the sorted union of the names in ``query``
-    over all mentions; names are few.
+def mentions(df: DataFrame, form: str, normal: str, tier: str, doc: str, position: str, least: int, most_ids: int, query: str | None = None, most_synonyms: int = 20) -> DataFrame:
+    """Mentions to entities: (normal, tier, n, label, synonyms, forms, doc_ids), and queries with ``query``.
+
+    Mentions are seen in the order of (doc, position).  Entities with fewer than
+    ``least`` are dropped.  The label is the most frequent form, then the
+    shortest, then the first seen; synonyms are the other forms as first seen, at
+    most ``most_synonyms`` of ``forms``; ``doc_ids`` are the first distinct ones,
+    at most ``most_ids``.  Mentions with a null normal form or tier are not
+    counted.  ``queries`` is the sorted union of the names in ``query`` over all
+    mentions; names are few.
     """
-    rows = df.where(F.col(normal).isNotNull())
-    forms = rows.groupBy(normal, tier, form, *([query] if query else [])).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    union = []
-    if query:
-        forms = forms.groupBy(normal, tier, form).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.collect_set(query).alias("_names"))
-        union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("_names")))).alias("queries")]
-    per = forms.groupBy(normal, tier).agg(
-        F.sum("n").alias("n"), F.min_by(form, F.struct(-F.col("n"), F.length(form), F.col("first"))).alias("label"), F.count("*").alias("forms"), *union
-    ).where(F.col("n") >= least)
-    docs = rows.groupBy(normal, tier, doc).agg(F.min(order).alias("first"))
-    w = Window.partitionBy(normal, tier).orderBy("first", doc)
-    ids = docs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_ids).groupBy(normal, tier)
-    ids = ids.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", doc))), lambda s: s[doc]).alias("doc_ids"))
-    return per.join(ids, [normal, tier])
+    key, names = [normal, tier], [query] if query else []
+    rows = df.where(F.col(normal).isNotNull() & F.col(tier).isNotNull())
+    # One grouping of all mentions; the rest works on its result.
+    per_doc = stored(rows.groupBy(*key, form, doc, *names).agg(F.count("*").alias("_n"), F.min(position).alias("_at")), "mentions")
+    alive = stored(per_doc.groupBy(*key).agg(F.sum("_n").alias("n")).where(F.col("n") >= least), "entities")
+    live = per_doc.join(alive.select(*key), key, "left_semi")
+    sets = [F.collect_set(query).alias("_names")] if query else []
+    forms = live.groupBy(*key, form).agg(F.sum("_n").alias("_n"), F.min(F.struct(doc, "_at")).alias("_first"), *sets)
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("_names")))).alias("queries")] if query else []
+    per = forms.groupBy(*key).agg(F.min_by(form, F.struct(-F.col("_n"), F.length(form), F.col("_first"))).alias("label"), F.count("*").alias("forms"), *union)
+    # The label is one of the forms, so one more than is kept is enough.
+    seen = forms.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_first", form))).where(F.col("_r") <= most_synonyms + 1)
+    seen = seen.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(form).alias("f")))), lambda s: s["f"]).alias("_seen"))
+    ids = live.select(*key, doc).withColumn("_r", F.dense_rank().over(Window.partitionBy(*key).orderBy(doc))).where(F.col("_r") <= most_ids)
+    ids = ids.groupBy(*key).agg(F.array_sort(F.collect_set(doc)).alias("doc_ids"))
+    out = alive.join(per, key).join(seen, key).join(ids, key)
+    synonyms = F.slice(F.filter("_seen", lambda f: f != F.col("label")), 1, most_synonyms)
+    return out.select(*key, "n", "label", synonyms.alias("synonyms"), "forms", "doc_ids", *(["queries"] if query else []))
 
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -24,8 +24,8 @@ from .ranking import positions
 BLOCK = 16_384
 BLOCK_BYTES = 16 << 20
 TILE = 2048
-#: Centroids that are written into an expression.
-INLINE = 1000
+#: Numbers of centroids that are written into an expression.
+LITERALS = 1 << 16
 #: Groups whose sizes may be broadcast (about 50 bytes each).
 BROADCAST_GROUPS = 200_000
 
@@ -91,11 +91,12 @@ def _tiles(x: pd.DataFrame, y: pd.DataFrame):
 
 def knn(
     left: DataFrame, right: DataFrame, k: int, key: str, vector: str, right_key: str | None = None, right_vector: str | None = None,
-    group: str | None = None, differ: str | None = None, include_self: bool = False, block: int = BLOCK,
+    group: str | None = None, differ: str | None = None, include_self: bool = False, block: int = BLOCK, digits: int | None = None,
 ) -> DataFrame:
     """(id, neighbour, sim, rank): the k most similar rows of ``right`` per row of ``left``.
 
-    Cosine similarity in double; ties go to the smaller neighbour id.  With
+    Cosine similarity in double, rounded to ``digits`` before it is compared;
+    ties go to the smaller neighbour id.  With
     ``group`` only rows of the same group meet; with ``differ`` only rows that
     differ in that column.  Rows with a null vector or group take no part; a
     zero vector has similarity 0 to all.
@@ -108,6 +109,8 @@ def knn(
         ids, others, mine, theirs = x["id"].to_numpy(), y["id"].to_numpy(), x["a"].to_numpy(), y["a"].to_numpy()
         out, best = [], None
         for r, c, sim in _tiles(x, y):
+            if digits is not None:
+                sim = np.copysign(np.floor(np.abs(sim) * 10.0**digits + 0.5) / 10.0**digits, sim)
             if not include_self:
                 sim[ids[r, None] == others[None, c]] = -np.inf
             if differ:
@@ -257,29 +260,34 @@ def vote(near: DataFrame, labels: DataFrame, id_: str = "id") -> DataFrame:
     return counts.groupBy(id_).agg(F.min_by(F.struct("label", "n"), F.struct(-F.col("n"), "label")).alias("w")).select(id_, F.col("w.label").alias("winner"), F.col("w.n").alias("votes"))
 
 
-def max_similarity(df: DataFrame, named: DataFrame, vector: str, digits: int | None = None, inline: int = INLINE) -> DataFrame:
+def max_similarity(df: DataFrame, named: DataFrame, vector: str, digits: int | None = None, literals: int = LITERALS) -> DataFrame:
     """Adds name and sim of the most similar of named centroids.
 
-    Up to ``inline`` centroids are collected into the expression; more are a
-    table that ``knn`` meets in blocks.  Ties go to the smallest name.  There,
-    ``digits`` rounds the result and not what is compared.
+    Similarities are rounded to ``digits`` before they are compared; ties go to
+    the smallest name.  A null vector, or no centroid, gives nulls.  Centroids of
+    up to ``literals`` numbers in all are written into the expression; more are a
+    table that ``knn`` meets in blocks, by the same rules.
     """
-    rows = sorted((r.name, [float(x) for x in r.centroid]) for r in named.select("name", "centroid").limit(inline + 1).collect())
-    if len(rows) > inline:
+    n, d = named.where("centroid is not null").agg(F.count("*"), F.max(F.size("centroid"))).first()
+    if n * (d or 0) > literals:
         own = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
         table = positions(named.select("name", "centroid"), [F.col("name")], "_place")  # in the order of names
-        near = knn(own, table, 1, "_row", vector, "_place", "centroid", include_self=True)
-        sim = F.round("sim", digits) if digits is not None else F.col("sim")
-        best = near.join(table.select(F.col("_place").alias("neighbour"), "name"), "neighbour").select(F.col("id").alias("_row"), "name", sim.alias("sim"))
+        near = knn(own, table, 1, "_row", vector, "_place", "centroid", include_self=True, digits=digits)
+        best = near.join(table.select(F.col("_place").alias("neighbour"), "name"), "neighbour").select(F.col("id").alias("_row"), "name", "sim")
         return own.join(best, "_row", "left").drop("_row")
+    rows = sorted((r.name, [float(x) for x in r.centroid]) for r in named.where("centroid is not null").select("name", "centroid").collect())
     v = F.col(vector)
 
     def sim(c):
         s = vx.cosine(v, F.array(*map(F.lit, c)))
         return F.round(s, digits) if digits is not None else s
 
+    if not rows:
+        kind = named.schema["name"].dataType
+        return df.withColumns({"name": F.lit(None).cast(kind), "sim": F.lit(None).cast("double")})
     best = F.array_min(F.array(*[F.struct((-sim(c)).alias("m"), F.lit(n).alias("name")) for n, c in rows]))
-    return df.withColumn("_best", best).withColumn("name", F.col("_best.name")).withColumn("sim", -F.col("_best.m")).drop("_best")
+    out = df.withColumn("_best", F.when(v.isNotNull(), best))
+    return out.withColumn("name", F.col("_best.name")).withColumn("sim", -F.col("_best.m")).drop("_best")
 
 
 def spatial_knn(points: DataFrame, k: int, cell: float | None, key: str, group: str, x: str = "x", y: str = "y") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,38 +54,140 @@ def spread_rank(df: DataFrame, group: list[str], order: list[Column], out: str =
     return _with(p, first, group).withColumn(out, F.col("_p") - F.col("_first") + 1).drop("_p", "_first")
 
 
-def spread_tied_rank(df: DataFrame, group: list[str], value: str, out: str = "rank", average: bool = True, descending: bool = False) -> DataFrame:
-    """Place by one value, where equal values share the mean of their places or the first of them."""
-    order = F.desc(value) if descending else F.asc(value)
-    p = spread_rank(df, group, [order], "_place")
-    tied = p.groupBy(*group, value).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    place = F.col("_first") + (F.col("_n") - 1) / 2.0 if average else F.col("_first")
-    return _with(p, tied, [*group, value]).withColumn(out, place).drop("_place", "_first", "_n")
+def running_total(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:
+    """Adds the sum of ``amount`` (a long) over the rows before this one in the order of the whole table.
+
+    Rows are sorted in ranges; a range adds up its own, and one number per range
+    goes through the driver.  ``order`` has to be unique.
+    """
+    def add(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            x = b.column(b.schema.get_field_index(amount)).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.cumsum(x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total + sums - x), pa.array(np.full(len(x), part, dtype=np.int32))], names=[*b.schema.names, out, "_part"])
+            total += int(sums[-1]) if len(x) else 0
+
+    columns = [F.col(f"`{c}`") for c in order]
+    schema = df.select("*", F.lit(0).cast("long").alias(out), F.lit(0).alias("_part")).schema
+    sums = stored(df.repartitionByRange(*columns).sortWithinPartitions(*columns).mapInArrow(add, schema), "running-total")
+    first, starts = 0, []
+    for r in sums.groupBy("_part").agg(F.max(F.col(out) + F.col(amount)).alias("n")).orderBy("_part").collect():
+        starts.append((r["_part"], first))
+        first += r.n
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _first bigint"))
+    return sums.join(starts, "_part").withColumn(out, F.col(out) + F.col("_first")).drop("_part", "_first")
+
 
+def spread_tied_rank(df: DataFrame, group: list[str], value: str, out: str = "rank", average: bool = True, descending: bool = False) -> DataFrame:
+    """Place by one value, where equal values share the mean of their places or the first of them.
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    Equal values of a group are counted first, so what is sorted has one row for
+    each: a value that most rows share is no range of its own.  The places go
+    back to the rows by a join, whose large keys Spark splits.
+    """
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
+    before = running_total(counts, [*group, value], "_n", "_before")
+    if group:
+        whole = before.groupBy(*group).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_all"))
+        before = _with(before, whole, group)
+    else:
+        before = before.join(F.broadcast(before.agg(F.min("_before").alias("_start"), F.sum("_n").alias("_all"))))
+    above = F.col("_before") - F.col("_start")
+    if descending:
+        above = F.col("_all") - above - F.col("_n")
+    place = above + (F.col("_n") + 1) / 2.0 if average else above + 1
+    return _with(df, before.select(*group, value, place.alias(out)), [*group, value])
+
+
+#: How far from the share that is asked for a sketch is trusted, at first.
+MARGIN = 0.04
+#: Groups whose bounds may be broadcast (about 100 bytes each), and rows between
+#: two bounds whose distinct values are gathered.
+BROADCAST_GROUPS = 200_000
+GATHERED = 1_000_000
+#: Shares of a repeated sketch between which a quantile is looked for.
+GRID = 64
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], margin: float = MARGIN, most: int = GATHERED) -> DataFrame:
     """Exact quantiles with linear interpolation per group: ``shares`` maps names to 0..1.
 
-    ``percentile`` keeps a group's distinct values in one task.  Here rows are
-    sorted in ranges and the two rows around each quantile are picked by their
-    place.  Nulls do not count; a group of nulls has null quantiles.
+    A sketch of each group tells between which two values a quantile lies; a
+    second pass counts the rows below and keeps the distinct values between, with
+    their counts.  Where more than ``most`` rows lie between, they are sketched
+    again first.  Where the counts say that a sketch was wrong, the margin
+    doubles.  Nothing is sorted but what lies between, and a value that most rows
+    share is one row.  Nulls do not count; a group of nulls has null quantiles.
     """
-    kept = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    p = positions(kept.where("_v is not null"), [*[F.col(f"`{k}`") for k in keys], F.col("_v")], "_p")
-    groups = p.groupBy(*keys).agg(F.min("_p").alias("_first"), F.count("*").alias("_n"))
-    asked = groups.select(*keys, "_first", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in shares.items()])).alias("a"))
-    at = F.col("_first") + (F.col("_n") - 1) * F.col("a.q")
-    asked = asked.select(*keys, F.col("a.name").alias("_name"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("_p"), (at - F.floor(at)).alias("_part"), F.floor(at).alias("_low"))
-    # A row per quantile side and group meets one row of the table.
-    met = asked.distinct().join(p.select("_p", "_v"), "_p")
-    low, high = (F.max(F.when(F.col("_p") == x, F.col("_v"))) for x in (F.col("_low"), F.col("_low") + 1))
-    value_of = low + F.coalesce((high - low) * F.first("_part"), F.lit(0.0))
-    each = met.groupBy(*keys, "_name").agg(value_of.alias("_q"))
-    wide = each.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in shares])
-    every = df.select(*keys).distinct()
-    renamed = wide.select(*[F.col(f"`{k}`").alias(f"_r{i}") for i, k in enumerate(keys)], *shares)
-    cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
-    return every.join(renamed, cond, "left").select(*keys, *shares)
+    rows = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("_v"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    given = rows.where("_v is not null")
+    sketches = stored(given.groupBy(*names).agg(F.kll_sketch_agg_double("_v").alias("_s"), F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("_n > 0"), "sketches")
+    wrong = found = None
+    while True:
+
+        def around(n, q):
+            low = F.kll_sketch_get_quantile_double("_s", F.lit(q - margin)) if q > margin else F.col("_lo")
+            high = F.kll_sketch_get_quantile_double("_s", F.lit(q + margin)) if q + margin < 1 else F.col("_hi")
+            return F.struct(F.lit(n).alias("_name"), F.lit(q).alias("_q"), low.alias("_low"), high.alias("_high"))
+
+        at = (F.col("_n") - 1) * F.col("_q")
+        bounds = sketches.select(*names, "_n", F.explode(F.array(*[around(n, float(q)) for n, q in shares.items()])).alias("_a")).select(*names, "_n", "_a.*")
+        bounds = bounds.withColumns({"_at": F.floor(at), "_rest": at - F.floor(at)})
+        bounds = stored(bounds if wrong is None else _with(bounds, wrong, [*names, "_name"]), "bounds")
+        n_groups, largest = bounds.agg(F.count_distinct(F.struct(*names)) if names else F.lit(1), F.max("_n")).first()
+        if largest is None:
+            break
+
+        def reached(bounds):
+            """A row per quantile that a value lies below the upper bound of."""
+            each = bounds.groupBy(*names).agg(F.collect_list(F.struct("_name", "_low", "_high")).alias("_b"))
+            met = _with(given, F.broadcast(each) if n_groups <= BROADCAST_GROUPS else each, names) if names else given.join(F.broadcast(each))
+            return met.select(*names, "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["_high"])).alias("_b"))
+
+        inside = F.when(F.col("_v") >= F.col("_b._low"), F.col("_v"))
+        left = largest * 2 * margin
+        while left > most and margin < 0.25:  # what lies between is sketched again
+            again = reached(bounds).groupBy(*names, F.col("_b._name").alias("_name")).agg(F.count_if(inside.isNull()).alias("_below"), F.count(inside).alias("_m"), F.kll_sketch_agg_double(inside).alias("_s"))
+            grid = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+            q = (F.col("_at") - F.col("_below")) / F.greatest(F.lit(1), F.col("_m") - 1)
+            fits = (F.col("_m") > 0) & (q >= 0) & (q <= 1) & (F.col("_low") < F.col("_high"))
+            first, last = F.floor((q - margin) * GRID).cast("int"), F.ceil((q + margin) * GRID).cast("int")
+            bounds = stored(_with(bounds, again, [*names, "_name"]).withColumn("_grid", F.when(fits, grid)).withColumns({
+                "_low": F.when(fits & (first > 0), F.get("_grid", first)).otherwise(F.col("_low")),
+                "_high": F.when(fits & (last < GRID), F.get("_grid", last)).otherwise(F.col("_high")),
+            }).drop("_below", "_m", "_s", "_grid"), "bounds")
+            left *= 2 * margin
+        # All that lie below the lower bound count together.
+        below = reached(bounds)
+        counts = below.groupBy(*names, F.col("_b._name").alias("_name"), inside.alias("_x")).agg(F.count("*").alias("_c"))
+        between = F.array_sort(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_c"))))  # distinct values
+        gathered = counts.groupBy(*names, "_name").agg(F.coalesce(F.sum(F.when(F.col("_x").isNull(), F.col("_c"))), F.lit(0)).alias("_below"), between.alias("_between"))
+
+        def nth(k):
+            # The value at which the running count passes k.
+            start = F.struct(F.col("_below").alias("n"), F.lit(None).cast("double").alias("x"))
+            return F.aggregate("_between", start, lambda s, b: F.struct((s["n"] + b["_c"]).alias("n"), F.when((s["n"] <= k) & (s["n"] + b["_c"] > k), b["_x"]).otherwise(s["x"]).alias("x")), lambda s: s["x"])
+
+        picked = _with(bounds, gathered, [*names, "_name"])
+        picked = picked.select(*names, "_name", "_rest", nth(F.col("_at")).alias("_x0"), nth(F.col("_at") + F.when(F.col("_rest") > 0, 1).otherwise(0)).alias("_x1"))
+        picked = stored(picked, "picked")
+        sure = picked.where("_x0 is not null and _x1 is not null").select(*names, "_name", (F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_rest")).alias("_value"))
+        found = sure if found is None else found.unionByName(sure)
+        wrong = picked.where("_x0 is null or _x1 is null").select(*names, "_name")
+        if wrong.isEmpty():
+            break
+        margin *= 2
+    if found is None:
+        found = sketches.select(*names, F.lit("").alias("_name"), F.lit(0.0).alias("_value")).limit(0)
+    if not names:
+        return found.agg(*[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in shares])
+    every = rows.select(*names).distinct()
+    per = found.groupBy(*names).agg(*[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in shares])
+    renamed = per.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], *shares)
+    wide = every.join(renamed, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(names)], "left")
+    return wide.select(*[F.col(c).alias(k) for c, k in zip(names, keys)], *shares)
 
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:

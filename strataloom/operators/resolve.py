@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..storage import discard, stored
 from . import joins as jo
+from . import sets
 from .components import components
 
 
@@ -33,6 +34,44 @@ def resolve(df: DataFrame, key: str, vector: str, tier: str, least: float, merge
     return own.join(found, "node", "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("cluster"))
 
 
+def dedup(
+    df: DataFrame, key: str, vector: str, tier: str, label: str, synonyms: str, definition: str, source: str, genes: str, least: float,
+    overlap: float = 0.5, priority: Sequence[str] = (), prefix: str = "", split: Column | None = None, clusters: DataFrame | None = None,
+) -> DataFrame:
+    """(cluster, id, label, synonyms, definition, size): one merged concept per cluster.
+
+    Rows of a tier are clustered (``clusters`` has id and cluster; by default
+    average linkage at ``least``).  Where ``split`` holds, only pairs of a cluster
+    stay together that are similar enough and, if both have genes and sources
+    that begin with ``prefix``, overlap by ``overlap``; a cluster falls into the
+    components of such pairs.  The canonical row has the first source of
+    ``priority``, then the shortest label, then the smallest id; the others'
+    labels and synonyms become its own, and the longest definition stays.
+    Equal vectors with equal genes of one kind of source are one row when pairs
+    are made.  Rows with a null vector or tier have no cluster and no row here.
+    """
+    from . import aggregates as ag
+    from .cluster import average_linkage
+
+    found = clusters if clusters is not None else average_linkage(df, key, vector, least, tier)
+    own = df.join(found.select(F.col("id").alias(key), F.col("cluster").alias("_cluster")), key)
+    if split is not None:
+        parted = own.where(split).select(
+            F.col(key).alias("_id"), "_cluster", F.transform(vx.normalize(F.col(vector)), lambda x: F.round(x, 12)).alias("_v"),
+            F.col(source).startswith(prefix).alias("_own"), F.array_sort(F.array_distinct(F.coalesce(genes, F.array().cast("array<string>")))).alias("_genes"),
+        )
+        kinds = ["_cluster", "_v", "_own", "_genes"]
+        classes = stored(parted.groupBy(*kinds).agg(F.min("_id").alias("_rep")), "classes")
+        both = F.col("left._own") & F.col("right._own") & (F.size("left._genes") > 0) & (F.size("right._genes") > 0)
+        joined = resolve(classes, "_rep", "_v", "_cluster", least, ~both | (sets.jaccard(F.col("left._genes"), F.col("right._genes")) >= overlap))
+        parts = parted.join(classes.join(joined.select(F.col("id").alias("_rep"), F.col("cluster").alias("_part")), "_rep"), kinds).select(F.col("_id").alias(key), "_part")
+        own = own.join(parts, key, "left").withColumn("_cluster", F.coalesce("_part", "_cluster")).drop("_part")
+    own = stored(own, "clustered")
+    merged = ag.merge_cluster(own, "_cluster", key, label, synonyms, definition, ag.pick_canonical(own, "_cluster", key, label, source, list(priority)))
+    sizes = own.groupBy("_cluster").agg(F.count("*").alias("size"))
+    return merged.join(sizes, "_cluster").withColumnRenamed("_cluster", "cluster")
+
+
 def reference_scores(df: DataFrame, key: str, vector: str, tier: str, centroids: DataFrame, negatives: DataFrame, reference: DataFrame, k: int, ref_key: str, ref_tier: str) -> DataFrame:
     """Adds score (cosine with the own tier's centroid), negative (name and sim of the
     nearest negative centroid), agreement (share of the k nearest references of the own tier)."""
@@ -104,22 +143,50 @@ def without_adjudicator(df: DataFrame, decision: str, fail: bool = False) -> Dat
     return left.withColumns({"answer": F.lit("skipped"), "confidence": F.lit("skipped"), "reason": F.lit(""), "probe": F.lit(False)})
 
 
+def _decided(edges: DataFrame) -> DataFrame:
+    """(a, b, sim): edges of the greedy matching that one round tells.
+
+    An edge that is the best of both its ends is in it.  An edge that only one
+    better edge touches is in it if that one is not; such edges hang on each
+    other in chains, and every step follows twice as long a part of them.
+    """
+    order = [F.desc("sim"), F.desc("a"), F.desc("b")]
+    two_a = edges.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where("ra <= 2")
+    two_b = edges.withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(*order))).where("rb <= 2")
+    two_a, two_b = stored(two_a, "match"), stored(two_b, "match")
+    near = stored(two_a.join(two_b.select("a", "b", "rb"), ["a", "b"]), "match")
+    sure = near.where("ra = 1 and rb = 1").select("a", "b", "sim")
+    first_a, first_b = two_a.where("ra = 1").select("a", F.col("b").alias("pb")), two_b.where("rb = 1").select("b", F.col("a").alias("pa"))
+    second_a = near.where("ra = 2 and rb = 1").join(first_a, "a").select("a", "b", "sim", F.col("a").alias("pa"), "pb")
+    second_b = near.where("ra = 1 and rb = 2").join(first_b, "b").select("a", "b", "sim", "pa", F.col("b").alias("pb"))
+    way = stored(second_a.unionByName(second_b).withColumn("odd", F.lit(True)), "match")
+    while True:
+        ahead = way.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("pa").alias("qa"), F.col("pb").alias("qb"), F.col("odd").alias("more"))
+        more = F.col("more").isNotNull()
+        new = stored(way.join(ahead, ["pa", "pb"], "left").select(
+            "a", "b", "sim", F.coalesce("qa", "pa").alias("pa"), F.coalesce("qb", "pb").alias("pb"), F.when(more, F.col("odd") != F.col("more")).otherwise(F.col("odd")).alias("odd"), more.alias("moved"),
+        ), "match")
+        discard(way)
+        way = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
+    hung = way.where("not odd").join(sure.select(F.col("a").alias("pa"), F.col("b").alias("pb")), ["pa", "pb"], "left_semi")
+    return stored(sure.unionByName(hung.select("a", "b", "sim")), "match")
+
+
 def greedy_match(pairs: DataFrame, left: str = "a", right: str = "b", sim: str = "sim") -> DataFrame:
     """One-to-one matching that sequential greedy by (sim, a, b) descending finds.
 
-    In each round an edge is taken when it is the best of both its ends; its
-    ends' other edges go.  With a strict order this gives the greedy matching
-    (Preis, 1999).  Rounds end when no edge is left.
+    In each round all edges are taken that ``_decided`` tells, and their ends'
+    other edges go.  The order is strict, so the matching is the greedy one
+    (Preis, 1999).  Of repeated pairs the best counts; nulls match nothing.
     """
-    edges = stored(pairs.select(F.col(left).alias("a"), F.col(right).alias("b"), F.col(sim).alias("sim")), "match")
+    own = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"), F.col(sim).alias("sim")).where("a is not null and b is not null and sim is not null")
+    edges = stored(own.groupBy("a", "b").agg(F.max("sim").alias("sim")), "match")
     taken = None
     while not edges.isEmpty():
-        # A maximum per end is combined on the map side.
-        best = F.struct("sim", "a", "b")
-        top_a = edges.groupBy("a").agg(F.max(best).alias("m")).select("m.*")
-        top_b = edges.groupBy("b").agg(F.max(best).alias("m")).select("m.*")
-        won = stored(top_a.join(top_b, ["a", "b", "sim"], "left_semi"), "match")
-        rest = stored(edges.join(won, "a", "left_anti").join(won, "b", "left_anti"), "match")
+        won = _decided(edges)
+        rest = stored(edges.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"), "match")
         discard(edges)
         edges = rest
         taken = won if taken is None else taken.unionByName(won)
@@ -149,24 +216,3 @@ def merge_banks(reference: DataFrame, candidates: DataFrame, matches: DataFrame,
     a = a.withColumn("status", F.when(F.col("_m"), "matched").otherwise("reference_only"))
     b = b.withColumn("status", F.when(F.col("_m"), "matched").otherwise("novel"))
     return a.drop("_m").withColumn("bank", F.lit("reference")).unionByName(b.drop("_m").withColumn("bank", F.lit("candidate")))
-
-
-def tag(df: DataFrame, key: str, text: str, terms: DataFrame, longest: int) -> DataFrame:
-    """(key, position, form, label): dictionary tags, with abbreviations spread.
-
-    ``terms`` has ``form``, ``label`` and ``expansion`` (null unless the form is
-    an abbreviation).  If one form of an abbreviation pair occurs in a text, the
-    other one gets its label there too.  Word runs up to ``longest`` words are
-    looked up by equality.
-    """
-    words = F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ")
-    base = df.select(key, words.alias("_w"))
-
-    def runs_of(n: int) -> DataFrame:
-        forms = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
-        return base.where(F.size("_w") >= n).select(key, F.posexplode(forms).alias("position", "form"))
-
-    runs = reduce(lambda a, b: a.unionByName(b), [runs_of(n) for n in range(1, longest + 1)])
-    hits = runs.join(terms, "form")
-    spread = hits.where("expansion is not null").groupBy(key, F.col("expansion").alias("form"), "label").agg(F.min("position").alias("position"))
-    return hits.select(key, "position", "form", "label").unionByName(spread.select(key, "position", "form", "label")).distinct()

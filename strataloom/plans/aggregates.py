@@ -128,18 +128,17 @@ p AS (SELECT k, lang, sum(n)::BIGINT AS n, count(*) AS forms FROM f GROUP BY ALL
 l AS (SELECT k, lang, form AS label FROM (SELECT *, row_number() OVER (PARTITION BY k, lang ORDER BY n DESC, length(form), first) AS r FROM f) WHERE r = 1),
 d AS (SELECT DISTINCT k, lang, doc_id FROM m),
 i AS (SELECT k, lang, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY k, lang ORDER BY doc_id) AS r FROM d) WHERE r <= 10 GROUP BY ALL),
-q AS (SELECT k, lang, string_agg(source, ',' ORDER BY source) AS queries FROM (SELECT DISTINCT k, lang, source FROM m) GROUP BY ALL)
-SELECT k, lang, n, label, forms, ids, queries FROM p JOIN l USING (k, lang) JOIN i USING (k, lang) JOIN q USING (k, lang)""",
+q AS (SELECT k, lang, string_agg(source, ',' ORDER BY source) AS queries FROM (SELECT DISTINCT k, lang, source FROM m) GROUP BY ALL),
+o AS (SELECT f.k, f.lang, f.form, row_number() OVER (PARTITION BY f.k, f.lang ORDER BY first) AS r FROM f JOIN l USING (k, lang) WHERE f.form <> l.label),
+s AS (SELECT k, lang, string_agg(form, ' ' ORDER BY r) AS synonyms FROM o WHERE r <= 2 GROUP BY ALL)
+SELECT k, lang, n, label, coalesce(synonyms, '') AS synonyms, forms, ids, queries FROM p JOIN l USING (k, lang) JOIN i USING (k, lang) JOIN q USING (k, lang) LEFT JOIN s USING (k, lang)""",
 )
 def a11(t):
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    m = t.documents.select("doc_id", "lang", "source", F.posexplode(words).alias("i", "form")).where("form <> ''")
-    # (doc_id, i) as one long, which aggregates by hash; what would not fit is an error.
-    fits = (F.col("i") < 1 << 24) & F.col("doc_id").between(-(1 << 39), (1 << 39) - 1)
-    pos = F.when(fits, F.col("doc_id") * (1 << 24) + F.col("i")).otherwise(F.raise_error(F.lit("position or doc_id too large")).cast("long"))
-    m = m.select("doc_id", "lang", "source", "form", F.lower("form").alias("k"), pos.alias("pos"))
-    e = ag.mentions(m, "form", "k", "lang", "doc_id", "pos", 5, 10, "source")
-    return e.select("k", "lang", "n", "label", "forms", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join("queries", ",").alias("queries"))
+    m = t.documents.select("doc_id", "lang", "source", F.posexplode(words).alias("i", "form")).where("form <> ''").withColumn("k", F.lower("form"))
+    e = ag.mentions(m, "form", "k", "lang", "doc_id", "i", 5, 10, "source", most_synonyms=2)
+    ids = F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",")
+    return e.select("k", "lang", "n", "label", F.array_join("synonyms", " ").alias("synonyms"), "forms", ids.alias("ids"), F.array_join("queries", ",").alias("queries"))
 
 
 _CELLS = "SELECT l_suppkey AS slide, l_partkey AS gene, l_quantity * 1500 AS pred, l_extendedprice AS target, l_returnflag <> 'R' AS mask FROM lineitem"

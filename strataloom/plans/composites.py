@@ -6,7 +6,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import aggregates as ag
 from ..operators import joins as jo
-from ..operators import lexicon, profiles, ranking, resolve, rules
+from ..operators import lexicon, profiles, ranking, resolve, rules, tagging
 from .registry import query
 
 _SIM = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
@@ -37,6 +37,26 @@ def c02(t):
     return resolve.resolve(t.embeddings, "vec_id", "embedding", "label", 0.3)
 
 
+@query(
+    "c02_dedup_chain",
+    f"""WITH RECURSIVE d AS (SELECT vec_id AS id, label AS tier, embedding, p_name AS name, [upper(p_name), p_type] AS syn, p_brand || ' ' || p_type AS def, p_brand AS source, [p_type, split_part(p_name, ' ', 1)] AS genes FROM embeddings JOIN part ON p_partkey = vec_id),
+e AS (SELECT a.id AS a, b.id AS b, a.tier % 2 = 0 OR NOT (starts_with(a.source, 'Brand#1') AND starts_with(b.source, 'Brand#1')) OR len(list_intersect(a.genes, b.genes)) / len(list_distinct(list_concat(a.genes, b.genes))) >= 0.3 AS ok
+FROM d a JOIN d b ON a.tier = b.tier AND a.id <> b.id WHERE {_SIM} >= 0.25),
+r AS (SELECT id, id AS c FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c AND e.ok), k AS (SELECT id, min(c) AS cluster FROM r GROUP BY 1),
+m AS (SELECT * FROM d JOIN k USING (id)),
+c AS (SELECT cluster, id, name AS label FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY CASE source WHEN 'Brand#3' THEN 1 WHEN 'Brand#1' THEN 2 ELSE 3 END, length(name), id) AS r FROM m) WHERE r = 1),
+s AS (SELECT cluster, lower(t) AS k, min(t) AS t FROM (SELECT m.cluster, unnest(list_append(syn, name)) AS t, label FROM m JOIN c USING (cluster)) WHERE lower(t) <> lower(label) GROUP BY 1, 2),
+f AS (SELECT cluster, def FROM (SELECT cluster, def, row_number() OVER (PARTITION BY cluster ORDER BY length(def) DESC, def) AS r FROM m) WHERE r = 1)
+SELECT c.cluster, c.id, c.label, (SELECT string_agg(t, '|' ORDER BY k, t) FROM s WHERE s.cluster = c.cluster) AS synonyms, f.def AS definition, (SELECT count(*) FROM m WHERE m.cluster = c.cluster) AS size FROM c JOIN f USING (cluster)""",
+)
+def c02_chain(t):
+    p = t.part.select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("name"), F.array(F.upper("p_name"), "p_type").alias("syn"), F.concat_ws(" ", "p_brand", "p_type").alias("def"), F.col("p_brand").alias("source"), F.array("p_type", F.substring_index("p_name", " ", 1)).alias("genes"))
+    d = t.embeddings.join(p, "vec_id")
+    found = resolve.resolve(d, "vec_id", "embedding", "label", 0.25)
+    out = resolve.dedup(d, "vec_id", "embedding", "label", "name", "syn", "def", "source", "genes", 0.25, 0.3, ["Brand#3", "Brand#1"], "Brand#1", F.col("label") % 2 == 1, found)
+    return out.select("cluster", "id", "label", F.array_join("synonyms", "|").alias("synonyms"), "definition", "size")
+
+
 _CENTROIDS = f"""u AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings), m AS (SELECT label, i, avg(v[i]) AS x FROM u, unnest(range(1, 65)) AS t(i) GROUP BY ALL),
 c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY 1), neg AS (SELECT vec_id AS name, v FROM u WHERE vec_id < 4),
 own AS (SELECT u.vec_id, u.label, list_cosine_similarity(u.v, c.c) AS score, (SELECT max(list_cosine_similarity(u.v, neg.v)) FROM neg) AS negative FROM u JOIN c USING (label))"""
@@ -313,10 +333,16 @@ def c25(t):
 
 @query(
     "c27_dictionary_tagger",
-    """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents), o AS (SELECT doc_id, i - 1 AS position, w[i] AS form FROM w, unnest(range(1, len(w) + 1)) AS t(i)),
-h AS (SELECT doc_id, position, form, CASE form WHEN 'the' THEN 'article' ELSE 'prep' END AS label FROM o WHERE form IN ('the', 'of'))
-SELECT doc_id, position::INT AS position, form, label FROM h UNION SELECT doc_id, min(position)::INT, 'out of', 'prep' FROM h WHERE form = 'of' GROUP BY 1""",
+    """WITH w AS (SELECT doc_id, lang, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT array_to_string(w[1:1 + (doc_id // 20) % 6], ' ') AS form, lang AS label, NULL AS expansion FROM w WHERE doc_id % 20 = 0 UNION ALL SELECT * FROM (VALUES ('of', 'prep', 'out of'), ('the', 'article', NULL))),
+o AS (SELECT doc_id, i - 1 AS position, array_to_string(w[i:i + n - 1], ' ') AS form FROM w, unnest(range(1, len(w) + 1)) AS t(i), unnest(range(1, 7)) AS u(n) WHERE i + n - 1 <= len(w)),
+h AS (SELECT doc_id, position, form, label, expansion FROM o JOIN t USING (form) WHERE form <> '')
+SELECT doc_id, position::INT AS position, form, label FROM h UNION SELECT doc_id, min(position)::INT, expansion, label FROM h WHERE expansion IS NOT NULL GROUP BY doc_id, expansion, label""",
 )
 def c27(t):
-    terms = t.spark.createDataFrame([("the", "article", None), ("of", "prep", "out of")], "form string, label string, expansion string")
-    return resolve.tag(t.documents, "doc_id", "text", terms, 1)
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    size = (1 + F.floor(F.col("doc_id") / 20) % 6).cast("int")
+    none = F.lit(None).cast("string").alias("expansion")
+    own = t.documents.where("doc_id % 20 = 0 and text is not null").select(F.array_join(F.slice(words, F.lit(1), size), " ").alias("form"), F.col("lang").alias("label"), none)
+    terms = own.unionByName(t.spark.createDataFrame([("of", "prep", "out of"), ("the", "article", None)], "form string, label string, expansion string"))
+    return tagging.tag(t.documents, "doc_id", "text", terms)

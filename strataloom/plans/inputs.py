@@ -83,20 +83,40 @@ def s14(t):
 
 @query(
     "s15_article_xml",
-    "SELECT p_partkey::VARCHAR AS pmid, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS title, 'AIM: ' || p_type || chr(10) || chr(10) || p_brand AS abstract, 1990 + p_size AS year, 'A ' || p_brand || ';B X' AS authors FROM part WHERE p_partkey % 7 <> 0",
+    """SELECT p_partkey::VARCHAR AS pmid, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS title, 'AIM: ' || p_type || chr(10) || chr(10) || p_brand AS abstract,
+CASE WHEN p_partkey % 3 = 2 THEN 2001 ELSE 1990 + p_size END AS year, 'A ' || p_brand || ';B X;J Y' AS authors,
+CASE WHEN p_partkey % 4 > 0 THEN 'J ' || p_brand END AS journal, CASE WHEN p_partkey % 2 = 0 THEN p_type || ';Humans' ELSE '' END AS mesh, p_brand || ';k' || p_size AS keywords,
+CASE WHEN p_partkey % 6 < 4 THEN '10.1/' || p_partkey END AS doi FROM part WHERE p_partkey % 7 <> 0""",
 )
 def s15(t):
+    key = F.col("p_partkey")
+
     def tag(name, c):
         return F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name.split()[0]}>"))
 
-    pmid = F.when(F.col("p_partkey") % 7 == 0, "").otherwise(tag("PMID", F.col("p_partkey").cast("string")))
-    title = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(tag("ArticleTitle", F.col("p_name")))
+    pmid = F.when(key % 7 == 0, "").otherwise(tag("PMID", key.cast("string")))
+    title = F.when(key % 5 == 0, "").otherwise(tag("ArticleTitle", F.col("p_name")))
     abstract = F.concat(tag('AbstractText Label="AIM"', F.col("p_type")), tag("AbstractText", F.col("p_brand")))
-    date = F.when(F.col("p_partkey") % 2 == 0, tag("Year", (F.col("p_size") + 1990).cast("string"))).otherwise(tag("MedlineDate", F.concat((F.col("p_size") + 1990).cast("string"), F.lit(" Jan-Feb"))))
-    authors = F.concat(F.lit("<Author><LastName>"), "p_brand", F.lit("</LastName><ForeName>A</ForeName></Author><Author><LastName>X</LastName><ForeName>B</ForeName></Author>"))
-    xml = F.concat(F.lit("<PubmedArticle><MedlineCitation>"), pmid, F.lit("<Article>"), title, tag("Abstract", abstract), F.lit("<Journal><JournalIssue><PubDate>"), date, F.lit("</PubDate></JournalIssue></Journal>"), tag("AuthorList", authors), F.lit("</Article></MedlineCitation></PubmedArticle>"))
-    out = markup.articles(t.part.select("p_partkey", xml.alias("xml")), "xml", ["p_partkey"])
-    return out.select("pmid", "title", "abstract", "year", F.array_join("authors", ";").alias("authors"))
+    year = (F.col("p_size") + 1990).cast("string")
+    date = F.when(key % 3 == 0, tag("Year", year)).when(key % 3 == 1, tag("MedlineDate", F.concat(year, F.lit(" Jan-Feb")))).otherwise(tag("MedlineDate", F.lit("Winter")))
+    journal = F.when(key % 4 > 0, tag("Title", F.concat(F.lit(" J "), "p_brand", F.lit(" ")))).otherwise("")
+    authors = F.concat(
+        F.lit("<Author><LastName>"), "p_brand", F.lit("</LastName><ForeName>A</ForeName></Author><Author><LastName>X</LastName><ForeName>B</ForeName><Initials>Q</Initials></Author>"),
+        F.lit("<Author><LastName>Y</LastName><Initials>J</Initials></Author>"),
+    )
+    heading = F.concat(tag("MeshHeading", tag('DescriptorName UI="D1"', F.col("p_type"))), F.lit('<MeshHeading><DescriptorName UI="D2">Humans</DescriptorName></MeshHeading>'))
+    mesh = F.when(key % 2 == 0, tag("MeshHeadingList", heading)).otherwise("")
+    keywords = F.concat(tag("KeywordList", tag('Keyword MajorTopicYN="N"', F.col("p_brand"))), F.lit("<KeywordList><Keyword> </Keyword><Keyword>k"), F.col("p_size").cast("string"), F.lit("</Keyword></KeywordList>"))
+    # One in six has no list, one in six no doi in it.
+    doi = F.when(key % 6 < 4, tag('ArticleId IdType="doi"', F.concat(F.lit(" 10.1/"), key.cast("string")))).otherwise("")
+    ids = F.when(key % 6 == 5, "").otherwise(tag("PubmedData", tag("ArticleIdList", F.concat(F.lit('<ArticleId IdType="pii">S1</ArticleId>'), doi))))
+    parts = [
+        F.lit("<PubmedArticle><MedlineCitation>"), pmid, F.lit("<Article>"), title, tag("Abstract", abstract), tag("Journal", F.concat(journal, tag("JournalIssue", tag("PubDate", date)))),
+        tag("AuthorList", authors), F.lit("<ArticleDate><Year>2001</Year></ArticleDate></Article>"), mesh, keywords, F.lit("</MedlineCitation>"), ids, F.lit("</PubmedArticle>"),
+    ]
+    out = markup.articles(t.part.select("p_partkey", F.concat(*parts).alias("xml")), "xml", ["p_partkey"])
+    joined = [F.array_join(c, ";").alias(c) for c in ("authors", "mesh", "keywords")]
+    return out.select("pmid", "title", "abstract", "year", "journal", "doi", *joined)
 
 
 @query("s15b_markup_extract", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS link FROM pages")
@@ -150,22 +170,43 @@ def s23(t):
     return files.read_splits(t.spark, {"train": a, "test": b}).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("s25_publish", "SELECT r_regionkey, r_name FROM region")
+@query(
+    "s25_publish",
+    """SELECT n_nationkey AS id, n_name AS name, 2 AS version, 'complete' AS status, 0 AS bad_files, 25 AS before FROM nation WHERE n_nationkey % 2 = 0""",
+)
 def s25(t):
-    files.publish(t.region, path := fresh_path(t.spark, "published"))
-    files.publish(t.region, path, overwrite=True)
-    return t.spark.read.parquet(path)
+    from ..sources import publication as pub
 
+    path = fresh_path(t.spark, "published")
+    rows = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    first = pub.publish(rows.repartition(3), path)
+    second = pub.publish(rows.where("id % 2 = 0").repartition(2), path, expected=first)
+    bad, before = pub.mismatches(t.spark, path).count(), pub.read(t.spark, path, first).count()
+    now = pub.current(t.spark, path)
+    return pub.read(t.spark, path).select("id", "name", F.lit(second).alias("version"), F.lit(now["status"]).alias("status"), F.lit(bad).alias("bad_files"), F.lit(before).alias("before"))
 
-@query("p19_cache_stats", "SELECT count(*) AS entries, sum(octet_length(encode(n_name)) + 1)::BIGINT AS bytes, 0 AS after FROM nation")
+
+@query(
+    "p19_cache_stats",
+    """WITH r AS (SELECT DISTINCT c_nationkey % 3 AS kind, c_custkey, 'reply ' || c_name AS body FROM customer)
+SELECT kind, count(*) AS entries, sum(strlen(body))::BIGINT AS bytes FROM r WHERE kind <> 1 GROUP BY 1 UNION ALL SELECT 1, 0, 0""",
+)
 def p19(t):
-    names = [(r.n_nationkey, r.n_name) for r in t.nation.select("n_nationkey", "n_name").collect()]
-    folder = fresh_path(t.spark, "cache")
-    for k, name in names:  # one entry a request, as a cache of replies has them
-        files.write_text(t.spark, f"{folder}/{k % 3}/{k}.txt", name + "\n")
-    stats = stored(files.cache_stats(t.spark, folder), "stats")
-    files.invalidate(t.spark, folder)
-    return stats.withColumn("after", F.lit(int(files.exists(t.spark, folder))))
+    from ..sources.cache import ResponseCache
+
+    def requests(kind):
+        key = F.create_map(F.lit("id"), F.col("c_custkey").cast("string"))
+        return t.customer.where(F.col("c_nationkey") % 3 == kind).select(F.lit(f"/kind/{kind}").alias("path"), key.alias("params"), F.lit(200).alias("status"), F.concat(F.lit("reply "), "c_name").alias("body"))
+
+    out = []
+    for kind in range(3):
+        kept = ResponseCache(fresh_path(t.spark, "replies"))
+        kept.put(requests(kind))
+        kept.put(requests(kind))  # the second run leaves one entry a request
+        if kind == 1:
+            kept.invalidate(requests(kind).select("path", "params"))
+        out.append(kept.stats(t.spark).select(F.lit(kind).alias("kind"), "entries", "bytes"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def _bank(t):

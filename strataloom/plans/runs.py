@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as st
 from ..functions import vectors as vx
 from ..operators import cluster, density, lexicon, resolve
-from ..sources import bank, files, markup, remote, runs
+from ..sources import bank, cache, files, markup, paged, remote, runs
 from ..storage import fresh_path
 from .registry import query
 from .stages import ViewConfig
@@ -44,13 +44,15 @@ def ontology_replies(path: str, params) -> tuple[int, str]:
 
 @query(
     "s17_paged_scan",
-    "SELECT r_regionkey::VARCHAR AS root, (i // 3 + 1)::INT AS page, 'http://x/' || r_regionkey || '/' || i AS source_id, 'class ' || r_regionkey || ' ' || i AS preferred_label FROM region, unnest(range(0, 2 * r_regionkey + 1)) AS t(i)",
+    "SELECT r_regionkey::VARCHAR AS root, (i // 3 + 1)::INT AS page, 'http://x/' || r_regionkey || '/' || i AS source_id, 'class ' || r_regionkey || ' ' || i AS preferred_label FROM region, unnest(range(0, 2 * r_regionkey + 1)) AS t(i) WHERE r_regionkey <> 2",
 )
 def s17(t):
-    roots = t.region.select(F.col("r_regionkey").cast("string").alias("root"), F.concat(F.lit("/classes/"), "r_regionkey", F.lit("/children")).alias("path"), F.create_map().cast("map<string,string>").alias("params"))
-    pages = remote.follow_pages(roots.repartition(4, "root"), ontology_replies)
+    paged.register(t.spark)
+    roots = [[str(r.r_regionkey), f"/classes/{r.r_regionkey}/children", {}] for r in t.region.select("r_regionkey").collect()]  # a root is a request's name
+    pages = t.spark.read.format(paged.NAME).options(roots=json.dumps(roots), fetcher=f"{__name__}:ontology_replies", rate="1000", burst="8").load()
+    kept = pages.where(F.col("root").isin([r[0] for r in roots if r[0] != "2"]))  # chooses the partitions
     item = F.from_json("item", "struct<`@id`:string,prefLabel:string>")
-    return pages.select("root", "page", item["@id"].alias("source_id"), item.prefLabel.alias("preferred_label"))
+    return kept.select("root", "page", item["@id"].alias("source_id"), item.prefLabel.alias("preferred_label"))
 
 
 def article_replies(path: str, params) -> tuple[int, str]:
@@ -66,25 +68,61 @@ def article_replies(path: str, params) -> tuple[int, str]:
 )
 def s18(t):
     by_id = remote.id_batches(t.part, "p_partkey", 50, "/fetch", {"db": "articles"})
-    by_history = remote.history_batches(t.spark, t.nation.count(), 10, "/fetch", {"db": "articles", "WebEnv": "w"})
-    replies = remote.fetch(by_id.unionByName(by_history), article_replies)
-    each = replies.select(F.explode(F.regexp_extract_all("body", F.lit("(?s)(<PubmedArticle>.*?</PubmedArticle>)"), F.lit(1))).alias("xml"))
+    replies = cache.ResponseCache(fresh_path(t.spark, "replies"), ["api_key"]).through(by_id, article_replies, rate=1000.0, burst=8)
+    paged.register(t.spark)
+    options = {"path": "/fetch", "params": json.dumps({"db": "articles", "WebEnv": "w"}), "total": str(t.nation.count()), "size": "10", "batches": "2"}
+    by_history = t.spark.read.format(paged.NAME).options(fetcher=f"{__name__}:article_replies", **options).load()
+    bodies = replies.select("body").unionByName(by_history.select(F.col("item").alias("body")))
+    each = bodies.select(F.explode(F.regexp_extract_all("body", F.lit("(?s)(<PubmedArticle>.*?</PubmedArticle>)"), F.lit(1))).alias("xml"))
     return markup.articles(each, "xml", []).select("pmid", "title")
 
 
-_STATUS = "[200, 401, 403, 403, 404, 429, 503, 200, 200, 200][event_id % 10 + 1]"
-_BODY = "['ok', '', 'Licensed content', 'denied', '', '', '', '<ERROR>API key invalid</ERROR>', '<ERROR>Rate limit exceeded</ERROR>', '<ERROR>other</ERROR>'][event_id % 10 + 1]"
+def page_replies(path: str, params) -> tuple[int, str]:
+    """The path again; an error for every seventh page."""
+    return (503, "") if int(params["page"]) % 7 == 0 else (200, f"{path}?page={params['page']}")
+
+
+def no_replies(path: str, params) -> tuple[int, str]:
+    raise OSError("nothing should be asked")
 
 
 @query(
-    "p17_reply_errors",
-    f"SELECT event_id, [NULL, 'authentication', 'licence', 'authentication', 'not_found', 'rate_limited', 'transient', 'authentication', 'rate_limited', 'malformed'][event_id % 10 + 1] AS error, {_STATUS} IN (429, 503) AS again FROM events",
+    "s20b_read_through",
+    """WITH p AS (SELECT page_id, split_part(url, '?', 1) AS u FROM pages)
+SELECT page_id, sha256(u || '?page=' || page_id % 50) AS key, CASE WHEN page_id % 50 % 7 <> 0 THEN u || '?page=' || page_id % 50 END AS body, false AS asked FROM p""",
 )
+def s20b(t):
+    page = F.create_map(F.lit("page"), (F.col("page_id") % 50).cast("string"), F.lit("api_key"), F.col("page_id").cast("string"))
+    requests = t.pages.select("page_id", F.split("url", r"\?")[0].alias("path"), page.alias("params"))
+    replies = cache.ResponseCache(fresh_path(t.spark, "replies"), ["api_key"])
+    replies.through(requests, page_replies, attempts=1)
+    # Errors are not kept; what is kept is not asked again, here or after the runs are put together.
+    known = requests.where("page_id % 50 % 7 <> 0")
+    replies.compact(t.spark)
+    second = replies.through(known, no_replies).select("page_id", "key", "body", "asked")
+    rest = requests.where("page_id % 50 % 7 = 0").select("page_id", replies.key(F.col("path"), F.col("params")).alias("key"))
+    return second.unionByName(rest.join(replies.entries(t.spark).select("key", "body"), "key", "left").select("page_id", "key", "body", F.lit(False).alias("asked")))
+
+
+#: Status, body, kind of error and whether asking again may help.
+_REPLIES = [
+    (200, "ok", None, False), (401, "", "authentication", False), (403, "Licensed content", "licence", False), (403, "denied", "authentication", False), (404, "", "not_found", False),
+    (429, "", "rate_limited", True), (503, "", "transient", True), (200, "<ERROR>API key invalid</ERROR>", "authentication", False), (200, "<ERROR>Rate limit exceeded</ERROR>", "rate_limited", False),
+    (200, "<ERROR>other</ERROR>", "malformed", False), (200, "<r><ERROR>Invalid key given</ERROR></r>", "authentication", False), (200, "<ERROR>apikey?</ERROR>", "authentication", False),
+    (403, "see the Terms of Use", "licence", False), (403, "needs an agreement", "licence", False), (403, "Subscribe first", "licence", False), (200, "<ERROR>too many requests</ERROR>", "rate_limited", False),
+    (200, "<ERROR>api key", "malformed", False), (500, "<ERROR>api key</ERROR>", "transient", True), (200, "unauthorized api key in a text", None, False), (418, "", "transient", False),
+]
+
+
+def _texts(column: int) -> str:
+    return "[" + ", ".join("NULL" if r[column] is None else f"'{r[column]}'" for r in _REPLIES) + f"][event_id % {len(_REPLIES)} + 1]"
+
+
+@query("p17_reply_errors", f"SELECT event_id, {_texts(2)} AS error, {_texts(3)}::BOOLEAN AS again FROM events")
 def p17(t):
-    at = (F.col("event_id") % 10).cast("int")
-    statuses = F.array(*map(F.lit, (200, 401, 403, 403, 404, 429, 503, 200, 200, 200)))
-    bodies = F.array(*map(F.lit, ("ok", "", "Licensed content", "denied", "", "", "", "<ERROR>API key invalid</ERROR>", "<ERROR>Rate limit exceeded</ERROR>", "<ERROR>other</ERROR>")))
-    r = t.events.select("event_id", F.get(statuses, at).alias("status"), F.get(bodies, at).alias("body"))
+    at = (F.col("event_id") % len(_REPLIES)).cast("int")
+    status, body = (F.get(F.array(*[F.lit(r[i]) for r in _REPLIES]), at) for i in (0, 1))
+    r = t.events.select("event_id", status.alias("status"), body.alias("body"))
     return r.select("event_id", remote.reply_error(F.col("status"), F.col("body")).alias("error"), remote.retryable(F.col("status")).alias("again"))
 
 
@@ -174,14 +212,26 @@ def p14(t):
 
 @query(
     "p14b_mention_harvest",
-    """WITH w AS (SELECT p_partkey AS doc, p_brand AS q, lower(unnest(string_split(p_type, ' '))) AS f FROM part), m AS (SELECT * FROM w WHERE f IN ('small', 'brass', 'steel'))
-SELECT CASE f WHEN 'small' THEN 'size' ELSE 'metal' END AS tier, f AS label, count(*) AS n, string_agg(DISTINCT q, ',' ORDER BY q) AS queries FROM m GROUP BY ALL HAVING count(*) >= 2""",
+    """WITH t AS (SELECT p_partkey AS doc, p_brand AS q, string_split(CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE upper(p_name[1]) || p_name[2:] END, ' ') AS ws FROM part),
+o AS (SELECT doc, q, i, array_to_string(ws[i:i + n - 1], ' ') AS form FROM t, unnest(range(1, len(ws) + 1)) AS a(i), unnest([1, 2]) AS b(n) WHERE i + n - 1 <= len(ws)),
+m AS (SELECT *, lower(form) AS f FROM o WHERE lower(form) IN (SELECT p_name FROM part WHERE p_size < 5 UNION ALL SELECT split_part(p_name, ' ', 1) FROM part WHERE p_size = 7)),
+c AS (SELECT f, form, count(*) AS n, min((doc, i)) AS first FROM m GROUP BY ALL), l AS (SELECT f, arg_min(form, (-n, length(form), first)) AS label FROM c GROUP BY 1),
+s AS (SELECT c.f, string_agg(c.form, '|' ORDER BY c.first) AS synonyms FROM c JOIN l USING (f) WHERE c.form <> l.label GROUP BY 1)
+SELECT 'kind' AS tier, label, coalesce(any_value(synonyms), '') AS synonyms, count(*) AS n, string_agg(DISTINCT q, ',' ORDER BY q) AS queries FROM m JOIN l USING (f) LEFT JOIN s USING (f) GROUP BY f, label HAVING count(*) >= 2""",
 )
 def p14b(t):
-    texts = t.part.select(F.col("p_partkey").alias("doc"), F.lower("p_type").alias("text"), F.col("p_brand").alias("query"))
-    terms = t.spark.createDataFrame([("small", "SIZE", None), ("brass", "METAL", None), ("steel", "METAL", None), ("copper", "OTHER", None)], "form string, label string, expansion string")
-    found = runs.harvest_mentions(texts, "doc", "text", "query", terms, {"SIZE": "size", "METAL": "metal"}, 2, 2)
-    return found.select(F.col("candidate_tier").alias("tier"), F.col("preferred_label").alias("label"), F.element_at("extra", "n").cast("long").alias("n"), F.element_at("extra", "queries").alias("queries"))
+    case = F.col("p_partkey") % 3
+    capital = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000))
+    texts = t.part.select(F.col("p_partkey").alias("doc"), F.when(case == 0, F.col("p_name")).when(case == 1, F.upper("p_name")).otherwise(capital).alias("text"), F.col("p_brand").alias("query"))
+    # Names of one or two words in every spelling that the texts have.
+    known = t.part.where("p_size < 5").select(F.col("p_name").alias("w")).unionByName(t.part.where("p_size = 7").select(F.substring_index("p_name", " ", 1).alias("w"))).distinct()
+    words = F.split("text", " ")
+    forms = texts.select(F.explode(F.array_union(words, F.array("text"))).alias("form")).distinct().join(known, F.lower("form") == F.col("w"))
+    terms = forms.select("form", F.lit("KIND").alias("label"), F.lit(None).cast("string").alias("expansion"))
+    found = runs.harvest_mentions(texts, "doc", "text", "query", terms, {"KIND": "kind"}, 2)
+    return found.select(
+        F.col("candidate_tier").alias("tier"), F.col("preferred_label").alias("label"), F.array_join("synonyms", "|").alias("synonyms"), F.element_at("extra", "n").cast("long").alias("n"), F.element_at("extra", "queries").alias("queries"),
+    )
 
 
 @query("p20_run_record", """SELECT 'resolve' AS command, sha256('{"a":1,"b":["x","ü"]}') AS config_hash, true AS has_id, true AS in_order""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -103,32 +104,21 @@ def write_gene_sets(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\t", "name", "url", F.array_join("members", "\t")).alias("value")).write.text(path)
 
 
-def publish(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write beside the target, then rename; what was there is put back if that fails.
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders in a folder, sorted; none if it is not there."""
+    fs, p = _filesystem(spark, path)
+    return sorted(f.getPath().toString() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        fs, p = _filesystem(spark, path)
+        fs.delete(p, True)
 
-    The old table is set aside and deleted only after the new one stands, so no
-    crash loses data: one that comes between the two renames leaves the old
-    table under ``path.before`` and the new one under ``path.staged``, and the
-    next call goes on from there.  Readers in that moment find no table, never
-    half of one.  Concurrent publishers of one path are the caller's to keep apart.
-    """
-    spark = df.sparkSession
-    fs, target = _filesystem(spark, path)
-    staged, before = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}") for x in ("staged", "before"))
-    if fs.exists(before) and not fs.exists(target) and not fs.rename(before, target):  # a crash between renames
-        raise OSError(f"could not restore {path}")
-    if fs.exists(target) and not overwrite:
-        raise FileExistsError(path)
-    df.write.mode("overwrite").parquet(staged.toString())
-    fs.delete(before, True)
-    old = fs.exists(target)
-    if old and not fs.rename(target, before):
-        raise OSError(f"could not set {path} aside")
-    if not fs.rename(staged, target):
-        if old:
-            fs.rename(before, target)
-        raise OSError(f"could not publish {path}")
-    fs.delete(before, True)
+
+def fresh_name(start: str) -> str:
+    """A path that nobody else has."""
+    return f"{start}{uuid.uuid4().hex}"
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -161,17 +151,6 @@ def read_splits(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_csv(spark, p).withColumn("split", F.lit(k)) for k, p in files.items()])
 
 
-def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """(entries, bytes) of a content-addressed cache folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).agg(F.count("*").alias("entries"), F.sum("length").alias("bytes"))
-
-
-def invalidate(spark: SparkSession, folder: str, entry: str | None = None) -> bool:
-    """Delete an entry of a cache folder, or all of it; whether there was one."""
-    fs, p = _filesystem(spark, f"{folder}/{entry}" if entry else folder)
-    return fs.delete(p, True)
-
-
 def report(title: str, tables: dict[str, DataFrame], rows: int = 50) -> str:
     """Markdown of small summary tables; longer ones are cut at ``rows`` and say so."""
     out = [f"# {title}"]

@@ -9,9 +9,11 @@ ARTICLE = (
     "struct<MedlineCitation:struct<PMID:string,Article:struct<ArticleTitle:string,"
     "Abstract:struct<AbstractText:array<struct<_VALUE:string,_Label:string>>>,"
     "Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:string,MedlineDate:string>>>,"
-    "AuthorList:struct<Author:array<struct<LastName:string,ForeName:string>>>>,"
-    "MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:string>>>,"
-    "KeywordList:struct<Keyword:array<string>>>>"
+    "ArticleDate:array<struct<Year:string>>,"
+    "AuthorList:struct<Author:array<struct<LastName:string,ForeName:string,Initials:string>>>>,"
+    "MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:struct<_VALUE:string,_UI:string>>>>,"
+    "KeywordList:array<struct<Keyword:array<struct<_VALUE:string,_MajorTopicYN:string>>>>>,"
+    "PubmedData:struct<ArticleIdList:struct<ArticleId:array<struct<_VALUE:string,_IdType:string>>>>>"
 )
 CLASS = "struct<`@id`:string,prefLabel:string,synonym:array<string>,definition:array<string>,parents:array<struct<`@id`:string>>>"
 
@@ -39,25 +41,36 @@ def search_results(df: DataFrame, xml: str) -> DataFrame:
 
 
 def articles(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
-    """One article per row of XML: id, title, abstract, journal, year, authors, mesh, keywords.
+    """One article per row of XML: pmid, title, abstract, journal, year, authors, mesh, keywords, doi.
 
     Labelled abstract parts become ``LABEL: text``, joined by blank lines; the
-    year is that of the first date that starts with four digits.  Rows without
-    an id, or without title and abstract, are left out.
+    year is that of the first date that starts with four digits; an author without
+    a fore name has the initials; the doi is the first article id of that kind.
+    Blank texts are left out, a blank journal or doi is null.  Rows without an id,
+    or without title and abstract, are left out.
     """
     a = F.from_xml(F.col(xml), ARTICLE)
-    m = df.select(*keep, a.MedlineCitation.alias("m"))
+    m = df.select(*keep, a.alias("_a")).select(*keep, F.col("_a.MedlineCitation").alias("m"), F.col("_a.PubmedData.ArticleIdList.ArticleId").alias("_ids"))
+
+    def text(c: Column) -> Column:
+        return F.nullif(F.trim(c), F.lit(""))
+
+    def texts(values: Column) -> Column:
+        found = F.transform(values, lambda x: text(x["_VALUE"]))
+        return F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
     parts = F.filter(F.coalesce(F.col("m.Article.Abstract.AbstractText"), F.array().cast("array<struct<_VALUE:string,_Label:string>>")), lambda p: F.coalesce(F.trim(p._VALUE), F.lit("")) != "")
     abstract = F.array_join(F.transform(parts, lambda p: F.concat(F.coalesce(F.concat(p._Label, F.lit(": ")), F.lit("")), F.trim(p._VALUE))), "\n\n")
     date = F.col("m.Article.Journal.JournalIssue.PubDate")
-    year = F.coalesce(*[F.nullif(F.regexp_extract(d, r"^([0-9]{4})", 1), F.lit("")) for d in (date.Year, date.MedlineDate)]).cast("int")
-    empty = F.array().cast("array<string>")
+    year = F.coalesce(*[F.nullif(F.regexp_extract(F.trim(d), r"^([0-9]{4})", 1), F.lit("")) for d in (date.Year, date.MedlineDate, F.get("m.Article.ArticleDate", F.lit(0)).Year)]).cast("int")
+    dois = F.filter("_ids", lambda x: (x["_IdType"] == "doi") & text(x["_VALUE"]).isNotNull())
     out = m.select(
-        *keep, F.nullif(F.trim("m.PMID"), F.lit("")).alias("pmid"), F.coalesce(F.trim("m.Article.ArticleTitle"), F.lit("")).alias("title"), abstract.alias("abstract"),
-        F.coalesce("m.Article.Journal.Title", F.lit("")).alias("journal"), year.alias("year"),
-        F.coalesce(F.transform("m.Article.AuthorList.Author", lambda x: F.concat_ws(" ", x.ForeName, x.LastName)), empty).alias("authors"),
-        F.coalesce(F.transform("m.MeshHeadingList.MeshHeading", lambda x: x.DescriptorName), empty).alias("mesh"),
-        F.coalesce("m.KeywordList.Keyword", empty).alias("keywords"),
+        *keep, text(F.col("m.PMID")).alias("pmid"), F.coalesce(F.trim("m.Article.ArticleTitle"), F.lit("")).alias("title"), abstract.alias("abstract"),
+        text(F.col("m.Article.Journal.Title")).alias("journal"), year.alias("year"),
+        F.coalesce(F.transform("m.Article.AuthorList.Author", lambda x: F.concat_ws(" ", F.coalesce(text(x.ForeName), text(x.Initials)), x.LastName)), F.array().cast("array<string>")).alias("authors"),
+        texts(F.transform("m.MeshHeadingList.MeshHeading", lambda x: x.DescriptorName)).alias("mesh"),
+        texts(F.flatten(F.transform("m.KeywordList", lambda x: x.Keyword))).alias("keywords"),
+        F.trim(F.get(dois, F.lit(0))["_VALUE"]).alias("doi"),
     )
     return out.where(F.col("pmid").isNotNull() & ((F.col("title") != "") | (F.col("abstract") != "")))
 

@@ -11,16 +11,23 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 from urllib.parse import parse_qsl, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rate import TokenBucket, shares
+
 Fetcher = Callable[[str, Mapping[str, str]], tuple[int, str]]
 
 #: Statuses after which the same request may succeed (fixed values).
 RETRYABLE = (429, 500, 502, 503, 504)
+#: What an error text says about a key, about the rate, and a refusal about a licence (fixed values).
+KEY_WORDS = ("api key", "apikey", "invalid key")
+RATE_WORDS = ("rate limit", "too many requests")
+LICENCE_WORDS = ("license", "licence", "licensed", "terms of use", "agreement", "subscribe")
 REQUEST = "path string, params map<string,string>"
 
 
@@ -32,14 +39,16 @@ def reply_error(status: Column, body: Column, licensed: Column | None = None) ->
     """What is wrong with a reply, null if nothing is.
 
     Statuses come first; a reply of status 200 may hold an error document, whose
-    text says what it is about.  ``licensed`` marks requests for a source under
-    a licence, whose refusal is one of the licence.
+    text says what it is about; one that is cut off is malformed.  ``licensed``
+    marks requests for a source under a licence, whose refusal is one of the
+    licence.
     """
-    low = F.lower(body)
-    refused = low.contains("licen") if licensed is None else low.contains("licen") | licensed
-    embedded = F.lower(F.regexp_extract(body, r"(?s)<ERROR>(.*?)(?:</ERROR>|$)", 1))
-    about_key = embedded.contains("api key") | embedded.contains("api_key") | embedded.contains("unauthorized")
-    about_rate = embedded.contains("rate limit") | embedded.contains("too many requests")
+    def says(text: Column, words: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+    refused = says(F.lower(body), LICENCE_WORDS) if licensed is None else says(F.lower(body), LICENCE_WORDS) | licensed
+    embedded = F.lower(F.regexp_extract(body, r"(?s)<ERROR>(.*?)</ERROR>", 1))
+    about_key, about_rate = says(embedded, KEY_WORDS), says(embedded, RATE_WORDS)
     return (
         F.when(status == 401, "authentication")
         .when((status == 403) & refused, "licence")
@@ -62,16 +71,32 @@ def _ask(fetcher: Fetcher, path: str, params: Mapping[str, str], attempts: int,
     raise ValueError("attempts must be at least 1")
 
 
-def fetch(requests: DataFrame, fetcher: Fetcher, attempts: int = 3, pause: float = 0.0) -> DataFrame:
+def limited(fetcher: Fetcher, bucket: TokenBucket) -> Fetcher:
+    """The fetcher, asked only when the bucket allows it; repeated requests count too."""
+
+    def ask(path: str, params: Mapping[str, str]) -> tuple[int, str]:
+        bucket.acquire()
+        return fetcher(path, params)
+
+    return ask
+
+
+def fetch(requests: DataFrame, fetcher: Fetcher, attempts: int = 3, pause: float = 0.0, rate: float | None = None, burst: int = 1, tasks: int = 8) -> DataFrame:
     """``requests`` (path, params and other columns) with status, body and attempts.
 
-    A status that may pass is asked again, up to ``attempts`` times.
+    A status that may pass is asked again, up to ``attempts`` times.  With
+    ``rate`` the requests are dealt to at most ``tasks`` tasks, each with its
+    share of the rate and the burst, which all together keep.
     """
+    if rate is not None:
+        tasks, rate, burst = shares(rate, burst, tasks)
+        requests = requests.repartition(tasks)
     schema = requests.select("*", F.lit(0).alias("status"), F.lit("").alias("body"), F.lit(0).alias("attempts")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = fetcher if rate is None else limited(fetcher, TokenBucket(rate, burst))
         for f in frames:
-            got = [_ask(fetcher, p, dict(q or {}), attempts, pause) for p, q in zip(f["path"], f["params"])]
+            got = [_ask(own, p, dict(q or {}), attempts, pause) for p, q in zip(f["path"], f["params"])]
             yield f.assign(status=[g[0] for g in got], body=[g[1] for g in got], attempts=[g[2] for g in got]).astype({"status": "int32", "attempts": "int32"})
 
     return requests.mapInPandas(run, schema)
@@ -114,23 +139,29 @@ def follow_pages(roots: DataFrame, fetcher: Fetcher, attempts: int = 3, pause: f
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for root, path, params in zip(f["root"], f["path"], f["params"]):
-                ask, seen, number = (path, dict(params or {})), set(), 0
-                while ask is not None:
-                    key = (ask[0], tuple(sorted(ask[1].items())))
-                    if key in seen:
-                        raise ValueError(f"pages of {root} go round in circles at {key}")
-                    seen.add(key)
-                    status, body, _ = _ask(fetcher, ask[0], ask[1], attempts, pause)
-                    if status != 200:
-                        raise OSError(f"status {status} for {ask[0]}")
-                    data, number = json.loads(body), number + 1
-                    items = [json.dumps(x, sort_keys=True) for x in data.get("collection") or []]
-                    yield pd.DataFrame({"root": [root] * len(items), "page": [number] * len(items), "item": items}).astype({"page": "int32"})
-                    link, at = (data.get("links") or {}).get("nextPage"), int(data.get("page") or 1)
-                    if link:
-                        parts = urlsplit(link)
-                        ask = (parts.path, dict(parse_qsl(parts.query)))
-                    else:
-                        ask = (path, {**dict(params or {}), "page": str(at + 1)}) if at < int(data.get("pageCount") or 1) else None
+                rows = list(pages(root, path, dict(params or {}), fetcher, attempts, pause))
+                yield pd.DataFrame(rows, columns=["root", "page", "item"]).astype({"page": "int32"})
 
     return roots.select(F.col("root").cast("string").alias("root"), "path", "params").mapInPandas(run, "root string, page int, item string")
+
+
+def pages(root: str, path: str, params: dict, fetcher: Fetcher, attempts: int = 3, pause: float = 0.0) -> Iterator[tuple[str, int, str]]:
+    """(root, page, item) of all pages from one request on, see ``follow_pages``."""
+    ask, seen, number = (path, params), set(), 0
+    while ask is not None:
+        key = (ask[0], tuple(sorted(ask[1].items())))
+        if key in seen:
+            raise ValueError(f"pages of {root} go round in circles at {key}")
+        seen.add(key)
+        status, body, _ = _ask(fetcher, ask[0], ask[1], attempts, pause)
+        if status != 200:
+            raise OSError(f"status {status} for {ask[0]}")
+        data, number = json.loads(body), number + 1
+        for x in data.get("collection") or []:
+            yield root, number, json.dumps(x, sort_keys=True)
+        link, at = (data.get("links") or {}).get("nextPage"), int(data.get("page") or 1)
+        if link:
+            parts = urlsplit(link)
+            ask = (parts.path, dict(parse_qsl(parts.query)))
+        else:
+            ask = (path, {**params, "page": str(at + 1)}) if at < int(data.get("pageCount") or 1) else None

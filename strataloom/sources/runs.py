@@ -103,22 +103,22 @@ def harvest_gene_sets(spark: SparkSession, folder: str, collections: Mapping[str
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else spark.createDataFrame([], files.RAW_CONCEPTS)
 
 
-def harvest_mentions(texts: DataFrame, key: str, text: str, query: str, terms: DataFrame, tiers: Mapping[str, str], longest: int, least: int, most_ids: int = 10) -> DataFrame:
+def harvest_mentions(texts: DataFrame, key: str, text: str, query: str, terms: DataFrame, tiers: Mapping[str, str], least: int, most_ids: int = 10, most_synonyms: int = 20) -> DataFrame:
     """Raw concepts mentioned in texts: tags, then entities by normalised form and tier.
 
     ``terms`` has form, label and expansion, as ``tag`` wants; labels without a
-    tier are dropped.  No texts, or none with a tag, give a typed empty frame.
+    tier are dropped.  Synonyms are other forms of the entity, as first seen.  No texts, or none with a tag, give a typed empty frame.
     """
     from ..functions.text import normalize_entity
     from ..operators import aggregates as ag
-    from ..operators.resolve import tag
+    from ..operators.tagging import tag
 
-    tagged = tag(texts, key, text, terms, longest).join(texts.select(key, query), key)
+    tagged = tag(texts, key, text, terms).join(texts.select(key, query), key)
     tier = F.element_at(F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv]), F.col("label"))
     rows = tagged.select(F.col(key).alias("doc"), "position", "form", tier.alias("tier"), normalize_entity(F.col("form"), []).alias("normal"), F.col(query).alias("query")).where("tier is not null and normal <> ''")
-    found = ag.mentions(rows.withColumn("at", F.struct("doc", "position")), "form", "normal", "tier", "doc", "at", least, most_ids, "query")
+    found = ag.mentions(rows, "form", "normal", "tier", "doc", "position", least, most_ids, "query", most_synonyms)
     return found.select(
-        F.lit("texts").alias("source_name"), F.concat_ws(":", "tier", "normal").alias("source_id"), F.col("label").alias("preferred_label"), F.array().cast("array<string>").alias("synonyms"),
+        F.lit("texts").alias("source_name"), F.concat_ws(":", "tier", "normal").alias("source_id"), F.col("label").alias("preferred_label"), "synonyms",
         F.lit(None).cast("string").alias("definition"), F.array().cast("array<string>").alias("parent_ids"), F.col("tier").alias("candidate_tier"),
         F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("queries"), F.array_join("queries", ","), F.lit("ids"), F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",")).alias("extra"),
     )

@@ -110,6 +110,14 @@ def test_many_centroids_are_a_table(spark):
     m = rows(6, 40, 3)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(99, None)], "id long, v array<double>")
     named = spark.createDataFrame([(f"n{i:02}", v.tolist()) for i, v in enumerate(rows(7, 12, 3))], "name string, centroid array<double>")
-    few, many = ({r.id: (r.name, round(r.sim, 9)) for r in joins.max_similarity(df, named, "v", inline=n).collect() if r.id != 99} for n in (1000, 5))
-    assert few == many and len(few) == 40
-    assert joins.max_similarity(df, named, "v", inline=5).count() == 41
+    for digits in (None, 3, 1):
+        few, many = ({r.id: (r.name, r.sim and round(r.sim, 9)) for r in joins.max_similarity(df, named, "v", digits, literals=n).collect()} for n in (1000, 5))
+        assert few == many and len(few) == 41 and few[99] == (None, None)
+
+
+def test_rounding_comes_before_the_comparison(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    named = spark.createDataFrame([("a", [0.99990, 0.01414]), ("b", [1.0, 0.0001])], "name string, centroid array<double>")
+    assert {joins.max_similarity(df, named, "v", 3, literals=n).first().name for n in (100, 0)} == {"a"}
+    assert {joins.max_similarity(df, named, "v", literals=n).first().name for n in (100, 0)} == {"b"}
+    assert joins.max_similarity(df, named.limit(0), "v").first().name is None

@@ -120,6 +120,16 @@ def test_greedy_match(spark, seed):
     assert resolve.greedy_match(df.limit(0)).count() == 0
 
 
+def test_a_chain_of_falling_similarities_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 2_000, []
+    # a0-b0, a1-b0, a1-b1, a2-b1 ...: each edge waits for the one before.
+    edges = [(k // 2 + k % 2, k // 2, 1.0 - k / (2 * n)) for k in range(n)]
+    real = resolve._decided
+    monkeypatch.setattr(resolve, "_decided", lambda e: rounds.append(1) or real(e))
+    got = {(r.a, r.b) for r in resolve.greedy_match(spark.createDataFrame(edges, "a long, b long, sim double")).collect()}
+    assert got == {(k, k) for k in range(n // 2)} and len(rounds) <= 2
+
+
 def test_two_phase_match(spark):
     left = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (3, [0.6, 0.8], "y")], "id long, v array<double>, t string")
     right = spark.createDataFrame([(11, [1.0, 0.0], "x"), (12, [0.6, 0.8], "x"), (13, [0.0, 1.0], "z")], "id long, v array<double>, t string")

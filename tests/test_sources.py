@@ -16,14 +16,6 @@ def test_typed_empty_table(spark, tmp_path):
         files.write_table(spark.range(1), f"{tmp_path}/x", "other string")
 
 
-def test_publish_refuses_unless_told(spark, tmp_path):
-    files.publish(spark.range(3), f"{tmp_path}/t")
-    with pytest.raises(FileExistsError):
-        files.publish(spark.range(4), f"{tmp_path}/t")
-    files.publish(spark.range(4), f"{tmp_path}/t", overwrite=True)
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 4
-
-
 def test_csv_index_and_mark(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿,name\n0,x\n".encode())
     (tmp_path / "b.tsv").write_text("id\tname\n 1 \t\n")

@@ -50,6 +50,25 @@ def test_quantiles(df, rows):
             assert math.isclose(got[g][name], np.quantile(values, q), abs_tol=1e-12)
 
 
+def test_quantiles_by_narrowing_and_by_wrong_sketches(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([np.zeros(3000), rng.standard_normal(3000), [1e9, -1e9]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    shares = {"a": 0.01, "b": 0.49, "c": 0.5, "d": 0.777}
+    for options in ({"most": 50}, {"margin": 1e-6}, {}):
+        got = ranking.quantiles(df, [], "v", shares, **options).first()
+        assert all(math.isclose(got[n], np.quantile(values, q), abs_tol=1e-12) for n, q in shares.items())
+
+
+def test_a_value_that_most_rows_share_is_no_range(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, 0.0).otherwise(F.rand(3)).alias("v"))
+    got = ranking.spread_tied_rank(rows, [], "v")
+    assert got.where("v = 0").agg(F.min("rank"), F.max("rank")).first()[:] == (9000.5, 9000.5)
+    counts = rows.groupBy("v").agg(F.count("*").alias("n"))
+    totals = {r.v: r.before for r in ranking.running_total(counts, ["v"], "n", "before").collect()}
+    assert totals[0.0] == 0 and sorted(totals.values())[1] == 18_000 and max(totals.values()) == 19_999
+
+
 def test_pairwise_percentile(spark, monkeypatch):
     rng = np.random.default_rng(2)
     m = rng.standard_normal((60, 5))
@@ -122,21 +141,6 @@ def test_sources_may_fail(spark):
     assert rows.count() == 0 and rows.columns == ["x"] and [tuple(r) for r in failures.collect()] == [("a", "OSError", "down")]
 
 
-def test_publish_restores_after_a_crash(spark, tmp_path):
-    path = f"file://{tmp_path}/table"
-    files.publish(spark.range(3), path)
-    with pytest.raises(FileExistsError):
-        files.publish(spark.range(5), path)
-    files.publish(spark.range(4), path, overwrite=True)
-    assert spark.read.parquet(path).count() == 4
-    (tmp_path / "table").rename(tmp_path / "table.before")  # a crash between the two renames
-    with pytest.raises(FileExistsError):
-        files.publish(spark.range(9), path)
-    assert spark.read.parquet(path).count() == 4
-    files.publish(spark.range(2), path, overwrite=True)
-    assert spark.read.parquet(path).count() == 2 and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"table"}
-
-
 def test_list_file(spark, tmp_path):
     (tmp_path / "l.yaml").write_text("# top\nnames:\n  - A1\n  - 'B: 2'  # note\n\n- \"c\"\nplain\n")
     assert [r.item for r in runs.read_list(spark, f"file://{tmp_path}/l.yaml").orderBy("position").collect()] == ["A1", "B: 2", "c", "plain"]
