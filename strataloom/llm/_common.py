@@ -81,6 +81,14 @@ def fresh(base: str, *frames: DataFrame) -> str:
     return next(n for n in names if n.lower() not in taken)
 
 
+def without(df: DataFrame, new: list[str], needed: list[str]) -> DataFrame:
+    """``df`` without columns that new ones of these names replace; an error if one of them is needed."""
+    taken = {n.lower() for n in new}
+    if clash := sorted(n for n in needed if n.lower() in taken):
+        raise ValueError(f"{clash} cannot be replaced, they are read")
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
 def remainder(id_column: str, modulus: int):
     """``crc32(id as text) mod modulus``; null for a null id."""
     return F.crc32(F.col(f"`{id_column}`").cast("string").cast("binary")) % F.lit(modulus)

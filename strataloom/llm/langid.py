@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PART, append_columns, fresh, remainder, slices, small_batches, table, text_parts
+from ._common import PART, append_columns, fresh, remainder, slices, small_batches, table, text_parts, without
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
+#: Bytes of the broadcast table: 2,048 labels.
+TABLE_BYTES = 512 << 20
 #: Training rows per class at most (in expectation): a hash of the id selects them.
 ROWS_PER_CLASS = 5_000
 #: Labels counted in one pass: a task's counts take 512 KB a label.
@@ -145,7 +147,8 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", doc_id:
     ``rows_per_class`` rows is thinned by a hash of the id to about that many;
     each class then weighs the same.  Every label is a class; they are counted
     ``classes`` at a time, so a task's counts are bounded.  The table takes
-    256 KB a class.  Repeated rows count as often as they occur; empty texts add
+    256 KB a class and is broadcast, so more labels than ``TABLE_BYTES`` has room
+    for are an error, and none is dropped.  Repeated rows count as often as they occur; empty texts add
     nothing but a border; a null id is drawn like any other.  None if no row is
     left, as with an empty table.
     """
@@ -153,9 +156,11 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", doc_id:
     own = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id")
     )
-    sizes = sorted(own.groupBy("label").count().collect())
+    sizes = sorted(own.groupBy("label").count().limit(TABLE_BYTES // (4 * BUCKETS) + 1).collect())
     if not sizes:
         return None
+    if len(sizes) * 4 * BUCKETS > TABLE_BYTES:
+        raise ValueError(f"the table of more than {len(sizes) - 1} labels is larger than {TABLE_BYTES} bytes")
     blocks = [_count(own, sizes[i : i + classes], rows_per_class) for i in range(0, len(sizes), classes)]
     return Model([name for names, _ in blocks for name in names], np.concatenate([counts for _, counts in blocks], axis=1) if len(blocks) > 1 else blocks[0][1])
 
@@ -191,10 +196,12 @@ def predict(docs: DataFrame, model: Model | None, lang: str, score: str, text: s
 
     Null texts and texts without a letter are "und" with score 0, and so is all
     without a model.  Ties go to the alphabetically first label.  Rows, repeated
-    ones too, and other columns stay as they are; no rows give no rows.
+    ones too, and other columns stay as they are, but columns named ``lang`` or
+    ``score`` are replaced; no rows give no rows.  Long texts are scored in parts.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = without(docs, [lang, score], [text])
     shipped = spark.sparkContext.broadcast((model.classes, model.table) if model else None)
     index = docs.columns.index(text)
 

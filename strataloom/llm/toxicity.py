@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PART, append_columns, remainder, slices, small_batches, table, text_parts
+from ._common import PART, append_columns, remainder, slices, small_batches, table, text_parts, without
 
 BUCKETS = 1 << 20
 #: Rows to learn from at most (in expectation), chosen by a hash of the id.
@@ -257,11 +257,13 @@ def score(docs: DataFrame, model: Model | None, column: str = "score", text: str
     """``docs`` with a score from 0 to 1 as one more column.
 
     Null and empty texts have the score of no evidence; without a model all
-    scores are 0.  Rows, repeated ones too, and other columns stay as they are;
-    no rows give no rows.  Scores of equal texts are equal.
+    scores are 0.  Rows, repeated ones too, and other columns stay as they are,
+    but a column of that name is replaced; no rows give no rows.  Scores of equal
+    texts are equal; a long text is read word by word, and its evidence is scaled.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = without(docs, [column], [text])
     shipped = spark.sparkContext.broadcast(model)
     index = docs.columns.index(text)
 
@@ -278,9 +280,8 @@ def score(docs: DataFrame, model: Model | None, column: str = "score", text: str
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, learnt from the labels that are not held out.
 
-    The class prior is the share of toxic rows among the labelled ones, and at
-    least 0.01 and at most 0.9: with a prior of 0 or 1 there is no risk to learn
-    from.  Null and empty texts have the score of no evidence; a null id is not
+    The class prior is the share of toxic rows among the labelled ones; without a
+    toxic one nothing is learnt and all scores are 0.  Null and empty texts have the score of no evidence; a null id is not
     held out; repeated rows stay; an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -288,5 +289,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Labels of held-out rows are never read; the rows' texts are not learnt from either.
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out & F.col("toxic").isNotNull())
     prior = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).agg(F.avg("toxic")).first()[0] or 0.0
-    model = train(docs.where(~held_out), labels.where("toxic = 1"), float(min(max(prior, 0.01), 0.9)))
+    model = train(docs.where(~held_out), labels.where("toxic = 1"), float(prior))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

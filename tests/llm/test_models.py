@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strataloom.llm import langid, toxicity
 from strataloom.llm._common import remainder
@@ -209,3 +211,20 @@ def test_toxicity_edges(spark, make_docs):
     got = {r.doc_id: r.score for r in toxicity.score(make_docs(["you idiot", "a fine day", None, "", "IDIOT!"], extra=True), model, "toxicity").selectExpr("doc_id", "toxicity score").collect()}
     assert min(got[0], got[4]) > 0.3 > max(got[1], got[2], got[3]) and got[2] == got[3]
     assert toxicity.score(make_docs([]), model).count() == 0
+
+
+def test_clashing_names_are_replaced(spark, make_docs):
+    docs = make_docs(["you idiot", None], extra=True).withColumn("Lang_Pred", F.lit("old"))
+    got = toxicity.score(docs, None, "score")
+    assert got.columns.count("score") == 1 and {r.score for r in got.collect()} == {0.0}
+    out = langid.predict(docs, None, "lang_pred", "score")
+    assert {(r.lang_pred, r.score) for r in out.select("lang_pred", "score").collect()} == {("und", 0.0)}
+    with pytest.raises(ValueError):
+        toxicity.score(docs, None, "TEXT")
+
+
+def test_too_many_labels_are_an_error(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "TABLE_BYTES", 4 * langid.BUCKETS * 2)
+    assert langid.train(make_docs(["a", "b"], ["x", "y"])).classes == ["x", "y"]
+    with pytest.raises(ValueError):
+        langid.train(make_docs(["a", "b", "c"], ["x", "y", "z"]))
