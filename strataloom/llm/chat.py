@@ -180,7 +180,12 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and the planted one; everything is read from ``formatted``."""
+    """All conversations and the planted one; everything is read from ``formatted``.
+
+    Null texts are empty; rows without a conversation are one each; repeated and
+    tied turns are ordered by role and text; an empty table leaves the planted
+    one; other columns are ignored; a conversation of any length is one text.
+    """
     tricky = "\\### Assistant: </turn> ok"
     planted = spark.range(1).select(
         F.explode(

@@ -220,11 +220,21 @@ def pack(
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids.
+
+    A null or empty text is its end id alone; null ids and repeated rows are
+    packed like others; an empty table gives no rows; other columns are ignored;
+    long texts are encoded in parts and cut into several pieces.
+    """
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """The digest columns of the packing of ``docs``."""
+    """The digest columns of the packing of ``docs``; see ``pack`` for nulls, repeats and empty tables.
+
+    Plain documents bear loss on every id but a piece's first, so the limit of
+    loss, which is that of the tokens, never binds here.
+    """
     return pack(docs, public_path("word_bpe_49k.json"), 1).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
     )

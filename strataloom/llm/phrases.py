@@ -88,20 +88,20 @@ def _seed(lang: str) -> int:
 
 
 class Grams:
-    """The n-grams of some parts of pieces, as hashes that tell languages apart.
+    """The n-grams of some (parts of) pieces, as hashes that tell languages apart.
 
-    ``parts`` has (language, words repeated from the part before, bytes, times).
+    Piece i is of language ``names[codes[i]]``, occurs ``times[i]`` times, and its
+    first ``repeated`` words belong to the part before it.
     """
 
-    def __init__(self, group: list[tuple[str, int, bytes, int]]):
-        self.words = Words([g[2] for g in group])
-        self.langs = [g[0] for g in group]
-        seeds = {l: _seed(l) for l in set(self.langs)}
-        self.seed = np.array([seeds[l] for l in self.langs], dtype=np.uint64)[self.words.piece]
-        self.times = np.array([g[3] for g in group], dtype=np.int64)[self.words.piece]
-        repeated = np.array([g[1] for g in group], dtype=np.int64)
-        # Words of this part before the first that is new.
-        self.old = (self.words.first[:-1] + repeated)[self.words.piece]
+    def __init__(self, pieces: list[bytes], names: list[str], codes: np.ndarray, times: np.ndarray, repeated: int = 0):
+        self.words, self.names = Words(pieces), names
+        piece = self.words.piece
+        self.lang = codes[piece]
+        self.seed = np.array([_seed(n) for n in names], dtype=np.uint64)[self.lang]
+        self.times = times[piece]
+        # The first word of each piece that is new.
+        self.old = (self.words.first[:-1] + repeated)[piece]
 
     def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-grams from each word on, and which of them exist and are new here."""
@@ -129,19 +129,17 @@ class Grams:
 
 
 def _grouped(batches, longest: int):
-    """``Grams`` of about ``PART`` bytes of pieces; a longer piece goes in parts that overlap."""
-    group, size = [], 0
-    for b in batches:
-        for lang, piece, times in zip(*(c.to_pylist() for c in b.columns)):
-            for i, (part, _) in enumerate(parts(piece.encode("utf-8", "surrogatepass"), longest - 1)):
-                if group and size + len(part) > PART:
-                    yield Grams(group)
-                    group, size = [], 0
-                part = part.replace(b"  ", b" ")  # where it was put behind the words repeated
-                group.append((lang, longest - 1 if i else 0, part, times))
-                size += len(part)
-    if group:
-        yield Grams(group)
+    """``Grams`` of at most about ``PART`` bytes of pieces; a longer piece goes in parts that overlap."""
+    for b in slices(batches, 1, limit=PART, rows=1 << 16):
+        langs = b.column(0).dictionary_encode()
+        names, codes = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        times, raw = b.column(2).to_numpy(), b.column(1).cast(pa.binary()).to_pylist()
+        if len(raw) == 1:
+            for i, (part, _) in enumerate(parts(raw[0], longest - 1)):
+                # One space where the part was put behind the words repeated.
+                yield Grams([part.replace(b"  ", b" ")], names, codes, times, longest - 1 if i else 0)
+        else:
+            yield Grams(raw, names, codes, times)
 
 
 def _counted(batches, columns: list[str], least: int):
@@ -250,8 +248,7 @@ def frequent_phrases(pieces: DataFrame, longest: int = LONGEST, least: int = LEA
             return pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "words", "times"])
 
         for g in _grouped(batches, longest):
-            names = sorted(set(g.langs))
-            code = np.array([names.index(l) for l in g.langs])[g.words.piece]
+            names = g.names
             for k in range(1, longest + 1):
                 h, new = g.of(k)
                 at = np.flatnonzero(new)
@@ -261,7 +258,7 @@ def frequent_phrases(pieces: DataFrame, longest: int = LONGEST, least: int = LEA
                 coded = g.strings(at, k).dictionary_encode()
                 n = len(coded.dictionary)
                 # A string may occur in several languages: count by (language, string).
-                where = code[at] * n + coded.indices.to_numpy()
+                where = g.lang[at].astype(np.int64) * n + coded.indices.to_numpy()
                 total = np.zeros(n * len(names), dtype=np.int64)
                 np.add.at(total, where, g.times[at])
                 strings = coded.dictionary.to_pylist()

@@ -164,7 +164,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards by the law ``key``, and with one shard more.
 
     Null texts have no bytes; a null id is a key of its own; repeated rows take
-    neighbouring slots; an empty table gives no rows.
+    neighbouring slots; an empty table gives no rows; other columns are ignored;
+    a text of any length is one size and one checksum.
     """
     now = tree(16)
     placed = assign(table(spark, sf_dir, "documents"), now, grow(now))

@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bits, the document's own included.  Null and empty texts share fingerprint
     zero.  Repeated rows stay, with equal results; null ids are ignored by the
     minimum (a component of null ids only has a null id).  An empty table gives
-    an empty result.  Other columns are ignored.
+    an empty result.  Other columns are ignored; long texts are hashed in parts.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = stored(with_fingerprint(own, "text", "fp", shingle).select("doc_id", "fp"), "prints")

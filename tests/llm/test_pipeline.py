@@ -72,6 +72,27 @@ def test_run_by_brute_force(spark, folder):
     assert {r.doc_id for r in pipeline.run(spark, path).collect()} == set(left)
 
 
+def test_null_ids_repeated_rows_and_clashing_names(spark, folder, tmp_path):
+    """Rows without an id and repeated rows go through all stages; columns named like inner ones stay."""
+    path, texts = folder
+    rows = [(i, t, "en", "s", len(t or ""), "fp", "kept", 1.5, True) for i, t in texts.items()]
+    rows += [rows[7], rows[7], (None, "lone " + texts[9][40:] + " ending of its own", "en", "s", 1, "fp", "kept", 1.5, True), (None, None, None, None, None, None, None, None, None), (None, "", "en", "s", 0, "x", "y", 0.0, False)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, kept string, score double, text_key boolean"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, sizes = docs.columns, []
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), schema)
+        assert docs.columns == columns, name
+        sizes.append((docs.where("doc_id = 7").count(), docs.where("doc_id is null").count()))
+    # Short and empty texts go first; of repeated rows the near-dedup keeps one.
+    assert sizes == [(3, 1), (3, 1), (1, 1), (1, 1)]
+    got = {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {r.doc_id for r in pipeline.run(spark, path).collect()} | {None}
+
+
 def test_empty_tables(spark, folder, tmp_path):
     path, _ = folder
     for name in ("documents", "labels", "benchmark"):
@@ -87,4 +108,4 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
