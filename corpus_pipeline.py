@@ -4,7 +4,9 @@ Every stage works on all that its predecessor kept, and all but the last return
 the columns of ``documents``.  A stage's result is written as Parquet and read
 again before the next one begins, so a lost executor costs at most one stage.
 An empty table stays empty through all stages, and so does what a stage leaves
-of it; rows with null ids are documents like any other.
+of it; rows with null ids are documents like any other.  Columns beyond those of
+``documents`` go along whatever their names, and texts are worked on in parts, so
+a stage's memory does not grow with the longest.
 """
 
 from __future__ import annotations
