@@ -20,23 +20,25 @@ def sample_sd(x: Column) -> Column:
     return F.coalesce(F.stddev_samp(x), F.lit(0.0))
 
 
-def pearson(x: Column, y: Column, var_floor: float = 1e-12) -> Column:
+def pearson_of_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column, var_floor: float = 1e-12) -> Column:
     """Pearson from six sums, clipped to [-1, 1].
 
     Null below two pairs, or when a side's sum of squares about its mean is at
-    most ``var_floor`` of max(its sum of squares, 1).  Pairs with a null side do
-    not count.
+    most ``var_floor`` of max(its sum of squares, 1).
     """
-    ok = x.isNotNull() & y.isNotNull()
-    a, b = F.when(ok, x.cast("double")), F.when(ok, y.cast("double"))
-    n = F.count(a)
-    sx, sy, sxx, syy, sxy = F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.sum(a * b)
     vx, vy = sxx - sx * sx / n, syy - sy * sy / n
     valid = (n >= 2) & (vx > F.greatest(sxx, F.lit(1.0)) * var_floor) & (vy > F.greatest(syy, F.lit(1.0)) * var_floor)
     r = (sxy - sx * sy / n) / F.sqrt(vx * vy)
     return F.when(valid, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+def pearson(x: Column, y: Column, var_floor: float = 1e-12) -> Column:
+    """``pearson_of_sums`` over rows; pairs with a null side do not count."""
+    ok = x.isNotNull() & y.isNotNull()
+    a, b = F.when(ok, x.cast("double")), F.when(ok, y.cast("double"))
+    return pearson_of_sums(F.count(a), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.sum(a * b), var_floor)
+
+
 def average_rank(order: Column, *partition: Column) -> Column:
     """1-based ascending rank; equal values share the mean of their places."""
     w = Window.partitionBy(*partition)

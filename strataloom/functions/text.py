@@ -202,3 +202,16 @@ def redact(c: Column, parameter: str) -> Column:
 def finite(c: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def priority_rank(c: Column, priority: Sequence[str]) -> Column:
+    """1-based place in the list; what is not in it, null too, comes after all."""
+    place = F.array_position(F.array(*[F.lit(x) for x in priority]).cast("array<string>"), c)
+    return F.when(F.coalesce(place, F.lit(0)) == 0, len(priority) + 1).otherwise(place).cast("int")
+
+
+def prompt_block(fields: Mapping[str, Column], long: Mapping[str, int] | None = None) -> Column:
+    """One ``name: value`` a line, in this order; nulls are empty, ``long`` bounds characters by name."""
+    long = long or {}
+    values = {n: F.coalesce(v.cast("string"), F.lit("")) for n, v in fields.items()}
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), F.substring(v, 1, long[n]) if n in long else v) for n, v in values.items()])

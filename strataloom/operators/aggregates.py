@@ -19,15 +19,12 @@ def coverage(rows: DataFrame, group: str, key: str, is_left: Column, is_right: C
     Recall is the share of left ids that are matched, 0 when there are none.
     """
     both = is_left & is_right
-    left, matched = F.count_distinct(F.when(is_left, F.col(key))), F.count_distinct(F.when(both, F.col(key)))
-    right = F.count_distinct(F.when(is_right, F.col(key)))
-    out = rows.groupBy(group).agg(
-        left.alias("n_left"), right.alias("n_right"), matched.alias("n_matched"),
-        F.count_distinct(F.when(is_left & ~is_right, F.col(key))).alias("only_left"),
-        F.count_distinct(F.when(is_right & ~is_left, F.col(key))).alias("only_right"),
-        F.coalesce(F.avg(F.when(both, sim)), F.lit(0.0)).alias("mean_sim"),
-        F.coalesce(F.try_divide(matched, left), F.lit(0.0)).alias("recall"),
-    )
+    seen = {"n_left": is_left, "n_right": is_right, "n_matched": both, "only_left": is_left & ~is_right, "only_right": is_right & ~is_left}
+    # One row an id first, so that no row is expanded for the distinct counts.
+    value = F.when(both, sim).cast("double")
+    per = rows.groupBy(group, key).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in seen.items()], F.sum(value).alias("_sum"), F.count(value).alias("_count"))
+    out = per.groupBy(group).agg(*[F.count_if(F.col(n) & F.col(key).isNotNull()).alias(n) for n in seen], F.coalesce(F.try_divide(F.sum("_sum"), F.sum("_count")), F.lit(0.0)).alias("mean_sim"))
+    out = out.withColumn("recall", F.coalesce(F.try_divide("n_matched", "n_left"), F.lit(0.0)))
     median = ranking.quantiles(rows.select(group, F.when(both, sim).alias("_s")), [group], "_s", {"median_sim": 0.5})
     return ranking._with(out, median.withColumn("median_sim", F.coalesce("median_sim", F.lit(0.0))), [group])
 
@@ -78,8 +75,7 @@ def medoid_centroid(df: DataFrame, group: str, key: str, vector: str, k: int) ->
 
 def pick_canonical(df: DataFrame, cluster: str, key: str, label: str, source: str, priority: list[str]) -> DataFrame:
     """(cluster, id, label): best source, then shortest label, then smallest id."""
-    rank = F.array_position(F.array(*map(F.lit, priority)), F.col(source))
-    order = F.struct(F.when(rank == 0, len(priority) + 1).otherwise(rank), F.length(label), F.col(key))
+    order = F.struct(tx.priority_rank(F.col(source), priority), F.length(label), F.col(key))
     return df.groupBy(cluster).agg(F.min_by(F.struct(F.col(key).alias("id"), F.col(label).alias("label")), order).alias("w")).select(cluster, "w.id", "w.label")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
@@ -16,18 +18,23 @@ from .joins import ordered_pairs
 #: Profiles in a block, and profiles (one vector a group) that may be broadcast.
 PROFILES = 256
 BROADCAST_PROFILES = 4096
+#: Scores of a block of concepts.
+CELLS = 1 << 20
 
 
-def contrastive_scores(members: DataFrame, group: str, score: str, key: str, vector: str, concepts: DataFrame, concept: str, k: int) -> DataFrame:
+def contrastive_scores(members: DataFrame, group: str, score: str, key: str, vector: str, concepts: DataFrame, concept: str, k: int, top: int | None = None) -> DataFrame:
     """(group, concept, score, rank): cosine of concepts with what sets a group apart.
 
+    With ``top`` only so many concepts of a group are ranked, and Spark drops the
+    others before they are shuffled; without it all are, in sorted ranges.
+
     A group's profile is the mean of the unit vectors of its k best members
     minus the mean over all its members, scaled to unit length.  The concept
     table is scored against one profile per group.
     """
     unit = members.select(group, score, key, vx.normalize(F.col(vector)).alias("_u"))
-    top = ranking.top_n(unit, [group], [F.desc(score), F.col(key)], k)
-    a = vx.centroid(top, group, "_u", unit=False).withColumnRenamed("centroid", "_top")
+    best = ranking.top_n(unit, [group], [F.desc(score), F.col(key)], k)
+    a = vx.centroid(best, group, "_u", unit=False).withColumnRenamed("centroid", "_top")
     b = vx.centroid(unit, group, "_u", unit=False).withColumnRenamed("centroid", "_all")
     profile = a.join(b, group).select(group, vx.normalize(vx.subtract(F.col("_top"), F.col("_all"))).alias("_p"))
     # The profiles are the queries, in blocks of ``PROFILES``; a concept meets each block once.
@@ -37,16 +44,51 @@ def contrastive_scores(members: DataFrame, group: str, score: str, key: str, vec
     own = concepts.select(concept, vx.normalize(F.col(vector)).alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, math.ceil(n / PROFILES)) - 1).cast("long"))).alias("_b")).where("_c is not null")
     met = own.join(F.broadcast(blocks) if n <= BROADCAST_PROFILES else blocks, "_b").select(concept, "_c", F.explode("_ps").alias("_p"))
     s = met.select(F.col(f"_p.{group}").alias(group), concept, F.round(vx.dot(F.col("_c"), F.col("_p._p")), 9).alias("score"))
-    return ranking.ranked(s, [group], [F.desc("score"), F.col(concept)])
+    order = [F.desc("score"), F.col(concept)]
+    return ranking.spread_rank(s, [group], order) if top is None else ranking.top_n(s, [group], order, top)
 
 
-def stability(scores: DataFrame, expert: str, slide: str, concept: str, score: str) -> DataFrame:
-    """(expert, a, b, pearson, spearman, n) for every two slides of an expert."""
-    ranked = scores.select(
-        F.col(expert).alias("expert"), F.col(slide).alias("slide"), F.col(concept).alias("concept"), F.col(score).alias("v"), st.average_rank(F.col(score), F.col(expert), F.col(slide)).alias("r")
-    )
-    pairs = ordered_pairs(ranked, ["expert", "concept"], "slide", ["v", "r"])
-    return pairs.groupBy("expert", "a", "b").agg(st.pearson(F.col("v_a"), F.col("v_b")).alias("pearson"), st.pearson(F.col("r_a"), F.col("r_b")).alias("spearman"), F.count("*").alias("n"))
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def stability(scores: DataFrame, expert: str, slide: str, concept: str, score: str, block: int = CELLS) -> DataFrame:
+    """(expert, a, b, pearson, spearman, n) for every two slides of an expert that share a concept.
+
+    Concepts come in blocks of about ``block`` scores.  A task makes a matrix of
+    slides and concepts of its block, and products of such matrices are the sums
+    over concepts that all correlations need; rows of two slides are never
+    paired.  A (expert, slide, concept) occurs once; rows with a null do not count.
+    """
+    known = scores.select(F.col(expert).alias("expert"), F.col(slide).alias("slide"), F.col(concept).alias("concept"), F.col(score).cast("double").alias("v")).where("expert is not null and slide is not null and concept is not null and v is not null")
+    ranked = ranking.spread_tied_rank(known, ["expert", "slide"], "v", "r")
+    blocks = known.groupBy("expert").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    dealt = ranked.join(blocks, "expert").withColumn("_block", F.pmod(F.xxhash64("concept"), F.col("_blocks")))
+    kinds = [f"{c}{k}" for c in ("v_", "r_") for k in SUMS]
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        slides, at = np.unique(pdf["slide"].to_numpy(), return_inverse=True)
+        _, column = np.unique(pdf["concept"].to_numpy(), return_inverse=True)
+        shape = (len(slides), int(column.max()) + 1)
+        there = np.zeros(shape)
+        there[at, column] = 1.0
+        i, j = np.nonzero(np.triu(there @ there.T, 1))
+        out = {"expert": pdf["expert"].iloc[0], "a": slides[i], "b": slides[j]}
+        for c in ("v", "r"):
+            x = np.zeros(shape)
+            x[at, column] = pdf[c].to_numpy()
+            one, two, both = x @ there.T, (x * x) @ there.T, x @ x.T
+            values = (there @ there.T, one, one.T, two, two.T, both)
+            out |= {f"{c}_{k}": m[i, j] for k, m in zip(SUMS, values)}
+        return pd.DataFrame(out)
+
+    types = dict(known.dtypes)
+    schema = f"expert {types['expert']}, a {types['slide']}, b {types['slide']}, " + ", ".join(f"{k} double" for k in kinds)
+    total = dealt.groupBy("expert", "_block").applyInPandas(sums, schema).groupBy("expert", "a", "b").agg(*[F.sum(k).alias(k) for k in kinds])
+
+    def correlation(c: str) -> Column:
+        return st.pearson_of_sums(*[F.col(f"{c}_{k}") for k in SUMS])
+
+    return total.select("expert", "a", "b", correlation("v").alias("pearson"), correlation("r").alias("spearman"), F.col("v_n").cast("long").alias("n"))
 
 
 def profile_similarity(scores: DataFrame, expert: str, concept: str, score: str) -> DataFrame:
@@ -78,6 +120,25 @@ def filtered_ranking(scores: DataFrame, excluded: DataFrame, expert: str, slide:
     return global_table(left, expert, slide, concept, score).where(F.col("rank_mean") <= top)
 
 
+def top_two(logits: Column) -> tuple[Column, Column]:
+    """0-based places of the largest and the second largest entry; the earlier of equal ones first."""
+    keyed = F.array_sort(F.transform(logits, lambda x, i: F.struct((-x).alias("m"), i.alias("i"))))
+    return F.get(keyed, F.lit(0)).i, F.get(keyed, F.lit(1)).i
+
+
+def strata_ranking(scores: DataFrame, strata: list[str], concept: str, score: str, digits: int = 9) -> DataFrame:
+    """(strata, concept, mean, rank): concepts by their mean score within each stratum, ties by concept."""
+    mean = scores.groupBy(*strata, concept).agg(F.round(F.avg(score), digits).alias("mean"))
+    return ranking.spread_rank(mean, strata, [F.desc("mean"), F.col(concept)])
+
+
+def better_than_mean(runs: DataFrame, method: str, seed: str, value: str) -> DataFrame:
+    """(method, seed, mean): methods whose mean is below that of all runs, with their first seed."""
+    per = runs.groupBy(F.col(method).alias("method")).agg(F.min(seed).alias("seed"), F.avg(value).alias("mean"), F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    whole = per.agg((F.sum("_s") / F.sum("_n")).alias("_all"))  # one row
+    return per.join(F.broadcast(whole)).where(F.col("mean") < F.col("_all")).select("method", "seed", "mean")
+
+
 def route(rows: DataFrame, keys: list[str], logits: str, top: int = 2) -> DataFrame:
     """Per key and expert: mean and deviation of the routing weight, top-1 and top-k
     share, ever and always among the top k, over contexts (rows)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,6 +98,18 @@ def calibrate(reference: DataFrame, key: str, vector: str, tier: str, negatives:
     return per.select(tier, F.when(bad, default_keep).otherwise(F.col("k")).alias("keep"), F.when(bad, default_drop).otherwise(F.col("d")).alias("drop"), bad.alias("fallback"))
 
 
+def thresholds(tiers: DataFrame, tier: str, saved: DataFrame, defaults: Mapping[str, float]) -> DataFrame:
+    """(tier, one column a default): saved thresholds per tier, a default for each that is missing.
+
+    Saved tiers that are not among ``tiers`` are an error when the query runs, so
+    a misspelt one does not pass for a default.
+    """
+    own = tiers.select(tier).distinct().withColumn("_known", F.lit(True))
+    both = own.join(saved, tier, "full")
+    checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("thresholds of an unknown tier: "), F.col(tier).cast("string"))).cast("double"))
+    return both.select(tier, *[F.coalesce(checked, F.col(n).cast("double") if n in saved.columns else F.lit(None), F.lit(float(v))).alias(n) for n, v in defaults.items()])
+
+
 def revote(df: DataFrame, reference: DataFrame, key: str, vector: str, tier: str, k: int, floor: float) -> DataFrame:
     """(id, tier, top_sim, votes, new_tier): majority of the k nearest references.
 

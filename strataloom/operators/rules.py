@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,3 +113,16 @@ def alias_normalize(df: DataFrame, key: str, text: str, aliases: DataFrame, defa
         .agg(F.min_by("value", F.struct(F.col("alias") != F.col(text), -F.length("alias"), "alias")).alias("value"))
     )
     return df.join(found, key, "left").withColumn("value", F.coalesce("value", F.lit(default)))
+
+
+def alias_table(tables: Sequence[tuple[DataFrame, str, str]], literals: Mapping[str, str]) -> DataFrame:
+    """(alias, value): lower-cased aliases of tables, then of literals; what comes first stays.
+
+    A table is (frame, alias column, value column); of one table's equal aliases
+    the smallest value stays.  Null and blank aliases are left out.
+    """
+    spark = tables[0][0].sparkSession
+    parts = [df.select(F.lower(F.trim(F.col(a))).alias("alias"), F.col(v).alias("value"), F.lit(i).alias("_from")) for i, (df, a, v) in enumerate(tables)]
+    own = spark.createDataFrame([(k.strip().lower(), v, len(tables)) for k, v in literals.items()], "alias string, value string, _from int")
+    rows = reduce(lambda a, b: a.unionByName(b), [*parts, own]).where("alias <> ''")
+    return rows.groupBy("alias").agg(F.min_by("value", F.struct("_from", "value")).alias("value"))

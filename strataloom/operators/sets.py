@@ -55,3 +55,10 @@ def drop_category(concepts: DataFrame, prompts: DataFrame, key: str, category: s
     kept_prompts = prompts.join(gone, key, "left_anti")
     summary = gone.agg(F.count("*").alias("concepts")).join(prompts.join(gone, key, "left_semi").agg(F.count("*").alias("prompts")))
     return kept_concepts, kept_prompts, summary
+
+
+def ending_pairs(df: DataFrame, word: str, ending: str = "s") -> DataFrame:
+    """(singular, plural): distinct words of which one is the other with an ending; nulls are none."""
+    words = df.select(F.col(word).alias("singular")).where("singular is not null").distinct()
+    plural = words.where(F.col("singular").endswith(ending)).select(F.col("singular").alias("plural"))
+    return words.withColumn("plural", F.concat("singular", F.lit(ending))).join(plural, "plural", "left_semi").select("singular", "plural")

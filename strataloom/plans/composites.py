@@ -223,14 +223,14 @@ m AS (SELECT label, i, avg(v[i]) FILTER (r <= 10) - avg(v[i]) AS d FROM k, unnes
 s AS (SELECT m.label, u.vec_id, round(sum(m.d / n.n * u.v[m.i]), 9) AS score FROM m JOIN n USING (label), u GROUP BY ALL)"""
 
 
-def _profile(t):
+def _profile(t, top=None):
     e = t.embeddings
-    return profiles.contrastive_scores(e.withColumn("w", F.col("vec_id") % 7), "label", "w", "vec_id", "embedding", e.select(F.col("vec_id").alias("concept"), "embedding"), "concept", 10)
+    return profiles.contrastive_scores(e.withColumn("w", F.col("vec_id") % 7), "label", "w", "vec_id", "embedding", e.select(F.col("vec_id").alias("concept"), "embedding"), "concept", 10, top)
 
 
 @query("c15_contrastive_profile", _PROFILE + " SELECT label, vec_id AS concept, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20")
 def c15(t):
-    return _profile(t).where("rank <= 20").select("label", "concept", F.round("score", 6).alias("score"))
+    return _profile(t, 20).select("label", "concept", F.round("score", 6).alias("score"))
 
 
 _SCORES = "SELECT event_type AS expert, user_id % 6 AS slide, user_id // 6 AS concept, round(sum(value), 6) AS score FROM events GROUP BY ALL"
@@ -285,8 +285,9 @@ def c18(t):
 SELECT technology, expert, concept, row_number() OVER (PARTITION BY technology, expert ORDER BY mean DESC, concept) AS rank FROM m""",
 )
 def c19(t):
-    m = _scores(t).groupBy(F.when(F.col("slide") < 2, "x").otherwise("v").alias("technology"), "expert", "concept").agg(F.round(F.avg("score"), 9).alias("mean"))
-    return ranking.ranked(m, ["technology", "expert"], [F.desc("mean"), F.col("concept")]).select("technology", "expert", "concept", F.col("rank").cast("long").alias("rank"))
+    technology = F.when(F.col("slide") < 2, "x").otherwise("v")
+    out = profiles.strata_ranking(_scores(t).withColumn("technology", technology), ["technology", "expert"], "concept", "score")
+    return out.select("technology", "expert", "concept", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -319,9 +320,7 @@ def c22(t):
 
 @query("c23_protocol_selection", "SELECT event_type AS method, min(user_id) AS seed, round(avg(value), 6) AS mse FROM events GROUP BY 1 HAVING avg(value) < (SELECT avg(value) FROM events)")
 def c23(t):
-    runs = t.events.groupBy(F.col("event_type").alias("method")).agg(F.min("user_id").alias("seed"), F.avg("value").alias("mse"))
-    mean = t.events.agg(F.avg("value").alias("all"))
-    return runs.join(mean).where(F.col("mse") < F.col("all")).select("method", "seed", F.round("mse", 6).alias("mse"))
+    return profiles.better_than_mean(t.events, "event_type", "user_id", "value").select("method", "seed", F.round("mean", 6).alias("mse"))
 
 
 @query("c25_repeat_means", "SELECT event_type, round(avg(m), 6) AS mean, round(coalesce(stddev_samp(m), 0), 6) AS sd FROM (SELECT event_type, event_id % 4 AS repeat, avg(value) AS m FROM events GROUP BY ALL) GROUP BY 1")

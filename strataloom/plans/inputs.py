@@ -20,12 +20,12 @@ def s01(t):
     return files.read_typed(t.spark, path, files.RAW_CONCEPTS).select("source_id", "candidate_tier", F.size("synonyms").alias("n"), F.sha2("preferred_label", 256).alias("label"))
 
 
-@query("s03_concatenate_present", "SELECT count(*) AS n FROM nation")
+@query("s03_concatenate_present", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def s03(t):
     paths = [fresh_path(t.spark, "part") for _ in range(3)]
     files.write_table(t.nation.where("n_nationkey < 10"), paths[0])
     files.write_table(t.nation.where("n_nationkey >= 10"), paths[2])
-    return files.read_present(t.spark, paths, "n_nationkey int, n_name string, n_regionkey int").agg(F.count("*").alias("n"))
+    return files.read_present(t.spark, paths, t.nation.select("n_nationkey", "n_name", "n_regionkey").schema.simpleString()[7:-1].replace(":", " "))
 
 
 @query("s05_tsv_trim_blank", "SELECT doc_id::VARCHAR AS doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source FROM documents")
@@ -147,27 +147,30 @@ def s20(t):
 @query(
     "s21_cache_miss_antijoin",
     """WITH d AS (SELECT sha256(text) AS text_hash, bool_or(doc_id % 2 = 0) AS cached FROM documents WHERE text IS NOT NULL GROUP BY 1)
-SELECT text_hash, NOT cached AS encoded, round((('0x' || substr(text_hash, 1, 2))::INT - 127.5) / (('0x' || substr(text_hash, 3, 2))::INT - 127.5), 2) AS ratio FROM d""",
+SELECT text_hash, NOT cached AS encoded, round((('0x' || substr(text_hash, 1, 2))::INT - 127.5) / (('0x' || substr(text_hash, 3, 2))::INT - 127.5), 2) AS ratio, (SELECT count(*) FILTER (NOT cached) FROM d) AS asked, 0 AS again FROM d""",
 )
 def s21(t):
-    from ..sources.embedding import DigestEmbedder, cached_embed, embed
-
-    e = DigestEmbedder(8)
-    # Half of the texts are in the cache already; only the others are encoded.
-    half = t.documents.where("doc_id % 2 = 0 and text is not null").select("text").distinct()
-    cache = stored(embed(half, "text", e).select(F.sha2("text", 256).alias("text_hash"), "embedding"), "cache")
-    vectors, new = cached_embed(t.documents, "text", cache, e)
-    asked = new.select("text_hash", F.lit(True).alias("encoded"))
+    from ..sources.embedding import EmbeddingCache, embedder
+
+    e, cache = embedder("digest", dim=8), EmbeddingCache(fresh_path(t.spark, "cache"), "digest")
+    # Half of the texts are in the cache already; only the others are encoded, and nothing the third time.
+    first, _ = cache.through(t.documents.where("doc_id % 2 = 0"), "text", e)
+    known = stored(first.select("text_hash", F.lit(False).alias("encoded")), "known")
+    _, asked = cache.through(t.documents, "text", e)
+    cache.compact(t.spark)
+    again = cache.through(t.documents, "text", e)[1]
     ratio = F.element_at("embedding", 1).cast("double") / F.element_at("embedding", 2).cast("double")
-    return vectors.join(asked, "text_hash", "left").select("text_hash", F.coalesce("encoded", F.lit(False)).alias("encoded"), F.round(ratio, 2).alias("ratio"))
+    vectors = cache.vectors(t.spark).join(known, "text_hash", "left")
+    return vectors.select("text_hash", F.coalesce("encoded", F.lit(True)).alias("encoded"), F.round(ratio, 2).alias("ratio"), F.lit(asked).cast("long").alias("asked"), F.lit(again).alias("again"))
 
 
-@query("s23_split_files", "SELECT CASE WHEN n_nationkey < 20 THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM nation GROUP BY 1")
+@query("s23_split_files", "SELECT CASE WHEN n_nationkey < 20 THEN 'train' ELSE 'test' END AS split, n_nationkey::VARCHAR AS id, CASE WHEN n_nationkey < 20 THEN n_name END AS name, CASE WHEN n_nationkey >= 20 THEN n_regionkey::VARCHAR END AS region FROM nation")
 def s23(t):
     a, b = fresh_path(t.spark, "train"), fresh_path(t.spark, "test")
     files.write_csv(t.nation.where("n_nationkey < 20"), a, ["n_nationkey", "n_name"])
     files.write_csv(t.nation.where("n_nationkey >= 20"), b, ["n_nationkey", "n_regionkey"])
-    return files.read_splits(t.spark, {"train": a, "test": b}).groupBy("split").agg(F.count("*").alias("n"))
+    rows = files.read_splits(t.spark, {"train": a, "test": b})
+    return rows.select("split", F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"))
 
 
 @query(
@@ -226,23 +229,37 @@ def _bank(t):
 _RAW = "source_name string, source_id string, preferred_label string, synonyms array<string>, definition string, parent_ids array<string>, candidate_tier string, extra map<string,string>"
 
 
-@query("s02_empty_table", "SELECT split_part(c, ' ', 1) AS name, split_part(c, ' ', 2) AS kind, 0::BIGINT AS n FROM (SELECT unnest(string_split('" + _RAW + "', ', ')) AS c)")
+@query(
+    "s02_empty_table",
+    "SELECT split_part(c, ' ', 1) AS name, split_part(c, ' ', 2) AS kind, (SELECT count(*) FROM part) AS n, (SELECT count(DISTINCT p_name) FROM part) AS labels, 0::BIGINT AS n_empty FROM (SELECT unnest(string_split('" + _RAW + "', ', ')) AS c)",
+)
 def s02(t):
-    files.write_table(t.spark.createDataFrame([], files.RAW_CONCEPTS), path := fresh_path(t.spark, "empty"), files.RAW_CONCEPTS)
-    df = files.read_typed(t.spark, path, files.RAW_CONCEPTS)
-    n = df.count()  # the schema is that of the file, read without one
-    found = t.spark.read.parquet(path).schema.fields
-    return t.spark.createDataFrame([(f.name, f.dataType.simpleString(), n) for f in found], "name string, kind string, n bigint")
+    empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
+    rows = t.part.select(
+        F.lit("own").alias("source_name"), F.col("p_partkey").cast("string").alias("source_id"), F.col("p_name").alias("preferred_label"), empty.alias("synonyms"), none.alias("definition"),
+        empty.alias("parent_ids"), F.col("p_type").alias("candidate_tier"), F.create_map().cast("map<string,string>").alias("extra"),
+    )
+    full, none_left = fresh_path(t.spark, "raw"), fresh_path(t.spark, "empty")
+    files.write_table(rows, full, files.RAW_CONCEPTS)
+    files.write_table(rows.where("source_id is null"), none_left, files.RAW_CONCEPTS)
+    n = files.read_typed(t.spark, full, files.RAW_CONCEPTS).agg(F.count("*").alias("n"), F.count_distinct("preferred_label").alias("labels"))
+    m = files.read_typed(t.spark, none_left, files.RAW_CONCEPTS).agg(F.count("*").alias("n_empty"))
+    found = t.spark.read.parquet(none_left).schema.fields  # the schema is that of the file, read without one
+    return t.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in found], "name string, kind string").join(n).join(m)
 
 
-@query("s04_bank_round_trip", "SELECT CASE WHEN p_size < 20 THEN 'H1' WHEN p_size < 40 THEN 'H2' ELSE 'H3' END AS tier, count(*) AS concepts, 2 * count(*) AS prompts, 'own' AS provenance FROM part GROUP BY ALL")
+@query(
+    "s04_bank_round_trip",
+    """WITH c AS (SELECT *, CASE WHEN p_size < 20 THEN 'H1' WHEN p_size < 40 THEN 'H2' ELSE 'H3' END AS tier FROM part)
+SELECT printf('%s-%05d', tier, p_partkey) AS concept_id, p_name AS concept_name, tier, p_type AS category, 2 AS prompts, 'own' AS provenance FROM c""",
+)
 def s04(t):
     from ..sources.bank import read_bank
 
     _bank(t).write(path := fresh_path(t.spark, "bank"))
     bank = read_bank(t.spark, path, ["human", "mouse"])
-    prompts = bank.prompts.groupBy("tier").agg(F.count("*").alias("prompts"))
-    return bank.concepts.groupBy("tier").agg(F.count("*").alias("concepts")).join(prompts, "tier").join(bank.provenance())
+    prompts = bank.prompts.groupBy("concept_id").agg(F.count("*").alias("prompts"))
+    return bank.concepts.select("concept_id", "concept_name", "tier", "category").join(prompts, "concept_id").join(bank.provenance())
 
 
 @query("s04b_bank_row_rules", "SELECT 'organ and level' AS rule, count(*) AS n FROM part WHERE p_size < 20 AND p_size % 5 = 0")
@@ -303,17 +320,18 @@ def d14(t):
 
 @query("p12_thresholds_with_defaults", "SELECT lang AS tier, CASE WHEN lang = 'en' THEN 0.6 ELSE 0.55 END::DOUBLE AS keep, 0.35::DOUBLE AS \"drop\" FROM documents GROUP BY 1")
 def p12(t):
+    from ..operators.resolve import thresholds
+
     t.spark.createDataFrame([("en", 0.6, None)], "tier string, keep double, drop double").write.parquet(path := fresh_path(t.spark, "thresholds"))
     saved = files.read_typed(t.spark, path, "tier string, keep double, drop double")
-    tiers = t.documents.select(F.col("lang").alias("tier")).distinct()
-    return tiers.join(saved, "tier", "left").select("tier", F.coalesce("keep", F.lit(0.55)).alias("keep"), F.coalesce("drop", F.lit(0.35)).alias("drop"))
+    return thresholds(t.documents.select(F.col("lang").alias("tier")), "tier", saved, {"keep": 0.55, "drop": 0.35})
 
 
 @query("p26_alias_dictionary", "SELECT alias, min_by(value, priority) AS value FROM (SELECT lower(n_name) AS alias, n_name AS value, 1 AS priority FROM nation UNION ALL SELECT 'nation_3', 'override', 2 UNION ALL SELECT 'extra', 'literal', 2) GROUP BY 1")
 def p26(t):
-    table = t.nation.select(F.lower("n_name").alias("alias"), F.col("n_name").alias("value"), F.lit(1).alias("priority"))
-    literals = t.spark.createDataFrame([("nation_3", "override", 2), ("extra", "literal", 2)], "alias string, value string, priority int")
-    return table.unionByName(literals).groupBy("alias").agg(F.min_by("value", "priority").alias("value"))
+    from ..operators.rules import alias_table
+
+    return alias_table([(t.nation, "n_name", "n_name")], {"Nation_3": "override", "extra": "literal"})
 
 
 @query("p29_prompt_coverage", "SELECT tier, count(*) AS prompts, count(DISTINCT concept_id) AS concepts FROM (SELECT CASE WHEN p_size < 20 THEN 'H1' WHEN p_size < 40 THEN 'H2' ELSE 'H3' END AS tier, p_partkey AS concept_id FROM part, range(2)) GROUP BY 1")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..operators import lexicon, ranking, sampling
+from ..operators.profiles import top_two
 from .registry import query
 
 
@@ -55,9 +56,9 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l
 )
 def w07(t):
     v = F.array(F.col("l_quantity") / 10, F.col("l_discount") * 20, F.col("l_tax") * 30)
-    keyed = F.array_sort(F.transform(v, lambda x, i: F.struct((-x).alias("m"), i.alias("i"))))
+    first, second = top_two(v)
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
-    return t.lineitem.select(*keys).distinct().select(*keys, keyed[0].i.alias("first"), keyed[1].i.alias("second"))
+    return t.lineitem.select(*keys).distinct().select(*keys, first.alias("first"), second.alias("second"))
 
 
 @query(
@@ -100,9 +101,10 @@ def w11(t):
     return ranking.running_best(d, ["event_type"], "day", "v", 0.5).select("event_type", "step", "value")
 
 
-@query("w12_contiguity", "SELECT conv_id FROM conversations GROUP BY 1 HAVING min(turn) <> 0 OR max(turn) - min(turn) + 1 <> count(turn) OR count(turn) <> count(DISTINCT turn)")
+@query("w12_contiguity", "SELECT conv_id FROM (SELECT conv_id, CASE WHEN conv_id % 3 = 1 AND turn = 1 THEN 7 ELSE turn END AS turn FROM conversations) GROUP BY 1 HAVING min(turn) <> 0 OR max(turn) - min(turn) + 1 <> count(turn) OR count(turn) <> count(DISTINCT turn)")
 def w12(t):
-    return ranking.gaps(t.conversations, ["conv_id"], "turn", 0).select("conv_id")
+    moved = F.when((F.col("conv_id") % 3 == 1) & (F.col("turn") == 1), 7).otherwise(F.col("turn"))
+    return ranking.gaps(t.conversations.withColumn("turn", moved), ["conv_id"], "turn", 0).select("conv_id")
 
 
 @query("w13_batches", "SELECT event_type, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 64 AS batch FROM events")

@@ -234,19 +234,26 @@ def p14b(t):
     )
 
 
-@query("p20_run_record", """SELECT 'resolve' AS command, sha256('{"a":1,"b":["x","ü"]}') AS config_hash, true AS has_id, true AS in_order""")
+@query(
+    "p20_run_record",
+    """SELECT 'resolve' AS command, n_regionkey::BIGINT AS region, sha256('{"nations":' || count(*) || ',"region":' || n_regionkey || ',"ü":["x"]}') AS config_hash, true AS has_id, true AS in_order FROM nation GROUP BY n_regionkey""",
+)
 def p20(t):
-    record = runs.RunRecord("resolve", {"b": ["x", "ü"], "a": 1})
-    record.finish(t.spark, path := fresh_path(t.spark, "record") + ".json")
-    back = t.spark.read.schema("run_id string, config_hash string, started_at string, finished_at string, command string").option("multiLine", True).json(path)
-    return back.select("command", "config_hash", (F.length("run_id") == 32).alias("has_id"), (F.col("started_at") <= F.col("finished_at")).alias("in_order"))
+    folder = fresh_path(t.spark, "records")
+    for r in t.nation.groupBy("n_regionkey").agg(F.count("*").alias("n")).collect():  # a run a region
+        runs.RunRecord("resolve", {"region": r.n_regionkey, "nations": r.n, "ü": ["x"]}).finish(t.spark, f"{folder}/{r.n_regionkey}.json")
+    back = t.spark.read.schema("run_id string, config_hash string, started_at string, finished_at string, command string").option("multiLine", True).json(folder)
+    region = F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("long")
+    return back.select("command", region.alias("region"), "config_hash", (F.length("run_id") == 32).alias("has_id"), (F.col("started_at") <= F.col("finished_at")).alias("in_order"))
 
 
-@query("p10_list_load", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS position, n_name AS item FROM nation")
+@query("p10_list_load", "SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS position, p_name || ' ' || p_partkey AS item FROM part")
 def p10(t):
-    rows = t.nation.orderBy("n_nationkey").select("n_name").collect()
-    lines = ["# genes", "genes:"] + [f"  - {r.n_name}" if i % 3 else f"  - '{r.n_name}'  # note" for i, r in enumerate(rows)] + [""]
-    files.write_text(t.spark, path := fresh_path(t.spark, "list") + ".yaml", "\n".join(lines))
+    item = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    quoted = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  - '"), item, F.lit("'  # note"))).otherwise(F.concat(F.lit("  - "), item))
+    head = t.spark.createDataFrame([(-3, "# names"), (-2, "names:"), (-1, "")], "at long, value string")
+    lines = head.unionByName(t.part.select(F.col("p_partkey").alias("at"), quoted.alias("value")))
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(path := fresh_path(t.spark, "list"))
     return runs.read_list(t.spark, path)
 
 
@@ -317,7 +324,11 @@ def p28(t):
     return out.select("solver", "steps", F.round(F.col("mse") / 1e6, 4).alias("mse"), F.round("mae", 4).alias("mae"), F.col("n").alias("cells"), F.col("units").alias("slides"))
 
 
-@query("d18_config_contract", "SELECT * FROM (VALUES ('defaults', 'ok'), ('unknown', 'unknown settings: [''wihtin'']'), ('range', 'within is out of range: 1.5'), ('order', 'drop is above keep')) t(name, outcome)")
+@query(
+    "d18_config_contract",
+    """WITH b AS (SELECT p_brand AS name, round(avg(p_size) / 25, 2) AS v FROM part GROUP BY 1)
+SELECT name, CASE WHEN v > 1 THEN 'within is out of range: ' || v ELSE 'ok' END AS outcome FROM b UNION ALL SELECT 'unknown', 'unknown settings: [''wihtin'']' UNION ALL SELECT 'order', 'drop is above keep'""",
+)
 def d18(t):
     def outcome(values):
         try:
@@ -326,8 +337,10 @@ def d18(t):
             return str(e)
         return "ok"
 
-    cases = {"defaults": {}, "unknown": {"wihtin": 0.5}, "range": {"within": 1.5}, "order": {"keep": 0.2, "drop": 0.3}}
-    return t.spark.createDataFrame([(k, outcome(v)) for k, v in cases.items()], "name string, outcome string")
+    within = F.udf(lambda v: outcome({"within": v}), "string")
+    brands = t.part.groupBy(F.col("p_brand").alias("name")).agg(F.round(F.avg("p_size") / 25, 2).alias("v"))
+    fixed = t.spark.createDataFrame([("unknown", outcome({"wihtin": 0.5})), ("order", outcome({"keep": 0.2, "drop": 0.3}))], "name string, outcome string")
+    return brands.select("name", within("v").alias("outcome")).unionByName(fixed)
 
 
 @query("c03_density_clusters")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..operators import sets
 from .registry import query
 
 _EMB = "embedding::double[]"
@@ -289,12 +290,12 @@ def x33(t):
 
 @query(
     "x34_plural_pairs",
-    """WITH n AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS w FROM documents WHERE lang = 'en') WHERE w <> '')
+    """WITH n AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^\\p{L}]+', ' ', 'g')), ' ')) AS w FROM documents) WHERE w <> '')
 SELECT a.w AS singular, b.w AS plural FROM n a JOIN n b ON b.w = a.w || 's'""",
 )
 def x34(t):
-    words = t.documents.where("lang = 'en'").select(F.explode(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ")).alias("w")).where("w <> ''").distinct()
-    return words.select(F.col("w").alias("singular"), F.concat("w", F.lit("s")).alias("plural")).join(words.select(F.col("w").alias("plural")), "plural", "left_semi").select("singular", "plural")
+    words = t.documents.select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")).alias("w")).where("w <> ''")
+    return sets.ending_pairs(words, "w").select("singular", "plural")
 
 
 @query("x35_guided_step", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity + 0.5 * (l_tax + 1.5 * (l_discount - l_tax)), 8) AS x FROM lineitem")
@@ -305,9 +306,7 @@ def x35(t):
 
 @query("p05_source_priority", "SELECT doc_id, CASE source WHEN 'src3' THEN 1 WHEN 'src0' THEN 2 WHEN 'src7' THEN 3 ELSE 4 END AS rank FROM documents")
 def p05(t):
-    order = F.array(*map(F.lit, ("src3", "src0", "src7")))
-    place = F.array_position(order, F.col("source"))
-    return t.documents.select("doc_id", F.when(place == 0, 4).otherwise(place).cast("int").alias("rank"))
+    return t.documents.select("doc_id", tx.priority_rank(F.col("source"), ["src3", "src0", "src7"]).alias("rank"))
 
 
 @query("p18_redact_parameter", "SELECT page_id, regexp_replace(url, '([?&]ref=)[^&#]*', '\\1***') AS url FROM pages")
@@ -318,5 +317,4 @@ def p18(t):
 
 @query("p24_prompt_block", "SELECT doc_id, 'id: ' || doc_id || chr(10) || 'source: ' || source || chr(10) || 'text: ' || text[1:200] AS block FROM documents")
 def p24(t):
-    lines = [F.concat(F.lit("id: "), F.col("doc_id").cast("string")), F.concat(F.lit("source: "), "source"), F.concat(F.lit("text: "), F.substring("text", 1, 200))]
-    return t.documents.select("doc_id", F.concat_ws("\n", *lines).alias("block"))
+    return t.documents.select("doc_id", tx.prompt_block({c if c != "doc_id" else "id": F.col(c) for c in ("doc_id", "source", "text")}, {"text": 200}).alias("block"))

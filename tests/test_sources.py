@@ -87,3 +87,30 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.total) for r in spark.sql("select * from counts").collect()] == [(4, 14.0)]
+
+
+def test_settled_best_does_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    import random
+
+    from strataloom.operators import ranking
+
+    rng = random.Random(6)
+    rows = [(k, i, round(rng.uniform(0, 10) - i * 0.2, 3)) for k in "ab" for i in range(25)]
+    schema = "k string, s long, v double"
+    want = {tuple(r) for r in ranking.running_best(spark.createDataFrame(rows, schema), ["k"], "s", "v", 0.5).select("k", "s", "v").collect()}
+    # Steps come up to seven places late, in files that are read one at a time; the last one moves the watermark on.
+    shuffled = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 7))
+    folder = tmp_path / "in"
+    for n in range(0, len(shuffled), 10):
+        spark.createDataFrame(shuffled[n : n + 10], schema).coalesce(1).write.mode("append").parquet(str(folder / f"p={n:03}"))
+    spark.createDataFrame([("z", 10_000, 1.0)], schema).coalesce(1).write.parquet(str(folder / "p=900"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema + ", p string").option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("ts", F.timestamp_seconds(F.col("s") * 60))
+        q = mentions.settled_best(stream, "k", "s", "v", "ts", 0.5, "10 minutes").writeStream.format("memory").queryName("settled").outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset(name)
+    assert {tuple(r) for r in spark.sql("select k, s, v from settled where k <> 'z'").collect()} == want
