@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ GATHERED = 1 << 21
 STRINGS = 300_000
 #: Memory of duckdb in a task; beyond that it writes to scratch files.
 MEMORY = "256MB"
-#: Hash buckets per shuffle partition, and shares into which requests for one part are dealt.
-BUCKETS, SALT = 16, 8
+#: Hash buckets at least, and shares into which requests for one part are dealt.
+BUCKETS, SALT = 256, 8
 
 #: A-Z become a-z, the marks and line ends between pieces ``\n``, the tab a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -164,8 +165,13 @@ def _counted(batches, columns: list[str], least: int):
         yield from db.sql(f"select {keys}, sum(times)::bigint as times from rows group by {keys} having sum(times) >= {least}").to_arrow_reader(1 << 16)
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _buckets(spark: SparkSession) -> int:
-    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """A task sends a row a bucket, so they are no more than the partitions need."""
+    return max(BUCKETS, _partitions(spark))
 
 
 def may_be_frequent(pieces: DataFrame, sizes: list[int], inner: int, known: BitMap | None, least: int, longest: int) -> DataFrame:
@@ -226,7 +232,7 @@ def may_be_frequent(pieces: DataFrame, sizes: list[int], inner: int, known: BitM
             yield b.select(["gram"])
 
     sent = pieces.select("lang", "piece", "times").mapInArrow(gather, "bucket bigint, hashes binary, times binary")
-    return sent.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").mapInArrow(count, "gram bigint")
+    return sent.repartition(_partitions(pieces.sparkSession), "bucket").mapInArrow(count, "gram bigint")
 
 
 def frequent_phrases(pieces: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -239,13 +245,26 @@ def frequent_phrases(pieces: DataFrame, longest: int = LONGEST, least: int = LEA
             found = may_be_frequent(pieces, sizes, inner, known.get(inner), least, longest)
             known |= dict.fromkeys(sizes, BitMap(stored(found, "frequent-hashes")))
 
+    buckets = _buckets(spark)
+
     def gather(batches):
         held: dict[tuple[str, int, bytes], int] = {}
 
         def send():
-            langs, sizes, found = zip(*held) if held else ((), (), ())
+            """A row a bucket: its phrases and their counts as an Arrow stream."""
+            langs, sizes, found = zip(*held)
             cols = [pa.array(langs, pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(held.values(), pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "words", "times"])
+            bucket = np.fromiter((zlib.crc32(p, zlib.crc32(l.encode())) % buckets for l, _, p in held), dtype=np.int64, count=len(held))
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "words", "times"]).take(pa.array(order)), bucket[order]
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()
+            packed = []
+            for a, z in zip(cuts, cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows.slice(a, z - a))
+                packed.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(packed, pa.binary())], names=["bucket", "rows"])
 
         for g in _grouped(batches, longest):
             names = g.names
@@ -268,11 +287,19 @@ def frequent_phrases(pieces: DataFrame, longest: int = LONGEST, least: int = LEA
             if len(held) > STRINGS:
                 yield send()
                 held = {}
-        yield send()
+        if held:
+            yield send()
+
+    def unpack(batches):
+        for b in batches:
+            for packed in b.column(1).to_pylist():
+                yield from pa.ipc.open_stream(packed)
+
+    def count(batches):
+        yield from _counted(unpack(batches), ["lang", "phrase", "words"], least)
 
-    made = pieces.select("lang", "piece", "times").mapInArrow(gather, "lang string, phrase string, words int, times bigint")
-    dealt = made.withColumn("bucket", F.pmod(F.xxhash64("lang", "phrase"), F.lit(_buckets(spark)))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").drop("bucket")
-    return dealt.mapInArrow(lambda batches: _counted(batches, ["lang", "phrase", "words"], least), "lang string, phrase string, words int, times bigint")
+    sent = pieces.select("lang", "piece", "times").mapInArrow(gather, "bucket bigint, rows binary")
+    return sent.repartition(_partitions(spark), "bucket").mapInArrow(count, "lang string, phrase string, words int, times bigint")
 
 
 def _scored(grams: DataFrame, totals: DataFrame) -> DataFrame:
