@@ -166,6 +166,7 @@ def share_and_rank(df: DataFrame, key: str, error: str, n: str, score: str) -> D
 
     The table is ranked as a whole, in ranges of the values.
     """
+    df = stored(df, "errors")  # every rank reads it twice
     total = df.agg(F.sum(F.col(error) * F.col(n)).alias("_t"))  # one row
     out = df.join(total).withColumn("share", F.col(error) * F.col(n) / F.col("_t")).drop("_t")
     out = ranking.spread_tied_rank(out, [], error, "error_rank", average=False, descending=True)

@@ -8,8 +8,6 @@ pairs leave it.  No pair table is built.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

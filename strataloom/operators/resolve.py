@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..storage import discard, stored
 from . import joins as jo
-from . import sets
+from . import ranking, sets
 from .components import components
 
 
@@ -92,8 +92,9 @@ def calibrate(reference: DataFrame, key: str, vector: str, tier: str, negatives:
     drop by ``gap`` the classes do not separate, and the defaults hold.
     """
     c = vx.centroid(reference, tier, vector)
-    own = jo.max_similarity(reference.join(c, tier), negatives, vector).withColumn("own", vx.cosine(F.col(vector), F.col("centroid")))
-    per = own.groupBy(tier).agg(F.percentile("own", p).alias("k"), F.avg("sim").alias("d"))
+    own = jo.max_similarity(reference.join(c, tier), negatives, vector).select(tier, vx.cosine(F.col(vector), F.col("centroid")).alias("own"), "sim")
+    own = stored(own, "calibration")
+    per = ranking._with(own.groupBy(tier).agg(F.avg("sim").alias("d")), ranking.quantiles(own, [tier], "own", {"k": p}), [tier])
     bad = F.col("k") < F.col("d") + F.lit(gap)
     return per.select(tier, F.when(bad, default_keep).otherwise(F.col("k")).alias("keep"), F.when(bad, default_drop).otherwise(F.col("d")).alias("drop"), bad.alias("fallback"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import platform
-import subprocess
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
@@ -41,8 +40,8 @@ def run_sources(spark: SparkSession, sources: Sequence[tuple[str, bool, Callable
             continue
         try:
             done.append(stored(to_schema(make(), ddl), f"source-{name}"))
-        except Exception as e:  # any failure of a source is its own
-            if not skip_errors:
+        except Exception as e:  # a failure of a source is its own, one of the session is not
+            if not skip_errors or isinstance(e, MemoryError) or spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
                 raise
             failed.append((name, type(e).__name__, str(e).split("\n")[0][:500]))
     rows = reduce(lambda a, b: a.unionByName(b), done) if done else spark.createDataFrame([], ddl)
@@ -129,24 +128,15 @@ def config_hash(config: Mapping) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def revision(folder: str = ".") -> tuple[str | None, bool]:
-    """The revision of a work tree and whether it has changes; (None, False) outside of one."""
-    def git(*args):
-        return subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=True).stdout.strip()
-
-    try:
-        return git("rev-parse", "HEAD"), bool(git("status", "--porcelain"))
-    except (subprocess.CalledProcessError, FileNotFoundError):
-        return None, False
-
-
 class RunRecord:
-    """What ran, with which settings and code, and when; written as JSON."""
+    """What ran, with which settings and code, and when; written as JSON.
+
+    The caller knows the revision of the code and whether it has changes.
+    """
 
-    def __init__(self, command: str, config: Mapping, folder: str = "."):
-        sha, dirty = revision(folder)
+    def __init__(self, command: str, config: Mapping, revision: str | None = None, dirty: bool = False):
         self.values = {
-            "run_id": uuid.uuid4().hex, "revision": sha, "dirty": dirty, "config_hash": config_hash(config), "started_at": datetime.now(timezone.utc).isoformat(), "finished_at": None,
+            "run_id": uuid.uuid4().hex, "revision": revision, "dirty": dirty, "config_hash": config_hash(config), "started_at": datetime.now(timezone.utc).isoformat(), "finished_at": None,
             "command": command, "python_version": platform.python_version(),
         }
 

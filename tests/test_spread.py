@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import aggregates, joins, ranking
-from strataloom.sources import files, remote, runs
+from strataloom.sources import remote, runs
 
 
 @pytest.fixture(scope="module")
@@ -141,13 +141,22 @@ def test_sources_may_fail(spark):
     assert rows.count() == 0 and rows.columns == ["x"] and [tuple(r) for r in failures.collect()] == [("a", "OSError", "down")]
 
 
+def test_a_failure_of_the_session_is_not_one_of_a_source(spark):
+    def full():
+        raise MemoryError
+
+    with pytest.raises(MemoryError):
+        runs.run_sources(spark, [("a", True, full)], "x string")
+
+
 def test_list_file(spark, tmp_path):
     (tmp_path / "l.yaml").write_text("# top\nnames:\n  - A1\n  - 'B: 2'  # note\n\n- \"c\"\nplain\n")
     assert [r.item for r in runs.read_list(spark, f"file://{tmp_path}/l.yaml").orderBy("position").collect()] == ["A1", "B: 2", "c", "plain"]
 
 
 def test_run_record(spark, tmp_path):
-    r = runs.RunRecord("x", {"b": 1, "a": "é"}, str(tmp_path))
+    assert runs.RunRecord("x", {}, "abc", True).values["revision"] == "abc"
+    r = runs.RunRecord("x", {"b": 1, "a": "é"})
     out = r.finish(spark, f"file://{tmp_path}/r.json")
     assert json.loads((tmp_path / "r.json").read_text()) == out and out["revision"] is None and not out["dirty"]
     assert runs.config_hash({"a": "é", "b": 1}) == out["config_hash"]
