@@ -238,9 +238,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, special_as_text: bool = False, cache: int = CACHE) -> Encoder:
     """One encoder per worker process and file."""
-    return Encoder(path, special_as_text=special_as_text)
+    return Encoder(path, cache, special_as_text)
 
 
 def public_path(name: str) -> str:

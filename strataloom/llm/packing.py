@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import slices, small_batches, table
-from ._tokens import encoder, public_path
+from ._tokens import CACHE, encoder, public_path
 
 PIECES = "doc_id {id}, start bigint, ids binary, length bigint, loss_tokens bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -147,7 +147,7 @@ def segments(text: str | None, spans: list) -> tuple[list[str], list[bool]]:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", limits: Limits | None = None, loss_spans: str | None = None, special_as_text: bool = False,
+    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", limits: Limits | None = None, loss_spans: str | None = None, special_as_text: bool = False, cache: int = CACHE,
 ) -> DataFrame:
     """Pieces of tokenised documents, placed in sequences.
 
@@ -163,7 +163,8 @@ def pack(
     ``loss_spans`` is a column of array<struct<begin, end>>: the characters that
     bear loss.  Such a text is encoded part by part, cut where loss begins or
     ends; the end id bears loss if the last part does.  A null array, like no
-    column, means that every token bears loss.
+    column, means that every token bears loss.  A worker remembers the ids of up to
+    twice ``cache`` pieces of text (about 200 bytes each), also after its task.
     """
     small_batches(docs.sparkSession)
     limits = limits or Limits()
@@ -173,7 +174,7 @@ def pack(
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(tokenizer, special_as_text)
+        enc = encoder(tokenizer, special_as_text, cache)
         packer = Packer(limits)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         end = np.array([end_id], dtype=enc.dtype)
@@ -229,12 +230,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame, cache: int = CACHE) -> DataFrame:
     """The digest columns of the packing of ``docs``; see ``pack`` for nulls, repeats and empty tables.
 
     Plain documents bear loss on every id but a piece's first, so the limit of
     loss, which is that of the tokens, never binds here.
     """
-    return pack(docs, public_path("word_bpe_49k.json"), 1).select(
+    return pack(docs, public_path("word_bpe_49k.json"), 1, cache=cache).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
     )
