@@ -17,6 +17,10 @@ from strataloom.llm import decontaminate, langid, packing, quality, simhash
 from strataloom.llm._common import stored, table
 
 
+#: Pieces of text whose ids a worker remembers: it goes on to other stages with them.
+REMEMBERED = 150_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoff stay.
 
@@ -57,7 +61,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null or empty text is its end id alone; repeated rows are packed as often
     as they occur.
     """
-    return packing.packed_documents(docs)
+    return packing.packed_documents(docs, REMEMBERED)
 
 
 STAGES = [
