@@ -65,7 +65,7 @@ class _Judge(StatefulProcessor):
             self.waiting.appendList(new)
             # The timer is due when the watermark reaches the first of them.
             self.handle.registerTimer(min(a for a, _, _ in new) + 1)
-        yield pd.DataFrame({c: [] for c in self.names[:3]})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         reached = timerValues.getCurrentWatermarkInMs()
@@ -85,7 +85,8 @@ class _Judge(StatefulProcessor):
             self.handle.registerTimer(min(r[0] for r in rest) + 1)
         else:
             self.waiting.clear()
-        yield pd.DataFrame(out, columns=list(self.names[:3]))
+        if out:
+            yield pd.DataFrame(out, columns=list(self.names[:3]), dtype=object)
 
     def close(self) -> None:
         pass
