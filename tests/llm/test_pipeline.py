@@ -76,7 +76,7 @@ def test_null_ids_repeated_rows_and_clashing_names(spark, folder, tmp_path):
     """Rows without an id and repeated rows go through all stages; columns named like inner ones stay."""
     path, texts = folder
     rows = [(i, t, "en", "s", len(t or ""), "fp", "kept", 1.5, True) for i, t in texts.items()]
-    rows += [rows[7], rows[7], (None, "lone " + texts[9][40:] + " ending of its own", "en", "s", 1, "fp", "kept", 1.5, True), (None, None, None, None, None, None, None, None, None), (None, "", "en", "s", 0, "x", "y", 0.0, False)]
+    rows += [rows[7], rows[7], (None, " ".join(reversed(texts[9].split())), "en", "s", 1, "fp", "kept", 1.5, True), (None, None, None, None, None, None, None, None, None), (None, "", "en", "s", 0, "x", "y", 0.0, False)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, kept string, score double, text_key boolean"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("labels", "benchmark"):
