@@ -71,6 +71,7 @@ SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_size, p_brand, p_t
 def p04(t):
     # Equal parts are one class with a weight: links are found between classes, and copies are never paired.
     content = ["p_name", "p_size", "p_brand", "p_type"]
+    # Files of many copies are small for their rows, so sizes of files say too little to broadcast a side.
     c = t.part.groupBy(*content).agg(F.min("p_partkey").alias("class"), F.count("*").alias("n"))
     c = c.withColumn("items", F.array_distinct(F.array("p_type", "p_brand", F.split("p_name", " ")[0])))
     # A similarity of 0.8 is at most 10 sizes apart, so only classes of these sizes meet.
@@ -78,10 +79,10 @@ def p04(t):
     b = c.withColumn("size", F.col("p_size")).alias("b")
     sim = 1.0 - F.abs(F.col("a.p_size") - F.col("b.p_size")) / 50.0
     ok = sets.may_merge(sim, 0.8, F.col("a.p_brand"), F.col("b.p_brand"), "Brand#1", F.col("a.items"), F.col("b.items"), 0.4)
-    met = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.size") == F.col("b.size"))).where(ok)
+    met = a.join(b.hint("merge"), (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.size") == F.col("b.size"))).where(ok)
     links = met.groupBy(F.col("a.class").alias("class")).agg((F.sum("b.n") - 1).alias("n_links"))
-    rows = t.part.join(c.select(*content, "class"), content).join(links, "class")
-    return rows.select("p_partkey", "class", "n_links")
+    linked = c.select(*content, "class").join(links.hint("merge"), "class")
+    return t.part.join(linked.hint("merge"), content).select("p_partkey", "class", "n_links")
 
 
 @query("p08_label_vocabulary", "SELECT DISTINCT x AS label FROM (SELECT lang AS x FROM documents UNION ALL SELECT c_mktsegment FROM customer) ORDER BY 1")
