@@ -72,7 +72,7 @@ def w08(t):
 
 @query("w09_mint_ids", "SELECT p_partkey, upper(p_type) || '-' || lpad((row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_partkey) + 99)::VARCHAR, 5, '0') AS minted FROM part")
 def w09(t):
-    return ranking.mint_ids(t.part, "p_type", [F.col("p_name"), F.col("p_partkey")], start=100).select("p_partkey", "minted")
+    return ranking.mint_ids(t.part, "p_type", [F.col("p_name"), F.col("p_partkey")], start=100, fixed=True).select("p_partkey", "minted")
 
 
 @query(

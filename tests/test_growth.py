@@ -1,5 +1,8 @@
 """What larger tables showed: plans that must not broadcast, ids and sums at size, and bounded tasks."""
 
+import duckdb
+from pyspark.sql import functions as F
+
 from strataloom.plans import catalog
 
 
@@ -13,3 +16,29 @@ def test_merge_predicate_does_not_broadcast(spark, tmp_path):
     parts = [(i, ["red ring", "hot bolt"][i % 2], i % 30, f"Brand#{i % 23}", "SMALL") for i in range(100)]
     df = run(spark, "p04_merge_predicate", tmp_path, part=spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_brand string, p_type string"))
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def against_sql(spark, name, folder, **tables):
+    """The query's rows, and those of its SQL on the same tables by one thread."""
+    df = run(spark, name, folder, **tables)
+    db = duckdb.connect()
+    db.sql("set threads = 1")
+    for table in tables:
+        db.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    want = db.sql(f"select {', '.join(df.columns)} from ({catalog.oracle_sql()[name]})").fetchall()
+    return sorted(tuple(r) for r in df.collect()), sorted(want)
+
+
+def many_parts(spark):
+    row = [F.col("id").alias("p_partkey"), F.lit("hot ring").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("SMALL").alias("p_type")]
+    return spark.range(100_050).select(*row)
+
+
+def test_minted_ids_of_six_digits(spark, tmp_path):
+    rows, want = against_sql(spark, "w09_mint_ids", tmp_path, part=many_parts(spark))
+    assert rows == want
+
+
+def test_canonical_ids_of_six_digits(spark, tmp_path):
+    rows, want = against_sql(spark, "c08_canonicalise", tmp_path, part=many_parts(spark))
+    assert rows == want
