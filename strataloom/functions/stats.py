@@ -15,6 +15,20 @@ def weighted_mean(x: Column, w: Column) -> Column:
     return F.when(total != 0, F.sum(x.cast("double") * w) / total)
 
 
+def ordered_sums(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, sum, n, given, first): sums of doubles added up in the order of ``order``, and its smallest value.
+
+    Doubles give another last digit in another order, which decides ties and what
+    lies just at a limit; these sums are the same however the table is split.
+    ``n`` counts rows, ``given`` those with a value.  A group's rows are sorted in
+    one task, which spills; no group is gathered.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = F.col(value).cast("double")
+    running = rows.select(*keys, F.col(order).alias("_o"), F.sum(x).over(w).alias("_s"), F.count(x).over(w).alias("_g"), F.count(F.lit(1)).over(w).alias("_n"))
+    return running.groupBy(*keys).agg(F.max_by("_s", "_n").alias("sum"), F.max("_n").alias("n"), F.max("_g").alias("given"), F.min("_o").alias("first"))
+
+
 def sample_sd(x: Column) -> Column:
     """Sample standard deviation, 0 for a single value."""
     return F.coalesce(F.stddev_samp(x), F.lit(0.0))
