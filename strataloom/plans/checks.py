@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..functions import stats as st
 from ..operators import checks as ck
 from .registry import query
 
@@ -115,7 +116,8 @@ SELECT count(*) FILTER (abs(a.v - b.v) < 0.02) AS agree, count(*) FILTER (abs(a.
 def d16(t):
     from ..operators.profiles import reconcile
 
-    m = t.events.groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
+    sums = st.ordered_sums(t.events, ["user_id", "event_type"], "event_id", "value")
+    m = sums.select("user_id", "event_type", F.try_divide("sum", "given").alias("v"))
     return reconcile(m, m.where("event_type <> 'view'").withColumn("v", F.round("v", 1)), ["user_id", "event_type"], "v", 0.02)
 
 
