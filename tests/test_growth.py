@@ -1,8 +1,10 @@
 """What larger tables showed: plans that must not broadcast, ids and sums at size, and bounded tasks."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+from strataloom.operators import joins as jo
 from strataloom.plans import catalog
 
 
@@ -74,3 +76,19 @@ def test_reported_recomputed_of_several_files(spark, tmp_path):
 def test_paged_scan_asks_every_root(spark, tmp_path):
     rows, want = against_sql(spark, "s17_paged_scan", tmp_path, region=spark.createDataFrame([(i,) for i in range(4)], "r_regionkey int"))
     assert rows == want and {r[0] for r in rows} == {"0", "1", "2", "3"}
+
+
+def test_best_of_tiles_is_that_of_a_full_sort():
+    rng = np.random.default_rng(5)
+    sim = rng.integers(0, 6, (40, 90)) / 5.0  # many ties
+    sim[rng.random(sim.shape) < 0.3] = -np.inf
+    sim[:3] = -np.inf
+    sim[1, 70] = 0.2
+    for k in (1, 4, 100):
+        best = None
+        for first in range(0, 90, 30):
+            best = jo._best(k, sim[:, first : first + 30], first, best)
+        for r in range(40):
+            want = [(sim[r, c], c) for c in sorted(np.flatnonzero(np.isfinite(sim[r])), key=lambda c: (-sim[r, c], c))[:k]]
+            got = [(s, c) for s, c in zip(best[0][r], best[1][r]) if np.isfinite(s)]
+            assert got == want
