@@ -179,7 +179,8 @@ _RANK = "rank() OVER (PARTITION BY l_suppkey ORDER BY {0}) + (count(*) OVER (PAR
 
 @query("p02_spearman", _corr_sql(f"SELECT l_suppkey AS g, {_RANK.format('l_quantity')} AS x, {_RANK.format('l_extendedprice')} AS y FROM lineitem"))
 def p02(t):
-    r = t.lineitem.select(F.col("l_suppkey").alias("g"), st.average_rank(F.col("l_quantity"), F.col("l_suppkey")).alias("x"), st.average_rank(F.col("l_extendedprice"), F.col("l_suppkey")).alias("y"))
+    rows = ranking.by_size(t.lineitem.select("l_suppkey", "l_quantity", "l_extendedprice"), ["l_suppkey"])
+    r = rows.select(F.col("l_suppkey").alias("g"), st.average_rank(F.col("l_quantity"), F.col("l_suppkey")).alias("x"), st.average_rank(F.col("l_extendedprice"), F.col("l_suppkey")).alias("y"))
     return r.groupBy("g").agg(F.round(st.pearson(F.col("x"), F.col("y")), 6).alias("r"))
 
 

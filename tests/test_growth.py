@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strataloom.operators import joins as jo
+from strataloom.operators import ranking
 from strataloom.plans import catalog
 
 
@@ -92,3 +93,8 @@ def test_best_of_tiles_is_that_of_a_full_sort():
             want = [(sim[r, c], c) for c in sorted(np.flatnonzero(np.isfinite(sim[r])), key=lambda c: (-sim[r, c], c))[:k]]
             got = [(s, c) for s, c in zip(best[0][r], best[1][r]) if np.isfinite(s)]
             assert got == want
+
+
+def test_partitions_follow_the_rows(spark):
+    assert ranking.by_size(spark.range(1000), ["id"], rows=50).rdd.getNumPartitions() == 20
+    assert ranking.by_size(spark.range(0), ["id"]).rdd.getNumPartitions() == 4  # the session's
