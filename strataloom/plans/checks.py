@@ -67,9 +67,10 @@ def d07(t):
     "SELECT 'permutation' AS rule, l_suppkey::VARCHAR AS key, min(r) || '/' || max(r) || '/' || count(*) || '/' || count(DISTINCT r) || '/' || count(DISTINCT l_partkey) AS detail FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem) GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) <> count(*)",
 )
 def d08(t):
-    from ..operators.ranking import ranked
+    from ..operators.ranking import by_size, ranked
 
-    return ck.permutation(ranked(t.lineitem, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]), "l_suppkey", "rank", "l_partkey")
+    rows = by_size(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"), ["l_suppkey"])
+    return ck.permutation(ranked(rows, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]), "l_suppkey", "rank", "l_partkey")
 
 
 @query("d09_sum_invariant", "SELECT 'sum' AS rule, l_orderkey::VARCHAR AS key, round(s, 6)::VARCHAR AS detail FROM (SELECT l_orderkey, sum(l_quantity::DOUBLE) AS s FROM lineitem GROUP BY 1) WHERE abs(s - 100) >= 60")
