@@ -1,28 +1,19 @@
-"""Shared plumbing: intermediate tables, Arrow batches, row keys."""
+"""Shared plumbing: intermediate tables, parts of texts, row keys."""
 
 from __future__ import annotations
 
 import itertools
 import re
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import SLICE_BYTES, SLICE_ROWS, append_columns, slices, small_batches  # noqa: F401
 from ..storage import discard, fresh_path, shared_folder, stored  # noqa: F401
 
-#: UTF-8 bytes of text, and rows, that an operator works on at a time.
-SLICE_BYTES = 2 << 20
-SLICE_ROWS = 4096
 #: Characters of a long text that are worked on at a time.
 PART = 1 << 20
 
-#: Bytes of an Arrow batch: it is held several times over on its way through a task.
-BATCH_BYTES = 4 << 20
-_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-
 #: White space in the sense of the word pattern ``[^\x20\x09-\x0D]+``.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 _SPACE = re.compile(f"[{ASCII_SPACE}]")
@@ -32,35 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_BYTES`` where the session still has Spark's default of 64 MB.
-
-    The setting is read when a plan runs, after an operator has returned, so it
-    stays in the session; a value that the caller has chosen is left alone.
-    """
-    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
-
-
-def slices(batches, *texts: int, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS):
-    """The batches cut so that a piece has about ``limit`` bytes in the columns ``texts``.
-
-    A batch has as many bytes as the session allows; an operator's own arrays
-    are many times its texts, so it takes less at a time.  A row is never cut: a
-    longer text is a piece of its own.
-    """
-    for b in batches:
-        size = np.zeros(b.num_rows, dtype=np.int64)
-        for i in texts:
-            size += pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False)
-        ends, at = np.cumsum(size), 0
-        while at < b.num_rows:
-            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
-            stop = max(at + 1, min(stop, at + rows))
-            yield b.slice(at, stop - at)
-            at = stop
-
-
 def text_parts(text: str | None, size: int = PART):
     """The text in parts of about ``size`` characters, cut before white space.
 
@@ -92,10 +54,3 @@ def without(df: DataFrame, new: list[str], needed: list[str]) -> DataFrame:
 def remainder(id_column: str, modulus: int):
     """``crc32(id as text) mod modulus``; null for a null id."""
     return F.crc32(F.col(f"`{id_column}`").cast("string").cast("binary")) % F.lit(modulus)
-
-
-def append_columns(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
-    """The batch with further columns at its end."""
-    return pa.RecordBatch.from_arrays(
-        [*batch.columns, *columns.values()], names=[*batch.schema.names, *columns]
-    )

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from ..batches import append_columns, slices, small_batches
 from ..storage import stored
 from . import files
 
@@ -58,17 +60,24 @@ def embedder(name: str, **options) -> Embedder:
 
 
 def embed(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
-    """Adds the vector of each text; a null text has a null vector."""
+    """Adds the vector of each text; a null text has a null vector.
 
-    @F.pandas_udf("array<float>")
-    def encode(s: pd.Series) -> pd.Series:
-        result = pd.Series([None] * len(s), index=s.index, dtype=object)
-        some = s.dropna()
-        if len(some):
-            result[some.index] = list(embedder.encode(some.tolist()).astype("float32"))
-        return result
-
-    return df.withColumn(out, encode(F.col(text)))
+    The encoder gets about ``SLICE_BYTES`` of text at a time, whatever the batch.
+    """
+    small_batches(df.sparkSession)
+    own = df.drop(out)
+    at = own.columns.index(text)
+
+    def run(batches):
+        for b in slices(batches, at):
+            texts = b.column(at).to_pylist()
+            vectors: list = [None] * len(texts)
+            if some := [i for i, t in enumerate(texts) if t is not None]:
+                for i, v in zip(some, embedder.encode([texts[i] for i in some]).astype("float32")):
+                    vectors[i] = v
+            yield append_columns(b, **{out: pa.array(vectors, pa.list_(pa.float32()))})
+
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(out, ArrayType(FloatType()))]))
 
 
 def cached_embed(df: DataFrame, text: str, cache: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,20 @@ def test_embedder_contract(spark):
     assert v[0] == v[1] != v[2] and v[3] is None
 
 
+def test_embedder_gets_slices_of_a_batch(spark):
+    class Bounded:
+        dim = 1
+
+        def encode(self, texts):
+            if sum(map(len, texts)) > 3 << 20:
+                raise ValueError("too much text at a time")
+            return np.array([[len(t)] for t in texts], dtype=float)
+
+    df = spark.range(0, 90, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"), "id")
+    got = embed(df, "t", Bounded()).drop("t").collect()
+    assert sorted(tuple(r) for r in got) == [(i, [100_000.0]) for i in range(90)]
+
+
 def test_stages_resume(spark, tmp_path):
     calls = []
 
