@@ -2,10 +2,13 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import joins as jo
 from strataloom.operators import ranking
+from strataloom.operators.components import components
 from strataloom.plans import catalog
 
 
@@ -98,3 +101,53 @@ def test_best_of_tiles_is_that_of_a_full_sort():
 def test_partitions_follow_the_rows(spark):
     assert ranking.by_size(spark.range(1000), ["id"], rows=50).rdd.getNumPartitions() == 20
     assert ranking.by_size(spark.range(0), ["id"]).rdd.getNumPartitions() == 4  # the session's
+
+
+@pytest.mark.parametrize("digits", [None, 2])
+@pytest.mark.parametrize("differ", [None, "g"])
+def test_neighbours_by_a_filter_in_single_precision(spark, monkeypatch, digits, differ):
+    monkeypatch.setattr(jo, "TILE", 16)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(8)
+    # Some vectors are farther apart than double precision shows, but not than single precision does.
+    m = np.array([*rng.standard_normal((40, 8)), *(base + 1e-7 * rng.standard_normal((40, 8))), *[base] * 20])
+    rows = [(int(i), v.tolist(), int(i) % 3) for i, v in zip(rng.permutation(1000)[: len(m)], m)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, g int")
+    u = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    got = {}
+    for r in jo.knn(df, df, 3, "id", "v", differ=differ, block=40, digits=digits).collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.sim
+    for i, _, g in rows:
+        sims = [float(np.einsum("i,i->", u[i], u[j])) for j, _, h in rows if j != i and (differ is None or g != h)]
+        want = sorted((np.floor(s * 100 + 0.5) / 100 if digits and s > 0 else s for s in sims), reverse=True)[:3]
+        assert [got[i][k] for k in (1, 2, 3)] == pytest.approx(want, abs=1e-15)
+
+
+def test_stars_link_what_double_precision_links(spark, monkeypatch):
+    monkeypatch.setattr(jo, "TILE", 16)
+    rng = np.random.default_rng(6)
+    angles = np.concatenate((rng.uniform(0, 3, 60), [4.0, 4.1, 4.1 + 1e-9]))
+    rows = [(int(i), [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(angles)]
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    least = float(np.einsum("i,i->", u[60], u[61]))  # reached by this pair and not by the next one
+    want = np.arange(len(u))
+    for _ in range(len(u)):
+        want = np.array([min(want[j] for j in range(len(u)) if np.einsum("i,i->", u[i], u[j]) >= least) for i in range(len(u))])
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for block in (10, 1000):
+        found = {r.node: r.label for r in components(jo.threshold_stars(df, least, "id", "v", block=block)).collect()}
+        assert [found.get(i, i) for i in range(len(u))] == want.tolist()
+
+
+@pytest.mark.parametrize("search", ["knn", "stars"])
+def test_few_pairs_are_multiplied_in_double(spark, monkeypatch, search):
+    rng = np.random.default_rng(7)
+    x = pd.DataFrame({"id": range(6000), "a": "", "v": list(rng.standard_normal((6000, 64))), "i": 0, "j": 0})
+    found, products, pairs = [], jo._products, []
+    monkeypatch.setattr(jo, "_blocked", lambda left, right, run, *_, **__: found.append(run) or left.selectExpr("id", "id neighbour", "1.0D sim"))
+    monkeypatch.setattr(jo, "_products", lambda p, q, i, j: pairs.append(len(i)) or products(p, q, i, j))
+    df = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
+    jo.knn(df, df, 5, "id", "v") if search == "knn" else jo.threshold_stars(df, 0.5, "id", "v")
+    found[0](x, x)
+    assert 0 < len(pairs) and sum(pairs) < len(x) ** 2 / 50
