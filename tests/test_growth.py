@@ -151,3 +151,23 @@ def test_few_pairs_are_multiplied_in_double(spark, monkeypatch, search):
     jo.knn(df, df, 5, "id", "v") if search == "knn" else jo.threshold_stars(df, 0.5, "id", "v")
     found[0](x, x)
     assert 0 < len(pairs) and sum(pairs) < len(x) ** 2 / 50
+
+
+def test_spatial_neighbours_of_many_points_at_few_places(spark):
+    rng = np.random.default_rng(8)
+    place = np.array([*rng.integers(0, 3, (4000, 2)), *rng.integers(0, 500, (60, 2)), *(200 + rng.random((300, 2)) / 100)], dtype=float)
+    rows = [(int(i), "a" if n % 2 else "b", float(x), float(y)) for n, (i, (x, y)) in enumerate(zip(rng.permutation(len(place)), place))]
+    df = spark.createDataFrame([*rows, (9001, "c", 0.0, 0.0), (9002, "a", None, 1.0)], "id long, g string, x double, y double")
+    got = {}
+    found = jo.spatial_knn(df, 3, None, "id", "g")
+    for r in found.collect():
+        got.setdefault(r.id, []).append((r["rank"], r.d2, r.neighbour))
+    for g in "ab":
+        ids, xy = np.array([r[0] for r in rows if r[1] == g]), np.array([r[2:] for r in rows if r[1] == g])
+        for i, at in zip(ids.tolist(), xy):
+            d2 = (xy[:, 0] - at[0]) ** 2 + (xy[:, 1] - at[1]) ** 2
+            d2[ids == i] = np.inf
+            best = np.lexsort((ids, d2))[:3]
+            assert sorted(got[i]) == [(n + 1, d2[b], ids[b]) for n, b in enumerate(best)]
+    assert set(got) == {r[0] for r in rows}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # pairs are ranked where they are made
