@@ -171,3 +171,10 @@ def test_spatial_neighbours_of_many_points_at_few_places(spark):
             assert sorted(got[i]) == [(n + 1, d2[b], ids[b]) for n, b in enumerate(best)]
     assert set(got) == {r[0] for r in rows}
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # pairs are ranked where they are made
+
+
+def test_tiles_in_double_are_strips():
+    x = pd.DataFrame({"v": list(np.eye(3000, 4) + 1)})
+    tiles = list(jo._tiles(x, x))
+    assert max(sim.nbytes for _, _, sim in tiles) <= 4 << 20
+    assert sum(sim.size for _, _, sim in tiles) == 3000**2
