@@ -3,18 +3,20 @@
 Pages of a host are put in order of their URL path (with its query), and each is
 paired with the neighbour whose path shares the longest beginning with its own.
 The text lines of a pair are aligned by a longest common subsequence; lines that
-both have are the site's, not the page's, and are deleted.  Menus, notices and
-footers that change from page to page cannot be told that way, so elements that
-say what they are (``nav``, ``footer``, ``class="ad"`` ...) are left out too, and
-where a page marks its article, only lines of the article are text.  A marked
-article is kept whole but for elements that cannot be its text (``nav``, ``aside``,
-``footer``, forms, adverts, comments): a sentence that two articles share is part
-of both.  A form, or another frame told by its class, that holds the only article
-or most of the text is neither.  So only pages without a marked article are
-differenced; the others are settled when they are parsed.
+both have are the site's, not the page's, and are deleted.  Every page with a URL
+is differenced so.  Menus, notices and footers that change from page to page
+cannot be told that way, so elements that say what they are (``nav``, ``footer``,
+``class="ad"`` ...) are left out too, and where a page marks its article, only
+lines of the article are text.  A sentence that two articles share is part of
+both, so a shared line of a marked article stays, unless the block around it is
+called a part of the site (``class="share"``): such a name alone deletes nothing
+in an article, nor does sharing, but both together do.  Elements that cannot be an
+article's text (``nav``, ``aside``, ``footer``, forms, adverts, comments) go in any
+case.  A form, or another frame told by its class, that holds the only article or
+most of the text is neither.
 
 Ordering uses ranges of (host, path), so a host with a third of all pages is
-spread over tasks; what travels is line hashes, of hosts with an open page.
+spread over tasks; what is ordered is line hashes.
 """
 
 from __future__ import annotations
@@ -31,9 +33,6 @@ from pyspark.sql import functions as F
 
 from ._common import slices, small_batches, stored, table
 
-#: Hosts with a page to be differenced whose names may be broadcast (about 100 bytes each).
-BROADCAST_HOSTS = 100_000
-
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 #: Elements that are never the article, wherever they stand.
 SKIPPED = frozenset("head nav footer aside menu dialog button select svg object video audio canvas".split())
@@ -57,6 +56,8 @@ KINDS = COMMENTS | ADVERTS | NOTICES | frozenset(
     "navigation breadcrumb breadcrumbs sidebar footer header masthead pagination pager toolbar login form".split()
 )
 PLACES = frozenset("site page main global top bottom left right side primary secondary bar box list slot unit area block container wrapper section thread wrap inner outer".split())
+#: Words that delete a block of an article if its pair has the same lines.
+HINTS = KINDS - COMMENTS - ADVERTS - NOTICES - {"header", "masthead"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER = frozenset("html body article main".split())
 
@@ -94,16 +95,22 @@ def _told(name: str, attributes: str, in_article: bool) -> int:
     return found
 
 
+def _hinted(attributes: str) -> bool:
+    """Whether a class or id calls an element of an article a part of the site."""
+    return any(_named(t, HINTS) for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for t in (m[2] or m[3] or m[4] or "").lower().split())
+
+
 class Page:
     """The elements of a page, each after its parent, and its blocks of text.
 
     ``kind`` is 2 for an element that is not the article, 1 for one that is told
     so by its class, role or by being a form, and may prove to hold the article.
+    ``hint`` marks blocks of an article that go if the page's pair has them too.
     A tag costs the same however many elements are open.
     """
 
     def __init__(self, page: str):
-        self.parent, self.name, self.kind, self.opens, self.inside, self.ended = [-1], [""], [0], [False], [False], [True]
+        self.parent, self.name, self.kind, self.opens, self.inside, self.ended, self.hint = [-1], [""], [0], [False], [False], [True], [False]
         self.blocks: list[tuple[str, int]] = []
         self._read(page)
 
@@ -178,7 +185,8 @@ class Page:
             if kind and not is_block:
                 flush()
             opens = kind < 2 and (name in ("article", "main") or re.search(r"""role\s*=\s*["']?main\b""", attributes, re.I) is not None)
-            for column, value in ((self.parent, top), (self.name, name), (self.kind, kind), (self.opens, opens), (self.inside, in_article or opens), (self.ended, False)):
+            hint = in_article and is_block and not kind and bool(attributes) and name not in NEVER and not (name[0] == "h" and name[1:].isdigit()) and _hinted(attributes)
+            for column, value in ((self.parent, top), (self.name, name), (self.kind, kind), (self.opens, opens), (self.inside, in_article or opens), (self.ended, False), (self.hint, hint)):
                 column.append(value)
             if is_block:
                 rows.append(len(stack))
@@ -203,8 +211,8 @@ class Page:
             out[i] = out[i] or out[self.parent[i]]
         return out
 
-    def lines(self) -> list[tuple[str, bool, bool]]:
-        """(text, of the site, in a marked article) for each block with text, in page order."""
+    def lines(self) -> list[tuple[str, bool, int]]:
+        """(text, of the site, in a marked article: 2 in a hinted block of it) for each block with text, in page order."""
         n = len(self.parent)
         held = self._up(self.opens)
         # What was never closed ends where the article begins, as far as the article is concerned.
@@ -228,11 +236,12 @@ class Page:
         lifted = [u or t and k == "form" and 2 * x > text[h] for u, t, k, x, h in zip(lifted, told, self.name, text, home)]
         site = self._down([s or t and not u for s, t, u in zip(sure, told, lifted)])
         article = self._down([m and not s for m, s in zip(marks, site)])
-        return [(t, site[i], article[i]) for t, i in self.blocks]
+        hint = self._down([g and 2 * x <= text[h] for g, x, h in zip(self.hint, text, home)])  # most of an article is no part of the site
+        return [(t, site[i], article[i] + (article[i] and hint[i])) for t, i in self.blocks]
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, of the site, in a marked article) for each block with text, in page order."""
+def blocks(page: str) -> list[tuple[str, bool, int]]:
+    """(text, of the site, in a marked article: 2 in a hinted block of it) for each block with text, in page order."""
     return Page(page).lines()
 
 
@@ -319,19 +328,18 @@ def _lengths(a: list, b: list) -> list[int]:
     return out
 
 
-def marked(lines: list[tuple[str, bool, bool]]) -> bool:
+def marked(lines: list[tuple[str, bool, int]]) -> bool:
     """Whether the page marks an article that has text."""
     return any(a and not s for _, s, a in lines)
 
 
-def main_text(lines: list[tuple[str, bool, bool]], hashes: list[int], partner: list[int] | None) -> tuple[str, int]:
+def main_text(lines: list[tuple[str, bool, int]], hashes: list[int], partner: list[int] | None) -> tuple[str, int]:
     """The text of a page and how many lines the pairing deleted that the tag rules had kept."""
-    if marked(lines):
-        return " ".join(t for t, s, a in lines if a and not s), 0
     shared = common_lines(hashes, partner) if partner else [False] * len(lines)
-    body = [i for i, (_, s, _) in enumerate(lines) if not s]
-    left = [i for i in body if not shared[i]]
-    if not left:  # a mirror of its partner, not a template without text
+    article = marked(lines)
+    body = [i for i, (_, s, a) in enumerate(lines) if not s and (a or not article)]
+    left = [i for i in body if not shared[i] or lines[i][2] == 1]
+    if all(shared[i] for i in body):  # a mirror of its partner, not a template without text
         left = body
     return " ".join(lines[i][0] for i in left), len(body) - len(left)
 
@@ -340,23 +348,25 @@ def line_hashes(lines: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in lines]
 
 
-def pack_lines(lines: list[tuple[str, bool, bool]]) -> bytes:
+def pack_lines(lines: list[tuple[str, bool, int]]) -> bytes:
     """Lines (which have no line ends) with their flags, compressed for the way."""
-    return zlib.compress("\n".join(f"{2 * s + a}{t}" for t, s, a in lines).encode("utf-8", "surrogatepass"))
+    return zlib.compress("\n".join(f"{3 * s + a}{t}" for t, s, a in lines).encode("utf-8", "surrogatepass"))
 
 
-def unpack_lines(packed: bytes) -> list[tuple[str, bool, bool]]:
+def unpack_lines(packed: bytes) -> list[tuple[str, bool, int]]:
     text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
-    return [(x[1:], x[0] in "23", x[0] in "13") for x in text.split("\n")] if text else []
+    return [(x[1:], x[0] >= "3", int(x[0]) % 3) for x in text.split("\n")] if text else []
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, text, lines, hashes) of (page_id, url, html).
+def parse(pages: DataFrame, hashed: bool) -> DataFrame:
+    """(page_id, url, host, path, text, lines) of (page_id, url, html), or with ``hashed`` (page_id, host, path, hashes).
 
-    A page that no partner can change (its article is marked, or it has no URL)
-    has its text, and no lines; another has its lines, and no text.
+    A page without a URL, which has no partner, has its text, and no lines;
+    another has its lines, and no text.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
+    names = ["page_id", "host", "path", "hashes"] if hashed else ["page_id", "url", "host", "path", "text", "lines"]
+    kinds = (pa.string(), pa.string(), pa.list_(pa.int64())) if hashed else (pa.string(), pa.string(), pa.string(), pa.binary())
 
     def run(batches):
         for b in slices(batches, 2):
@@ -364,20 +374,29 @@ def parse(pages: DataFrame) -> DataFrame:
             for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 lines = blocks(page or "")
                 host, path = host_path(url)
-                settled = host is None or marked(lines)
-                rows.append((host, path, main_text(lines, [], None)[0] if settled else None, None if settled else pack_lines(lines), line_hashes([t for t, _, _ in lines])))
-            cols = list(zip(*rows))
-            kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols, kinds)], names=["page_id", "url", "host", "path", "text", "lines", "hashes"])
+                if hashed:
+                    rows.append((host, path, line_hashes([t for t, _, _ in lines])))
+                elif host is None:
+                    rows.append((host, path, main_text(lines, [], None)[0], None))
+                else:
+                    rows.append((host, path, None, pack_lines(lines)))
+            own = [b.column(0)] if hashed else [b.column(0), b.column(1)]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, zip(*rows), kinds)], names=names)
+
+    rest = "host string, path string, hashes array<bigint>" if hashed else "url string, host string, path string, text string, lines binary"
+    return pages.mapInArrow(run, f"page_id {kind}, {rest}")
+
 
-    return pages.mapInArrow(run, f"page_id {kind}, url string, host string, path string, text string, lines binary, hashes array<bigint>")
+NEAR = "host string, path string, before struct<path:string,hashes:array<bigint>>, after struct<path:string,hashes:array<bigint>>"
 
 
-NEAR = "host string, path string, open boolean, before struct<path:string,hashes:array<bigint>>, after struct<path:string,hashes:array<bigint>>"
+def nearer(path: str, before: dict | None, after: dict | None) -> dict | None:
+    """The neighbour whose path shares the longest beginning with ``path``; of equals the one before."""
+    return max((x for x in (before, after) if x), key=lambda x: shared_prefix(x["path"], path), default=None)
 
 
 def neighbours(paths: DataFrame) -> DataFrame:
-    """(host, path, before, after) for the open rows of ``paths`` (host, path, open, hashes).
+    """(host, path, before, after) for the rows of ``paths`` (host, path, hashes); the side that is not nearer may be null.
 
     Paths are sorted in ranges, and each task knows the neighbours of all its
     rows but the first and the last.  These two come to the driver, which puts
@@ -386,22 +405,26 @@ def neighbours(paths: DataFrame) -> DataFrame:
     spark = paths.sparkSession
     hashes = pa.list_(pa.int64())
     side = pa.struct([("path", pa.string()), ("hashes", hashes)])
-    names = ["part", "edge", "host", "path", "open", "hashes", "before", "after"]
-    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), hashes, side, side)
-    schema = "part int, edge int, host string, path string, open boolean, hashes array<bigint>, before struct<path:string,hashes:array<bigint>>, after struct<path:string,hashes:array<bigint>>"
+    names = ["part", "edge", "host", "path", "hashes", "before", "after"]
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), hashes, side, side)
+    schema = "part int, edge int, host string, path string, hashes array<bigint>, before struct<path:string,hashes:array<bigint>>, after struct<path:string,hashes:array<bigint>>"
 
     def beside(row, other):
-        return {"path": other[1], "hashes": other[3]} if other is not None and other[0] == row[0] else None
+        return {"path": other[1], "hashes": other[2]} if other is not None and other[0] == row[0] else None
 
     def run(batches):
         part = TaskContext.get().partitionId()
         last = row = None
         edge, out = 1, []
         for b in batches:
-            for now in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for now in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if row is not None:
-                    if edge or row[2]:
-                        out.append((part, edge, *row, beside(row, last), beside(row, now)))
+                    before, after = beside(row, last), beside(row, now)
+                    if edge:
+                        out.append((part, edge, *row, before, after))
+                    else:  # nothing of the row but its partner is needed any more
+                        near = nearer(row[1], before, after)
+                        out.append((part, edge, *row[:2], None, before if near is before else None, after if near is after else None))
                     edge = 0
                 last, row = row, now
             if len(out) > 256:
@@ -411,9 +434,9 @@ def neighbours(paths: DataFrame) -> DataFrame:
             out.append((part, edge | 2, *row, beside(row, last), None))
             yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out), kinds)), names=names)
 
-    ordered = paths.select("host", "path", "open", "hashes").repartitionByRange("host", "path").sortWithinPartitions("host", "path")
+    ordered = paths.select("host", "path", "hashes").repartitionByRange("host", "path").sortWithinPartitions("host", "path")
     found = stored(ordered.mapInArrow(run, schema), "neighbours")
-    ends = sorted(found.where("edge > 0").select("part", "edge", "host", "path", "open", "hashes", "before", "after").collect(), key=lambda r: (r.part, r.edge & 2))
+    ends = sorted(found.where("edge > 0").select("part", "edge", "host", "path", "hashes", "before", "after").collect(), key=lambda r: (r.part, r.edge & 2))
     fixed = []
     for i, r in enumerate(ends):
         before, after = r.before, r.after
@@ -421,10 +444,9 @@ def neighbours(paths: DataFrame) -> DataFrame:
             before = (ends[i - 1].path, ends[i - 1].hashes)
         if r.edge & 2 and i + 1 < len(ends) and ends[i + 1].host == r.host:
             after = (ends[i + 1].path, ends[i + 1].hashes)
-        if r.open:
-            fixed.append((r.host, r.path, True, before, after))
-    inner = found.where("edge = 0").select("host", "path", "open", "before", "after")
-    return inner.unionByName(spark.createDataFrame(fixed, NEAR)).drop("open")
+        fixed.append((r.host, r.path, before, after))
+    inner = found.where("edge = 0").select("host", "path", "before", "after")
+    return inner.unionByName(spark.createDataFrame(fixed, NEAR))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -436,38 +458,32 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     smallest id, then lines).  Ties between neighbours go to the earlier path.
     n_deleted counts lines that the pairing alone removed.  Repeated rows and
     null ids stay; no rows give no rows; other columns are ignored; pages are
-    parsed whole, whatever their length.  Pages are parsed when this is called;
-    texts and lines are stored.
+    parsed whole, whatever their length.  Pages are parsed twice, for their line
+    hashes when this is called and for their lines later, which takes less than
+    to store the lines of all pages: they are shuffled once, and only partners'
+    hashes are stored.
     """
     small_batches(pages.sparkSession)
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     id_type = own.schema["page_id"].dataType.simpleString()
-    parsed = stored(parse(own), "pages")
-    settled = parsed.where("lines is null").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_deleted"))
-    open_ = parsed.where("lines is not null")
-    hosts = open_.select("host").distinct()
-    n_hosts = hosts.count()
-    if not n_hosts:
-        return settled
-    concerned = parsed.where("host is not null")
-    if n_hosts <= BROADCAST_HOSTS:  # beyond that, hosts without an open page are ordered too
-        concerned = concerned.join(F.broadcast(hosts), "host", "left_semi")
-    paths = concerned.groupBy("host", "path").agg(F.min(F.struct("page_id", "hashes")).alias("w"), F.max(F.col("lines").isNotNull()).alias("open"))
-    near = neighbours(paths.select("host", "path", "open", F.col("w.hashes").alias("hashes")))
+    placed, alone = own.where("url is not null"), own.where("url is null")
+    paths = parse(placed, hashed=True).groupBy("host", "path").agg(F.min(F.struct("page_id", "hashes")).alias("w"))
+    near = neighbours(paths.select("host", "path", F.col("w.hashes").alias("hashes")))
 
     def difference(batches):
         for b in slices(batches, 3):
             texts, deleted = [], []
             for path, packed, before, after in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
                 lines = unpack_lines(packed)
-                partner = max((x for x in (before, after) if x), key=lambda x: shared_prefix(x["path"], path), default=None)
+                partner = nearer(path, before, after)
                 text, n = main_text(lines, line_hashes([t for t, _, _ in lines]), partner and partner["hashes"])
                 texts.append(text)
                 deleted.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(deleted, pa.int64())], names=["page_id", "url", "text", "n_deleted"])
 
-    paired = open_.join(near, ["host", "path"], "left").select("page_id", "url", "path", "lines", "before", "after")
-    return settled.unionByName(paired.mapInArrow(difference, f"page_id {id_type}, url string, text string, n_deleted bigint"))
+    paired = parse(placed, hashed=False).join(near, ["host", "path"], "left").select("page_id", "url", "path", "lines", "before", "after")
+    whole = parse(alone, hashed=False).select("page_id", "url", "text", F.lit(0).cast("long").alias("n_deleted"))
+    return whole.unionByName(paired.mapInArrow(difference, f"page_id {id_type}, url string, text string, n_deleted bigint"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

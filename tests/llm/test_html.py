@@ -261,3 +261,17 @@ def test_null_ids_and_clashing_names(spark):
     got = h.extract(df)
     assert got.columns == ["page_id", "url", "text", "n_deleted"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, rows[0][1], "one", 1), (None, rows[1][1], "two", 1), (3, None, "", 0)], key=str)
+
+
+def test_marked_pages_are_differenced(spark):
+    """Of two marked articles on a host, a block called a part of the site goes only if the other page has it too."""
+    page = "<article><h1>{0}</h1><p>the same sentence</p><div class='share-box'><p>Send this to a friend</p></div><p>{0} text</p><div class=notice>{1}</div><div class='life-form'>moss</div></article>"
+    rows = [(1, "http://a.example/x/1", page.format("first", "one")), (2, "http://a.example/x/2", page.format("second", "two")), (3, "http://b.example/", page.format("third", "one"))]
+    rows += [(4, "http://c.example/1", rows[0][2]), (5, "http://c.example/2", rows[0][2])]  # mirrors
+    got = {r.page_id: (r.text, r.n_deleted) for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "{0} the same sentence Send this to a friend {0} text {1} moss"
+    assert got[1] == ("first the same sentence first text one moss", 1) and got[2] == ("second the same sentence second text two moss", 1)
+    assert got[3] == (whole.format("third", "one"), 0) and got[4] == got[5] == (whole.format("first", "one"), 0)
+    # A block that is most of an article is no part of the site, whatever its name.
+    frame = "<article><h1>{}</h1><div class=form><p>the rules of the game in full</p></div></article>"
+    assert all(a == 1 for _, _, a in h.blocks(frame.format("A")))
