@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from . import joins as jo
 from . import ranking
 
 
+#: Most frequent entities whose later documents are left out before documents are ranked (about 1 MB to each task).
+FREQUENT = 10_000
+
+
 def coverage(rows: DataFrame, group: str, key: str, is_left: Column, is_right: Column, sim: Column) -> DataFrame:
     """Per group: distinct ids on each side, matched, only on one side, mean sim, recall.
 
@@ -110,24 +116,37 @@ def mentions(df: DataFrame, form: str, normal: str, tier: str, doc: str, positio
     """
     key, names = [normal, tier], [query] if query else []
     rows = df.where(F.col(normal).isNotNull() & F.col(tier).isNotNull())
-    # One grouping of all mentions; the rest works on its result.
-    per_doc = stored(rows.groupBy(*key, form, doc, *names).agg(F.count("*").alias("_n"), F.min(position).alias("_at")), "mentions")
-    alive = stored(per_doc.groupBy(*key).agg(F.sum("_n").alias("n")).where(F.col("n") >= least), "entities")
-    live = per_doc.join(alive.select(*key), key, "left_semi")
-    sets = [F.collect_set(query).alias("_names")] if query else []
-    forms = live.groupBy(*key, form).agg(F.sum("_n").alias("_n"), F.min(F.struct(doc, "_at")).alias("_first"), *sets)
-    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("_names")))).alias("queries")] if query else []
-    per = forms.groupBy(*key).agg(F.min_by(form, F.struct(-F.col("_n"), F.length(form), F.col("_first"))).alias("label"), F.count("*").alias("forms"), *union)
+    # Mentions are grouped where they are read; of documents each task passes on an entity's first ones alone.
+    counted = stored(rows.groupBy(*key, form, *names).agg(F.count("*").alias("_n"), F.min(_place(df, doc, position)).alias("_first"), F.min(doc).alias("_doc")), "mentions")
+    union = [F.array_sort(F.collect_set(query)).alias("queries")] if query else []
+    # The first documents of an entity by form and query: none of its most_ids first ones is beyond as many of them.
+    upto = F.get(F.array_sort(F.collect_set("_doc")), most_ids - 1).alias("_upto")
+    known = stored(counted.groupBy(*key).agg(F.sum("_n").alias("n"), upto, *union).where(F.col("n") >= least), "entities")
+    alive = known.drop("_upto")
+    live = counted.join(alive.select(*key), key, "left_semi")
+    forms = stored(live.groupBy(*key, form).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first")), "forms")
+    per = forms.groupBy(*key).agg(F.min_by(form, F.struct(-F.col("_n"), F.length(form), F.col("_first"))).alias("label"), F.count("*").alias("forms"))
     # The label is one of the forms, so one more than is kept is enough.
     seen = forms.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_first", form))).where(F.col("_r") <= most_synonyms + 1)
     seen = seen.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(form).alias("f")))), lambda s: s["f"]).alias("_seen"))
-    ids = live.select(*key, doc).withColumn("_r", F.dense_rank().over(Window.partitionBy(*key).orderBy(doc))).where(F.col("_r") <= most_ids)
+    frequent = known.where("_upto is not null").orderBy(F.desc("n"), *key).limit(FREQUENT).select(*key, "_upto")
+    near = rows.select(*key, doc).join(F.broadcast(frequent), key, "left").where(F.col("_upto").isNull() | F.col(doc).isNull() | (F.col(doc) <= F.col("_upto"))).drop("_upto")
+    ids = near.withColumn("_r", F.dense_rank().over(Window.partitionBy(*key).orderBy(doc))).where(F.col("_r") <= most_ids)
     ids = ids.groupBy(*key).agg(F.array_sort(F.collect_set(doc)).alias("doc_ids"))
     out = alive.join(per, key).join(seen, key).join(ids, key)
     synonyms = F.slice(F.filter("_seen", lambda f: f != F.col("label")), 1, most_synonyms)
     return out.select(*key, "n", "label", synonyms.alias("synonyms"), "forms", "doc_ids", *(["queries"] if query else []))
 
 
+def _place(df: DataFrame, doc: str, position: str) -> Column:
+    """Orders rows by (doc, position), nulls first; a number if both are, since Spark sorts all rows for the minimum of a struct."""
+    kinds = [df.schema[c].dataType.typeName() for c in (doc, position)]
+    if kinds[0] not in ("byte", "short", "integer", "long") or kinds[1] not in ("byte", "short", "integer"):
+        return F.struct(doc, position)
+    at = F.coalesce(F.col(position).cast("decimal(10,0)"), F.lit(Decimal(-(2**31) - 1)))
+    return F.coalesce(F.col(doc).cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1))) * F.lit(Decimal(2**33)) + at
+
+
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, mean and population deviation over contexts."""
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))

@@ -115,6 +115,7 @@ def harvest_mentions(texts: DataFrame, key: str, text: str, query: str, terms: D
     tagged = tag(texts, key, text, terms).join(texts.select(key, query), key)
     tier = F.element_at(F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv]), F.col("label"))
     rows = tagged.select(F.col(key).alias("doc"), "position", "form", tier.alias("tier"), normalize_entity(F.col("form"), []).alias("normal"), F.col(query).alias("query")).where("tier is not null and normal <> ''")
+    rows = stored(rows, "tagged")  # read twice
     found = ag.mentions(rows, "form", "normal", "tier", "doc", "position", least, most_ids, "query", most_synonyms)
     return found.select(
         F.lit("texts").alias("source_name"), F.concat_ws(":", "tier", "normal").alias("source_id"), F.col("label").alias("preferred_label"), "synonyms",

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.operators import aggregates
 from strataloom.operators import joins as jo
 from strataloom.operators import ranking
 from strataloom.operators.components import components
@@ -178,3 +179,31 @@ def test_tiles_in_double_are_strips():
     tiles = list(jo._tiles(x, x))
     assert max(sim.nbytes for _, _, sim in tiles) <= 4 << 20
     assert sum(sim.size for _, _, sim in tiles) == 3000**2
+
+
+def test_mentions_are_combined_where_they_are_read(spark, tmp_path, monkeypatch):
+    """What a11 stores grows with the forms, not with forms times documents; later documents of frequent words are left out exactly."""
+    kept, keep = {}, aggregates.stored
+
+    def stored(df, name):
+        kept[name] = keep(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(aggregates, "stored", stored)
+    monkeypatch.setattr(aggregates, "FREQUENT", 7)
+    docs = [(i, " ".join([*(f"w{j}" if (i + j) % 3 else f"W{j}" for j in range(i % 4, 20)), f"x{i // 6}", f"x{i // 6}"]), "en", f"src{i % 12}") for i in range(60)]
+    docs += [(2**63 - 1, "edge x0 X0", "en", "src1"), (-(2**63), "X0 Edge EDGE edge edge", "en", "src1"), (-5, "", "en", "src2"), (7000, None, "en", "src2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    rows, want = against_sql(spark, "a11_mentions", tmp_path, documents=df)
+    assert rows == want and len(rows) == 31
+    assert kept["mentions"].count() < 20 * 12 * 2 + 40  # by document: over 1,100
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_mentions_of_any_key(spark, kind):
+    """Documents named by strings, positions that are longs, null documents and no queries."""
+    rows = [(None if i == 3 else i % 25 + 10, i, "Aa" if i % 2 else "aA", "aa", "t") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc long, position long, form string, k string, tier string").withColumn("doc", F.col("doc").cast(kind))
+    (r,) = aggregates.mentions(df, "form", "k", "tier", "doc", "position", 5, 4).collect()
+    ids = [10, 11, 12]  # a null document is the first and is not named
+    assert (r.n, r.label, list(r.synonyms), r.forms) == (80, "Aa", ["aA"], 2) and [int(x) for x in r.doc_ids] == ids
