@@ -11,6 +11,8 @@ nearer to a third than the nearer of its two was), so both give the same.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,11 +72,13 @@ def nearest(clusters: DataFrame) -> DataFrame:
         ids = [t["id"].to_numpy() for t in (p, q)]
         x, y = (np.array([np.asarray(v) for v in t["v"]]) for t in (p, q))
         best, to = [np.full(len(t), -np.inf) for t in ids], [np.zeros(len(t), dtype=np.int64) for t in ids]
-        for i in range(0, len(x), jo.TILE):
-            for j in range(0, len(y), jo.TILE):
-                r, c = slice(i, i + jo.TILE), slice(j, j + jo.TILE)
+        strip = max(1, jo.TILE // 8)
+        for i in range(0, len(x), strip):
+            # Of one block with itself, the pairs below the diagonal are those above it.
+            for j in range(i // jo.TILE * jo.TILE if same else 0, len(y), jo.TILE):
+                r, c = slice(i, i + strip), slice(j, j + jo.TILE)
                 sim = x[r] @ y[c].T
-                if same:
+                if same and j <= i:
                     sim[ids[0][r, None] >= ids[1][None, c]] = -np.inf
                 for side, here, axis, first in ((0, r, 1, j), (1, c, 0, i)):
                     at = sim.argmax(axis=axis)
@@ -93,6 +97,19 @@ def nearest(clusters: DataFrame) -> DataFrame:
     return found.groupBy("rep").agg(F.min(F.struct((-F.col("sim")).alias("less"), "lo", "hi")).alias("e")).select("rep", (-F.col("e.less")).alias("sim"), "e.lo", "e.hi")
 
 
+def merged(clusters: DataFrame, near: DataFrame) -> DataFrame:
+    """(rep, other, part, v, n): clusters that are each other's nearest as one, ``other`` its second; those nearest to one that
+    is nearer to a third as they are; those without a near one are done.
+
+    A pair is named by at most its two clusters, so they meet in one small group.
+    """
+    c = F.array_sort(F.collect_list(F.struct("rep", "part", "n", "v"))).alias("c")
+    both = clusters.join(near.select("rep", "lo", "hi"), "rep").groupBy("lo", "hi").agg(c).select(F.col("c")[0].alias("a"), F.get("c", F.lit(1)).alias("b"))
+    n = F.col("a.n") + F.coalesce("b.n", F.lit(0))
+    mean = F.zip_with("a.v", "b.v", lambda x, y: (x * F.col("a.n") + y * F.col("b.n")) / n)
+    return both.select("a.rep", F.col("b.rep").alias("other"), "a.part", F.when(F.col("b").isNull(), F.col("a.v")).otherwise(mean).alias("v"), n.alias("n"))
+
+
 def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: str | None = None, in_task: int = IN_TASK) -> DataFrame:
     """(id, cluster): clusters of rows, named by their smallest id.
 
@@ -121,27 +138,20 @@ def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: s
         reps = pdf["rep"].to_numpy()
         return pd.DataFrame({"node": reps, "target": reps[number]}).query("node != target")
 
-    links = None
-    while not live.isEmpty():
+    links = []  # what small components give is found with the last of them, in one job
+    while True:
         sizes = live.groupBy("part").agg(F.count("*").alias("m"))
         sized = live.join(sizes, "part")
-        small = sized.where(F.col("m") <= in_task).select("rep", "part", "v", "n").groupBy("part").applyInPandas(run, "node long, target long")
+        small = sized.where(F.col("m") <= in_task).select("rep", "part", "v", "n")
+        links.append(small.groupBy("part").applyInPandas(run, "node long, target long"))
         large = stored(sized.where(F.col("m") > in_task).select("rep", "part", "v", "n"), "clusters")
-        near = stored(nearest(large).where(F.col("sim") >= least - 1e-12), "nearest")
-        # Clusters that are each other's nearest merge; those without a near one are done.
-        pairs = near.groupBy("lo", "hi").agg(F.count("*").alias("k")).where("k = 2").select("lo", "hi")
-        merged = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("target"))
-        new = stored(small.unionByName(merged), "merged")
-        links = new if links is None else links.unionByName(new)
-        going = large.join(near.select("rep"), "rep", "left_semi").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-        total = F.sum("n")
-        mean = going.select(F.coalesce("target", "rep").alias("rep"), "part", "n", F.posexplode("v").alias("i", "x"))
-        mean = mean.groupBy("rep", "part", "i").agg((F.sum(F.col("x") * F.col("n")) / total).alias("x"), total.alias("n"))
-        live = stored(mean.groupBy("rep", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"), F.max("n").alias("n")), "clusters")
+        if large.isEmpty():
+            break
+        paired = stored(merged(large, nearest(large).where(F.col("sim") >= least - 1e-12)), "merged")
+        links.append(paired.where("other is not null").select(F.col("other").alias("node"), F.col("rep").alias("target")))
+        live = paired.select("rep", "part", "v", "n")
+    links = reduce(DataFrame.unionByName, links)
     named = distinct.select("g", "v", "rep")
-    if links is not None:
-        named = named.join(ends(links).withColumnRenamed("node", "rep"), "rep", "left").select("g", "v", F.coalesce("target", "rep").alias("cluster"))
-    else:
-        named = named.withColumnRenamed("rep", "cluster")
+    named = named.join(ends(links).withColumnRenamed("node", "rep"), "rep", "left").select("g", "v", F.coalesce("target", "rep").alias("cluster"))
     rows = own.select("id", "g", F.transform("u", lambda x: F.round(x, 12)).alias("v"))
     return rows.join(named, ["g", "v"]).select("id", "cluster")

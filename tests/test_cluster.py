@@ -121,3 +121,43 @@ def test_rounding_comes_before_the_comparison(spark):
     assert {joins.max_similarity(df, named, "v", 3, literals=n).first().name for n in (100, 0)} == {"a"}
     assert {joins.max_similarity(df, named, "v", literals=n).first().name for n in (100, 0)} == {"b"}
     assert joins.max_similarity(df, named.limit(0), "v").first().name is None
+
+
+def test_nearest_over_several_tiles(spark):
+    """More rows than a tile has, in two parts, with equal similarities."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(-3, 4, (4_600, 6)).astype(float)  # small integers: products are exact and often equal
+    part = (np.arange(len(v)) % 23 == 0).astype(int)
+    df = spark.createDataFrame([(i, int(p), x.tolist(), 1) for i, (x, p) in enumerate(zip(v, part))], "rep long, part long, v array<double>, n long")
+    got = {r.rep: (r.sim, r.lo, r.hi) for r in cluster.nearest(df).collect()}
+    assert len(got) == len(v)
+    for p in (0, 1):
+        ids = np.flatnonzero(part == p)
+        for i in ids[:: max(1, len(ids) // 150)]:
+            sim = v[ids] @ v[i]
+            sim[ids == i] = -np.inf
+            best = min((min(i, j), max(i, j)) for j in ids[sim == sim.max()])
+            assert got[i] == (sim.max(), *best)
+
+
+def test_rounds_write_little(spark, monkeypatch):
+    """A round of merging writes the clusters of large components and what they become, nothing else, and no row a dimension."""
+    names, rows, keep = [], [], cluster.stored
+
+    def stored(df, name):
+        names.append(name)
+        df = keep(df, name)
+        rows.append(df.count())
+        return df
+
+    monkeypatch.setattr(cluster, "stored", stored)
+    v = [[float(np.cos(x)), float(np.sin(x))] for x in np.random.default_rng(4).uniform(0, 6, 40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
+    assert len({r.cluster for r in cluster.average_linkage(df, "id", "v", 0.95, in_task=0).collect()}) < 20
+    assert names[:2] == ["distinct-vectors", "clusters"] and set(names[2::2]) == {"clusters"} and set(names[3::2]) == {"merged"}
+    assert rows[2:] == sorted(rows[2:], reverse=True)
+    small = spark.createDataFrame([(1, 7, 2, [1.0, 0.0]), (2, 7, 1, [0.0, 1.0]), (3, 7, 1, [0.5, 0.0]), (4, 7, 1, [0.0, 0.0])], "rep long, part long, n long, v array<double>")
+    near = spark.createDataFrame([(1, 1, 2), (2, 1, 2), (3, 1, 3)], "rep long, lo long, hi long")
+    out = cluster.merged(small, near)
+    assert {(r.rep, r.other, r.n, *np.round(r.v, 9)) for r in out.collect()} == {(1, 2, 3, 0.666666667, 0.333333333), (3, None, 1, 0.5, 0.0)}
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
