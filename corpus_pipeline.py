@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm import decontaminate, langid, packing, quality, simhash
-from strataloom.llm._common import stored, table
+from strataloom.llm._common import small_batches, stored, table
 
 
 #: Pieces of text whose ids a worker remembers: it goes on to other stages with them.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
+#: Bytes of an Arrow batch, less than the operators have alone: all stages share the executors.
+BATCH_BYTES = 1 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null, empty and short texts go; repeated rows share their fate.
     """
+    small_batches(spark, BATCH_BYTES)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -35,6 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without a letter go, null and empty ones too; without any label in
     ``lang`` all others stay; repeated rows share their fate.
     """
+    small_batches(spark, BATCH_BYTES)
     return langid.keep_identified(docs)
 
 
@@ -44,6 +48,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     All empty texts are one group; of rows that repeat an id and a fingerprint
     one stays.
     """
+    small_batches(spark, BATCH_BYTES)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -52,6 +57,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Null and empty texts have none; repeated rows share their fate.
     """
+    small_batches(spark, BATCH_BYTES)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -61,6 +67,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null or empty text is its end id alone; repeated rows are packed as often
     as they occur.
     """
+    small_batches(spark, BATCH_BYTES)
     return packing.packed_documents(docs, REMEMBERED)
 
 
