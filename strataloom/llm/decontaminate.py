@@ -177,11 +177,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def fingerprints(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def fingerprints(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, rows: int | None = None) -> DataFrame:
     """Distinct (words, gram, digest, item): the windows of the benchmark, stored.
 
     A null id is an item named "null"; rows that repeat an id are one item; null
-    texts and texts without words have no windows.
+    texts and texts without words have no windows.  ``rows`` is about how many
+    windows there are at most, if that is known.
     """
     own = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
 
@@ -191,7 +192,7 @@ def fingerprints(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.string()))], names=["words", "gram", "digest", "item"])
 
-    return stored(own.mapInArrow(run, "words int, gram bigint, digest binary, item string").distinct(), "windows")
+    return stored(own.mapInArrow(run, "words int, gram bigint, digest binary, item string").distinct(), "windows", rows)
 
 
 def bit_map(windows: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
@@ -272,12 +273,12 @@ def _groups(pieces: list[bytes]):
         yield group
 
 
-def _hits(scanned: DataFrame, windows: DataFrame, key: str, found: str) -> DataFrame:
-    """(key, spans, items) of the texts that have a window of the benchmark, stored."""
+def _hits(scanned: DataFrame, windows: DataFrame, key: str, found: str, rows: int | None = None) -> DataFrame:
+    """(key, spans, items) of the texts that have a window of the benchmark, stored; ``rows``: of candidate windows."""
     # Equal texts have equal windows: one row per text goes on, combined on the map side.
     texts = scanned.where(F.size(found) > 0).select(F.col(key).alias("key"), F.col(found).alias("found")).groupBy("key").agg(F.first("found").alias("found"))
     own = texts.select("key", F.explode("found").alias("f")).select("key", "f.gram", "f.digest", "f.spans")
-    own = stored(own, "candidates")
+    own = stored(own, "candidates", rows)
     items = own.select("key", "gram", "digest").join(windows, ["gram", "digest"]).select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     spans = own.join(windows.select("gram", "digest").distinct(), ["gram", "digest"], "left_semi").groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -288,7 +289,7 @@ def _hits(scanned: DataFrame, windows: DataFrame, key: str, found: str) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.binary()), pa.array([whole], pa.list_(_SPAN))], names=["key", "spans"])
 
     joined = spans.mapInArrow(run, "key binary, spans array<struct<start:bigint,stop:bigint>>")
-    return stored(joined.join(items, "key"), "contaminated")
+    return stored(joined.join(items, "key"), "contaminated", rows)
 
 
 def contamination(
@@ -334,9 +335,13 @@ def drop_contaminated(
     Null and empty texts stay, and so does all with an empty benchmark; repeated
     rows share their fate; null ids do not matter; no rows give no rows.
     """
-    windows = fingerprints(benchmark, item_id, item_text, window, gram)
+    # A word and its space are rarely less than four characters.
+    words = (benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0) // 4
+    windows = fingerprints(benchmark, item_id, item_text, window, gram, words)
     scan, key, _, found = _scan(docs, windows, text, [], window, gram, most_bits)
-    hits = _hits(stored(scan.where(F.size(found) > 0), "scanned"), windows, key, found).select(F.col("key").alias(key))
+    scanned = stored(scan.where(F.size(found) > 0), "scanned")
+    rows = scanned.agg(F.sum(F.size(found))).first()[0] or 0
+    hits = _hits(scanned, windows, key, found, rows).select(F.col("key").alias(key))
     # Texts move only if the keys are too many to be sent to them.
     keys = F.broadcast(hits) if hits.count() <= broadcast_keys else hits
     return docs.withColumn(key, F.unhex(F.sha2(F.col(text), 256))).join(keys, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

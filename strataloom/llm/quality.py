@@ -153,7 +153,7 @@ def calibrate(scores: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     good = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     # One row per stratum and badness: at most GRID + 1 rows for a stratum.
     trials = scores.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("bad", "stratum")).alias("t")).select("t.*")
-    counts = stored(trials.groupBy("stratum", "bad").agg(F.count("*").alias("n")), "calibration")
+    counts = stored(trials.groupBy("stratum", "bad").agg(F.count("*").alias("n")), "calibration", labels.count())
     strata = counts.select("stratum").distinct().count()
     level = error / max(1, strata)
 

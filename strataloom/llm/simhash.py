@@ -187,6 +187,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, gro
     shared = stored(
         keys.groupBy("c", "k").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"),
         "blocks",
+        len(masks) * prints.count(),
     )
     pairs = shared.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= distance)).select(
         F.col("lo").alias("src"), F.col("hi").alias("dst")
@@ -219,9 +220,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _label(prints: DataFrame, distance: int) -> DataFrame:
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(links(nodes.select("fp"), distance))
-    linked = stored(nodes.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "label", "rep"), "linked")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes", prints.count())
+    n = nodes.count()
+    found = components(links(nodes.select("fp"), distance), n)
+    linked = stored(nodes.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "label", "rep"), "linked", n)
     least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = nodes.join(linked.join(least, "label").select("fp", "component_id"), "fp", "left").select(
         "fp", F.coalesce("component_id", "rep").alias("component_id")

@@ -42,3 +42,21 @@ def test_smaller_batches_win_and_a_callers_value_stays(spark):
     session.conf.set(key, "7777777")
     small_batches(session, corpus_pipeline.BATCH_BYTES)
     assert session.conf.get(key) == "7777777"
+
+
+def test_small_tables_are_few_files(spark, tmp_path, monkeypatch):
+    """As many files as rows ask for, not one a shuffle partition."""
+    from glob import glob
+
+    from strataloom.llm.simhash import drop_near_duplicates
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "50")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr("strataloom.storage.shared_folder", lambda _: f"file://{tmp_path}")
+    texts = [" ".join(f"word{(i // 2 + 7) * j * j % 9973}" for j in range(200)) + " tail" * (i % 2) for i in range(300)]
+    docs = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.text for r in drop_near_duplicates(docs).collect()}
+    assert kept and kept <= set(texts)
+    files = {name: len(glob(f"{tmp_path}/strataloom-{name}-*/part-*")) for name in ("prints", "nodes", "blocks", "linked")}
+    assert files["prints"] == 3 and all(1 <= n <= 4 for n in files.values()), files
