@@ -19,7 +19,7 @@ def ordered_sums(rows: DataFrame, keys: list[str], order: str, value: str) -> Da
     """(keys, sum, n, given, first): sums of doubles added up in the order of ``order``, and its smallest value.
 
     Doubles give another last digit in another order, which decides ties and what
-    lies just at a limit; these sums are the same however the table is split.
+    lies just at a limit; these sums are the same however a scan is split.
     ``n`` counts rows, ``given`` those with a value.  A group's rows are sorted in
     one task, which spills; no group is gathered.
     """

@@ -78,6 +78,28 @@ def test_reported_recomputed_of_several_files(spark, tmp_path):
     split_against_sql(spark, "d16_reported_recomputed", tmp_path)
 
 
+def out_of_order_against_sql(spark, name, folder, seed):
+    """Two files whose rows do not follow event_id, which also repeats; values such that another order of adding gives other last digits."""
+    rng = np.random.default_rng(seed)
+    n = 6000
+    rows = pd.DataFrame({"event_id": rng.permutation(n) // 2, "user_id": rng.integers(0, 30, n), "event_type": rng.choice(["click", "error", "view"], n), "value": np.round(rng.gamma(1, 40, n), 2)})
+    # A user's copy, whose rows come in another order, has the same sums but for last digits.
+    rows = pd.concat([rows, rows.sample(frac=1, random_state=seed).assign(user_id=lambda r: r.user_id + 100)])
+    (folder / "events.parquet").mkdir()
+    for file, part in (("part-1", rows[:5000]), ("part-0", rows[5000:])):
+        part.to_parquet(f"{folder}/events.parquet/{file}.parquet", index=False, row_group_size=700)
+    df = catalog.queries()[name](spark, str(folder))
+    db = duckdb.connect()
+    db.sql("set threads = 1")
+    db.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    want = db.sql(f"select {', '.join(df.columns)} from ({catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+def test_share_rank_adds_in_the_order_of_the_table(spark, tmp_path):
+    out_of_order_against_sql(spark, "a30_share_rank", tmp_path, 9)
+
+
 def test_paged_scan_asks_every_root(spark, tmp_path):
     rows, want = against_sql(spark, "s17_paged_scan", tmp_path, region=spark.createDataFrame([(i,) for i in range(4)], "r_regionkey int"))
     assert rows == want and {r[0] for r in rows} == {"0", "1", "2", "3"}
