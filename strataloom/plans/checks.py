@@ -117,7 +117,7 @@ SELECT count(*) FILTER (abs(a.v - b.v) < 0.02) AS agree, count(*) FILTER (abs(a.
 def d16(t):
     from ..operators.profiles import reconcile
 
-    sums = st.ordered_sums(t.events, ["user_id", "event_type"], "event_id", "value")
+    sums = st.ordered_sums(t.placed("events"), ["user_id", "event_type"], "place", "value")
     m = sums.select("user_id", "event_type", F.try_divide("sum", "given").alias("v"))
     return reconcile(m, m.where("event_type <> 'view'").withColumn("v", F.round("v", 1)), ["user_id", "event_type"], "v", 0.02)
 

@@ -78,13 +78,13 @@ def test_reported_recomputed_of_several_files(spark, tmp_path):
     split_against_sql(spark, "d16_reported_recomputed", tmp_path)
 
 
-def out_of_order_against_sql(spark, name, folder, seed):
+def out_of_order_against_sql(spark, name, folder, seed, users):
     """Two files whose rows do not follow event_id, which also repeats; values such that another order of adding gives other last digits."""
     rng = np.random.default_rng(seed)
     n = 6000
-    rows = pd.DataFrame({"event_id": rng.permutation(n) // 2, "user_id": rng.integers(0, 30, n), "event_type": rng.choice(["click", "error", "view"], n), "value": np.round(rng.gamma(1, 40, n), 2)})
+    rows = pd.DataFrame({"event_id": rng.permutation(n) // 2, "user_id": rng.integers(0, users, n), "event_type": rng.choice(["click", "error", "view"], n), "value": np.round(rng.gamma(1, 40, n), 2)})
     # A user's copy, whose rows come in another order, has the same sums but for last digits.
-    rows = pd.concat([rows, rows.sample(frac=1, random_state=seed).assign(user_id=lambda r: r.user_id + 100)])
+    rows = pd.concat([rows, rows.sample(frac=1, random_state=seed).assign(user_id=lambda r: r.user_id + users)])
     (folder / "events.parquet").mkdir()
     for file, part in (("part-1", rows[:5000]), ("part-0", rows[5000:])):
         part.to_parquet(f"{folder}/events.parquet/{file}.parquet", index=False, row_group_size=700)
@@ -97,7 +97,11 @@ def out_of_order_against_sql(spark, name, folder, seed):
 
 
 def test_share_rank_adds_in_the_order_of_the_table(spark, tmp_path):
-    out_of_order_against_sql(spark, "a30_share_rank", tmp_path, 9)
+    out_of_order_against_sql(spark, "a30_share_rank", tmp_path, 9, 30)
+
+
+def test_reported_recomputed_adds_in_the_order_of_the_table(spark, tmp_path):
+    out_of_order_against_sql(spark, "d16_reported_recomputed", tmp_path, 2, 800)
 
 
 def test_paged_scan_asks_every_root(spark, tmp_path):
