@@ -129,7 +129,8 @@ def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: s
     distinct = own.groupBy("g", F.transform("u", lambda x: F.round(x, 12)).alias("v")).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     distinct = stored(distinct, "distinct-vectors")
     found = components(jo.threshold_stars(distinct, least - 1e-9, "rep", "v", group="g"))
-    live = distinct.join(found.select(F.col("node").alias("rep"), F.col("label").alias("part")), "rep").select("rep", "part", "v", "n")
+    # Tables of a row a node are merged: by the size of their files Spark would broadcast them whole.
+    live = distinct.join(found.select(F.col("node").alias("rep"), F.col("label").alias("part")).hint("merge"), "rep").select("rep", "part", "v", "n")
     live = stored(live, "clusters")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,6 +153,6 @@ def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: s
         live = paired.select("rep", "part", "v", "n")
     links = reduce(DataFrame.unionByName, links)
     named = distinct.select("g", "v", "rep")
-    named = named.join(ends(links).withColumnRenamed("node", "rep"), "rep", "left").select("g", "v", F.coalesce("target", "rep").alias("cluster"))
+    named = named.join(ends(links).withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("g", "v", F.coalesce("target", "rep").alias("cluster"))
     rows = own.select("id", "g", F.transform("u", lambda x: F.round(x, 12)).alias("v"))
     return rows.join(named, ["g", "v"]).select("id", "cluster")

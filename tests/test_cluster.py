@@ -1,5 +1,6 @@
 """Average linkage, stars of links and linear vector expressions against brute force."""
 
+import re
 import time
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import vectors as vx
-from strataloom.operators import cluster, joins, profiles
+from strataloom.operators import cluster, components as steps, density, joins, profiles
 from strataloom.operators.components import components
 
 
@@ -161,3 +162,30 @@ def test_rounds_write_little(spark, monkeypatch):
     out = cluster.merged(small, near)
     assert {(r.rep, r.other, r.n, *np.round(r.v, 9)) for r in out.collect()} == {(1, 2, 3, 0.666666667, 0.333333333), (3, None, 1, 0.5, 0.0)}
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_average_linkage_broadcasts_no_table_of_nodes(spark, monkeypatch):
+    """What has a row a node, or a row a link, is merged; the files of many ids are small enough to be broadcast."""
+    plans = []
+
+    def watched(keep):
+        def stored(df, name, *rows):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            return keep(df, name, *rows)
+
+        return stored
+
+    for module in (cluster, steps, density):
+        monkeypatch.setattr(module, "stored", watched(module.stored))
+    monkeypatch.setattr(steps, "BROADCAST_EDGES", 10)
+    v = [[float(np.cos(x)), float(np.sin(x))] for x in np.random.default_rng(4).uniform(0, 6, 40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
+    out = cluster.average_linkage(df, "id", "v", 0.95, in_task=6)
+    assert {n for n, _ in plans} == {"distinct-vectors", "edges", "clusters", "merged", "links"}
+    plans = [p for n, p in plans if n != "merged"] + [out._jdf.queryExecution().executedPlan().toString()]
+    assert not [p for p in plans if re.search(r"BroadcastHashJoin \[(src|rep|target)#", p)]
+    assert sum(bool(re.search(r"SortMergeJoin \[(src|rep|target)#", p)) for p in plans) >= 4
+    groups = {}
+    for i, c in out.collect():
+        groups.setdefault(c, set()).add(i)
+    assert {frozenset(x) for x in groups.values()} == naive(np.array(v), 0.95)
