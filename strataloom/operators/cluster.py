@@ -11,8 +11,6 @@ nearer to a third than the nearer of its two was), so both give the same.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -131,7 +129,7 @@ def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: s
     found = components(jo.threshold_stars(distinct, least - 1e-9, "rep", "v", group="g"))
     # Tables of a row a node are merged: by the size of their files Spark would broadcast them whole.
     live = distinct.join(found.select(F.col("node").alias("rep"), F.col("label").alias("part")).hint("merge"), "rep").select("rep", "part", "v", "n")
-    live = stored(live, "clusters")
+    live = stored(live.withColumn("turn", F.lit(0)), "clusters")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
@@ -139,19 +137,23 @@ def average_linkage(df: DataFrame, key: str, vector: str, least: float, group: s
         reps = pdf["rep"].to_numpy()
         return pd.DataFrame({"node": reps, "target": reps[number]}).query("node != target")
 
-    links = []  # what small components give is found with the last of them, in one job
+    turns = [live]
     while True:
         sizes = live.groupBy("part").agg(F.count("*").alias("m"))
-        sized = live.join(sizes, "part")
-        small = sized.where(F.col("m") <= in_task).select("rep", "part", "v", "n")
-        links.append(small.groupBy("part").applyInPandas(run, "node long, target long"))
-        large = stored(sized.where(F.col("m") > in_task).select("rep", "part", "v", "n"), "clusters")
+        large = stored(live.join(sizes.where(F.col("m") > in_task), "part").select("rep", "part", "v", "n"), "clusters")
         if large.isEmpty():
             break
-        paired = stored(merged(large, nearest(large).where(F.col("sim") >= least - 1e-12)), "merged")
-        links.append(paired.where("other is not null").select(F.col("other").alias("node"), F.col("rep").alias("target")))
-        live = paired.select("rep", "part", "v", "n")
-    links = reduce(DataFrame.unionByName, links)
+        paired = merged(large, nearest(large).where(F.col("sim") >= least - 1e-12)).withColumn("turn", F.lit(len(turns)))
+        turns.append(stored(paired, "merged"))
+        live = turns[-1].select("rep", "part", "v", "n")
+    # All rounds are read as one table: a plan with branches for each would take memory of the driver by their number.
+    files = [f for t in turns for f in t.inputFiles()]
+    every = df.sparkSession.read.schema("rep long, other long, part long, v array<double>, n long, turn int").parquet(*files)
+    # A component is small in one turn, its last.  There are at most a large one in ``in_task`` rows.
+    large = every.groupBy("turn", "part").agg(F.count("*").alias("m")).where(F.col("m") > in_task).select("turn", "part")
+    small = every.join(F.broadcast(large) if in_task >= IN_TASK else large, ["turn", "part"], "left_anti").select("rep", "part", "v", "n")
+    links = small.groupBy("part").applyInPandas(run, "node long, target long")
+    links = links.unionByName(every.where("other is not null").select(F.col("other").alias("node"), F.col("rep").alias("target")))
     named = distinct.select("g", "v", "rep")
     named = named.join(ends(links).withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("g", "v", F.coalesce("target", "rep").alias("cluster"))
     rows = own.select("id", "g", F.transform("u", lambda x: F.round(x, 12)).alias("v"))

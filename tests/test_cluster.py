@@ -189,3 +189,18 @@ def test_average_linkage_broadcasts_no_table_of_nodes(spark, monkeypatch):
     for i, c in out.collect():
         groups.setdefault(c, set()).add(i)
     assert {frozenset(x) for x in groups.values()} == naive(np.array(v), 0.95)
+
+
+def test_plan_of_the_links_does_not_grow_with_the_rounds(spark, monkeypatch):
+    plans, rounds, keep, own = [], [], density.stored, cluster.stored
+
+    def links(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(density, "stored", links)
+    monkeypatch.setattr(cluster, "stored", lambda df, name: rounds.append(name) or own(df, name))
+    v = [[float(np.cos(x)), float(np.sin(x))] for x in np.random.default_rng(4).uniform(0, 6, 40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
+    cluster.average_linkage(df, "id", "v", 0.95, in_task=1)
+    assert rounds.count("merged") > 2 and plans[0].count("FlatMapGroupsInPandas") == 1 and plans[0].count("Scan parquet") <= 3
